@@ -1,14 +1,27 @@
-"""The thin registered queries of the training-data operators and their SQL."""
+"""The thin registered queries of the training-data operators and their SQL.
+
+Each applies an operator, with its production parameters, to its whole table and derives the contracted
+columns. SQL is given where DuckDB can express the result and is fast enough on whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import byte_bpe, chat_format, jaccard_join, language_id, mixing, secrets, token_store, warc
 from .common import table
 from .exact_dedup import exact_dedup
-from .quality_rules import quality_rules
+from .quality_rules import STOP_WORDS, quality_rules
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language_id.fit(docs, ~held_out)
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +32,96 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_exact_dedup)}
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri, _, manifest = token_store.write_store(table(spark, sf_dir, "documents"))
+    return token_store.read_store(uri, manifest)
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    messages = chat_format.reconstruct(chat_format.as_events(told.unionByName(planted)))
+    return chat_format.digests(chat_format.read_back(chat_format.render(messages)))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri, manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(uri, manifest)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_quality_rules, op3_exact_dedup, op4_token_store, op5_chat_format,
+        op6_secret_scan, op7_jaccard_join, op8_byte_bpe, op9_mixing, op10_warc,
+    )
+}
+
+_SP = r"[\x20\x09-\x0D]"
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": rf"""
+        WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+                     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM base),
+        win AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+        g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM win),
+        cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY rid),
+        c AS (SELECT w.doc_id, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars,
+                     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+                     len(list_filter(w.w, lambda x: lower(x) IN ({_STOP}))) AS n_stop,
+                     length(regexp_replace(text, '[^!]+', '', 'g')) AS n_exclamations
+              FROM w LEFT JOIN cov USING (rid)),
+        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1) AS d FROM c)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND word_chars / d >= 2.0 AND word_chars / d <= 15.0 AND n_symbols / d <= 0.2 AND n_exclamations / d <= 0.5
+                 AND n_stop / d >= 0.02 AND n_dup_lines / greatest(n_lines, 1) <= 0.4 AND n_repeat_words / d <= 0.5 AS kept,
+               n_lines, n_stop, n_exclamations
+        FROM f""",
+    "op3_exact_dedup": rf"""
+        WITH h AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SP}+', ' ', 'g')) AS text_sha256 FROM documents),
+        g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM h GROUP BY 1)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM h JOIN g USING (text_sha256)""",
+    "op5_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, replace(text, '\', '\\') AS doubled FROM c),
+        s AS (SELECT *, length(regexp_replace(doubled, '<\|[a-z_]+\|>|</?s>|</?SYS>|\[/?INST\]', '\0' || chr(1), 'g')) AS escaped_chars FROM e)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(8 + length(role) + 8 + escaped_chars + 7)::BIGINT AS formatted_chars
+        FROM s GROUP BY conv_id""",
+    "op10_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        g AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p),
+        d AS (SELECT *, sha1(payload) AS hex FROM g)
+        SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
+               list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 1 + (('0x' || substr(hex || '00', 1 + (5 * k) // 4, 3))::INTEGER >> (7 - (5 * k) % 4)) % 32, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM d""",
+}

@@ -1,0 +1,62 @@
+import base64
+import hashlib
+
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from factloom.llm.byte_bpe import PrefixTable, codec, encode_decode
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def reference():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+ALPHABET = st.sampled_from(list("abcdeinorst'sTé ß\n\t\r\x0b\x1c\x85\xa0 　 12.,#!<|>世界😀́") + ["the", "ing", "  ", "'ll", "zzzz"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(ALPHABET, max_size=60).map("".join))
+def test_equals_tiktoken(text):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))} if not hasattr(test_equals_tiktoken, "t") else None
+    if ranks:
+        test_equals_tiktoken.t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    c = codec(PATH)
+    ids = c.encode(text)
+    assert list(memoryview(ids).cast("I")) == test_equals_tiktoken.t.encode_ordinary(text)
+    assert c.decode(ids) == text.encode()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abrcdetin ", min_size=0, max_size=200), st.text(alphabet="abrcdetin ", max_size=20), st.integers(0, 200), st.integers(0, 200))
+def test_append_and_edit_equal_fresh_tables(text, new, a, b):
+    v = codec(PATH).v
+    data, start, stop = text.encode(), *sorted((min(a, len(text)), min(b, len(text))))
+    t = PrefixTable(v, data[:start])
+    t.append(data[start:])
+    assert t.last == PrefixTable(v, data).last
+    t.replace(start, stop, new.encode())
+    assert t.last == PrefixTable(v, data[:start] + new.encode() + data[stop:]).last
+
+
+def test_edit_near_the_end_of_a_long_text_stops_early():
+    t = PrefixTable(codec(PATH).v, b"the rain in spain stays mainly " * 100)
+    assert t.replace(40, 43, b"on") < 1500
+
+
+def test_rows(spark, reference):
+    rows = [(1, None), (2, ""), (3, "the cat"), (3, "the cat"), (None, "x" * 20_000), (5, " \n\n  a  b\r\n")]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, n_tokens string")
+    got = sorted(encode_decode(docs).collect(), key=str)
+    want = sorted(
+        ((i, len(e := reference.encode_ordinary(t or "")), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in e)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows),
+        key=lambda r: str((r,)),
+    )
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert encode_decode(docs.limit(0)).count() == 0
