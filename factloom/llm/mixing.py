@@ -4,8 +4,10 @@
    bucket has weight for a domain when documents of that domain hold it much more or less often than
    those of the base domain. It gives every document posteriors over the domains.
 2. Projected-gradient least squares finds nonnegative rates per document so that the expected tokens per
-   domain, the sum of rate * tokens * posterior, meet the targets. The gradient is taken in the metric
-   of tokens, so a rate depends on the posteriors alone; each step needs one sum per domain over all rows.
+   domain, the sum of rate * tokens * posterior, meet the targets. A domain's squared error is weighted by
+   one over its tokens and the gradient is taken in the metric of tokens: then a rate depends on the
+   posteriors alone, and since posteriors add up to one, the step 1 is within the Lipschitz bound. Each
+   step needs one sum per domain over all rows.
 3. A rate becomes copies: its whole part, and one more with the probability of the rest, by a hash of doc_id.
 
 Targets are shares; the anchor domain's tokens set the total. No target exceeds what ``max_rate`` times a
@@ -93,19 +95,18 @@ def solve(rows: DataFrame, targets: dict[str, float], anchor: str = ANCHOR, max_
     names = list(targets)
     t = F.col("tokens").cast("double")
     p = {n: F.col(f"p_{n}") for n in names}
-    sums = rows.agg(*(F.sum(t * p[n]).alias(n) for n in names), *(F.sum(t * p[a] * p[b]).alias(f"{a}|{b}") for a in names for b in names)).first()
+    sums = rows.agg(*(F.sum(t * p[n]).alias(n) for n in names)).first()
     have = {n: sums[n] or 0.0 for n in names}
     total = have[anchor] / targets[anchor] if targets[anchor] else sum(have.values())
     aim = {n: min(targets[n] * total, max_rate * have[n]) for n in names}
-    steepest = max((sum(sums[f"{a}|{b}"] or 0.0 for b in names) for a in names), default=0.0)
-    rate = F.lit(1.0)
-    for _ in range(STEPS if steepest else 0):
-        got = rows.agg(*(F.sum(t * p[n] * rate).alias(n) for n in names)).first()
+    rate, got = F.lit(1.0), have
+    for _ in range(STEPS):
         error = {n: (got[n] or 0.0) - aim[n] for n in names}
         if max(map(abs, error.values())) <= TOLERANCE * max(1.0, sum(aim.values())):
             break
-        down = sum((p[n] * F.lit(e / steepest) for n, e in error.items()), F.lit(0.0))
+        down = sum((p[n] * F.lit(e / have[n]) for n, e in error.items() if have[n]), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), rate - down)
+        got = rows.agg(*(F.sum(t * p[n] * rate).alias(n) for n in names)).first()
     return F.least(rate, F.lit(float(max_rate))), aim
 
 
