@@ -1,9 +1,9 @@
 """Mixing to target weights with soft memberships, in DataFrame operations only.
 
-1. A naive Bayes classifier over hashed words is fitted on a bounded sample of the labelled table: a word's
-   bucket has weight for a domain when documents of that domain hold it much more or less often than
-   those of the base domain. It gives every document posteriors over the domains.
-2. Projected-gradient least squares finds nonnegative rates per document so that the expected tokens per
+1. A Bernoulli naive Bayes classifier over hashed words is fitted on a bounded sample of the labelled table:
+   a word's bucket tells for a domain when documents of that domain hold it much more or less often than
+   those of the base domain. That a document lacks it counts as well. It gives every document posteriors.
+2. Projected-gradient least squares finds rates per document, from 0 to ``max_rate``, so that the expected tokens per
    domain, the sum of rate * tokens * posterior, meet the targets. A domain's squared error is weighted by
    one over its tokens and the gradient is taken in the metric of tokens: then a rate depends on the
    posteriors alone, and since posteriors add up to one, the step 1 is within the Lipschitz bound. Each
@@ -36,7 +36,7 @@ BUCKETS = 1 << 14
 LEAST_DOCS, LEAST_ODDS = 20, 1.0
 TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
 ANCHOR, MAX_RATE = "good", 1.0
-STEPS, TOLERANCE = 40, 1e-4
+STEPS, TOLERANCE = 25, 1e-3
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -62,14 +62,15 @@ def fit(docs: DataFrame, labelled: DataFrame, names: list[str], anchor: str = AN
     for d in names:
         if d == anchor:
             continue
-        row = [0.0] * BUCKETS
+        row, absent = [0.0] * BUCKETS, 0.0
         for b in range(BUCKETS) if docs_of[d] and docs_of[anchor] else ():
             x, y = n.get((d, b), 0), n.get((anchor, b), 0)
-            odds = math.log((x + 0.5) / (docs_of[d] + 1)) - math.log((y + 0.5) / (docs_of[anchor] + 1))
-            if x + y >= LEAST_DOCS and abs(odds) >= LEAST_ODDS:
-                row[b] = round(odds, 3)
+            p, q = (x + 0.5) / (docs_of[d] + 1), (y + 0.5) / (docs_of[anchor] + 1)
+            if x + y >= LEAST_DOCS and abs(math.log(p / q)) >= LEAST_ODDS:
+                without = math.log((1 - p) / (1 - q))
+                row[b], absent = round(math.log(p / q) - without, 3), absent + without
         weights.append(row)
-        priors.append(math.log((docs_of[d] + 1e-3) / (docs_of[anchor] + 1e-3)) if docs_of[anchor] else (-50.0 if not docs_of[d] else 50.0))
+        priors.append(absent + math.log((docs_of[d] + 1e-3) / (docs_of[anchor] + 1e-3)) if docs_of[anchor] else (-50.0 if not docs_of[d] else 50.0))
     return weights, priors
 
 
@@ -99,15 +100,15 @@ def solve(rows: DataFrame, targets: dict[str, float], anchor: str = ANCHOR, max_
     have = {n: sums[n] or 0.0 for n in names}
     total = have[anchor] / targets[anchor] if targets[anchor] else sum(have.values())
     aim = {n: min(targets[n] * total, max_rate * have[n]) for n in names}
-    rate, got = F.lit(1.0), have
+    rate, got = F.lit(min(1.0, float(max_rate))), have
     for _ in range(STEPS):
         error = {n: (got[n] or 0.0) - aim[n] for n in names}
         if max(map(abs, error.values())) <= TOLERANCE * max(1.0, sum(aim.values())):
             break
         down = sum((p[n] * F.lit(e / have[n]) for n, e in error.items() if have[n]), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - down)
+        rate = F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), rate - down))
         got = rows.agg(*(F.sum(t * p[n] * rate).alias(n) for n in names)).first()
-    return F.least(rate, F.lit(float(max_rate))), aim
+    return rate, aim
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, anchor: str = ANCHOR, max_rate: float = MAX_RATE) -> DataFrame:
