@@ -410,7 +410,7 @@ def _candidates(spark, sf_dir):
     )
     return j.select(
         F.col("doc_id").cast("string").alias("id"), F.coalesce("lang", F.lit("general")).alias("topic"), F.col("source").alias("source_id"), (F.col("quality") == 1).alias("verified"), q["quality"].alias("quality"),
-        ranking.source_quality(F.when(F.col("source") == "src0", "curated").otherwise("remote_untrusted")).alias("source_quality"), F.lit(0.5).alias("usefulness"), F.lit(0.5).alias("curiosity"),
+        ranking.source_quality(F.when(F.col("source") == "src0", "curated").otherwise("remote_untrusted")).alias("source_quality"), F.lit(0.5).alias("usefulness"), F.lit(0.5).alias("appeal"),
         ranking.freshness(age).alias("freshness"), ranking.novelty_from_age(age).alias("novelty"), "text",
     )
 

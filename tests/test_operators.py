@@ -52,7 +52,7 @@ def test_signals(spark):
 
 def test_rank_order(spark):
     rows = [("a", "science", "s", True), ("b", "art", "s", True), ("c", "science", "s", False)]
-    c = spark.createDataFrame(rows, "id string, topic string, source_id string, verified boolean").withColumns({k: F.lit(1.0) for k in ("quality", "source_quality", "usefulness", "freshness", "novelty", "curiosity")})
+    c = spark.createDataFrame(rows, "id string, topic string, source_id string, verified boolean").withColumns({k: F.lit(1.0) for k in ("quality", "source_quality", "usefulness", "freshness", "novelty", "appeal")})
     out = ranking.rank(c, F.create_map(F.lit("science"), F.lit(3.0), F.lit("art"), F.lit(1.0)), F.array().cast("array<string>"), 0.1, recent_ids=F.array(F.lit("a"))).orderBy(F.desc("score"), "id").collect()
     assert [r.id for r in out] == ["b", "a"] and out[1].reasons["repetition_penalty"] == -1
 
