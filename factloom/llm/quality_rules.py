@@ -111,8 +111,12 @@ def keep_good(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat_perc
 
 def _judged(df: DataFrame, carried: list[str], rules, min_words: int, max_repeat_percent: int) -> DataFrame:
     base = df.select(*carried, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    split = base.select(*carried, "doc_id", "text", words(F.col("text")).alias("w"))
-    counted = split.select(*carried, "doc_id", *(v.alias(k) for k, v in _features(F.col("w"), F.col("text")).items()))
+    # A filter on the counts must not be pushed below the split, where lambdas would split again at every
+    # word; depending on a row number, which is not deterministic, keeps it above.
+    split = base.select(*carried, "doc_id", "text", words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("at"))
+    features = _features(F.col("w"), F.col("text"))
+    features["n_repeat_words"] = F.when(F.col("at") >= 0, features["n_repeat_words"])
+    counted = split.select(*carried, "doc_id", *(v.alias(k) for k, v in features.items()))
     out = counted.select(
         *carried, "doc_id", "n_words", "word_chars", "n_symbols", F.col("lines.dup").alias("n_dup_lines"), "n_repeat_words",
         F.col("lines.n").alias("n_lines"), "n_stop", "n_exclamations",
