@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -85,3 +86,9 @@ def single_spaced(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+``; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished stages that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

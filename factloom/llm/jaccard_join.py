@@ -8,12 +8,14 @@ Hamming distance never exceeds the symmetric difference D, and a Jaccard similar
 1. Sizes fall into bands ``[4^j, 4^(j+1))``; a pair is sought in its smaller member's band. In a band the
    sketch is cut into parts; a part's content travels as the XOR of its shingles' hashes. At most D parts
    differ, so of any D + 1 parts of one document another one contains one unchanged (pigeonhole), and when
-   both order their parts alike, their first D + 1 share one. Parts that hold widespread shingles only
-   come last in that order and parts with more shingles first. Any order is exact; this one makes few candidates.
+   both order their parts alike, their first D + 1 share one. Parts come in the order of their rarest
+   shingle's number of documents, which is counted over the corpus, then those with more shingles first.
+   Any order is exact; this one makes few candidates.
 2. Documents with the same set are one class, represented by its smallest doc_id. Representatives that
-   share a part meet in a group; the first one is compared with the others, components are formed, and
-   then only pairs across components are compared. Groups of widespread parts are salted and their
-   leaders joined again, so no group is collected into one task, and pairs inside a component are not listed.
+   share a part meet in a group. Each is compared with the first members of its groups that are smallest
+   and that it shares most parts with; components are formed, and then only pairs across components are
+   compared. Groups of widespread parts are salted and their leaders joined again, so no group is collected
+   into one task, and pairs inside a component are not listed.
 3. Candidates are filtered by the Hamming distance of whole sketches (folded to one width) and verified
    on the full sets.
 
@@ -28,28 +30,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, drop_ids, materialize, sized_join
+from .common import drop_ids, materialize, release, sized_join
 from .components import connected_components
 
 SHINGLE = 5
 #: Links: 100 * intersection >= 75 * union.
 PERCENT = 75
-CACHE_WORDS = 1_000_000
-#: Shingles that are put last in the order of parts, at most; the choice affects cost only.
-HOT_SHINGLES, HOT_LOCAL, HOT_TOTAL = 500_000, 3, 16
+#: Shingles whose numbers of documents order the parts, at most, and the least number; the choice affects cost only.
+KNOWN, LEAST = 1_000_000, 3
 #: Members of a group per salt.
 SALTED = 20_000
-#: Entries buffered before they are sent.
-BUFFER = 2_000_000
+#: Entries buffered before they are sent, and shingles counted before their counts are.
+BUFFER, COUNTED = 1_000_000, 2_000_000
 #: Entries per task of the grouping step, about.
 TASK_ENTRIES = 3_000_000
 
 U = np.uint64
-_cache: dict[bytes, int] = {}
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,27 +58,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F))
+_POWER = U(0xE7037ED1A0B428DB)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text in order: polynomials in random byte values, one array pass per step."""
+    a = np.frombuffer(data, np.uint8)
+    inside = ~_SPACE[a]
+    starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
+    if not len(starts):
+        return np.empty(0, U)
+    first = starts[0]
+    a, inside, starts = a[first:], inside[first:], starts - first
+    spans = np.diff(np.r_[starts, len(a)])
+    powers = np.multiply.accumulate(np.full(int(spans.max()), _POWER, U))
+    at = np.arange(len(a)) - np.repeat(starts, spans)
+    return mix(np.add.reduceat(_BYTE[a] * powers[at] * inside, starts))
+
+
 def shingles(text: bytes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the five-word shingles of a whole text."""
-    words = text.lower().split()  # on bytes: A-Z and ASCII white space only
-    if not words:
-        return np.empty(0, U)
-    try:
-        h = np.fromiter(map(_cache.__getitem__, words), U, len(words))
-    except KeyError:
-        if len(_cache) > CACHE_WORDS:
-            _cache.clear()
-        digest = xxhash.xxh3_64_intdigest
-        for w in set(words):
-            if w not in _cache:
-                _cache[w] = digest(w)
-        h = np.fromiter(map(_cache.__getitem__, words), U, len(words))
-    n = max(1, len(h) - SHINGLE + 1)
-    out = h[:n] if len(h) >= SHINGLE else np.zeros(1, U)
-    for k in range(1, SHINGLE) if len(h) >= SHINGLE else ():
+    h = word_hashes(text.lower())  # on bytes: A-Z only
+    if not len(h):
+        return h
+    if len(h) < SHINGLE:
+        out = np.full(1, len(h), U)
+        for x in h:
+            out = out * U(0xD1B54A32D192ED03) + x
+        return mix(out)
+    n = len(h) - SHINGLE + 1
+    out = h[:n]
+    for k in range(1, SHINGLE):
         out = out * U(0x9E3779B97F4A7C15) + h[k : n + k]
-    for x in h if len(h) < SHINGLE else ():
-        out = out * U(0xD1B54A32D192ED03) + x + U(len(h))
     return np.unique(mix(out))
 
 
@@ -92,8 +104,11 @@ def tolerance(n: int, band: int) -> int:
     return (n + (4 * n // 3 if band == band_of(n) else largest_small)) // 7
 
 
-def part_keys(s: np.ndarray, band: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the first ``tolerance + 1`` parts of set ``s`` in the band's order, and whether all their shingles are widespread."""
+def part_keys(s: np.ndarray, band: int, known: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the first ``tolerance + 1`` parts of set ``s`` in the band's order, and the level of their rarest shingles.
+
+    ``known`` are sorted 48-bit heads of shingles, ``level`` the bit lengths of their numbers of documents.
+    """
     end = 4 ** (band + 1)
     need = tolerance(len(s), band) + 1
     part = s if band < 2 else (s >> U(17)) % U(end if end > 64 else 4 * end)
@@ -102,15 +117,17 @@ def part_keys(s: np.ndarray, band: int, hot: np.ndarray) -> tuple[np.ndarray, np
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     content = np.bitwise_xor.reduceat(mix(s), starts)
     key = mix(content + part[starts] * U(0x9E3779B97F4A7C15) + U(band))
-    cold = np.ones(len(s), np.int8)
-    if len(hot):
-        cold[hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s] = 0
-    warm = np.add.reduceat(cold, starts, dtype=np.int32) == 0
+    spread = np.zeros(len(s), np.uint8)
+    if len(known):
+        head = s >> U(16)
+        at = np.minimum(np.searchsorted(known, head), len(known) - 1)
+        spread = np.where(known[at] == head, level[at], 0).astype(np.uint8)
+    rarest = np.minimum.reduceat(spread, starts)
     held = np.diff(np.r_[starts, len(s)])
     if len(starts) < need:
         raise ValueError("a sketch has fewer parts than the pigeonhole principle needs")
-    first = np.lexsort((key, -held, warm))[:need]
-    return key[first], warm[first]
+    first = np.lexsort((key, -held, rarest))[:need]
+    return key[first], rarest[first]
 
 
 def bands(n: int) -> list[int]:
@@ -144,11 +161,10 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, U).view(np.int64)
 
 
-def measure(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, d1, d2) per row, d1 and d2 digesting the set; and (shingle, n) of shingles repeated within a buffer."""
+def measure(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, d1, d2) per row; d1 and d2 digest the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
         for b in batches:
             n, d1, d2 = [], [], []
             for text in _texts(b.column(1)):
@@ -157,46 +173,89 @@ def measure(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 n.append(len(s))
                 d1.append(int(m.sum(dtype=U)) if len(s) else 0)
                 d2.append(int(np.bitwise_xor.reduce(mix(m))) if len(s) else 0)
-                if (d1[-1], d2[-1]) not in seen:
-                    seen.add((d1[-1], d2[-1]))
-                    held.append(s)
-                    size += len(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(_signed(d1)), pa.array(_signed(d2)), pa.nulls(len(n), pa.int64())], names)
-            if size > BUFFER:
-                yield from repeated(held)
-                held, size, seen = [], 0, set()
-        yield from repeated(held)
-
-    def repeated(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if held:
-            value, n = np.unique(np.concatenate(held), return_counts=True)
-            at = n >= HOT_LOCAL
-            none = pa.nulls(int(at.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(n[at]), none, none, pa.array(_signed(value[at]))], names)
-
-    names = ["doc_id", "n", "d1", "d2", "shingle"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, shingle long")
-    rows = materialize(rows, "jaccard-measure")
-    return rows.where("shingle is null").drop("shingle"), rows.where("shingle is not null").select("shingle", "n")
-
-
-def _hot(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most widespread shingles, sorted, with lower bounds of their numbers of documents; bounded by HOT_SHINGLES."""
-    top = repeated.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TOTAL).orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).toArrow()
-    value, n = top["shingle"].to_numpy().view(U), top["n"].to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(_signed(d1)), pa.array(_signed(d2))], ["doc_id", "n", "d1", "d2"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return materialize(rows, "jaccard-measure")
+
+
+def widespread(reps: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of documents of the shingles that most hold: sorted 48-bit heads and counts, at most KNOWN of them.
+
+    All shingles of all representatives are counted: buffers are summed before they are sent as packed
+    arrays, and a bucket is a range of values. Only values of LEAST documents or more are written.
+    """
+    buckets = 4 * tasks
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for text in _texts(b.column(0)):
+                held.append(shingles(text) >> U(16))
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield pack(held)
+                    held, size = [], 0
+        if size:
+            yield pack(held)
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        value, n = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted((value * U(buckets)) >> U(48), np.arange(buckets + 1, dtype=U))
+        rows = []
+        for k in range(buckets):
+            v, c = value[edges[k] : edges[k + 1]], n[edges[k] : edges[k + 1]]
+            if len(v):
+                more = np.flatnonzero(c > 1)
+                rows.append((k, v.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), more.astype(np.int32).tobytes(), c[more].astype(np.int64).tobytes()))
+        types = [pa.int32(), *[pa.binary()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], ["bucket", "heads", "places", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts = [], []
+        for b in batches:
+            for heads, places, more in zip(*(_texts(c) for c in b.columns[1:]), strict=True):
+                v = np.zeros((len(heads) // 6, 8), np.uint8)
+                v[:, :6] = np.frombuffer(heads, np.uint8).reshape(-1, 6)
+                n = np.ones(len(v), np.int64)
+                n[np.frombuffer(places, np.int32)] = np.frombuffer(more, np.int64)
+                values.append(v.view(U).ravel())
+                counts.append(n)
+        if not values:
+            return
+        value, n = np.concatenate(values), np.concatenate(counts)
+        order = np.argsort(value)
+        value, n = value[order], n[order]
+        starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        value, n = value[starts], np.add.reduceat(n, starts)
+        at = n >= LEAST
+        yield pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), pa.array(n[at])], ["head", "n"])
+
+    sent = reps.select("text").mapInArrow(send, "bucket int, heads binary, places binary, counts binary")
+    counted = materialize(sent.repartition(tasks, "bucket").mapInArrow(total, "head long, n long"), "jaccard-counts")
+    least, room = LEAST, KNOWN
+    for r in counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("values")).orderBy(F.desc("n")).collect():
+        room -= r["values"]
+        if room < 0:
+            least = r["n"] + 1
+            break
+    top = counted.where(F.col("n") >= least).toArrow()
+    value, n = top["head"].to_numpy().view(U), top["n"].to_numpy()
     order = np.argsort(value)
     return value[order], n[order]
 
 
-def _meet(reps: DataFrame, hot: tuple[np.ndarray, np.ndarray], tasks: int) -> DataFrame:
+def _meet(reps: DataFrame, counts: tuple[np.ndarray, np.ndarray], tasks: int) -> DataFrame:
     """Groups of representatives that share a part, and the pairs of each group's first member.
 
     Rows: (a, b, na, nb) for pairs; (key, a, na) with null b for members of groups, ``leads`` for the first
     of a salted one. Entries are sent to ``bucket``s as packed arrays, which shuffles bytes instead of rows.
     """
     context = reps.sparkSession.sparkContext
-    shared = context.broadcast(hot)
-    buckets, salted_at = 4 * tasks, SALTED
+    known, n = counts
+    shared = context.broadcast((known, np.array([int(x).bit_length() for x in n], np.uint8)))
+    salts, salted_level = (-(-int(n.max()) // SALTED) if len(n) else 1), SALTED.bit_length()
+    buckets = 4 * tasks
 
     def pack(keys, docs, sizes) -> Iterator[pa.RecordBatch]:
         key, salt = np.concatenate([k for k, _ in keys]), np.concatenate([s for _, s in keys])
@@ -215,17 +274,16 @@ def _meet(reps: DataFrame, hot: tuple[np.ndarray, np.ndarray], tasks: int) -> Da
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], ["bucket", "keys", "salts", "docs", "sizes"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_value, hot_n = shared.value
-        salts = -(-int(hot_n.max()) // salted_at) if len(hot_n) else 1
+        known, level = shared.value
         keys, docs, sizes, size = [], [], [], 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
                 s = shingles(text)
                 for band in bands(len(s)) if len(s) else ():
-                    key, warm = part_keys(s, band, hot_value)
+                    key, rarest = part_keys(s, band, known, level)
                     salt = np.zeros(len(key), U)
                     if salts > 1:
-                        salt[warm] = U(1 + doc % salts)
+                        salt[rarest >= salted_level] = U(1 + doc % salts)
                     keys.append((key, salt))
                     docs.append(doc)
                     sizes.append(len(s))
@@ -258,19 +316,19 @@ def _meet(reps: DataFrame, hot: tuple[np.ndarray, np.ndarray], tasks: int) -> Da
         at = (many | salted)[group]
         leader = starts[group]
         pair = many[group] & (doc != doc[leader]) & (4 * np.minimum(n, n[leader]) >= 3 * np.maximum(n, n[leader]))
-        pairs = np.unique(np.stack([doc[leader][pair], doc[pair], n[leader][pair].astype(np.int64), n[pair].astype(np.int64)]), axis=1)
+        pairs, shared_parts = np.unique(np.stack([doc[leader][pair], doc[pair], n[leader][pair].astype(np.int64), n[pair].astype(np.int64)]), axis=1, return_counts=True)
         nulls = lambda size: pa.nulls(size, pa.int64())
         for k in range(0, pairs.shape[1], 50_000):
             p = pairs[:, k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([nulls(p.shape[1]), *(pa.array(x) for x in p), pa.nulls(p.shape[1], pa.bool_())], out)
+            yield pa.RecordBatch.from_arrays([nulls(p.shape[1]), *(pa.array(x) for x in p), pa.nulls(p.shape[1], pa.bool_()), pa.array(shared_parts[k : k + 50_000])], out)
         where = np.flatnonzero(at)
         for k in range(0, len(where), 50_000):
             w = where[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(key[w])), pa.array(doc[w]), nulls(len(w)), pa.array(n[w].astype(np.int64)), nulls(len(w)), pa.array((leader[w] == w) & salted[group[w]])], out)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(key[w])), pa.array(doc[w]), nulls(len(w)), pa.array(n[w].astype(np.int64)), nulls(len(w)), pa.array((leader[w] == w) & salted[group[w]]), nulls(len(w))], out)
 
-    out = ["key", "a", "b", "na", "nb", "leads"]
+    out = ["key", "a", "b", "na", "nb", "leads", "shared"]
     sent = reps.select("doc_id", "text").mapInArrow(send, "bucket int, keys binary, salts binary, docs binary, sizes binary")
-    return materialize(sent.repartition(tasks, "bucket").mapInArrow(meet, "key long, a long, b long, na long, nb long, leads boolean"), "jaccard-groups")
+    return materialize(sent.repartition(tasks, "bucket").mapInArrow(meet, "key long, a long, b long, na long, nb long, leads boolean, shared long"), "jaccard-groups")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -341,7 +399,7 @@ def components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, repeated = measure(docs)
+    rows = measure(docs)
     classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     classes = materialize(classes, "jaccard-classes")
     copies = rows.join(classes.where("rows > 1").select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id")
@@ -349,13 +407,19 @@ def components(docs: DataFrame) -> DataFrame:
     reps = drop_ids(docs.where("doc_id is not null"), copies)
     entries = (classes.agg(F.sum(F.expr("n div 3 + 1") * 1.2)).first()[0]) or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries // TASK_ENTRIES) + 1)
-    met = _meet(reps, _hot(repeated), tasks)
+    counts = widespread(reps, tasks)
+    release(spark)
+    met = _meet(reps, counts, tasks)
+    release(spark)
     members = met.where("b is null").select("key", "a", "na")
     leaders = met.where("leads").select("key", "a", "na")
     chief = leaders.groupBy("key").agg(F.min(F.struct("a", "na")).alias("chief")).select("key", F.col("chief.a").alias("b"), F.col("chief.na").alias("nb"))
     chiefs = leaders.join(chief, "key").where(_fits("na", "nb") & (F.col("a") != F.col("b"))).select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"))
-    pairs = met.where("b is not null").select("a", "b", "na", "nb").union(chiefs).groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"))
-    pairs = materialize(pairs, "jaccard-pairs")
+    firsts = met.where("b is not null").select("a", "b", "na", "nb", "shared")
+    firsts = firsts.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("shared").alias("shared"))
+    firsts = firsts.groupBy("b", "nb").agg(F.min(F.struct("a", "na")).alias("x"), F.max(F.struct("shared", "a", "na")).alias("y"))
+    stars = firsts.select("b", "nb", F.explode(F.array(F.struct("x.a", "x.na"), F.struct("y.a", "y.na"))).alias("p")).select("p.a", "b", "p.na", "nb")
+    pairs = materialize(stars.union(chiefs).distinct(), "jaccard-pairs")
     ids = materialize(members.select(F.col("a").alias("doc_id")).distinct(), "jaccard-ids")
     sets = _sets(reps, ids)
     links = _verify(pairs, sets)
@@ -377,6 +441,3 @@ def drop_near(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id."""
     gone = materialize(components(docs).where("component_id <> doc_id").select("doc_id").distinct(), "near-gone")
     return drop_ids(docs, gone)
-
-
-__all__ = ["BROADCAST_ROWS", "components", "drop_near"]

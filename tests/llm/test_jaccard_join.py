@@ -59,7 +59,7 @@ def test_equals_brute_force(spark, seed):
 def test_salted_groups_and_hot_order_change_nothing(spark, monkeypatch):
     rows = corpus(3) + [(1000 + k, " ".join(f"x{j}" for j in range(40) if j != k % 3)) for k in range(30)]
     monkeypatch.setattr(J, "SALTED", 5)
-    monkeypatch.setattr(J, "HOT_TOTAL", 3)
+    monkeypatch.setattr(J, "COUNTED", 500)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, J.components(docs).collect()), key=str) == brute(rows)
 
