@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import posixpath
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -39,38 +41,49 @@ from .common import fresh_dir, materialize
 MAGIC = b"TOKZ0001"
 END_ID = 2
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2000, 4096, 65536
-CACHE_WORDS, CACHE_BYTES = 1_000_000, 64
+CACHE_WORDS, CACHE_BYTES, LEARNED = 600_000, 64, 20_000
 NULL_ID = -(1 << 63)
+#: Documents per batch that a worker returns.
+SLICE = 256
 #: Compressed frames gathered before they are written.
 SHARD_MB = 64
 
 
 class WordTokenizer:
-    """The tokenizers library behind a cache of words: its normaliser and pattern never join text across ASCII white space."""
+    """The tokenizers library behind a cache of words: its normaliser and pattern never join text across ASCII white space.
+
+    Words not seen before are encoded together in one call, and the ids are dealt to them by their offsets.
+    Texts of ASCII without "<|" are lower-cased first, as the library would do.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.t, self.cache = Tokenizer.from_file(path), {}
-
-    def _fill(self, words: list[bytes]) -> dict[bytes, bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        missing = [w for w in set(words) if w not in self.cache]
-        found = {}
-        for w, e in zip(missing, self.t.encode_batch([w.decode() for w in missing], add_special_tokens=False), strict=True):
-            found[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        self.cache.update((w, i) for w, i in found.items() if len(w) <= CACHE_BYTES)
-        return found
-
-    def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            found = self._fill(words)
-            return b"".join([found[w] if w in found else self.cache[w] for w in words])
+        self.t, self.words = Tokenizer.from_file(path), {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of distinct words, none of which holds ASCII white space."""
+        texts = [w.decode() for w in words]
+        e = self.t.encode(" ".join(texts), add_special_tokens=False)
+        at = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+        starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        edges = (4 * np.searchsorted(at, starts)).tolist()
+        data = np.array(e.ids, "<u4").tobytes()
+        self.words.update((w, data[edges[k] : edges[k + 1]]) for k, w in enumerate(words))
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [(x.lower() if x.isascii() and b"<|" not in x else x).split() for x in texts]
+        missing = [w for w in set(itertools.chain.from_iterable(cut)).difference(self.words)]
+        for k in range(0, len(missing), LEARNED):
+            self._learn(missing[k : k + LEARNED])
+        ids = [b"".join(map(self.words.__getitem__, words)) for words in cut]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        else:
+            for w in (w for w in missing if len(w) > CACHE_BYTES):
+                del self.words[w]
+        return ids
 
 
 @functools.lru_cache(2)
@@ -92,6 +105,10 @@ def _dictionary(uri: str, digest: str) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(data)
 
 
+def _texts(column: pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 def _encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) with the end id appended; ids as bytes."""
     end = struct.pack("<I", END_ID)
@@ -99,7 +116,7 @@ def _encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
-            ids = [t.encode((x.as_buffer().to_pybytes() if x.is_valid else b"")) + end for x in b.column(1).cast(pa.binary())]
+            ids = [x + end for x in t.encode_all(_texts(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
@@ -130,13 +147,18 @@ def write_store(docs: DataFrame, path: str | None = None, uri: str | None = None
     uri = uri or fresh_dir(spark, "tokens")
     digest = train_dictionary(docs, uri, path)
 
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(uri, digest) if digest else None)
-        for b in batches:
-            ids = [x.as_buffer().to_pybytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(x) for x in ids], pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "frame", "n"])
+    end = struct.pack("<I", END_ID)
 
-    frames = materialize(_encoded(docs, path).mapInArrow(compress, "doc_id long, frame binary, n long"), "frames")
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, z = tokenizer(path), zstandard.ZstdCompressor(level=3, dict_data=_dictionary(uri, digest) if digest else None)
+        for whole in batches:
+            for b in (whole.slice(k, SLICE) for k in range(0, whole.num_rows, SLICE)):
+                ids = [x + end for x in t.encode_all(_texts(b.column(1)))]
+                columns = [b.column(0), pa.array(map(z.compress, ids), pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "frame", "n"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    frames = materialize(rows.mapInArrow(compress, "doc_id long, frame binary, n long"), "frames")
     mb = (frames.agg(F.sum(F.octet_length("frame"))).first()[0] or 0) / 1e6
     shards = max(1, round(mb / SHARD_MB), min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(mb)))
     ordered = frames.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("frame"))
