@@ -8,6 +8,7 @@ left, and suppressed once a kept earlier neighbour exists, which equals the sequ
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 import pandas as pd
@@ -49,16 +50,20 @@ def _indel(a: str, b: str) -> float:
     """100 times the normalised insertion-deletion similarity."""
     if not a and not b:
         return 100.0
-    if len(a) < len(b):
-        a, b = b, a
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = diagonal + 1 if x == y else max(above, row[j - 1])
-            diagonal = above
-    return 100.0 * 2 * row[-1] / (len(a) + len(b))
+    head = len(os.path.commonprefix((a, b)))
+    x, y = a[head:], b[head:]
+    if len(x) < len(y):
+        x, y = y, x
+    # Bit-parallel longest common subsequence: a bit per character of y, cleared where a row of the table steps up.
+    at: dict[str, int] = {}
+    for j, c in enumerate(y):
+        at[c] = at.get(c, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for c in x:
+        if hit := row & at.get(c, 0):
+            row = (row + hit | row - hit) & full
+    return 100.0 * 2 * (head + len(y) - row.bit_count()) / (len(a) + len(b))
 
 
 def token_set_ratio(a: str, b: str) -> float:

@@ -436,7 +436,7 @@ def planned_queue(spark, sf_dir):
     """Queues of one profile per source."""
     weights = F.create_map(F.lit("en"), F.lit(3.0), F.lit("de"), F.lit(1.0))
     r = ranking.rank(_candidates(spark, sf_dir), weights, F.array().cast("array<string>"), 0.1)
-    rows = r.select(F.col("source_id").alias("profile_id"), F.col("id").alias("card_id"), "topic", F.round("score", 9).alias("score"), F.substring("text", 1, 200).alias("text"), (~F.col("topic").isin("en", "de")).alias("unexpected"))
+    rows = r.select(F.col("source_id").alias("profile_id"), F.col("id").alias("card_id"), "topic", F.round("score", 9).alias("score"), "text", (~F.col("topic").isin("en", "de")).alias("unexpected"))
     return ranking.plan_queues(rows)
 
 

@@ -1,0 +1,37 @@
+"""The query planned_queue against planning of whole pools with whole texts, one profile at a time."""
+
+from factloom import queries as Q
+from factloom.operators import firewall, ranking
+
+OPENING = " ".join(f"opening{k}" for k in range(40))
+
+
+def tables(spark, folder, rows):
+    """documents and labels of (doc_id, text, lang, source); every document is verified."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def whole(spark, folder):
+    weights = Q.F.create_map(Q.F.lit("en"), Q.F.lit(3.0), Q.F.lit("de"), Q.F.lit(1.0))
+    ranked = ranking.rank(Q._candidates(spark, folder), weights, Q.F.array().cast("array<string>"), 0.1).select("source_id", "id", "topic", Q.F.round("score", 9).alias("score"), "text").collect()
+    similar = lambda a, b: firewall.token_set_ratio(a.text, b.text) / 100
+    out = []
+    for profile in sorted({r.source_id for r in ranked}):
+        items = [ranking.Item(r.id, r.topic, r.score, True, r.text or "") for r in ranked if r.source_id == profile]
+        odd = frozenset(i.topic for i in items) - {"en", "de"}
+        out += [(profile, k, i.card_id, i.reason) for k, i in enumerate(ranking.plan(items, 6, 0, 2, 0.6, 0.25, odd, similar))]
+    return out
+
+
+def planned(spark, folder):
+    return sorted((r.profile_id, r.ordinal, r.card_id, r.reason) for r in Q.planned_queue(spark, folder).collect())
+
+
+def test_texts_are_compared_whole(spark, tmp_path):
+    """All share an opening of over 200 characters; every second one repeats the others to its end."""
+    end = lambda k: "again and again" if k % 2 else " ".join(f"end{k}x{j}" for j in range(60))
+    folder = tables(spark, tmp_path, [(k, f"{OPENING} {end(k)}", ("en", "de", "fr")[k % 3], f"s{k % 2 * (k % 5 > 1)}") for k in range(100, 160)])
+    assert planned(spark, folder) == whole(spark, folder)
