@@ -35,3 +35,11 @@ def test_texts_are_compared_whole(spark, tmp_path):
     end = lambda k: "again and again" if k % 2 else " ".join(f"end{k}x{j}" for j in range(60))
     folder = tables(spark, tmp_path, [(k, f"{OPENING} {end(k)}", ("en", "de", "fr")[k % 3], f"s{k % 2 * (k % 5 > 1)}") for k in range(100, 160)])
     assert planned(spark, folder) == whole(spark, folder)
+
+
+def test_all_candidates_are_planned(spark, tmp_path):
+    """A profile with 450 candidates of its favoured topic still changes topics and finds the unexpected."""
+    rows = [(k, f"text{k % 90} of{k} its{k % 7} own{k}", "en", "hot") for k in range(100, 550)]
+    rows += [(k, f"other{k} text", ("de", "fr")[k % 2], "hot") for k in range(600, 640)] + [(700, "one alone", "es", "cold")]
+    folder = tables(spark, tmp_path, rows)
+    assert planned(spark, folder) == whole(spark, folder)
