@@ -2,8 +2,8 @@
 
 Candidates come from an equi-join on significant tokens and the best ``k`` by BM25 per probe; tokens that
 more than ``common`` facts hold are not joined on when a probe has others, and partial sums are aggregated
-before ranking. Resolution is iterative: a fact is kept once no undecided or kept earlier neighbour is
-left, and suppressed once a kept earlier neighbour exists, which equals the sequential order.
+before ranking. Resolution is iterative: shortlists among the kept facts are taken anew until no outcome
+changes, which equals the sequential order.
 """
 
 from __future__ import annotations
@@ -30,18 +30,22 @@ def postings(facts: DataFrame, key: str = "pulse_id", text: str = "fact_text") -
     return each.groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25_topk(index: DataFrame, probes: DataFrame, k: int = 20, key: str = "pulse_id", probe: str = "probe_id", text: str = "probe_text") -> DataFrame:
-    """(probe, key, score, rank): the best ``k`` facts per probe over its first 12 significant tokens; lower scores are better."""
+def bm25_weights(index: DataFrame, key: str = "pulse_id") -> DataFrame:
+    """(key, token, w): what a token adds to its fact's score."""
     docs = index.select(key, "dl").distinct()
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = index.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = index.join(df, "token").crossJoin(F.broadcast(stats)).select(  # one row of statistics
+    return index.join(df, "token").crossJoin(F.broadcast(stats)).select(  # one row of statistics
         key, "token",
         (F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"),
     )
+
+
+def bm25_topk(index: DataFrame, probes: DataFrame, k: int = 20, key: str = "pulse_id", probe: str = "probe_id", text: str = "probe_text") -> DataFrame:
+    """(probe, key, score, rank): the best ``k`` facts per probe over its first 12 significant tokens; lower scores are better."""
     asked = probes.select(probe, F.explode(T.query_tokens(F.col(text))).alias("token"))
-    scored = asked.join(weighted, "token").groupBy(probe, key).agg((-F.sum("w")).alias("score"))
+    scored = asked.join(bm25_weights(index, key), "token").groupBy(probe, key).agg((-F.sum("w")).alias("score"))
     best = W.partitionBy(probe).orderBy(F.round("score", 9), key)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -102,13 +106,28 @@ def decisions(facts: DataFrame, k: int = 20) -> DataFrame:
     return out.select("pulse_id", F.when(F.col("sources") > 1, "duplicate").otherwise(tier(value)).alias("tier"), value.alias("similarity"))
 
 
+def shortlists(facts: DataFrame, k: int) -> DataFrame:
+    """(a, b, rank): the best ``k`` facts b of other sources per fact a; where ``facts`` has pos, earlier ones only, and ties go by it."""
+    pos = F.col("pos") if "pos" in facts.columns else F.lit(None).cast("string")
+    asked = facts.select(F.col("pulse_id").alias("a"), F.col("source_id").alias("sa"), pos.alias("pa"), F.explode(T.query_tokens(F.col("fact_text"))).alias("token"))
+    ends = facts.select("pulse_id", F.col("source_id").alias("sb"), pos.alias("pb"))
+    held = bm25_weights(postings(facts)).join(ends, "pulse_id").withColumnRenamed("pulse_id", "b")
+    joined = asked.join(held, "token").where("a <> b AND sa <> sb" + (" AND pb < pa" if "pos" in facts.columns else ""))
+    scored = joined.groupBy("a", "b", "pb").agg((-F.sum("w")).alias("score"))
+    best = W.partitionBy("a").orderBy(F.round("score", 9), "pb", "b")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "b", "rank")
+
+
+def compared(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """(pulse_id, other_id, similarity) of the pairs (a, b) without a conflict of anchors."""
+    side = lambda end: facts.select(F.col("pulse_id").alias(end), F.col("fact_text").alias(f"t{end}"), T.anchors(F.col("fact_text")).alias(f"n{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(~T.anchor_conflict(F.col("na"), F.col("nb")))
+    return both.select(F.col("a").alias("pulse_id"), F.col("b").alias("other_id"), similarity("ta", "tb").alias("similarity"))
+
+
 def edges(facts: DataFrame, k: int = 20) -> DataFrame:
     """Comparable pairs (pulse_id, other_id, similarity) of different sources without a conflict of anchors."""
-    probes = facts.select(F.col("pulse_id").alias("probe_id"), F.col("fact_text").alias("probe_text"))
-    found = bm25_topk(postings(facts), probes, k).where("probe_id <> pulse_id").select(F.col("probe_id").alias("a"), F.col("pulse_id").alias("b"))
-    side = lambda end: facts.select(F.col("pulse_id").alias(end), F.col("source_id").alias(f"s{end}"), F.col("fact_text").alias(f"t{end}"), T.anchors(F.col("fact_text")).alias(f"n{end}"))
-    both = found.join(side("a"), "a").join(side("b"), "b").where("sa <> sb").where(~T.anchor_conflict(F.col("na"), F.col("nb")))
-    return both.select(F.col("a").alias("pulse_id"), F.col("b").alias("other_id"), similarity("ta", "tb").alias("similarity"))
+    return compared(shortlists(facts, k), facts)
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -123,21 +142,38 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 def first_wins(facts: DataFrame, k: int = 20, least: float = 0.58, max_rounds: int = 50) -> DataFrame:
     """Adds outcome kept or suppressed to facts (pulse_id, source_id, fact_text, fingerprint, pos: build order).
 
-    A suppressed fact suppresses nobody. Rounds are checkpointed; their number follows the longest chain.
+    A suppressed fact suppresses nobody and takes no slot of a shortlist. Every round decides all facts anew from
+    the facts kept in the round before. As a fact depends on earlier ones alone, only the sequential outcome stays
+    the same in a round, whatever the first guess. Rounds are checkpointed.
     """
-    near = edges(facts, k).where(F.col("similarity") >= least).select("pulse_id", "other_id")
-    same = facts.alias("x").join(facts.alias("y"), "fingerprint").where("x.source_id <> y.source_id").select(F.col("x.pulse_id").alias("pulse_id"), F.col("y.pulse_id").alias("other_id"))
-    pos = facts.select("pulse_id", "pos")
-    linked = near.union(same).distinct().join(pos, "pulse_id").join(pos.select(F.col("pulse_id").alias("other_id"), F.col("pos").alias("other_pos")), "other_id")
-    earlier = _checkpoint(linked.where("other_pos < pos").select("pulse_id", "other_id"))
-    state = _checkpoint(facts.select("pulse_id").withColumn("outcome", F.lit(None).cast("string")))
+    width = 4 * k
+    near = _checkpoint(shortlists(facts, width))
+    known = None
+    kept = _checkpoint(facts.select("pulse_id"))
     for _ in range(max_rounds):
-        seen = earlier.join(state.select(F.col("pulse_id").alias("other_id"), F.col("outcome").alias("theirs")), "other_id")
-        told = seen.groupBy("pulse_id").agg(F.max((F.col("theirs") == "kept").cast("int")).alias("kept_before"), F.max(F.col("theirs").isNull().cast("int")).alias("open_before"))
-        new = F.when(F.coalesce("kept_before", F.lit(0)) == 1, "suppressed").when(F.coalesce("open_before", F.lit(0)) == 0, "kept")
-        state = _checkpoint(state.join(told, "pulse_id", "left").select("pulse_id", F.coalesce("outcome", new).alias("outcome")))
-        if state.where("outcome IS NULL").isEmpty():
-            return facts.join(state, "pulse_id")
+        slot = W.partitionBy("a").orderBy("rank")
+        short = near.join(kept.select(F.col("pulse_id").alias("b")), "b", "left_semi").withColumn("slot", F.row_number().over(slot)).where(F.col("slot") <= k)
+        short = _checkpoint(short.select("a", "b"))
+        fresh = short if known is None else short.join(known, ["a", "b"], "left_anti")
+        likes = compared(fresh, facts).where(F.col("similarity") >= least).select(F.col("pulse_id").alias("a"), F.col("other_id").alias("b"), F.lit(True).alias("near"))
+        seen = fresh.join(likes, ["a", "b"], "left").select("a", "b", F.coalesce("near", F.lit(False)).alias("near"))
+        known = _checkpoint(seen if known is None else known.union(seen))
+        told = short.join(known.where("near"), ["a", "b"], "left_semi").select(F.col("a").alias("pulse_id"))
+        # The first two sources that hold a fingerprint tell for every source whether another one has it earlier.
+        held = facts.join(kept, "pulse_id", "left_semi").groupBy("fingerprint", F.col("source_id").alias("sb")).agg(F.min("pos").alias("pb"))
+        firsts = held.withColumn("n", F.row_number().over(W.partitionBy("fingerprint").orderBy("pb", "sb"))).where("n <= 2")
+        same = facts.join(firsts, "fingerprint").where("source_id <> sb AND pb < pos").select("pulse_id")
+        now = _checkpoint(facts.select("pulse_id").join(told.union(same).distinct(), "pulse_id", "left_anti"))
+        if now.count() == kept.count() and now.join(kept, "pulse_id", "left_anti").isEmpty():
+            # A list that ends at its width may have more; with fewer than k kept facts in it, it is too short.
+            full = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= width).select("a")
+            filled = short.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("a")
+            if full.join(filled, "a", "left_anti").isEmpty():
+                outcome = now.withColumn("outcome", F.lit("kept"))
+                return facts.join(outcome, "pulse_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("suppressed")))
+            width *= 4
+            near = _checkpoint(shortlists(facts, width))
+        kept = now
     raise RuntimeError("first-wins resolution did not settle")
 
 
