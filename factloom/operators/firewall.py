@@ -108,14 +108,17 @@ def decisions(facts: DataFrame, k: int = 20) -> DataFrame:
 
 def shortlists(facts: DataFrame, k: int) -> DataFrame:
     """(a, b, rank): the best ``k`` facts b of other sources per fact a; where ``facts`` has pos, earlier ones only, and ties go by it."""
-    pos = F.col("pos") if "pos" in facts.columns else F.lit(None).cast("string")
-    asked = facts.select(F.col("pulse_id").alias("a"), F.col("source_id").alias("sa"), pos.alias("pa"), F.explode(T.query_tokens(F.col("fact_text"))).alias("token"))
-    ends = facts.select("pulse_id", F.col("source_id").alias("sb"), pos.alias("pb"))
-    held = bm25_weights(postings(facts)).join(ends, "pulse_id").withColumnRenamed("pulse_id", "b")
-    joined = asked.join(held, "token").where("a <> b AND sa <> sb" + (" AND pb < pa" if "pos" in facts.columns else ""))
-    scored = joined.groupBy("a", "b", "pb").agg((-F.sum("w")).alias("score"))
-    best = W.partitionBy("a").orderBy(F.round("score", 9), "pb", "b")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "b", "rank")
+    ordered = "pos" in facts.columns
+    # Numbers in the order of pos stand for ids, as pairs are many; only facts of one source may share a pos.
+    numbered = _checkpoint(facts.orderBy("pos" if ordered else "pulse_id").select(F.monotonically_increasing_id().alias("num"), "pulse_id", "source_id", "fact_text"))
+    asked = numbered.select(F.col("num").alias("a"), F.col("source_id").alias("sa"), F.explode(T.query_tokens(F.col("fact_text"))).alias("token"))
+    held = bm25_weights(postings(numbered, "num"), "num").join(numbered.select("num", F.col("source_id").alias("sb")), "num").withColumnRenamed("num", "b")
+    joined = asked.join(held, "token").where("sa <> sb AND " + ("b < a" if ordered else "a <> b"))
+    scored = joined.groupBy("a", "b").agg((-F.sum("w")).alias("score"))
+    best = W.partitionBy("a").orderBy(F.round("score", 9), "b")
+    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    names = lambda number, name: numbered.select(F.col("num").alias(number), F.col("pulse_id").alias(name))
+    return top.join(names("a", "ida"), "a").join(names("b", "idb"), "b").select(F.col("ida").alias("a"), F.col("idb").alias("b"), "rank")
 
 
 def compared(pairs: DataFrame, facts: DataFrame) -> DataFrame:

@@ -44,11 +44,11 @@ def sequential(facts, k, least=0.58):
 
 def test_own_source_takes_no_slots(spark):
     """25 alike facts of one source come before a fact that repeats another source's."""
-    rows = [("a", "river delta carries sand slowly")] + [("b", f"basin ridge valley wind number{k}") for k in range(25)] + [("c", "basin ridge valley wind ddddd north")]
+    rows = [("a", "river delta carries sand slowly")] + [("b", f"basin ridge valley wind {chr(97 + k) * 5}") for k in range(25)] + [("c", "basin ridge valley wind ddddd north")]
     rows = [("z", "basin ridge valley wind"), *rows]
     got = {r.pos: r.outcome for r in W.first_wins(frame(spark, rows), k=3).collect()}
     assert got == sequential(frame(spark, rows).collect(), 3)
-    pairs = W.edges(frame(spark, [("b", f"basin ridge valley wind number{k}") for k in range(25)] + [("a", "basin ridge valley stone")] + [("b", "basin ridge valley wind zzzzz")]), 20).collect()
+    pairs = W.edges(frame(spark, [("b", f"basin ridge valley wind {chr(97 + k) * 5}") for k in range(25)] + [("a", "basin ridge valley stone")] + [("b", "basin ridge valley wind zzzzz")]), 20).collect()
     assert any(p.pulse_id.endswith("x26") and p.other_id.endswith("x25") for p in pairs)
 
 
