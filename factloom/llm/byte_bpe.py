@@ -9,8 +9,13 @@ on, stopping where they agree with the old ones again (``PrefixTable.replace``).
 
 A text is cut by the tokenizer's pattern, and each match is encoded by itself, without special tokens.
 
-Edge cases: null encodes as empty (no tokens); unpaired surrogates cannot occur in Spark strings; very
-long matches cost time in proportion to their length; repeated rows give repeated results.
+Texts are encoded some hundred at a time: their distinct pieces are sorted, so each extends the table of a
+prefix that it shares with the one before.
+
+Edge cases: null encodes as empty (no tokens); a null doc_id is carried through; unpaired surrogates cannot
+occur in Spark strings; very long matches cost time in proportion to their length; repeated rows give
+repeated results, each by itself, so ties do not matter; an empty table gives no rows; extra columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +24,11 @@ import base64
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -31,8 +39,10 @@ WHITE = "\t-\r \x85\xa0  -     　"
 #: Cuts at some of the places where the pattern cuts: an optional space and what follows it up to white space.
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
-#: Chunks that a Python worker remembers, and the longest of them.
-CACHE_CHUNKS, CACHE_CHARS = 1_000_000, 64
+#: Chunks and pairs of tokens that a Python worker remembers, and the characters of the longest such chunk; they bound memory only.
+CACHE_CHUNKS, CACHE_PAIRS, CACHE_CHARS = 300_000, 400_000, 64
+#: Texts that are encoded together.
+SLICE = 1024
 
 
 class Vocabulary:
@@ -44,9 +54,11 @@ class Vocabulary:
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.never = 1 << 60
-        self.reachable = functools.lru_cache(200_000)(self._reachable)
-        self.spine = functools.lru_cache(200_000)(self._spine)
-        self.follows = functools.lru_cache(1_000_000)(self._follows)
+        self.spine = functools.lru_cache(20_000)(self._spine)
+        self.pairs: dict[int, bool] = {}
+        # Every end of a token, with the id if it is itself a token that merging can reach, else -1.
+        self.ends = {t[k:]: -1 for t in self.ranks for k in range(len(t))}
+        self.ends.update((t, i) for t, i in self.ranks.items() if self._reachable(t))
 
     def merged(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first; used on single tokens and joined pairs only."""
@@ -76,6 +88,16 @@ class Vocabulary:
                 seen.append(parts[-side])
         return [(p, self.never if q is None else self.ranks[q]) for p, q in zip(seen, [*seen[1:], None], strict=True)]
 
+    def follows(self, before: int, token: int) -> bool:
+        """Whether ``token`` may come right after ``before``; remembered."""
+        key = before << 32 | token
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= CACHE_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[key] = self._follows(self.bytes_of[before], self.bytes_of[token])
+        return found
+
     def _follows(self, before: bytes, token: bytes) -> bool:
         """Whether no merge across the border comes before those inside the two tokens.
 
@@ -101,26 +123,43 @@ class Vocabulary:
 
 
 class PrefixTable:
-    """``last[i]``: length of the last token of the encoding of ``data[:i]``."""
+    """For every prefix ``data[:i]``: ``token[i]``, the last token of its encoding, and ``start[i]``, where that begins."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last = vocabulary, b"", [0]
+        self.v, self.data, self.token, self.start = vocabulary, b"", [-1], [0]
         self.append(data)
 
     def append(self, more: bytes) -> None:
-        start = len(self.data) + 1
         self.data += more
-        self.last += [0] * len(more)
-        for i in range(start, len(self.data) + 1):
-            self.last[i] = self._last(i)
-
-    def _last(self, i: int) -> int:
-        data, v, last = self.data, self.v, self.last
-        for n in range(min(v.longest, i), 0, -1):
-            token = data[i - n : i]
-            if token in v.ranks and v.reachable(token) and (i == n or v.follows(data[i - n - last[i - n] : i - n], token)):
-                return n
-        raise ValueError("no valid last token")
+        self._fill(len(self.data))
+
+    def become(self, data: bytes) -> None:
+        """The table of another string: entries of the common prefix stay, the rest is appended."""
+        same = 0
+        for a, b in zip(self.data, data, strict=False):
+            if a != b:
+                break
+            same += 1
+        self.data = data
+        del self.token[same + 1 :], self.start[same + 1 :]
+        self._fill(len(data))
+
+    def _fill(self, end: int) -> None:
+        """Entries up to ``end``: of the tokens that end there, shortest first, the one that may follow the token before it."""
+        data, token, start, ends, pairs = self.data, self.token, self.start, self.v.ends, self.v.pairs
+        for i in range(len(token), end + 1):
+            j = i - 1
+            while True:
+                t = ends[data[j:i]]
+                if t >= 0:
+                    if not j:
+                        break
+                    ok = pairs.get(token[j] << 32 | t)
+                    if ok or ok is None and self.v.follows(token[j], t):
+                        break
+                j -= 1
+            token.append(t)
+            start.append(j)
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Replace ``data[start:stop]``; returns how many table entries had to be computed.
@@ -128,25 +167,26 @@ class PrefixTable:
         Entries before the edit stay. Behind it, an entry looks back at most the longest token plus the
         token before; once that many entries in a row equal the old ones the rest is taken over.
         """
-        old, shift = self.last, len(new) - (stop - start)
+        old, begins, shift = self.token, self.start, len(new) - (stop - start)
         self.data = self.data[:start] + new + self.data[stop:]
-        self.last = old[: start + 1] + [0] * (len(self.data) - start)
+        self.token, self.start = old[: start + 1], begins[: start + 1]
         same, done = 0, 0
         for i in range(start + 1, len(self.data) + 1):
-            self.last[i] = self._last(i)
+            self._fill(i)
             done += 1
             behind = i - shift
-            same = same + 1 if i > start + len(new) and self.last[i] == old[behind] else 0
+            same = same + 1 if i > start + len(new) and self.token[i] == old[behind] else 0
             if same >= 2 * self.v.longest:
-                self.last[i + 1 :] = old[behind + 1 :]
+                self.token += old[behind + 1 :]
+                self.start += [x + shift for x in begins[behind + 1 :]]
                 break
         return done
 
     def tokens(self) -> list[int]:
         out, i = [], len(self.data)
         while i:
-            out.append(self.v.ranks[self.data[i - self.last[i] : i]])
-            i -= self.last[i]
+            out.append(self.token[i])
+            i = self.start[i]
         return out[::-1]
 
 
@@ -159,32 +199,41 @@ class Codec:
         self.v = Vocabulary(path)
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.cache: dict[str, bytes] = {}
-        self.pieces = functools.lru_cache(200_000)(self._piece)
-
-    def _piece(self, piece: str) -> bytes:
-        data = piece.encode()
-        if (i := self.v.ranks.get(data)) is not None and self.v.reachable(data):
-            return i.to_bytes(4, "little")
-        return b"".join(i.to_bytes(4, "little") for i in PrefixTable(self.v, data).tokens())
-
-    def _chunk(self, chunk: str) -> bytes:
-        ids = b"".join(map(self.pieces if len(chunk) <= CACHE_CHARS else self._piece, self.pattern.findall(chunk)))
-        if len(chunk) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_CHUNKS:
-                self.cache.clear()
-            self.cache[chunk] = ids
-        return ids
+        self.bytes_of = np.array([self.v.bytes_of.get(i) for i in range(max(self.v.bytes_of) + 1)], object)
+
+    def _pieces(self, pieces: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids of each piece. In sorted order neighbours share a prefix, whose table entries stay."""
+        out, table, whole = {}, PrefixTable(self.v), self.v.ends.get
+        for data in sorted(pieces):
+            if (i := whole(data, -1)) >= 0:
+                out[data] = i.to_bytes(4, "little")
+            else:
+                table.become(data)
+                out[data] = array("I", table.tokens()).tobytes()
+        return out
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of each text. Chunks that are not remembered are cut into pieces, and each distinct piece is encoded once."""
+        cut = [CHUNK.findall(t or "") for t in texts]
+        distinct = set(chain.from_iterable(cut))
+        missing = distinct.difference(self.cache)
+        pieces = {c: [p.encode() for p in self.pattern.findall(c)] for c in missing}
+        ids = self._pieces(set(chain.from_iterable(pieces.values())))
+        known = self.cache
+        known.update((c, b"".join(map(ids.__getitem__, p))) for c, p in pieces.items())
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        if len(known) > CACHE_CHUNKS:  # what this call used stays
+            self.cache = known = {c: known[c] for c in distinct}
+        for c in distinct:
+            if len(c) > CACHE_CHARS:
+                del known[c]
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        chunks = CHUNK.findall(text or "")
-        try:
-            return b"".join(map(self.cache.__getitem__, chunks))
-        except KeyError:
-            known = self.cache.get
-            return b"".join([known(c) or self._chunk(c) for c in chunks])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.v.bytes_of.__getitem__, memoryview(ids).cast("I")))
+        return b"".join(self.bytes_of[np.frombuffer(ids, "<u4")].tolist())
 
 
 @functools.lru_cache(2)
@@ -201,8 +250,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
         c = codec(path)
         for b in batches:
             n, ids_sha, text_sha, kept = [], [], [], []
-            for text in b.column(1):
-                ids = c.encode(text.as_py())
+            texts = b.column(1)
+            for ids in chain.from_iterable(c.encode_all(texts.slice(k, SLICE).to_pylist()) for k in range(0, len(texts), SLICE)):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())

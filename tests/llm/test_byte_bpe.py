@@ -40,9 +40,13 @@ def test_append_and_edit_equal_fresh_tables(text, new, a, b):
     data, start, stop = text.encode(), *sorted((min(a, len(text)), min(b, len(text))))
     t = PrefixTable(v, data[:start])
     t.append(data[start:])
-    assert t.last == PrefixTable(v, data).last
+    whole = PrefixTable(v, data)
+    assert (t.token, t.start) == (whole.token, whole.start)
     t.replace(start, stop, new.encode())
-    assert t.last == PrefixTable(v, data[:start] + new.encode() + data[stop:]).last
+    whole = PrefixTable(v, data[:start] + new.encode() + data[stop:])
+    assert (t.token, t.start) == (whole.token, whole.start)
+    t.become(data)
+    assert t.tokens() == PrefixTable(v, data).tokens()
 
 
 def test_edit_near_the_end_of_a_long_text_stops_early():
@@ -60,3 +64,14 @@ def test_rows(spark, reference):
     )
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert encode_decode(docs.limit(0)).count() == 0
+
+
+def test_small_caches_change_nothing(monkeypatch, reference):
+    from factloom.llm import byte_bpe
+
+    monkeypatch.setattr(byte_bpe, "CACHE_CHUNKS", 5)
+    monkeypatch.setattr(byte_bpe, "CACHE_PAIRS", 7)
+    c = byte_bpe.Codec(PATH)
+    texts = ["the quick brown fox", "jumped over " * 30, None, "", "z" * 500, "anstaltungen unverständlich", "the quick brown fox"]
+    for _ in range(3):
+        assert [list(memoryview(x).cast("I")) for x in c.encode_all(texts)] == [reference.encode_ordinary(t or "") for t in texts]
