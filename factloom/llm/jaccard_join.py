@@ -2,26 +2,32 @@
 
 A document's set is its distinct five-word shingles as 64-bit hashes. XOR-ing one bit per shingle gives a
 parity sketch; a shingle that only one of two documents has flips at most one bit, so the sketches'
-Hamming distance never exceeds the symmetric difference D, and a Jaccard similarity of 3/4 or more means
+Hamming distance H never exceeds the symmetric difference D, and a Jaccard similarity of 3/4 or more means
 ``D <= (a + b) / 7`` for set sizes a and b.
 
-1. Sizes fall into bands ``[4^j, 4^(j+1))``; a pair is sought in its smaller member's band. In a band the
-   sketch is cut into parts; a part's content travels as the XOR of its shingles' hashes. At most D parts
-   differ, so of any D + 1 parts of one document another one contains one unchanged (pigeonhole), and when
-   both order their parts alike, their first D + 1 share one. Parts come in the order of their rarest
-   shingle's number of documents, which is counted over the corpus, then those with more shingles first.
-   Any order is exact; this one makes few candidates.
+1. The joined sketch has 2^56 bits and is kept as the sorted list of its odd bits, so a document has a such
+   bits. Two documents that link agree on all but D of them, and x has at most ``a - (a + b - D) / 2`` odd bits
+   that y lacks: when both list their odd bits in one order, they share one that comes no later in x than
+   that (pigeonhole), and likewise in y. The bound depends on both sizes: a bit at place i of a set of a joins it
+   only with partners of at most ``reach = (4a - 7i) / 3`` shingles, which makes the size band of each bit exact.
+   No bit behind the first quarter can join. Bits are ordered by the number of documents that hold their
+   shingle, rare ones first. Any order is exact; this one makes few candidates.
 2. Documents with the same set are one class, represented by its smallest doc_id. Representatives that
-   share a part meet in a group. Each is compared with the first members of its groups that are smallest
-   and that it shares most parts with; components are formed, and then only pairs across components are
-   compared. Groups of widespread parts are salted and their leaders joined again, so no group is collected
-   into one task, and pairs inside a component are not listed.
-3. Candidates are filtered by the Hamming distance of whole sketches (folded to one width) and verified
+   share a bit meet in a group. In small groups pairs within reach are listed; in others each is paired with the
+   first few members. Of these pairs everyone's smallest and most-sharing partners are compared, components are formed, and
+   then only pairs across components that are within each other's reach are compared: all of them. Groups
+   of widespread bits are salted and their leaders joined again, so no group is collected into one task, and pairs inside
+   a component are not listed.
+3. Candidates are filtered by the Hamming distance of whole sketches folded to one width and verified
    on the full sets.
 
+Fixed segments of some bits each, one more than D, would be spoiled by shingles of either document, which doubles the
+tolerance: documents that share a passage of 5/7 of their shingles then meet, though their similarity is 0.56.
+
 Edge cases: null and empty texts have no shingles and link with nothing; fewer than five words are one
 shingle; a null doc_id links with nothing and has a null component; rows that share a doc_id are one
-document, linked through any of its texts; extra columns are ignored.
+document, linked through any of its texts; repeated rows and ties are one class; very long texts have long
+sketches and nothing is cut; an empty table gives no rows; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -43,6 +49,8 @@ PERCENT = 75
 KNOWN, LEAST = 1_000_000, 3
 #: Members of a group per salt.
 SALTED = 20_000
+#: Groups of up to so many members list their pairs; in others each is first paired with so many leaders.
+SMALL, LEADERS = 16, 8
 #: Entries buffered before they are sent, and shingles counted before their counts are.
 BUFFER, COUNTED = 1_000_000, 2_000_000
 #: Entries per task of the grouping step, about.
@@ -94,51 +102,42 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def band_of(n: int) -> int:
-    return (n.bit_length() - 1) // 2
-
-
-def tolerance(n: int, band: int) -> int:
-    """Largest symmetric difference that a set of ``n`` may have to a partner met in ``band``."""
-    largest_small = min(n, 4 ** (band + 1) - 1)
-    return (n + (4 * n // 3 if band == band_of(n) else largest_small)) // 7
+def odd_bits(s: np.ndarray, known: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The odd bits of set ``s`` that can join, in the common order: the level of how many hold them, then their place.
 
-
-def part_keys(s: np.ndarray, band: int, known: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the first ``tolerance + 1`` parts of set ``s`` in the band's order, and the level of their rarest shingles.
-
-    ``known`` are sorted 48-bit heads of shingles, ``level`` the bit lengths of their numbers of documents.
+    ``known`` are sorted 48-bit heads of shingles, ``level`` ranks their numbers of documents. Bits that two shingles
+    of the set share stay twice, as if the sketch were wider.
     """
-    end = 4 ** (band + 1)
-    need = tolerance(len(s), band) + 1
-    part = s if band < 2 else (s >> U(17)) % U(end if end > 64 else 4 * end)
-    order = np.argsort(part, kind="stable")
-    part, s = part[order], s[order]
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    content = np.bitwise_xor.reduceat(mix(s), starts)
-    key = mix(content + part[starts] * U(0x9E3779B97F4A7C15) + U(band))
-    spread = np.zeros(len(s), np.uint8)
+    bits = s >> U(8)
     if len(known):
         head = s >> U(16)
         at = np.minimum(np.searchsorted(known, head), len(known) - 1)
-        spread = np.where(known[at] == head, level[at], 0).astype(np.uint8)
-    rarest = np.minimum.reduceat(spread, starts)
-    held = np.diff(np.r_[starts, len(s)])
-    if len(starts) < need:
-        raise ValueError("a sketch has fewer parts than the pigeonhole principle needs")
-    first = np.lexsort((key, -held, rarest))[:need]
-    return key[first], rarest[first]
+        bits |= np.where(known[at] == head, level[at], U(0)) << U(56)
+    bits.sort()
+    return bits[: len(s) // 4 + 1]
+
+
+def reach(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Largest size of a partner that the odd bit at ``place`` of a set of ``n`` can join.
+
+    A partner of m with at least 3/7 (n + m) common shingles leaves n - 3/7 (n + m) others at most before the first common one.
+    """
+    return (4 * n - 7 * place) // 3
+
+
+def level_of(n: np.ndarray) -> np.ndarray:
+    """Ranks of numbers of documents, in steps of a quarter of an octave, up to 255."""
+    return np.minimum(255, np.round(4 * np.log2(np.maximum(n, 1)))).astype(U)
 
 
-def bands(n: int) -> list[int]:
-    """The bands in which a set of ``n`` is sought: its own, and the one below if a partner may lie there."""
-    own = band_of(n)
-    return [own, own - 1] if own and -(-3 * n // 4) < 4**own else [own]
+def width_of(n: int) -> int:
+    """Bits of the folded sketch of a set of ``n``."""
+    return max(64, 4 ** ((n.bit_length() - 1) // 2 + 1))
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity sketch of ``max(64, 4^(band+1))`` bits."""
-    width = max(64, 4 ** (band_of(len(s)) + 1))
+    """Folded parity sketch."""
+    width = width_of(len(s))
     bits = np.bincount((s % U(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -245,33 +244,66 @@ def widespread(reps: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray]:
     return value[order], n[order]
 
 
+def pairs_of(key: np.ndarray, salt: np.ndarray, doc: np.ndarray, n: np.ndarray, far: np.ndarray):
+    """Pairs within groups and members of groups that go on.
+
+    Takes entries (bit, salt, doc_id, size, reach); gives pairs as rows (a, b, na, nb) with a < b, their numbers of shared
+    bits, the indexes of members of groups that go on (large or salted ones), and which of these lead a salted one; all
+    refer to the entries as sorted, which come first.
+    """
+    order = np.lexsort((doc, salt, key))
+    key, salt, doc, n, far = key[order], salt[order], doc[order], n[order], far[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
+    starts = np.flatnonzero(new)
+    held = np.diff(np.r_[starts, len(key)])
+    start, size = np.repeat(starts, held), np.repeat(held, held)
+    place = np.arange(len(key)) - start
+    fits = lambda i, j: (n[j] <= far[i]) & (n[i] <= far[j]) & (doc[i] != doc[j])
+    found = []
+    for k in range(1, SMALL):
+        i = np.flatnonzero((size <= SMALL) & (place + k < size))
+        if not len(i):
+            break
+        found.append((i, i + k))
+    large = np.flatnonzero(size > SMALL)
+    for k in range(LEADERS) if len(large) else ():
+        later = large[place[large] > k]
+        found.append((start[later] + k, later))
+    found = [(i[ok], j[ok]) for i, j in found for ok in (fits(i, j),)]
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
+    pairs, shared = np.unique(np.stack([doc[i], doc[j], n[i], n[j]]).astype(np.int64), axis=1, return_counts=True)
+    lives = np.repeat(np.logical_or.reduceat(far >= n, starts), held) if len(starts) else np.empty(0, bool)
+    on = np.flatnonzero((salt > 0) | (size > SMALL) & lives)
+    return (key, doc, n, far), pairs, shared, on, (salt[on] > 0) & (place[on] == 0)
+
+
 def _meet(reps: DataFrame, counts: tuple[np.ndarray, np.ndarray], tasks: int) -> DataFrame:
-    """Groups of representatives that share a part, and the pairs of each group's first member.
+    """Pairs of representatives that share an odd bit, and members of groups that are large or salted.
 
-    Rows: (a, b, na, nb) for pairs; (key, a, na) with null b for members of groups, ``leads`` for the first
+    Rows: (a, b, na, nb, shared) for pairs; (key, a, na, far) with null b for members of groups, ``leads`` for the first
     of a salted one. Entries are sent to ``bucket``s as packed arrays, which shuffles bytes instead of rows.
     """
     context = reps.sparkSession.sparkContext
     known, n = counts
-    shared = context.broadcast((known, np.array([int(x).bit_length() for x in n], np.uint8)))
-    salts, salted_level = (-(-int(n.max()) // SALTED) if len(n) else 1), SALTED.bit_length()
+    shared = context.broadcast((known, level_of(n)))
+    salts, salted_level = (-(-int(n.max()) // SALTED) if len(n) else 1), level_of(np.array([SALTED]))[0]
     buckets = 4 * tasks
 
     def pack(keys, docs, sizes) -> Iterator[pa.RecordBatch]:
-        key, salt = np.concatenate([k for k, _ in keys]), np.concatenate([s for _, s in keys])
-        lengths = [len(k) for k, _ in keys]
-        at = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
-        bucket = (mix(key + salt * U(0x9E3779B97F4A7C15)) >> U(33)) % U(buckets)
+        lengths = [len(k) for k in keys]
+        key, at, place = np.concatenate(keys), np.repeat(np.arange(len(docs)), lengths), np.concatenate([np.arange(k) for k in lengths])
+        ids, n = np.array(docs, np.int64)[at], np.array(sizes, np.int64)[at]
+        salt = np.where((salts > 1) & (key >> U(56) >= salted_level), 1 + ids % salts, 0).astype(np.uint32)
+        bucket = (mix(key + salt.astype(U) * U(0x9E3779B97F4A7C15)) >> U(33)) % U(buckets)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U))
-        ids, n = np.array(docs, np.int64), np.array(sizes, np.int64)
         rows = []
         for k in range(buckets):
             o = order[edges[k] : edges[k + 1]]
             if len(o):
-                rows.append((k, key[o].tobytes(), salt[o].astype(np.uint32).tobytes() if salt[o].any() else b"", ids[at[o]].tobytes(), n[at[o]].astype(np.int32).tobytes()))
-        types = [pa.int32(), *[pa.binary()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], ["bucket", "keys", "salts", "docs", "sizes"])
+                rows.append((k, key[o].tobytes(), salt[o].tobytes() if salt[o].any() else b"", ids[o].tobytes(), n[o].astype(np.int32).tobytes(), reach(n[o], place[o]).astype(np.int32).tobytes()))
+        types = [pa.int32(), *[pa.binary()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], ["bucket", "keys", "salts", "docs", "sizes", "fars"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, level = shared.value
@@ -279,56 +311,41 @@ def _meet(reps: DataFrame, counts: tuple[np.ndarray, np.ndarray], tasks: int) ->
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
                 s = shingles(text)
-                for band in bands(len(s)) if len(s) else ():
-                    key, rarest = part_keys(s, band, known, level)
-                    salt = np.zeros(len(key), U)
-                    if salts > 1:
-                        salt[rarest >= salted_level] = U(1 + doc % salts)
-                    keys.append((key, salt))
+                if len(s):
+                    keys.append(odd_bits(s, known, level))
                     docs.append(doc)
                     sizes.append(len(s))
-                    size += len(key)
-            if size > BUFFER:
-                yield from pack(keys, docs, sizes)
-                keys, docs, sizes, size = [], [], [], 0
+                    size += len(keys[-1])
+                if size > BUFFER:
+                    yield from pack(keys, docs, sizes)
+                    keys, docs, sizes, size = [], [], [], 0
         if keys:
             yield from pack(keys, docs, sizes)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[], [], [], []]
+        got: list[list[np.ndarray]] = [[], [], [], [], []]
         for b in batches:
-            for k, s, d, n in zip(*(_texts(c) for c in b.columns[1:]), strict=True):
-                key = np.frombuffer(k, U)
-                got[0].append(key)
-                got[1].append(np.frombuffer(s, np.uint32) if s else np.zeros(len(key), np.uint32))
-                got[2].append(np.frombuffer(d, np.int64))
-                got[3].append(np.frombuffer(n, np.int32))
+            for k, s, *rest in zip(*(_texts(c) for c in b.columns[1:]), strict=True):
+                got[0].append(np.frombuffer(k, U))
+                got[1].append(np.frombuffer(s, np.uint32) if s else np.zeros(len(got[0][-1]), np.uint32))
+                for x, data, kind in zip(got[2:], rest, (np.int64, np.int32, np.int32), strict=True):
+                    x.append(np.frombuffer(data, kind))
         if not got[0]:
             return
-        key, salt, doc, n = map(np.concatenate, got)
-        order = np.lexsort((doc, salt, key))
-        key, salt, doc, n = key[order], salt[order], doc[order], n[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
-        group = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
-        salted = salt[starts] > 0
-        many = np.diff(np.r_[starts, len(key)]) > 1
-        at = (many | salted)[group]
-        leader = starts[group]
-        pair = many[group] & (doc != doc[leader]) & (4 * np.minimum(n, n[leader]) >= 3 * np.maximum(n, n[leader]))
-        pairs, shared_parts = np.unique(np.stack([doc[leader][pair], doc[pair], n[leader][pair].astype(np.int64), n[pair].astype(np.int64)]), axis=1, return_counts=True)
+        (key, doc, n, far), pairs, shared_bits, on, leads = pairs_of(*map(np.concatenate, got))
         nulls = lambda size: pa.nulls(size, pa.int64())
         for k in range(0, pairs.shape[1], 50_000):
             p = pairs[:, k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([nulls(p.shape[1]), *(pa.array(x) for x in p), pa.nulls(p.shape[1], pa.bool_()), pa.array(shared_parts[k : k + 50_000])], out)
-        where = np.flatnonzero(at)
-        for k in range(0, len(where), 50_000):
-            w = where[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(key[w])), pa.array(doc[w]), nulls(len(w)), pa.array(n[w].astype(np.int64)), nulls(len(w)), pa.array((leader[w] == w) & salted[group[w]]), nulls(len(w))], out)
+            size = p.shape[1]
+            yield pa.RecordBatch.from_arrays([nulls(size), *(pa.array(x) for x in p), nulls(size), pa.nulls(size, pa.bool_()), pa.array(shared_bits[k : k + 50_000])], out)
+        for k in range(0, len(on), 50_000):
+            w = on[k : k + 50_000]
+            longs = [pa.array(x[w].astype(np.int64)) for x in (doc, n, far)]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(key[w])), longs[0], nulls(len(w)), longs[1], nulls(len(w)), longs[2], pa.array(leads[k : k + 50_000]), nulls(len(w))], out)
 
-    out = ["key", "a", "b", "na", "nb", "leads", "shared"]
-    sent = reps.select("doc_id", "text").mapInArrow(send, "bucket int, keys binary, salts binary, docs binary, sizes binary")
-    return materialize(sent.repartition(tasks, "bucket").mapInArrow(meet, "key long, a long, b long, na long, nb long, leads boolean, shared long"), "jaccard-groups")
+    out = ["key", "a", "b", "na", "nb", "far", "leads", "shared"]
+    sent = reps.select("doc_id", "text").mapInArrow(send, "bucket int, keys binary, salts binary, docs binary, sizes binary, fars binary")
+    return materialize(sent.repartition(tasks, "bucket").mapInArrow(meet, "key long, a long, b long, na long, nb long, far long, leads boolean, shared long"), "jaccard-groups")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -343,8 +360,9 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(chosen.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch binary, members binary"), "jaccard-sets")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) that link: sketches first, then the full sets."""
+    sets = _sets(docs, materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -372,27 +390,45 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(linked.distinct(), "jaccard-links")
 
 
-def _fits(a: str, b: str):
-    return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b, na, nb) with a < b."""
+    turned = F.col("a") > F.col("b")
+    return pairs.where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"),
+    ).distinct()
 
 
-def _across(members: DataFrame, component: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs within a group whose ends lie in different components and which were not compared yet."""
-    m = sized_join(members, component, members["a"] == component["node"], "left")
-    m = m.select("key", "a", "na", F.coalesce("component", "a").alias("c"))
-    open_ = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    m = materialize(m.join(open_, "key", "left_semi"), "jaccard-open")
-    if m.isEmpty():
-        return m.select("a", F.col("a").alias("b"), "na", F.col("na").alias("nb"))
-    per = m.select("key", "c").distinct()
-    meeting = per.alias("x").join(per.alias("y"), "key").where("x.c < y.c").select("key", F.col("x.c").alias("c"), F.col("y.c").alias("d"))
-    left = meeting.join(m, ["key", "c"]).select("key", "d", "a", "na")
-    both = left.join(m.select("key", F.col("c").alias("d"), F.col("a").alias("b"), F.col("na").alias("nb")), ["key", "d"]).where(_fits("na", "nb"))
-    ordered = both.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
-    )
-    return materialize(ordered.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-across")
+def _first_pairs(listed: DataFrame, members: DataFrame) -> DataFrame:
+    """Of the listed pairs everyone's partners with the smallest doc_id and with most shared bits, and pairs of salts' leaders."""
+    both = listed.union(listed.select("b", "a", "nb", "na", "shared"))
+    best = both.groupBy("a", "na").agg(F.min(F.struct("b", "nb")).alias("x"), F.max(F.struct("shared", (-F.col("b")).alias("last"), "b", "nb")).alias("y"))
+    stars = best.select("a", "na", F.explode(F.array(F.struct("x.b", "x.nb"), F.struct("y.b", "y.nb"))).alias("p")).select("a", "p.b", "na", "p.nb")
+    leaders = members.where("leads").select("key", "a", "na", "far")
+    chief = leaders.groupBy("key").agg(F.min(F.struct("a", "na", "far")).alias("c")).select("key", F.col("c.a").alias("b"), F.col("c.na").alias("nb"), F.col("c.far").alias("far_b"))
+    chiefs = leaders.join(chief, "key").where("nb <= far and na <= far_b").select("a", "b", "na", "nb")
+    return _ordered(stars.union(chiefs))
+
+
+def _across(listed: DataFrame, members: DataFrame, component: DataFrame, done: DataFrame) -> DataFrame:
+    """All pairs within each other's reach that share a bit, lie in different components and were not compared yet.
+
+    In a group that goes on, the component with most members is its home. Of two members one is no larger than the
+    other and has a reach of at least its own size; it is ``short``. Either it or its partner is not at home.
+    """
+    ends = lambda df, x: sized_join(df, component.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    found = ends(ends(listed, "a"), "b").where("ca <> cb").select("a", "b", "na", "nb")
+    m = materialize(ends(members, "a").select("key", "a", "na", "far", F.col("ca").alias("c"), (F.col("far") >= F.col("na")).alias("short")), "jaccard-labelled")
+    if not m.isEmpty():
+        per = m.groupBy("key", "c").agg(F.count("*").alias("n"), F.max("short").alias("short"))
+        home = per.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("home"), F.count("*").alias("of"), F.max("short").alias("lives")).where("of > 1 and lives").select("key", "home")
+        m = materialize(m.join(home, "key").withColumn("away", F.col("c") != F.col("home")).drop("home"), "jaccard-open")
+        all_ = m.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("far").alias("far_b"), F.col("c").alias("d"), F.col("away").alias("away_b"))
+        fits = "c <> d and na <= nb and nb <= far and na <= far_b"
+        one = m.where("short and away").join(all_, "key").where(fits)
+        two = m.where("short and not away").join(all_.where("away_b"), "key").where(fits)
+        found = found.union(one.select("a", "b", "na", "nb")).union(two.select("a", "b", "na", "nb"))
+    return materialize(_ordered(found).join(done.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-across")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -405,28 +441,21 @@ def components(docs: DataFrame) -> DataFrame:
     copies = rows.join(classes.where("rows > 1").select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id")
     copies = materialize(copies.distinct().join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "jaccard-copies")
     reps = drop_ids(docs.where("doc_id is not null"), copies)
-    entries = (classes.agg(F.sum(F.expr("n div 3 + 1") * 1.2)).first()[0]) or 0
+    entries = (classes.agg(F.sum(F.expr("n div 4 + 1"))).first()[0]) or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries // TASK_ENTRIES) + 1)
     counts = widespread(reps, tasks)
     release(spark)
     met = _meet(reps, counts, tasks)
     release(spark)
-    members = met.where("b is null").select("key", "a", "na")
-    leaders = met.where("leads").select("key", "a", "na")
-    chief = leaders.groupBy("key").agg(F.min(F.struct("a", "na")).alias("chief")).select("key", F.col("chief.a").alias("b"), F.col("chief.na").alias("nb"))
-    chiefs = leaders.join(chief, "key").where(_fits("na", "nb") & (F.col("a") != F.col("b"))).select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"))
-    firsts = met.where("b is not null").select("a", "b", "na", "nb", "shared")
-    firsts = firsts.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("shared").alias("shared"))
-    firsts = firsts.groupBy("b", "nb").agg(F.min(F.struct("a", "na")).alias("x"), F.max(F.struct("shared", "a", "na")).alias("y"))
-    stars = firsts.select("b", "nb", F.explode(F.array(F.struct("x.a", "x.na"), F.struct("y.a", "y.na"))).alias("p")).select("p.a", "b", "p.na", "nb")
-    pairs = materialize(stars.union(chiefs).distinct(), "jaccard-pairs")
-    ids = materialize(members.select(F.col("a").alias("doc_id")).distinct(), "jaccard-ids")
-    sets = _sets(reps, ids)
-    links = _verify(pairs, sets)
+    members = met.where("b is null").select("key", "a", "na", "far", "leads")
+    listed = met.where("b is not null").groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("shared").alias("shared"))
+    listed = materialize(listed.select("a", "b", "na", "nb", "shared"), "jaccard-listed")
+    pairs = materialize(_first_pairs(listed, members), "jaccard-pairs")
+    links = _verify(pairs, reps)
     found = materialize(connected_components(links), "jaccard-components")
-    across = _across(members, found, pairs)
+    across = _across(listed.drop("shared"), members, found, pairs)
     if not across.isEmpty():
-        more = _verify(across, sets)
+        more = _verify(across, reps)
         if not more.isEmpty():
             found = materialize(connected_components(links.union(more)), "jaccard-components")
     moved = classes.join(found.where("node <> component"), classes["rep"] == F.col("node"), "left")

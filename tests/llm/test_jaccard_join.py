@@ -60,6 +60,8 @@ def test_salted_groups_and_hot_order_change_nothing(spark, monkeypatch):
     rows = corpus(3) + [(1000 + k, " ".join(f"x{j}" for j in range(40) if j != k % 3)) for k in range(30)]
     monkeypatch.setattr(J, "SALTED", 5)
     monkeypatch.setattr(J, "COUNTED", 500)
+    monkeypatch.setattr(J, "SMALL", 3)
+    monkeypatch.setattr(J, "LEADERS", 2)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, J.components(docs).collect()), key=str) == brute(rows)
 
@@ -73,6 +75,25 @@ def test_sketch_distance_bounds_the_symmetric_difference():
         assert J.hamming(J.sketch(a), J.sketch(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_every_linked_pair_shares_a_bit_within_reach():
+    r = random.Random(9)
+    for _ in range(300):
+        words = [str(r.random()) for _ in range(r.choice([5, 6, 9, 20, 80, 200]))]
+        other = list(words)
+        for _ in range(r.randint(0, max(1, len(words) // 20))):
+            k = r.randrange(len(other))
+            other[k : k + r.randint(0, 2)] = [str(r.random()) for _ in range(r.randint(0, 3))]
+        a, b = J.shingles(" ".join(words).encode()), J.shingles(" ".join(other).encode())
+        common = len(set(a.tolist()) & set(b.tolist()))
+        if not common or 100 * common < 75 * (len(a) + len(b) - common):
+            continue
+        known = J.np.unique(J.np.concatenate([a, b])[:: r.randint(1, 3)] >> J.U(16))
+        level = J.np.array([r.randrange(6) for _ in known], J.U)
+        x, y = J.odd_bits(a, known, level), J.odd_bits(b, known, level)
+        at = {int(v): k for k, v in reversed(list(enumerate(y.tolist())))}
+        assert any(v in at and len(b) <= J.reach(len(a), i) and len(a) <= J.reach(len(b), at[v]) for i, v in enumerate(x.tolist()))
+
+
 def test_empty_table_and_drop(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert J.components(empty).count() == 0
