@@ -21,7 +21,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import json
 import posixpath
+import re
 import struct
 import uuid
 import zlib
@@ -41,10 +43,18 @@ from .common import fresh_dir, materialize
 MAGIC = b"TOKZ0001"
 END_ID = 2
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2000, 4096, 65536
-CACHE_WORDS, CACHE_BYTES, LEARNED = 600_000, 64, 20_000
+#: Words that a Python worker remembers, and the bytes of the longest such word; they bound memory only.
+CACHE_WORDS, CACHE_BYTES = 300_000, 64
+#: Words that the library encodes in one call.
+TOGETHER = 2000
+#: Printable ASCII and precomposed Latin letters: NFC leaves them as they are, and case folds letter by letter.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+PLAIN_TEXT = re.compile(r"[\x20\x09-\x0D!-~À-ÖØ-öø-ÿ]*").fullmatch
+#: Fixed value: the pattern of the vocabulary's file, for lower-case words of plain characters.
+CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
 NULL_ID = -(1 << 63)
 #: Documents per batch that a worker returns.
-SLICE = 256
+SLICE = 1024
 #: Compressed frames gathered before they are written.
 SHARD_MB = 64
 
@@ -52,40 +62,80 @@ SHARD_MB = 64
 class WordTokenizer:
     """The tokenizers library behind a cache of words: its normaliser and pattern never join text across ASCII white space.
 
-    Words not seen before are encoded together in one call, and the ids are dealt to them by their offsets.
-    Texts of ASCII without "<|" are lower-cased first, as the library would do.
+    A word of ``PLAIN`` characters is unchanged by the normaliser but for case, so it is cut by ``CUT`` here and only
+    the library's BPE model runs on it, many words in one call; the model marks the last id of every cut part, which
+    tells where a word's ids end. Words of other characters go through the whole library and are told apart by offsets.
+    Texts of plain characters without "<|" are lower-cased first, as the library would do.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
         self.t, self.words = Tokenizer.from_file(path), {}
+        with open(path) as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.lean = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0))
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(max(self.t.get_vocab().values()) + 1, bool)
+        self.ends[[i for w, i in model["vocab"].items() if w.endswith(model["end_of_word_suffix"])]] = True
 
     def _learn(self, words: list[bytes]) -> None:
         """Ids of distinct words, none of which holds ASCII white space."""
-        texts = [w.decode() for w in words]
+        plain, other = [], []
+        for w in words:
+            text = w.decode()
+            if PLAIN(text) and "<|" not in text:
+                plain.append((w, CUT(text.lower())))
+            else:
+                other.append((w, text))
+        for k in range(0, len(plain), TOGETHER):
+            self._learn_plain(plain[k : k + TOGETHER])
+        for k in range(0, len(other), TOGETHER):
+            self._learn_other(*zip(*other[k : k + TOGETHER], strict=True))
+
+    def _learn_plain(self, cut: list[tuple[bytes, list[str]]]) -> None:
+        e = self.lean.encode_batch_fast([" ".join(itertools.chain.from_iterable(p for _, p in cut))], add_special_tokens=False)[0]
+        ids = np.array(e.ids, "<u4")
+        last = np.flatnonzero(self.ends[ids])[np.cumsum([len(p) for _, p in cut]) - 1]
+        self._keep([w for w, _ in cut], ids, [0, *(4 * (last + 1)).tolist()])
+
+    def _learn_other(self, words: tuple[bytes], texts: tuple[str]) -> None:
         e = self.t.encode(" ".join(texts), add_special_tokens=False)
         at = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
         starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
-        edges = (4 * np.searchsorted(at, starts)).tolist()
-        data = np.array(e.ids, "<u4").tobytes()
-        self.words.update((w, data[edges[k] : edges[k + 1]]) for k, w in enumerate(words))
+        self._keep(words, np.array(e.ids, "<u4"), (4 * np.searchsorted(at, starts)).tolist())
+
+    def _keep(self, words, ids: np.ndarray, edges: list[int]) -> None:
+        data = ids.tobytes()
+        self.words.update((w, data[a:b]) for w, a, b in zip(words, edges, edges[1:], strict=False))
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [(x.lower() if x.isascii() and b"<|" not in x else x).split() for x in texts]
-        missing = [w for w in set(itertools.chain.from_iterable(cut)).difference(self.words)]
-        for k in range(0, len(missing), LEARNED):
-            self._learn(missing[k : k + LEARNED])
-        ids = [b"".join(map(self.words.__getitem__, words)) for words in cut]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        else:
-            for w in (w for w in missing if len(w) > CACHE_BYTES):
-                del self.words[w]
+        cut = [lowered(x).split() for x in texts]
+        distinct = set(itertools.chain.from_iterable(cut))
+        self._learn(list(distinct.difference(self.words)))
+        known = self.words
+        ids = [b"".join(map(known.__getitem__, words)) for words in cut]
+        if len(known) > CACHE_WORDS:  # what this call used stays
+            self.words = known = {w: known[w] for w in distinct}
+        for w in distinct:
+            if len(w) > CACHE_BYTES:
+                del known[w]
         return ids
 
 
+def lowered(text: bytes) -> bytes:
+    """``text`` in lower case where that is certain to be what the library makes of it."""
+    if b"<|" in text:
+        return text
+    if text.isascii():
+        return text.lower()
+    s = text.decode()
+    return s.lower().encode() if PLAIN_TEXT(s) else text
+
+
 @functools.lru_cache(2)
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
