@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (tests on one machine) a temporary folder is made and set.
+    Only where the session has none and runs on one machine a temporary folder is made and set; on a cluster that
+    would be a folder that other machines do not see, so it raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="factloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -47,7 +51,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for t in tables:
+        drop_dir(t.sparkSession, t.folder)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are large: Arrow batches of fewer rows than Spark's default, unless the session has a number of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a folder that Spark names, for executors that read and write parts of files."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever characters their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """Every row as one struct ``row``, so that columns added beside it clash with none of its own; undone by ``unpacked``."""
+    return df.select(F.struct(*columns(df)).alias("row"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -69,8 +106,8 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BRO
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``ids`` (materialised, column doc_id); null ids stay."""
-    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
-    return sized_join(docs, gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*docs.columns)
+    gone = ids.select(F.col("doc_id").alias("gone")).distinct()
+    return unpacked(sized_join(packed(docs), gone, F.col("row.doc_id") == F.col("gone"), "left_anti"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -86,9 +123,3 @@ def single_spaced(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+``; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished stages that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

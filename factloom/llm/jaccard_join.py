@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, materialize, release, sized_join
+from .common import discard, drop_ids, materialize, sized_join, small_batches
 from .components import connected_components
 
 SHINGLE = 5
@@ -434,6 +434,7 @@ def _across(listed: DataFrame, members: DataFrame, component: DataFrame, done: D
 def components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = measure(docs)
     classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
@@ -444,9 +445,7 @@ def components(docs: DataFrame) -> DataFrame:
     entries = (classes.agg(F.sum(F.expr("n div 4 + 1"))).first()[0]) or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries // TASK_ENTRIES) + 1)
     counts = widespread(reps, tasks)
-    release(spark)
     met = _meet(reps, counts, tasks)
-    release(spark)
     members = met.where("b is null").select("key", "a", "na", "far", "leads")
     listed = met.where("b is not null").groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("shared").alias("shared"))
     listed = materialize(listed.select("a", "b", "na", "nb", "shared"), "jaccard-listed")
@@ -461,6 +460,7 @@ def components(docs: DataFrame) -> DataFrame:
     moved = classes.join(found.where("node <> component"), classes["rep"] == F.col("node"), "left")
     moved = moved.where("rows > 1 or component is not null").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
     moved = materialize(moved, "jaccard-moved")
+    discard(met, listed, pairs, links, across, found, classes, copies)
     out = sized_join(rows, moved, ["d1", "d2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -4,7 +4,8 @@ The rules are ratios of length, symbols, stop words and lines. ``RULES`` is the
 turns it into a single Column, so Catalyst sees one projection and no user function runs.
 
 Edge cases: null and empty texts have no words and fail; a null doc_id is carried through; repeated
-rows are judged alike, each by itself; extra columns are ignored.
+rows and ties are judged alike, each by itself; very long texts are judged whole; an empty table gives no rows; extra
+columns of any names are ignored by ``quality_rules`` and carried by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import let, packed, unpacked, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -99,32 +100,32 @@ def compile_rules(counts: dict[str, Column], rules=RULES) -> Column:
 
 def quality_rules(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """Per document: counts, base_failed and kept. A narrow projection over (doc_id, text): no shuffle."""
-    return _judged(docs.select("doc_id", "text"), [], rules, min_words, max_repeat_percent)
+    judged = _judged(docs.select("doc_id", "text"), F.col("text"), rules, min_words, max_repeat_percent)
+    return judged.drop("text")
 
 
 def keep_good(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns: the same projection and a filter."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-    judged = _judged(docs.select("doc_id", "text", row), ["__row"], rules, min_words, max_repeat_percent)
-    return judged.where("kept").select("__row.*")
+    return unpacked(_judged(packed(docs), F.col("row.text"), rules, min_words, max_repeat_percent).where("kept"))
 
 
-def _judged(df: DataFrame, carried: list[str], rules, min_words: int, max_repeat_percent: int) -> DataFrame:
-    base = df.select(*carried, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def _judged(rows: DataFrame, text: Column, rules, min_words: int, max_repeat_percent: int) -> DataFrame:
+    """``rows`` with the counts and verdicts of ``text``, one of its columns."""
+    own = rows.columns
     # A filter on the counts must not be pushed below the split, where lambdas would split again at every
     # word; depending on a row number, which is not deterministic, keeps it above.
-    split = base.select(*carried, "doc_id", "text", words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("at"))
-    features = _features(F.col("w"), F.col("text"))
+    split = rows.select(*own, words(text).alias("w"), F.monotonically_increasing_id().alias("at"))
+    features = _features(F.col("w"), F.coalesce(text, F.lit("")))
     features["n_repeat_words"] = F.when(F.col("at") >= 0, features["n_repeat_words"])
-    counted = split.select(*carried, "doc_id", *(v.alias(k) for k, v in features.items()))
+    counted = split.select(*own, *(v.alias(k) for k, v in features.items()))
     out = counted.select(
-        *carried, "doc_id", "n_words", "word_chars", "n_symbols", F.col("lines.dup").alias("n_dup_lines"), "n_repeat_words",
+        *own, "n_words", "word_chars", "n_symbols", F.col("lines.dup").alias("n_dup_lines"), "n_repeat_words",
         F.col("lines.n").alias("n_lines"), "n_stop", "n_exclamations",
     )
-    counts = {c: F.col(c) for c in out.columns if c not in carried}
+    counts = {c: F.col(c) for c in out.columns if c not in own}
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return out.select(
-        *carried, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & compile_rules(counts, rules)).alias("kept"),
         "n_lines", "n_stop", "n_exclamations",
     )

@@ -101,6 +101,12 @@ def test_empty_table_and_drop(spark):
     assert sorted(map(tuple, J.drop_near(docs).collect()), key=str) == sorted([(1, "a b c d e f", "y"), (3, "q", "z"), (None, "q", "n")], key=str)
 
 
+def test_drop_carries_any_columns(spark):
+    docs = spark.createDataFrame([(2, "a b c d e f", "x", 1, 2), (1, "a b c d e f", "y", 3, 4)], "doc_id long, text string, `a.b` string, gone int, row int")
+    got = J.drop_near(docs)
+    assert got.columns == docs.columns and list(map(tuple, got.collect())) == [(1, "a b c d e f", "y", 3, 4)]
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 450)] + [(5, 5), (None, 1)]

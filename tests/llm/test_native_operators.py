@@ -63,6 +63,16 @@ def test_exact_groups_and_drop(spark):
     assert E.exact_dedup(docs.limit(0)).count() == 0 and E.drop_exact(docs.limit(0)).count() == 0
 
 
+def test_drop_exact_keeps_one_of_rows_without_ids_and_carries_any_columns(spark):
+    names = ["doc_id", "text", "sha", "keep_id", "row", "n", "a.b", "q`x", "again", "rows"]
+    rows = [(None, "x y", *"abcdefgh"), (None, "x  y", *"abcdefgh"), (2, "p", *"abcdefgh"), (2, "p", *"abcdefgh"), (1, "q", *"abcdefgh"), (3, "p", *"abcdefgh")]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n.replace('`', '``')}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = E.drop_exact(docs)
+    assert got.columns == names
+    assert sorted([(r[0], r[1].replace("  ", " "), *r[2:]) for r in got.collect()], key=str) == sorted([(None, "x y", *"abcdefgh"), (2, "p", *"abcdefgh"), (1, "q", *"abcdefgh")], key=str)
+    assert Q.keep_good(docs).columns == names and Q.keep_good(docs, rules=(), min_words=0).count() == 6
+
+
 EVENTS = [
     ("c", 0, 0, "message", "user", "hi"), ("c", 1, 1, "message", "assistant", "Hel"), ("c", 1, 3, "delta", None, "o"), ("c", 1, 2, "delta", None, "l"),
     ("c", 2, 4, "message", "user", "old"), ("c", 2, 5, "edit", None, "new \\ </s> <|end|>"), ("c", 3, 6, "message", "assistant", "bad"), ("c", 3, 7, "delta", None, " worse"),
