@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from factloom.llm import mixing as M
 
@@ -64,3 +65,36 @@ def test_no_labels_and_empty(spark):
     assert {(r.doc_id, r.rate, r.copies, r.domain) for r in M.mix(docs, none).collect()} == {(1, 1.0, 1, "good"), (2, 1.0, 1, "good")}
     assert M.mix(docs.limit(0), none).count() == 0
     assert M.apply_mix(docs, none).count() == 2
+
+
+def test_rows_that_share_an_id_keep_their_own_copies(spark):
+    rows, labels = corpus(200)
+    long = "c1 c2 poor1 " * 20_000
+    rows = [(i, t) for i, t in rows] + [(7, "poor0 poor1 poor2 c1 " * 3), (7, "c1 c2 c3"), (7, "c1 c2 c3"), (None, "c4"), (None, None), (None, "c4"), (999, long)]
+    names = ["doc_id", "text", "seed", "copies", "row", "a.b", "times"]
+    docs = spark.createDataFrame([(*r, *"vwxyz") for r in rows], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    targets = {"good": 0.6, "poor": 0.3, "toxic": 0.1}
+    out = M.mix(docs.select("doc_id", "text"), table, targets, max_rate=5.0).collect()
+    got = M.apply_mix(docs, table, targets, max_rate=5.0)
+    assert got.columns == names and {tuple(r)[2:] for r in got.collect()} == {tuple("vwxyz")}
+    assert got.count() == sum(r.copies for r in out)
+    sizes = {(r.doc_id, len((r.text or "").split())): r["count"] for r in got.groupBy("doc_id", "text").count().collect() if r.doc_id in (None, 7, 999)}
+    want = {}
+    for r in out:
+        if r.doc_id in (None, 7, 999) and r.copies:
+            want[r.doc_id, r.tokens] = want.get((r.doc_id, r.tokens), 0) + r.copies
+    assert sizes == want
+
+
+def test_unmet_targets_are_told(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    targets = {"good": 0.3, "poor": 0.4, "toxic": 0.3}
+    with pytest.warns(UserWarning, match="miss of their targets"):
+        told = {r.domain: r for r in M.achieved(docs, table, targets, max_rate=1.0).collect()}
+    assert told["poor"].unmet > 0 and abs(told["poor"].wanted - 0.4 / 0.3 * told["good"].have) < 1e-6 and told["poor"].reachable == told["poor"].have
+    assert abs(sum(r.unmet + r.got - r.wanted for r in told.values())) < 1e-6
+    few = M.achieved(docs, table, {"good": 0.9, "poor": 0.05, "toxic": 0.05}).collect()
+    assert all(abs(r.unmet) < 0.002 * sum(x.wanted for x in few) for r in few)
