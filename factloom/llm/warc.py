@@ -6,14 +6,16 @@ a sparse directory with the first key of every block. A look-up searches the arc
 manifest), binary-searches the directory, reads one block, and then one record, all by range reads.
 
 Of records with equal payloads of at least ``least`` bytes the one with the smallest page_id is a response;
-the others are revisits that refer to it and hold no payload.
+the others are revisits that refer to it and hold no payload. Archives are read back through their indexes: the
+directory of an archive names its blocks, a block names the places of its records, and these are read by range.
 
 Archives go to the shared folder under names unique to the task attempt; only those named in the manifest
 that Spark commits count.
 
 Edge cases: null html is an empty payload; a null url has the key ``-``; rows repeated with one page_id:
-one of them is the response, the rest revisit it; a null page_id sorts behind all others; an empty table
-writes no archive; extra columns are ignored.
+one of them is the response, the rest revisit it; a null page_id sorts behind all others; equal keys are ordered by
+page_id and may span archives and blocks; very long payloads are one record, read whole; an empty table
+writes no archive; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -34,9 +36,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh_dir, materialize
+from .common import bounded, file_system, fresh_dir, materialize, small_batches
 
 BLOCK_LINES = 128
+#: Bytes that one range read asks for, unless a single record is larger.
+RANGE_BYTES = 4 << 20
 #: Bytes of html per archive, about.
 ARCHIVE_MB = 64
 DATE = "1970-01-01T00:00:00Z"
@@ -83,10 +87,6 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, http, payload
 
 
-def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
-
-
 def _gzip(data: bytes) -> bytes:
     z = zlib.compressobj(4, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
@@ -132,6 +132,7 @@ class _Writer:
 def write_archives(pages: DataFrame, least: int = 0, uri: str | None = None) -> tuple[str, DataFrame]:
     """Writes all captures; returns the folder and the manifest (first_key, archive, n, n_bytes)."""
     spark = pages.sparkSession
+    small_batches(spark)
     uri = uri or fresh_dir(spark, "warc")
     all_ = captures(pages, least)
     mb = (pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0) / 1e6
@@ -140,7 +141,7 @@ def write_archives(pages: DataFrame, least: int = 0, uri: str | None = None) ->
     ordered = rows.repartitionByRange(parts, "key", F.col("page_id").asc_nulls_last()).sortWithinPartitions("key", F.col("page_id").asc_nulls_last())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _fs(uri)
+        fs, base = file_system(uri)
         fs.create_dir(base, recursive=True)
         w, before = None, None
         for b in batches:
@@ -158,39 +159,60 @@ def write_archives(pages: DataFrame, least: int = 0, uri: str | None = None) ->
 
 
 def read_archives(uri: str, manifest: DataFrame) -> DataFrame:
-    """Per record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to. Payloads are checked."""
+    """Per record that the indexes name: page_id, payload_bytes, payload_digest, record_type, refers_to. Payloads are checked."""
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _fs(uri)
         for b in batches:
-            for name in b.column(0).to_pylist():
-                rows = []
-                for data in members(fs.open_input_stream(f"{base}/{name}.warc.gz", compression=None)):
-                    rows.append(row_of(data))
-                    if len(rows) == 5000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-                if rows:
+            for name, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = 0
+                for rows in archived(*file_system(uri), name):
+                    got += len(rows)
                     yield pa.RecordBatch.from_pylist(rows, schema)
+                if got != n:
+                    raise ValueError(f"{name} has {got} of {n} records")
 
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    return manifest.select("archive").repartition(parts, "archive").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.select("archive", "n").repartition(parts, "archive").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+def directory_of(cdx) -> list[list]:
+    """(first key, offset, length) of each block of an index file."""
+    (size,) = struct.unpack("<q", cdx.read_at(8, cdx.size() - 8))
+    return json.loads(cdx.read_at(size, cdx.size() - 8 - size))
+
 
+def block_of(cdx, at: int, size: int) -> list[list]:
+    """(key, page_id, offset, length) of each capture of a block."""
+    return [json.loads(line) for line in zlib.decompress(cdx.read_at(size, at), 31).decode().split("\n")]
 
-def members(stream) -> Iterator[bytes]:
-    """The gzip members of a stream, one record each, in bounded memory."""
-    z, got = zlib.decompressobj(31), []
-    while chunk := stream.read(1 << 20):
-        while chunk:
-            got.append(z.decompress(chunk))
-            chunk = z.unused_data
-            if not z.eof:
-                break
-            yield b"".join(got)
-            z, got = zlib.decompressobj(31), []
-    if got and b"".join(got):
-        raise ValueError("the archive ends inside a record")
+
+def archived(fs: pafs.FileSystem, base: str, name: str) -> Iterator[list[dict]]:
+    """The records of an archive by blocks of its index. Neighbouring records are read together, up to ``RANGE_BYTES``."""
+    with fs.open_input_file(f"{base}/{name}.cdx") as cdx, fs.open_input_file(f"{base}/{name}.warc.gz") as f:
+        before = ""
+        for first, at, size in directory_of(cdx):
+            lines = block_of(cdx, at, size)
+            if lines[0][0] != first or any(a[0] > b[0] for a, b in zip([[before], *lines], lines, strict=False)):
+                raise ValueError(f"the index of {name} is out of order")
+            before, rows = lines[-1][0], []
+            for ids, start, data in ranges(f, lines):
+                for page_id, offset, length in ids:
+                    rows.append(row_of(zlib.decompress(data[offset - start : offset - start + length], 31)))
+                    if rows[-1]["page_id"] != page_id:
+                        raise ValueError(f"{name} has another record at {offset}")
+            yield rows
+
+
+def ranges(f, lines: list[list]) -> Iterator[tuple[list[tuple], int, bytes]]:
+    """Runs of adjacent records as ((page_id, offset, length) of each, the run's offset, its bytes)."""
+    run: list[tuple] = []
+    for _, page_id, offset, length in [*lines, [None, None, -1, 0]]:
+        if run and (offset != run[-1][1] + run[-1][2] or offset + length - run[0][1] > RANGE_BYTES):
+            start = run[0][1]
+            yield run, start, f.read_at(run[-1][1] + run[-1][2] - start, start)
+            run = []
+        run.append((page_id, offset, length))
 
 
 def _id(urn: str) -> int | None:
@@ -212,13 +234,9 @@ class CaptureIndex:
     """Looks captures up by URL key with range reads; holds only the archives' first keys."""
 
     def __init__(self, uri: str, manifest: list[tuple[str, str]]):
-        self.fs, self.base = _fs(uri)
+        self.fs, self.base = file_system(uri)
         self.archives = sorted(manifest)
 
-    def _directory(self, f) -> list[list]:
-        (size,) = struct.unpack("<q", f.read_at(8, f.size() - 8))
-        return json.loads(f.read_at(size, f.size() - 8 - size))
-
     @staticmethod
     def _from(firsts: list[str], key: str) -> range:
         """Places that may hold ``key``: the last one that begins before it, and all that begin with it."""
@@ -233,13 +251,10 @@ class CaptureIndex:
         for a in self._from([k for k, _ in self.archives], key):
             name = self.archives[a][1]
             f = self.fs.open_input_file(f"{self.base}/{name}.cdx")
-            directory = self._directory(f)
+            directory = directory_of(f)
             for d in self._from([k for k, _, _ in directory], key):
                 _, at, size = directory[d]
-                for line in zlib.decompress(f.read_at(size, at), 31).decode().split("\n"):
-                    k, page_id, offset, length = json.loads(line)
-                    if k == key:
-                        found.append((page_id, name, offset, length))
+                found += [(page_id, name, offset, length) for k, page_id, offset, length in block_of(f, at, size) if k == key]
         return found
 
     def read(self, archive: str, offset: int, length: int) -> tuple[dict[str, str], bytes, bytes]:
