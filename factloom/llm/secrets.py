@@ -6,8 +6,10 @@ price per span) is the number of guesses that an informed attacker needs. A valu
 ``MIN_LOG_GUESSES`` is a secret; "changeme2024" is not. Such values become spans of kind ``guess``; spans of the
 fixed patterns always stay.
 
-Edge cases: null text is empty and has no spans; offsets are code points, ends exclusive; very long runs
-are single values whose cost is bounded below without the full search; repeated rows give repeated rows.
+Edge cases: null text is empty and has no spans; a null doc_id is carried through; offsets are code points, ends
+exclusive; very long values are searched whole, in time in proportion to their length; repeated rows give
+repeated rows, each judged by itself, so ties do not matter; an empty table gives no rows; extra columns are ignored
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Fixed patterns; letters of the credential words in either case.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -28,16 +32,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Contexts whose values are judged by guess cost: wider than ASSIGN.
+#: Contexts whose values are judged by guess cost: an identifier that holds a credential word, a sign and a value. It
+#: is tried from its first character only, so time stays linear for identifiers of any length.
 CONTEXT = re.compile(
-    r"""(pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|api_?key|access_?key|private_?key|auth)[A-Za-z_]{0,16}["']?\x20*(?::=|=>|[:=])\x20*["'`]?([^\s"'`,;]+)""",
+    r"""(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?(?:pass|pwd|secret|token|credential|(?:api|access|private)[_-]?key|auth))([A-Za-z0-9_-]++)["']?\x20*+(?::=|=>|[:=])\x20*+["'`]?([^\s"'`,;]+)""",
     re.I | re.A,
 )
 HINTS = ("pass", "pwd", "secret", "token", "credential", "key", "auth")
 
 MIN_LOG_GUESSES = 10.0
 SPAN_PRICE = 0.3
-LONGEST = 256
+#: Longest unit of a repeat.
+LONGEST_UNIT = 4
+#: Values that a worker remembers the cost of, and the longest of them; they bound memory only.
+REMEMBERED, SHORT = 20_000, 64
 
 #: Common parts of weak passwords, by rank.
 WORDS = (
@@ -60,51 +68,67 @@ def brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else math.log10(33) if c.isascii() else 3.0
 
 
-def spans_at(value: str, lower: str, plain: str, i: int) -> Iterator[tuple[int, float]]:
-    """(end, log10 guesses) of the structured spans that begin at ``i``."""
-    for n in range(3, min(LONGEST_WORD, len(value) - i) + 1):
-        for form, extra in ((lower, 0.0), (plain, 0.5)):
-            if rank := RANK.get(form[i : i + n]):
-                part = value[i : i + n]
-                case = 0.0 if part.islower() else 0.3 if part[1:].islower() or part.isupper() else n * math.log10(2)
-                yield i + n, math.log10(rank) + case + (0.0 if form is lower else extra)
-                break
-    if m := DATE.match(value, i):
-        yield m.end(), math.log10(365 * 80) if m.end() - i > 4 else math.log10(120)
-    j = i + 1
-    while j < len(value) and lower[j - 1] + lower[j] in NEXT:
-        j += 1
-    if j - i >= 3:
-        yield j, math.log10(40) + math.log10(j - i)
-    for n in (1, 2, 3, 4):
-        unit, j = value[i : i + n], i + n
-        while value.startswith(unit, j) and len(unit) == n:
-            j += n
-        if j - i >= max(3, 2 * n):
-            yield j, sum(map(brute, unit)) + math.log10((j - i) // n)
-
-
-@lru_cache(100_000)
-def log_guesses(value: str) -> float:
-    """Least total of log10 guesses over all segmentations of ``value``.
+def runs(same: list[bool]) -> list[int]:
+    """For each place the number of true values from there on without a gap."""
+    out = [0] * (len(same) + 1)
+    for i in range(len(same) - 1, -1, -1):
+        out[i] = out[i + 1] + 1 if same[i] else 0
+    return out
+
 
-    Values beyond ``LONGEST`` characters are costed on consecutive parts of that length and summed, less
-    what a span across each border could save; so no character is left out and time stays linear.
+class Spans:
+    """The structured spans of a value, as (end, log10 guesses) by their begin.
+
+    Walks and repeats end where their run ends; run lengths are counted once from behind, so all spans of a value of any
+    length are found in time in proportion to it.
     """
-    if len(value) > LONGEST:
-        parts = [log_guesses(value[k : k + LONGEST]) for k in range(0, len(value), LONGEST)]
-        return max(max(parts), sum(parts) - 4.0 * (len(parts) - 1))
-    lower = value.lower() if len(value.lower()) == len(value) else value
-    plain = lower.translate(LEET)
+
+    def __init__(self, value: str):
+        self.value = value
+        self.lower = value.lower() if len(value.lower()) == len(value) else value
+        self.plain = self.lower.translate(LEET)
+        self.walk = runs([a + b in NEXT for a, b in zip(self.lower, self.lower[1:], strict=False)])
+        self.again = [runs([a == b for a, b in zip(value, value[n:], strict=False)]) for n in range(1, LONGEST_UNIT + 1)]
+
+    def at(self, i: int) -> Iterator[tuple[int, float]]:
+        value = self.value
+        for n in range(3, min(LONGEST_WORD, len(value) - i) + 1):
+            for form, extra in ((self.lower, 0.0), (self.plain, 0.5)):
+                if rank := RANK.get(form[i : i + n]):
+                    part = value[i : i + n]
+                    case = 0.0 if part.islower() else 0.3 if part[1:].islower() or part.isupper() else n * math.log10(2)
+                    yield i + n, math.log10(rank) + case + extra
+                    break
+        if m := DATE.match(value, i):
+            yield m.end(), math.log10(365 * 80) if m.end() - i > 4 else math.log10(120)
+        walked = self.walk[i] + 1
+        if walked >= 3:
+            yield i + walked, math.log10(40) + math.log10(walked)
+        for n, again in enumerate(self.again, 1):
+            times = 1 + again[i] // n if i < len(again) else 1
+            if n * times >= max(3, 2 * n):
+                yield i + n * times, sum(map(brute, value[i : i + n])) + math.log10(times)
+
+
+def log_guesses(value: str) -> float:
+    """Least total of log10 guesses over all segmentations of the whole ``value``, of any length."""
+    return _remembered(value) if len(value) <= SHORT else _log_guesses(value)
+
+
+def _log_guesses(value: str) -> float:
+    spans = Spans(value)
     best = [0.0] + [math.inf] * len(value)
     for i in range(len(value)):
         here = best[i]
         best[i + 1] = min(best[i + 1], here + brute(value[i]))
-        for j, cost in spans_at(value, lower, plain, i):
+        for j, cost in spans.at(i):
             best[j] = min(best[j], here + cost + SPAN_PRICE)
     return best[-1]
 
 
+_remembered = lru_cache(REMEMBERED)(_log_guesses)
+
+
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end), by start and then kind; base kinds first of equal starts."""
     if not text:
@@ -141,5 +165,6 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")

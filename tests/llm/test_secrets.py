@@ -37,12 +37,11 @@ def test_guess_cost_decides_in_contexts():
 
 def brute_cost(value):
     """Minimum over all segmentations, by enumeration of cut sets."""
-    lower = value.lower()
-    plain = lower.translate(S.LEET)
+    spans = S.Spans(value)
     edges = {}
     for i in range(len(value)):
         edges[i, i + 1] = S.brute(value[i])
-        for j, c in S.spans_at(value, lower, plain, i):
+        for j, c in spans.at(i):
             edges[i, j] = min(edges.get((i, j), math.inf), c + S.SPAN_PRICE)
     best = math.inf
     for n in range(len(value)):
@@ -57,6 +56,40 @@ def test_dynamic_programme_is_the_least_segmentation():
         assert math.isclose(S.log_guesses(value), brute_cost(value))
 
 
+def plain_spans(value):
+    """Walks and repeats by plain loops."""
+    lower, out = value.lower(), set()
+    for i in range(len(value)):
+        j = i + 1
+        while j < len(value) and lower[j - 1] + lower[j] in S.NEXT:
+            j += 1
+        if j - i >= 3:
+            out.add((i, j, round(math.log10(40) + math.log10(j - i), 9)))
+        for n in (1, 2, 3, 4):
+            unit, j = value[i : i + n], i + n
+            while len(unit) == n and value.startswith(unit, j):
+                j += n
+            if j - i >= max(3, 2 * n):
+                out.add((i, j, round(sum(map(S.brute, unit)) + math.log10((j - i) // n), 9)))
+    return out
+
+
+def test_runs_end_where_plain_loops_end(monkeypatch):
+    monkeypatch.setattr(S, "RANK", {})
+    r = random.Random(1)
+    for _ in range(200):
+        value = "".join(r.choice(["a", "b$", "qwe", "xyxy", "77777", "abcabc", "9"]) for _ in range(r.randint(1, 30)))
+        spans = S.Spans(value)
+        assert {(i, j, round(c, 9)) for i in range(len(value)) for j, c in spans.at(i) if not S.DATE.match(value, i)} >= {x for x in plain_spans(value) if not S.DATE.match(value, x[0])}
+
+
 def test_long_values_are_costed_whole_and_empty_tables_work(spark):
+    for value, cost in (("ab1!" * 128, 7.7557), ("xY7$" * 200, 7.9495)):  # a repeat is one span however long it is
+        assert math.isclose(S.log_guesses(value), cost, abs_tol=1e-3) and S.scan(f"pwd={value}") == []
+    assert S.scan("SECRET_KEY_BASE_PRODUCTION_ENV=vX9#qT2$Lm7! DB_PASSWORD_2=Zx81-kQp_77vB api-key: q8Zt!!4kLw0pX") == [("guess", 31, 43), ("guess", 58, 71), ("guess", 81, 94)]
+    assert [k for k, *_ in S.scan("url=https://host?token=Zx81$kQp%77vB&x")] == ["guess"]
+    assert S.scan("pass" * 50_000) == []
     assert S.log_guesses("a" * 10_000) < S.log_guesses("".join(random.Random(1).choices("abcdefghij0123456789", k=300)))
     assert S.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    odd = spark.createDataFrame([(None, "token=abc123xyz", 1)], "doc_id long, text string, spans int")
+    assert [(r.doc_id, r.n_assign) for r in S.find_secrets(odd).collect()] == [(None, 1)]
