@@ -13,7 +13,8 @@ Files go to the shared folder under names unique to the task attempt; only shard
 written by Spark count, so lost executors and repeated attempts leave no trace in the result.
 
 Edge cases: null text is empty and gets the end id alone; a null doc_id sorts first and is stored as
--2^63; equal doc_ids are kept as they are, ordered by text hash; an empty table gives no shard.
+-2^63; equal doc_ids are kept as they are, ordered by the hash of their frames; very long texts are one frame; an empty
+table gives no shard; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -32,13 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh_dir, materialize
+from .common import discard, file_system, fresh_dir, materialize, small_batches
 
 MAGIC = b"TOKZ0001"
 END_ID = 2
@@ -141,13 +141,9 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
-
-
 @functools.lru_cache(4)
 def _dictionary(uri: str, digest: str) -> zstandard.ZstdCompressionDict:
-    fs, path = _fs(f"{uri}/dict-{digest}.zdict")
+    fs, path = file_system(f"{uri}/dict-{digest}.zdict")
     with fs.open_input_file(path) as f:
         data = f.read()
     if hashlib.sha256(data).hexdigest()[:16] != digest:
@@ -183,7 +179,7 @@ def train_dictionary(docs: DataFrame, uri: str, path: str) -> str:
     except zstandard.ZstdError:  # too few or too small samples
         return ""
     digest = hashlib.sha256(data).hexdigest()[:16]
-    fs, target = _fs(f"{uri}/dict-{digest}.zdict")
+    fs, target = file_system(f"{uri}/dict-{digest}.zdict")
     fs.create_dir(posixpath.dirname(target), recursive=True)
     with fs.open_output_stream(target) as f:
         f.write(data)
@@ -193,6 +189,7 @@ def train_dictionary(docs: DataFrame, uri: str, path: str) -> str:
 def write_store(docs: DataFrame, path: str | None = None, uri: str | None = None) -> tuple[str, str, DataFrame]:
     """Writes the shards; returns their folder, the dictionary's hash and the manifest (first_id, shard, n_docs, n_ids)."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or public_tokenizers.path("word_bpe_49k.json")
     uri = uri or fresh_dir(spark, "tokens")
     digest = train_dictionary(docs, uri, path)
@@ -214,7 +211,7 @@ def write_store(docs: DataFrame, path: str | None = None, uri: str | None = None
     ordered = frames.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("frame"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _fs(uri)
+        fs, base = file_system(uri)
         fs.create_dir(base, recursive=True)
         name, out, at, index, total = f"shard-{uuid.uuid4().hex}.tokz", None, 0, [], 0
         for b in batches:
@@ -231,12 +228,13 @@ def write_store(docs: DataFrame, path: str | None = None, uri: str | None = None
         yield pa.RecordBatch.from_pylist([{"first_id": index[0][0], "shard": name, "n_docs": len(index), "n_ids": total, "n_bytes": at}])
 
     manifest = materialize(ordered.mapInArrow(write, "first_id long, shard string, n_docs long, n_ids long, n_bytes long"), "token-manifest")
+    discard(frames)
     return uri, digest, manifest
 
 
 def open_shard(uri: str, shard: str):
     """(file, index as rows of four numbers, dictionary hash); reads the footer and the index only."""
-    fs, base = _fs(uri)
+    fs, base = file_system(uri)
     f = fs.open_input_file(f"{base}/{shard}")
     at, n, digest, magic = struct.unpack("<2q8s8s", f.read_at(32, f.size() - 32))
     if magic != MAGIC:
