@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,37 +19,30 @@ from pyspark.sql.types import StringType
 from factloom.functions import text as T
 
 DROPPED = frozenset({"script", "style", "nav", "header", "footer"})
-BLOCKS = frozenset({"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "section", "article", "tr"})
 HTML_TYPES = ("text/html", "application/xhtml+xml")
 PARSERS = {"text/html": ("html-main-1", "html-fallback-1"), "application/xhtml+xml": ("html-main-1", "html-fallback-1"), "text/plain": ("plain-1",), "application/pdf": ("pdf-1",)}
 #: Statuses that are tried again.
 TRANSIENT = (408, 425, 429, 500, 502, 503, 504)
 
 
-class _Main(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.hidden, self.out = 0, []
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in DROPPED
-
-    def handle_endtag(self, tag):
-        if tag in DROPPED and self.hidden:
-            self.hidden -= 1
-        if tag in BLOCKS:
-            self.out.append("\n")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.out.append(data)
+#: Everything in a page that is no text: comments and declarations, scripts and styles with all they hold, tags.
+MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</[^A-Za-z>][^>]*>|<(?P<raw>script|style)\b(?:[^>"']|"[^"]*"|'[^']*')*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)
+    |<(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?:[^>"'/]|"[^"]*"|'[^']*'|/(?!>)|["'](?=[^"']*>))*(?P<alone>/)?>""",
+    re.S | re.I | re.X,
+)
 
 
 def main_text(html: str | None) -> str:
-    parser = _Main()
-    parser.feed(html or "")
-    parser.close()
-    return " ".join(" ".join(parser.out).split())
+    """The visible text of a page, single-spaced: what lies between its markup and in no dropped element."""
+    html, seen, inside, at = html or "", [], 0, 0
+    for m in MARKUP.finditer(html):
+        seen.append("" if inside else html[at : m.start()])
+        at = m.end()
+        if m["name"] and m["name"].lower() in DROPPED and not m["alone"]:
+            inside = max(0, inside - 1) if m["end"] else inside + 1
+    seen.append("" if inside else html[at:])
+    return " ".join(unescape(" ".join(seen)).split())
 
 
 @F.pandas_udf(StringType())

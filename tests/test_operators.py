@@ -1,4 +1,3 @@
-import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -57,20 +56,23 @@ def test_rank_order(spark):
     assert [r.id for r in out] == ["b", "a"] and out[1].reasons["repetition_penalty"] == -1
 
 
-def test_planner():
-    I = ranking.Item  # noqa: E741
-    similar = lambda x, y: W.token_set_ratio(x.text, y.text) / 100
-    items = [I("a", "t1", 1.0, text="x y z w"), I("b", "t2", 0.9, text="x y z w"), I("c", "t3", 0.8, text="q r s")]
-    assert [i.card_id for i in ranking.plan(items, 2, diversity=0.6, similar=similar)] == ["a", "c"]
-    items = [I("a", "sci", 3), I("b", "sci", 2), I("c", "art", 1), I("d", "art", 0)]
-    topics = [i.topic for i in ranking.plan(items, 4)]
-    assert all(len(set(topics[k : k + 3])) > 1 for k in range(2))
-    items = [I(f"p{k}", "poetry", 5 - k) for k in range(3)] + [I(f"s{k}", ("sci", "art")[k % 2], 1) for k in range(4)]
-    got = ranking.plan(items, 4, unexpected_share=0.25, unexpected=frozenset({"poetry"}))
-    assert sum(i.topic == "poetry" for i in got) <= 1 and len(got) == 4
-    r = random.Random(1)
-    many = [I(str(k), str(r.randrange(5)), r.random()) for k in range(50)]
-    assert ranking.plan(many, 6, seed=3) == ranking.plan(many, 6, seed=3)
+def queue(spark, rows, size, odd=(), **how):
+    """rows: (profile, card, topic, score, text)."""
+    ranked = spark.createDataFrame([(*r, r[2] in odd) for r in rows], "profile_id string, card_id string, topic string, score double, text string, unexpected boolean")
+    return ranking.plan_queues(ranked, size, **how).orderBy("profile_id", "ordinal").collect()
+
+
+def test_planner(spark):
+    rows = [("p", "a", "t1", 1.0, "x y z w"), ("p", "b", "t2", 0.9, "x y z w"), ("p", "c", "t3", 0.8, "q r s"), ("q", "z", "t", 0.1, None)]
+    assert [(r.profile_id, r.card_id) for r in queue(spark, rows, 2)] == [("p", "a"), ("p", "c"), ("q", "z")]
+    rows = [("p", "a", "sci", 3.0, "a"), ("p", "b", "sci", 2.0, "b"), ("p", "c", "art", 1.0, "c"), ("p", "d", "art", 0.0, "d")]
+    topics = [r.topic for r in queue(spark, rows, 4)]
+    assert len(topics) == 4 and all(len(set(topics[k : k + 3])) > 1 for k in range(2))
+    rows = [("p", f"p{k}", "poetry", 5.0 - k, f"p{k}") for k in range(3)] + [("p", f"s{k}", ("sci", "art")[k % 2], 1.0 - k / 10, f"s{k}") for k in range(4)]
+    got = queue(spark, rows, 4, odd={"poetry"})
+    assert sum(r.topic == "poetry" for r in got) <= 1 and len(got) == 4 and got[0].reason == "unexpected_discovery"
+    tied = [("p", str(k), str(k % 5), 0.5, "same") for k in range(50)]
+    assert queue(spark, tied, 6, generation=3) == queue(spark, tied, 6, generation=3)
 
 
 NOW = datetime(2024, 1, 1)

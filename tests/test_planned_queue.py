@@ -1,11 +1,33 @@
 """The query planned_queue against planning of whole pools with whole texts, one profile at a time."""
 
+from collections import namedtuple
+
 from factloom import queries as Q
 from factloom.operators import firewall, ranking
 
+Item = namedtuple("Item", "card_id topic score text")
+
 OPENING = " ".join(f"opening{k}" for k in range(40))
 
 
+def choose(items, size, max_streak, diversity, share, odd, similar):
+    """Slot by slot, the rules as one comparison of all that is left: (card_id, reason)."""
+    left, chosen, out = list(items), [], []
+    for n in range(min(size, len(left))):
+        near = {i: max((similar(i, c) for c in chosen), default=0.0) for i in left}
+        other = n >= max_streak and any(i.topic != chosen[-1].topic for i in left)
+        wants = sum(c.topic in odd for c in chosen) < round(size * share)
+        merit = lambda i: (not other or i.topic != chosen[-1].topic, i.score - diversity * near[i])  # noqa: E731, B023
+        top = max(left, key=merit)
+        if round(size * share) and top.topic in odd:
+            top = max(left, key=lambda i: (merit(i)[0], (i.topic in odd) == wants, merit(i)[1]))  # noqa: B023
+        related = "continuity_related" if near[top] >= 0.5 else "diversity_balanced"
+        out.append((top.card_id, "unexpected_discovery" if top.topic in odd else related if chosen else "relevance"))
+        chosen.append(top)
+        left.remove(top)
+    return out
+
+
 def tables(spark, folder, rows):
     """documents and labels of (doc_id, text, lang, source); every document is verified."""
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -20,9 +42,9 @@ def whole(spark, folder):
     similar = lambda a, b: firewall.token_set_ratio(a.text, b.text) / 100
     out = []
     for profile in sorted({r.source_id for r in ranked}):
-        items = [ranking.Item(r.id, r.topic, r.score, True, r.text or "") for r in ranked if r.source_id == profile]
+        items = [Item(r.id, r.topic, r.score, r.text or "") for r in ranked if r.source_id == profile]
         odd = frozenset(i.topic for i in items) - {"en", "de"}
-        out += [(profile, k, i.card_id, i.reason) for k, i in enumerate(ranking.plan(items, 6, 0, 2, 0.6, 0.25, odd, similar))]
+        out += [(profile, k, *x) for k, x in enumerate(choose(items, 6, 2, 0.6, 0.25, odd, similar))]
     return out
 
 
