@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import schemas
-from factloom.operators import ledger, store
+from factloom.functions import text as T
+from factloom.operators import firewall, ledger, ranking, search, store
 from factloom.plans import facts as P
+from factloom.settings import Settings, capabilities
 from factloom.sources import web
+from factloom.streaming import ambient
+
+#: Readers of discovery answers by provider.
+PROVIDERS = {"github": web.repositories, "papers": web.papers, "youtube": web.videos, "feed": web.feed_items}
 
 
 class Engine:
     """Each table is a folder of versions; a write adds a version and a marker row names the current one."""
 
-    def __init__(self, spark: SparkSession, path: str, now: datetime):
-        self.spark, self.path, self.now = spark, path.rstrip("/"), now
+    def __init__(self, spark: SparkSession, path: str, now: datetime, settings: Settings | None = None):
+        self.spark, self.path, self.now, self.settings = spark, path.rstrip("/"), now, settings or Settings()
 
     def _versions(self, table: str) -> str:
         return f"{self.path}/{table}/_current"
@@ -67,29 +73,241 @@ class Engine:
 
     def _actions(self, docs: DataFrame) -> DataFrame:
         current = P.parsed(docs).select("doc_id", "source_id", "document_id").withColumn("stage_key", P.stage_key(F.col("document_id")))
-        keyed = current.withColumn("source_id", F.concat_ws("#", "source_id", F.col("doc_id").cast("string")))
-        return store.stage_actions(keyed, self.table("stage_keys"))
+        return store.stage_actions(current.withColumn("doc_id", F.col("doc_id").cast("string")), self.table("stage_keys"), ("source_id", "doc_id"))
+
+    def _append(self, name: str, rows: DataFrame, key: str = "id") -> None:
+        known = self.table(name)
+        self.write(name, known.unionByName(store.insert_absent(known, schemas.migrate(rows, name), key)))
 
     def refresh(self, docs: DataFrame) -> DataFrame:
-        """Builds the facts of changed documents, appends what is new, stamps their stage keys; returns the new pulses."""
-        todo = self._actions(docs).where("action = 'build'")
-        changed = docs.join(todo.select("doc_id"), "doc_id", "left_semi")
-        made = P.facts(changed).select(
-            F.col("pulse_id").alias("id"), "card_id", "atom_id", "display_fact", F.array().cast("array<string>").alias("topics"), "source_id", "document_id",
-            F.array("evidence_id").alias("evidence_ids"), store.ts(self.now).alias("verified_at"), "fact_fingerprint", P.stage_key(F.col("document_id")).alias("stage_key"),
+        """Builds changed documents and keeps what that makes; returns the new pulses.
+
+        Evidence and atoms of all candidates stay, playable or not. Facts pass the firewall against the stored index and each
+        other, in build order; what is kept becomes a card, a pulse and a row of the index. The run's counters are stored.
+        """
+        start, before = self._started("refresh"), self.table("pulses").select("id")
+        actions = firewall._checkpoint(self._actions(docs))
+        todo = actions.where("action = 'build'")
+        changed = docs.join(todo.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi") if dict(docs.dtypes)["doc_id"] != "string" else docs.join(todo.select("doc_id"), "doc_id", "left_semi")
+        parsed, chunked = P.parsed(changed), P.chunks(changed)
+        staged = firewall._checkpoint(P.classify(P.verify(P.claims(chunked))))
+        composed = firewall._checkpoint(self._firewalled(P.compose(staged.where("escalation IS NULL"))))
+        kept = composed.where("outcome = 'kept'")
+        now, one = store.ts(self.now), lambda c: F.array(F.col(c))
+        verification = F.struct("status", F.array("reason").alias("reason_codes"), "risk_flags", F.lit(False).alias("provider_used"))
+        self._append("documents", parsed.select(F.col("document_id").alias("id"), "source_id", F.sha2("body", 256).alias("content_sha256"), F.col("body").alias("raw_text"), now.alias("captured_at")))
+        self._append("chunks", chunked.select(F.col("chunk_id").alias("id"), "document_id", "ordinal", "text", "char_start", "char_end"))
+        self._append("evidence", staged.select(F.col("evidence_id").alias("id"), "source_id", "document_id", "chunk_id", F.substring("text", 1, 500).alias("quote"), F.col("reason").alias("support")))
+        self._append("atoms", staged.select(F.col("atom_id").alias("id"), "statement", F.col("status").alias("claim_status"), one("evidence_id").alias("evidence_ids"), now.alias("created_at")))
+        self._append("cards", kept.select(F.col("card_id").alias("id"), F.lit("question").alias("card_type"), F.col("display_fact").alias("prompt"), one("atom_id").alias("atom_ids"), one("evidence_id").alias("evidence_ids"), now.alias("created_at")))
+        self._append("pulses", kept.select(
+            F.col("pulse_id").alias("id"), "card_id", "atom_id", "display_fact", F.array(F.coalesce("lang", F.lit("general"))).alias("topics"), "source_id", "document_id", one("evidence_id").alias("evidence_ids"),
+            now.alias("verified_at"), verification.alias("verification"), P.stage_key(F.col("document_id")).alias("stage_key"), "fact_fingerprint",
+        ))
+        self._append("fact_index", kept.select("pulse_id", "card_id", "source_id", F.col("fact_fingerprint").alias("fingerprint"), F.col("display_fact").alias("fact_text"), now.alias("created_at")), "pulse_id")
+        stamps = todo.select("source_id", "doc_id", "document_id", F.lit(P.PARSER).alias("parser_version"), "stage_key", now.alias("built_at"))
+        self.write("stage_keys", store.upsert(self.table("stage_keys"), schemas.migrate(stamps, "stage_keys"), ["source_id", "doc_id"], "built_at"))
+        self._finished(start, ledger.build_counters(actions, chunked, staged, composed))
+        return self.table("pulses").join(before, "id", "left_anti")
+
+    def _firewalled(self, composed: DataFrame) -> DataFrame:
+        """``composed`` with outcome: exact and near repeats of stored or earlier facts of other sources are suppressed."""
+        pos = F.concat_ws("|", F.lit("1"), "source_id", F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lpad(F.col("ordinal").cast("string"), 6, "0"))
+        new = composed.select("pulse_id", "source_id", F.col("display_fact").alias("fact_text"), F.col("fact_fingerprint").alias("fingerprint"), pos.alias("pos"), F.lit(False).alias("settled"))
+        held = self.table("fact_index").join(composed.select("pulse_id"), "pulse_id", "left_anti")
+        old = held.select("pulse_id", "source_id", "fact_text", "fingerprint", F.concat_ws("|", F.lit("0"), F.date_format("created_at", "yyyyMMddHHmmss"), "pulse_id").alias("pos"), F.lit(True).alias("settled"))
+        decided = firewall.first_wins(firewall._checkpoint(old.union(new)), self.settings.shortlist, self.settings.near)
+        return composed.join(decided.select("pulse_id", "outcome"), "pulse_id")
+
+    # Runs -----------------------------------------------------------------------------------------
+
+    def _started(self, kind: str) -> str:
+        run = f"{kind}-{self.table('runs').count()}-{self.now:%Y%m%d%H%M%S}"
+        row = self.spark.createDataFrame([(run, "running")], "run_id string, status string").withColumn("started_at", store.ts(self.now))
+        self._append("runs", row, "run_id")
+        return run
+
+    def _finished(self, run: str, counters: DataFrame, status: str = "succeeded", detail: str = "") -> None:
+        told = {k: int(v or 0) for k, v in counters.first().asDict().items()}
+        row = self.table("runs").where(F.col("run_id") == run).withColumns({
+            "status": F.lit(status), "finished_at": store.ts(self.now), "detail": F.lit(detail),
+            "counters": F.create_map(*(x for k, v in told.items() for x in (F.lit(k), F.lit(v).cast("long")))),
+        })
+        self.write("runs", store.upsert(self.table("runs"), row, ["run_id"], "started_at"))
+
+    def runs(self) -> DataFrame:
+        return self.table("runs").orderBy(F.desc("started_at"), F.desc("run_id"))
+
+    def last_run(self) -> DataFrame:
+        return ledger.last_run(self.table("runs"))
+
+    # Profiles -------------------------------------------------------------------------------------
+
+    def set_profile(self, profile_id: str, weights: str, excluded: str = "", unexpected: float = 0.1) -> None:
+        """``weights``: "topic=weight, ..."; a topic without a number weighs 1."""
+        told = [x.strip().partition("=") for x in weights.split(",") if x.strip()]
+        row = [(profile_id, profile_id, {t.strip(): float(w or 1) for t, _, w in told}, [x.strip() for x in excluded.split(",") if x.strip()], unexpected, self.settings.max_streak)]
+        self.write("profiles", store.upsert(self.table("profiles"), self.spark.createDataFrame(row, schemas.TABLES["profiles"]), ["id"], "id"))
+
+    def profile(self, profile_id: str) -> DataFrame:
+        return self.table("profiles").where(F.col("id") == profile_id)
+
+    def reset_profile(self, profile_id: str) -> None:
+        self.write("profiles", self.table("profiles").where(F.col("id") != profile_id))
+
+    # Serving --------------------------------------------------------------------------------------
+
+    def ranked_pool(self, profile_id: str) -> DataFrame:
+        """Current pulses that a profile may be shown, ranked: nothing shown lately in these or like words, nothing queued."""
+        pulses, exposures = self.table("pulses"), self.table("exposures").where(F.col("profile_id") == profile_id)
+        index = self.table("fact_index")
+        current = store.eligible(pulses, self.table("stage_keys"))
+        facts = current.withColumnRenamed("id", "pulse_id").join(index.select("pulse_id", "fingerprint", "fact_text"), "pulse_id")
+        recent = store.recent_exposures(exposures, pulses, index, self.now, self.settings.recent_hours)
+        seen = recent.select(F.col("id").alias("probe_id"), F.col("fact_text").alias("probe_text"), "fingerprint").where("probe_text IS NOT NULL")
+        queued = store.pending(self.table("sessions").where(F.col("profile_id") == profile_id), self.table("session_cards")).select("card_id")
+        left = store.pool(facts, firewall.suppressed_pool(facts.select("pulse_id", "source_id", "fact_text", "fingerprint"), seen), seen.select("fingerprint").distinct(), queued.distinct())
+        sources = self.table("sources").select(F.col("id").alias("source_id"), "trust")
+        age = (F.unix_micros(store.ts(self.now)) - F.unix_micros("verified_at")) / 1e6
+        last = ledger.least_age(exposures.join(facts.select("card_id", "fingerprint"), "card_id"), store.ts(self.now))
+        v = F.col("verification")
+        made = left.join(sources, "source_id", "left").join(last, "fingerprint", "left").select(
+            F.col("pulse_id").alias("id"), "card_id", "source_id", "fact_text", "fingerprint", F.coalesce(F.try_element_at("topics", F.lit(1)), F.lit("general")).alias("topic"),
+            (v["status"] == "verified").alias("verified"), ranking.quality_class(v["status"], v["risk_flags"], v["reason_codes"], v["provider_used"])["quality"].alias("quality"),
+            ranking.source_quality(F.coalesce("trust", F.lit("remote_untrusted"))).alias("source_quality"), F.lit(0.5).alias("usefulness"), F.lit(0.5).alias("appeal"),
+            ranking.freshness(age).alias("freshness"), F.coalesce(ranking.novelty_from_age(F.col("age_seconds")), F.lit(1.0)).alias("novelty"),
         )
-        pulses = self.table("pulses")
-        new = store.insert_absent(pulses, schemas.migrate(made, "pulses"))
-        self.write("pulses", pulses.unionByName(new))
-        stamps = todo.select("source_id", "document_id", F.lit(P.PARSER).alias("parser_version"), "stage_key", store.ts(self.now).alias("built_at"))
-        keys = self.table("stage_keys")
-        self.write("stage_keys", store.upsert(keys, schemas.migrate(stamps, "stage_keys"), ["source_id"], "built_at"))
-        return self.table("pulses").join(pulses.select("id"), "id", "left_anti")
+        p = self.profile(profile_id).first()
+        weights = F.create_map(*(x for t, w in p.topic_weights.items() for x in (F.lit(t), F.lit(float(w))))) if p and p.topic_weights else F.create_map(F.lit("general"), F.lit(1.0))
+        excluded = F.array(*map(F.lit, p.excluded_topics)).cast("array<string>") if p else F.array().cast("array<string>")
+        ranked = ranking.rank(made, weights, excluded, p.unexpected_discovery_weight if p else 0.1)
+        known = list(p.topic_weights) if p and p.topic_weights else []
+        return ranked.select(F.lit(profile_id).alias("profile_id"), "card_id", "topic", "score", F.col("fact_text").alias("text"), "fingerprint", (~F.col("topic").isin(known) if known else F.lit(False)).alias("unexpected"))
+
+    def _planned(self, profile_id: str, generation: int) -> DataFrame:
+        s, pool = self.settings, firewall._checkpoint(self.ranked_pool(profile_id))
+        queue = ranking.plan_queues(pool, s.queue_size, s.max_streak, s.diversity, s.unexpected_share, generation)
+        return firewall._checkpoint(queue.join(pool.select("card_id", "fingerprint"), "card_id"))
+
+    def prepare(self, profile_id: str) -> DataFrame:
+        """The cards to show: those of the active session, else of a new one."""
+        sessions = self.table("sessions")
+        mine = sessions.where(F.col("profile_id") == profile_id)
+        if store.active_sessions(mine).isEmpty():
+            queue = self._planned(profile_id, 0)
+            cards = [r.card_id for r in queue.orderBy("ordinal").collect()]  # a queue's few ids
+            if cards:
+                made = self.spark.range(1).select(T.det_id("session", F.lit(profile_id), F.lit(str(mine.count())), *map(F.lit, cards)).alias("id"), F.lit(profile_id).alias("profile_id"), F.lit("active").alias("status"), store.ts(self.now).alias("started_at"), F.lit(0).alias("position"), F.lit(0).alias("generation"))
+                made = firewall._checkpoint(made)
+                self._append("sessions", made)
+                rows = queue.crossJoin(F.broadcast(made.select(F.col("id").alias("session_id")))).select("session_id", "card_id", "ordinal", "reason", "fingerprint")  # one session
+                self.write("session_cards", self.table("session_cards").unionByName(schemas.migrate(rows, "session_cards")))
+        return self.pending_cards(profile_id)
+
+    def pending_cards(self, profile_id: str) -> DataFrame:
+        return store.pending(self.table("sessions").where(F.col("profile_id") == profile_id), self.table("session_cards")).orderBy("ordinal")
+
+    def refill(self, profile_id: str) -> int:
+        """Appends a planned batch when few cards are left; returns how many."""
+        mine, cards = self.table("sessions").where(F.col("profile_id") == profile_id), self.table("session_cards")
+        low = store.queue_low(mine, cards, self.settings.watermark).first()
+        if low is None:
+            return 0
+        generation = (mine.where(F.col("id") == low.session_id).first().generation or 0) + 1
+        batch = self._planned(profile_id, generation).select(F.lit(low.session_id).alias("session_id"), "card_id", "reason", "fingerprint", F.col("ordinal").alias("seq"))
+        new = firewall._checkpoint(store.append_cards(cards, batch))
+        added = new.count()
+        if added:
+            self.write("session_cards", cards.unionByName(schemas.migrate(new, "session_cards")))
+            self.write("sessions", store.coalesce_update(self.table("sessions"), self.spark.createDataFrame([(low.session_id, generation)], "id string, generation int")))
+        return added
+
+    def acknowledge(self, profile_id: str, card_id: str) -> None:
+        """Counts a card as shown if it is the one at the session's place; a repeat adds nothing."""
+        sessions, cards = self.table("sessions"), self.table("session_cards")
+        at = self.current_cards().where((F.col("profile_id") == profile_id) & (F.col("card_id") == card_id)).select("profile_id", "card_id")
+        moved, shown = store.acknowledge(sessions, firewall._checkpoint(at), cards, self.now)
+        moved, shown = firewall._checkpoint(moved), firewall._checkpoint(shown)
+        self._append("exposures", shown)
+        self.write("sessions", moved)
+
+    # Discovery ------------------------------------------------------------------------------------
+
+    def discover(self, provider: str, answers: DataFrame, limit: int = 10) -> dict[str, int]:
+        """Keeps what a provider's answers name and nobody has yet as candidates, at most ``limit``; returns counters.
+
+        An adapter that was told to wait is not asked.
+        """
+        if not store.rate_limited(self.table("adapter_state"), self.now).where(F.col("adapter") == provider).isEmpty():
+            return {"rate_limited": 1, "results": 0, "deduplicated": 0, "candidates": 0}
+        read = PROVIDERS[provider]
+        found = firewall._checkpoint((read(answers) if provider == "feed" else read(answers, limit)).limit(limit))
+        fresh = web.deduplicated(found, self.table("sources"), self.table("discovery_candidates"))
+        rows = fresh.withColumns({"provider": F.lit(provider), "discovered_at": store.ts(self.now)})
+        known = self.table("discovery_candidates").count()
+        self._append("discovery_candidates", rows)
+        kept = self.table("discovery_candidates").count() - known
+        return {"rate_limited": 0, "results": found.count(), "deduplicated": found.count() - kept, "candidates": kept}
+
+    def candidates(self) -> DataFrame:
+        return self.table("discovery_candidates").orderBy("discovered_at", "id")
+
+    def register(self, ids: DataFrame) -> DataFrame:
+        """Candidates (id) become sources, unless one has their locator or identity, and leave the candidates."""
+        chosen = firewall._checkpoint(self.table("discovery_candidates").join(ids.select("id"), "id", "left_semi"))
+        new = web.deduplicated(chosen, self.table("sources")).withColumns({"source_type": F.col("provider"), "trust": F.lit("remote_untrusted"), "provenance": F.lit("discovered"), "retrieved_at": store.ts(self.now)})
+        new = firewall._checkpoint(schemas.migrate(new, "sources"))
+        self._append("sources", new)
+        self.drop_candidates(chosen.select("id"))
+        return new
+
+    def drop_candidates(self, ids: DataFrame) -> None:
+        self.write("discovery_candidates", self.table("discovery_candidates").join(ids.select("id"), "id", "left_anti"))
+
+    def wait_for(self, adapter: str, until: datetime, detail: str = "") -> None:
+        """An adapter answered that it must not be asked before ``until``."""
+        row = self.spark.createDataFrame([(adapter, until, detail, self.now)], schemas.TABLES["adapter_state"])
+        self.write("adapter_state", store.upsert(self.table("adapter_state"), row, ["adapter"], "updated_at"))
+
+    # Harness, search, checks ----------------------------------------------------------------------
+
+    def emit(self, adapter: str, event_type: str) -> bool:
+        """Records an event that the adapter's capabilities support."""
+        row = self.spark.createDataFrame([(f"{adapter}-{self.table('harness_events').count()}", adapter, event_type, self.now)], "id string, adapter string, event_type string, occurred_at timestamp")
+        fit = firewall._checkpoint(ambient.normalize(row))
+        self._append("harness_events", fit)
+        return not fit.isEmpty()
+
+    def ambient_state(self) -> DataFrame:
+        events = self.table("harness_events").select(F.col("adapter").alias("session_id"), F.col("occurred_at").alias("ts"), "event_type")
+        return ambient.current(ambient.changes(events), store.ts(self.now))
+
+    def search(self, query: str, what: str = "documents", limit: int = 20) -> DataFrame:
+        """Documents, chunks or facts that hold all words of ``query``, best first."""
+        key, text = {"documents": ("id", "raw_text"), "chunks": ("id", "text"), "fact_index": ("pulse_id", "fact_text")}[what]
+        q = self.spark.createDataFrame([(1, query)], "query_id int, query string")
+        return search.search(self.table(what), q, limit, key, text).join(self.table(what), key).orderBy("rank")
+
+    def doctor(self) -> DataFrame:
+        """(check, value): capabilities, broken references, invalid rows, jobs to recover, whether a queue is ready, the last run."""
+        t = self.table
+        links = (("chunks", "document_id", "documents", "id"), ("pulses", "atom_id", "atoms", "id"), ("pulses", "card_id", "cards", "id"), ("fact_index", "pulse_id", "pulses", "id"), ("exposures", "card_id", "cards", "id"), ("session_cards", "session_id", "sessions", "id"))
+        told = {f"capability {k}": int(v) for k, v in capabilities(self.settings).items()}
+        told |= {f"orphans {c}.{k}": ledger.orphans(t(c), k, t(p), pk).first().orphans for c, k, p, pk in links}
+        told |= {f"invalid {n}": schemas.validate(t(n), n).where("size(violations) > 0").count() for n in schemas.RULES}
+        told["jobs to recover"] = t("jobs").where((F.col("status") == "running") & (F.col("lease_expires_at") <= store.ts(self.now))).count()
+        told["queue ready"] = int(not store.pending(t("sessions"), t("session_cards")).isEmpty())
+        told["last run succeeded"] = int(not self.last_run().where("status = 'succeeded'").isEmpty())
+        return self.spark.createDataFrame(sorted(told.items()), "check string, value long")
 
     def inspect(self, pulse_id: str) -> DataFrame:
-        """A pulse with its source and document."""
-        s = self.table("sources").select(F.col("id").alias("source_id"), "canonical_locator", "title", "trust")
-        return self.table("pulses").where(F.col("id") == pulse_id).join(s, "source_id", "left")
+        """A pulse with its source, atom, card and evidence."""
+        named = lambda table, key, *columns: self.table(table).select(F.col("id").alias(key), *columns)
+        pulse = self.table("pulses").where(F.col("id") == pulse_id)
+        quotes = pulse.select(F.explode("evidence_ids").alias("evidence_id")).join(named("evidence", "evidence_id", "quote", "support", "chunk_id"), "evidence_id")
+        quotes = quotes.agg(F.collect_list(F.struct("evidence_id", "chunk_id", "quote", "support")).alias("evidence")).withColumn("id", F.lit(pulse_id))
+        joined = pulse.join(named("sources", "source_id", "canonical_locator", "title", "trust"), "source_id", "left").join(named("atoms", "atom_id", "statement", "claim_status"), "atom_id", "left")
+        return joined.join(named("cards", "card_id", "card_type", "prompt"), "card_id", "left").join(quotes, "id", "left")
 
     def stats(self) -> DataFrame:
         return ledger.feed_stats(self.table("exposures"), self.table("pulses"), self.table("sessions"))

@@ -1,8 +1,7 @@
 """Near-duplicate firewall: postings with BM25, token-set similarity, and first-wins resolution.
 
-Candidates come from an equi-join on significant tokens and the best ``k`` by BM25 per probe; tokens that
-more than ``common`` facts hold are not joined on when a probe has others, and partial sums are aggregated
-before ranking. Resolution is iterative: shortlists among the kept facts are taken anew until no outcome
+Candidates come from an equi-join on significant tokens and the best ``k`` by BM25 per probe; partial sums are
+aggregated before ranking. Resolution is iterative: shortlists among the kept facts are taken anew until no outcome
 changes, which equals the sequential order.
 """
 
@@ -110,8 +109,9 @@ def shortlists(facts: DataFrame, k: int) -> DataFrame:
     """(a, b, rank): the best ``k`` facts b of other sources per fact a; where ``facts`` has pos, earlier ones only, and ties go by it."""
     ordered = "pos" in facts.columns
     # Numbers in the order of pos stand for ids, as pairs are many; only facts of one source may share a pos.
-    numbered = _checkpoint(facts.orderBy("pos" if ordered else "pulse_id").select(F.monotonically_increasing_id().alias("num"), "pulse_id", "source_id", "fact_text"))
-    asked = numbered.select(F.col("num").alias("a"), F.col("source_id").alias("sa"), F.explode(T.query_tokens(F.col("fact_text"))).alias("token"))
+    asks = ~F.coalesce("settled", F.lit(False)) if "settled" in facts.columns else F.lit(True)
+    numbered = _checkpoint(facts.orderBy("pos" if ordered else "pulse_id").select(F.monotonically_increasing_id().alias("num"), "pulse_id", "source_id", "fact_text", asks.alias("asks")))
+    asked = numbered.where("asks").select(F.col("num").alias("a"), F.col("source_id").alias("sa"), F.explode(T.query_tokens(F.col("fact_text"))).alias("token"))
     held = bm25_weights(postings(numbered, "num"), "num").join(numbered.select("num", F.col("source_id").alias("sb")), "num").withColumnRenamed("num", "b")
     joined = asked.join(held, "token").where("sa <> sb AND " + ("b < a" if ordered else "a <> b"))
     scored = joined.groupBy("a", "b").agg((-F.sum("w")).alias("score"))
@@ -136,6 +136,8 @@ def edges(facts: DataFrame, k: int = 20) -> DataFrame:
 def _checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -145,11 +147,13 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 def first_wins(facts: DataFrame, k: int = 20, least: float = 0.58, max_rounds: int = 50) -> DataFrame:
     """Adds outcome kept or suppressed to facts (pulse_id, source_id, fact_text, fingerprint, pos: build order).
 
+    Facts with a true ``settled`` (optional) were kept before: they stay, and are compared with but ask nothing.
     A suppressed fact suppresses nobody and takes no slot of a shortlist. Every round decides all facts anew from
     the facts kept in the round before. As a fact depends on earlier ones alone, only the sequential outcome stays
     the same in a round, whatever the first guess. Rounds are checkpointed.
     """
     width = 4 * k
+    settled = facts.where("settled").select("pulse_id") if "settled" in facts.columns else None
     near = _checkpoint(shortlists(facts, width))
     known = None
     kept = _checkpoint(facts.select("pulse_id"))
@@ -166,7 +170,9 @@ def first_wins(facts: DataFrame, k: int = 20, least: float = 0.58, max_rounds: i
         held = facts.join(kept, "pulse_id", "left_semi").groupBy("fingerprint", F.col("source_id").alias("sb")).agg(F.min("pos").alias("pb"))
         firsts = held.withColumn("n", F.row_number().over(W.partitionBy("fingerprint").orderBy("pb", "sb"))).where("n <= 2")
         same = facts.join(firsts, "fingerprint").where("source_id <> sb AND pb < pos").select("pulse_id")
-        now = _checkpoint(facts.select("pulse_id").join(told.union(same).distinct(), "pulse_id", "left_anti"))
+        lost = told.union(same).distinct()
+        lost = lost if settled is None else lost.join(settled, "pulse_id", "left_anti")
+        now = _checkpoint(facts.select("pulse_id").join(lost, "pulse_id", "left_anti"))
         if now.count() == kept.count() and now.join(kept, "pulse_id", "left_anti").isEmpty():
             # A list that ends at its width may have more; with fewer than k kept facts in it, it is too short.
             full = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= width).select("a")

@@ -53,6 +53,20 @@ def run_counters(staged: DataFrame) -> DataFrame:
     )
 
 
+def build_counters(actions: DataFrame, chunked: DataFrame, staged: DataFrame, composed: DataFrame) -> DataFrame:
+    """One row of what a build did: documents (action), chunks, candidates by status and escalation, facts by outcome."""
+    n, is_ = F.count_if, lambda c, v: F.col(c).eqNullSafe(F.lit(v))
+    docs = actions.agg(F.count("*").alias("documents"), n(is_("action", "build")).alias("documents_built"), n(is_("action", "skip")).alias("documents_skipped"))
+    parts = chunked.agg(F.count("*").alias("chunks"), F.countDistinct("document_id").alias("documents_with_chunks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
+    named = ("non_english", "policy_ambiguity", "multi_claim", "fidelity_rewrite", "weak_direct_support")
+    claims = staged.agg(
+        F.count("*").alias("candidates"), *(n(is_("status", v)).alias(v) for v in ("verified", "uncertain", "rejected")), n(F.size("risk_flags") > 0).alias("risk_flagged"), n("playable").alias("playable"),
+        n(F.col("escalation").isNotNull()).alias("escalated"), n("required").alias("required"), *(n(is_("escalation", v)).alias(v) for v in named),
+    )
+    made = composed.agg(F.count("*").alias("composed"), n(is_("outcome", "kept")).alias("kept"), n(is_("outcome", "suppressed")).alias("suppressed"))
+    return docs.crossJoin(parts).crossJoin(claims).crossJoin(made)  # one row each
+
+
 def within_budget(calls: DataFrame, max_calls: int = 10, max_cost: float | None = None) -> DataFrame:
     """Adds ``used`` to calls (pos, cache_hit, cost): hits are free; the call that exhausts the budget is made, but its result is not used."""
     order = W.orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -135,11 +135,11 @@ def acknowledge(sessions: DataFrame, shown: DataFrame, cards: DataFrame, now: da
     return out.select(*sessions.columns), exposures
 
 
-def stage_actions(current: DataFrame, stage_keys: DataFrame) -> DataFrame:
-    """skip or build per current (source_id, document_id, stage_key): unchanged branches are skipped."""
-    known = stage_keys.select("source_id", F.col("document_id").alias("__d"), F.col("stage_key").alias("__k"))
+def stage_actions(current: DataFrame, stage_keys: DataFrame, on: tuple[str, ...] = ("source_id",)) -> DataFrame:
+    """skip or build per current (``on``, document_id, stage_key): unchanged branches are skipped."""
+    known = stage_keys.select(*on, F.col("document_id").alias("__d"), F.col("stage_key").alias("__k"))
     same = F.col("__d").eqNullSafe(F.col("document_id")) & F.col("__k").eqNullSafe(F.col("stage_key"))
-    return current.join(known, "source_id", "left").select(*current.columns, F.when(same, "skip").otherwise("build").alias("action"))
+    return current.join(known, list(on), "left").select(*current.columns, F.when(same, "skip").otherwise("build").alias("action"))
 
 
 def fetch_actions(responses: DataFrame, caches: DataFrame, max_bytes: int = 2_000_000) -> DataFrame:
@@ -153,6 +153,42 @@ def fetch_actions(responses: DataFrame, caches: DataFrame, max_bytes: int = 2_00
     return joined.select(*responses.columns, action.alias("action"))
 
 
+def request_headers(requests: DataFrame, caches: DataFrame) -> DataFrame:
+    """Requests (cache_key, ...) with the conditional headers that their cached answers allow."""
+    c = caches.select("cache_key", "etag", "last_modified")
+    told = F.map_filter(F.create_map(F.lit("If-None-Match"), F.col("etag"), F.lit("If-Modified-Since"), F.col("last_modified")), lambda _, v: v.isNotNull())
+    return requests.join(c, "cache_key", "left").select(*requests.columns, told.alias("headers"))
+
+
+def reloaded(actions: DataFrame, caches: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Documents with ordered chunks of the answers to reuse: the cached document, else the latest one of the same content."""
+    hit = actions.where("action = 'reuse'").select("cache_key").join(caches.select("cache_key", F.col("document_id").alias("cached"), "content_sha256"), "cache_key")
+    newest = latest(documents, "content_sha256", F.desc("captured_at"), F.desc("id")).select("content_sha256", F.col("id").alias("same"))
+    known = documents.select(F.col("id").alias("cached"), F.lit(True).alias("there"))
+    chosen = hit.join(known, "cached", "left").join(newest, "content_sha256", "left").select("cache_key", F.when(F.col("there"), F.col("cached")).otherwise(F.col("same")).alias("document_id"))
+    parts = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col("id").alias("chunk_id"), "text"))).alias("chunks"))
+    return chosen.where("document_id IS NOT NULL").join(parts, "document_id", "left")
+
+
+def cache_updates(responses: DataFrame, now: datetime) -> DataFrame:
+    """Cache rows of fetched answers (cache_key, action, body, etag, last_modified, parser_version, document_id)."""
+    rows = responses.where("action IN ('fetch', 'reparse')")
+    return rows.select("cache_key", F.sha2("body", 256).alias("content_sha256"), "etag", "last_modified", ts(now).alias("fetched_at"), "parser_version", "document_id", F.col("body").alias("raw_bytes"))
+
+
+def rate_limited(adapter_state: DataFrame, now: datetime) -> DataFrame:
+    """Adapters that must not be asked before their ``retry_after``."""
+    return adapter_state.where(F.col("retry_after") > ts(now))
+
+
+def create_jobs(jobs: DataFrame, new: DataFrame, now: datetime) -> DataFrame:
+    """Jobs to append for ``new`` (idempotency_key, stage): a key that is there already, in any status, is not made again."""
+    from factloom.functions.text import det_id
+
+    fresh = new.dropDuplicates(["idempotency_key"]).join(jobs.select("idempotency_key"), "idempotency_key", "left_anti")
+    return fresh.select(det_id("job", F.col("idempotency_key")).alias("id"), "idempotency_key", "stage", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), ts(now).alias("created_at"))
+
+
 # Job leases ---------------------------------------------------------------------------------------
 
 

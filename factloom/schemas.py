@@ -18,12 +18,14 @@ TABLES = {
     "exposures": "id string, profile_id string, card_id string, exposed_at timestamp, outcome string",
     "sessions": "id string, profile_id string, status string, started_at timestamp, ended_at timestamp, position int, generation int",
     "session_cards": "session_id string, card_id string, ordinal int, reason string, fingerprint string",
-    "stage_keys": "source_id string, document_id string, parser_version string, document_key string, stage_key string, built_at timestamp",
+    "stage_keys": "source_id string, doc_id string, document_id string, parser_version string, document_key string, stage_key string, built_at timestamp",
     "caches": "cache_key string, content_sha256 string, etag string, last_modified string, fetched_at timestamp, parser_version string, document_id string, raw_bytes binary",
     "jobs": "id string, idempotency_key string, stage string, status string, attempts int, next_attempt_at timestamp, lease_owner string, lease_expires_at timestamp, error_class string, error_detail string, created_at timestamp",
     "model_usage": "id string, run_id string, task_type string, model_id string, tier string, input_tokens long, output_tokens long, cached_tokens long, latency_ms double, cache_hit boolean, failed boolean",
     "harness_events": "id string, adapter string, event_type string, occurred_at timestamp, job_status string",
-    "discovery_candidates": "id string, provider string, canonical_locator string, identity_key string, title string, discovered_at timestamp",
+    "discovery_candidates": "id string, provider string, canonical_locator string, identity_key string, title string, discovered_at timestamp, metadata map<string,string>",
+    "adapter_state": "adapter string, retry_after timestamp, detail string, updated_at timestamp",
+    "runs": "run_id string, status string, started_at timestamp, finished_at timestamp, counters map<string,long>, detail string",
 }
 
 #: table -> {violation: predicate that must hold}

@@ -1,16 +1,99 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
+import pytest
+
+from factloom import settings
 from factloom.engine import Engine
 
+NOW = datetime(2024, 1, 1)
+
+
+@pytest.fixture()
+def engine(spark, tmp_path):
+    return Engine(spark, str(tmp_path), NOW)
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
 
-def test_refresh_is_incremental(spark, tmp_path):
-    e = Engine(spark, str(tmp_path), datetime(2024, 1, 1))
+
+def test_sources_and_inspection(spark, engine):
     seeds = spark.createDataFrame([("https://a.test/x", "A"), ("https://a.test/x?utm_source=q", "B"), ("nope", "C")], "url string, title string")
-    assert e.add_sources(seeds).count() == 1 and e.add_sources(seeds).count() == 0
-    docs = spark.createDataFrame([(1, "Ocean currents transport heat around the planet.", "s", "en"), (2, "Rivers carry sediment to the sea over time.", "t", "en")], "doc_id long, text string, source string, lang string")
-    assert e.refresh(docs).count() == 2
-    assert {r.action: r.n for r in e.dry_run(docs).collect()} == {"skip": 2} and e.refresh(docs).count() == 0
-    pulse = e.table("pulses").first()
-    assert e.inspect(pulse.id).count() == 1 and e.stats().first().shown == 0
-    e.remove_sources(spark.createDataFrame([("s",)], "id string"))
-    assert e.table("pulses").count() == 1
+    assert engine.add_sources(seeds).count() == 1 and engine.add_sources(seeds).count() == 0
+    assert engine.refresh(docs(spark, [(1, "Ocean currents transport heat around the planet.", "s", "en"), (2, "Rivers carry sediment to the sea over time.", "t", "en")])).count() == 2
+    pulse = engine.table("pulses").where("source_id = 's'").first()
+    told = engine.inspect(pulse.id).first()
+    assert told.statement + told.prompt == pulse.display_fact * 2 and told.evidence[0].quote == pulse.display_fact and engine.stats().first().shown == 0
+    engine.remove_sources(spark.createDataFrame([("s",)], "id string"))
+    assert engine.table("pulses").count() == 1 and engine.table("atoms").count() == 1 and engine.table("fact_index").count() == 2
+
+
+def test_a_build_keeps_what_it_made_and_compares_with_the_stored_index(spark, engine):
+    first = [(1, "Ocean currents transport heat around the planet.", "s", "en"), (2, "Invest now: this will certainly double your money within days.", "s", "en")]
+    assert engine.refresh(docs(spark, first)).count() == 1
+    assert engine.table("atoms").count() == engine.table("evidence").count() == 2  # playable or not
+    again = [*first, (3, "Ocean currents transport heat around the planet.", "t", "en"), (4, "Ocean currents transport heat around the whole planet.", "u", "en"), (5, "Glaciers carve deep valleys as they move downhill.", "u", "en")]
+    assert {r.action: r.n for r in engine.dry_run(docs(spark, again)).collect()} == {"skip": 2, "build": 3}
+    new = engine.refresh(docs(spark, again))
+    assert [r.display_fact for r in new.collect()] == ["Glaciers carve deep valleys as they move downhill."]
+    run = engine.last_run().first()
+    assert run.status == "succeeded" and engine.runs().count() == 2
+    assert {k: run.counters[k] for k in ("documents", "documents_built", "documents_skipped", "candidates", "composed", "kept", "suppressed")} == {"documents": 5, "documents_built": 3, "documents_skipped": 2, "candidates": 3, "composed": 3, "kept": 1, "suppressed": 2}
+    assert engine.refresh(docs(spark, again)).count() == 0
+    assert [r.rank for r in engine.search("ocean heat").collect()] == [1, 2, 3] and engine.search("glaciers ocean").count() == 0
+    assert engine.search("valleys", "chunks").count() == engine.search("valleys", "fact_index").count() == 1
+    checks = {r.check: r.value for r in engine.doctor().collect()}
+    assert checks["last run succeeded"] == 1 and not any(v for k, v in checks.items() if k.startswith(("orphans", "invalid", "jobs", "queue")))
+
+
+SUBJECTS = ["Copper", "Granite", "Basalt", "Willow", "Heron", "Lichen", "Comet", "Harbor", "Lantern", "Violin"]
+ENDS = ["conducts warmth along thin wires", "resists weather for many ages", "cools from lava near ridges", "bends in strong autumn gales", "hunts small fish at dawn", "grows upon bare northern rocks", "returns after many quiet decades", "shelters boats from winter storms", "guides sailors past hidden reefs", "sings through carved maple wood"]
+
+
+def test_queues_are_prepared_shown_and_refilled(spark, engine):
+    engine.refresh(docs(spark, [(k, f"{a} {b}.", f"s{k}", ("en", "de")[k % 2]) for k, (a, b) in enumerate(zip(SUBJECTS, ENDS))]))
+    engine.set_profile("p", "en=3, de", excluded="fr")
+    assert engine.profile("p").first().topic_weights == {"en": 3.0, "de": 1.0}
+    queue = [r.card_id for r in engine.prepare("p").collect()]
+    assert len(queue) == 6 == len(set(queue)) and [r.card_id for r in engine.prepare("p").collect()] == queue
+    assert engine.refill("p") == 0
+    for _ in range(3):
+        card = engine.current_cards().first().card_id
+        engine.acknowledge("p", card)
+        engine.acknowledge("p", card)  # a repeat adds nothing
+    assert engine.table("exposures").count() == 3 and engine.stats().first().shown == 3
+    assert engine.refill("p") == 4  # all that is left: three were shown lately, three are queued
+    pending = [r.card_id for r in engine.pending_cards("p").collect()]
+    assert pending[:3] == queue[3:] and len(set(pending)) == 7
+    engine.reset_profile("p")
+    assert engine.profile("p").isEmpty()
+
+
+def test_discovery_registers_candidates_once(spark, engine):
+    answer = spark.createDataFrame([("<rss><channel><item><title>A</title><link>https://a.test/1</link></item><item><title>B</title><link>https://a.test/2</link></item></channel></rss>", "f")], "xml string, feed_url string")
+    assert engine.discover("feed", answer, 5) == {"rate_limited": 0, "results": 2, "deduplicated": 0, "candidates": 2}
+    assert engine.discover("feed", answer, 5)["candidates"] == 0
+    ids = engine.candidates().select("id").limit(1)
+    assert engine.register(ids).count() == 1 and engine.candidates().count() == 1 and engine.list_sources().count() == 1
+    engine.drop_candidates(engine.candidates().select("id"))
+    assert engine.candidates().isEmpty() and engine.discover("feed", answer, 5)["candidates"] == 1
+    engine.wait_for("feed", NOW + timedelta(minutes=5), "429")
+    assert engine.discover("feed", answer, 5)["rate_limited"] == 1
+    engine.now = NOW + timedelta(minutes=6)
+    assert engine.discover("feed", answer, 5)["rate_limited"] == 0
+
+
+def test_harness_events(spark, engine):
+    assert engine.emit("opencode", "working") and not engine.emit("manual", "working")
+    assert [r.state for r in engine.ambient_state().collect()] == ["active_work"]
+
+
+def test_settings_layers(tmp_path):
+    (tmp_path / "s.toml").write_text('queue_size = 9\nnear = 0.7\nquality_lane = "yes"\n')
+    s = settings.load(str(tmp_path / "s.toml"), {"FACTLOOM_QUEUE_SIZE": "4", "FACTLOOM_API_KEY": "k", "OTHER": "x"}, near=0.6)
+    assert (s.queue_size, s.near, s.quality_lane, s.watermark) == (4, 0.6, True, 3)
+    assert settings.shown(s)["api_key"] == "***" and not settings.capabilities(s)["model"]
+    with pytest.raises(ValueError, match="neither true nor false"):
+        settings.load(env={"FACTLOOM_QUALITY_LANE": "maybe"})
+    with pytest.raises(ValueError, match="unknown"):
+        settings.load(env={}, colour="red")
