@@ -33,7 +33,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import small_batches, trim
 
 #: Characters that count as white space for the pattern (Unicode White_Space).
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -42,7 +42,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 #: Chunks and pairs of tokens that a Python worker remembers, and the characters of the longest such chunk; they bound memory only.
-CACHE_CHUNKS, CACHE_PAIRS, CACHE_CHARS = 300_000, 400_000, 64
+CACHE_CHUNKS, CACHE_PAIRS, CACHE_CHARS = 200_000, 300_000, 64
 #: Texts that are encoded together.
 SLICE = 1024
 
@@ -264,6 +264,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
             if with_ids:
                 columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        trim()
 
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+def trim() -> None:
+    """Give freed memory of a Python worker back, at the end of a task: workers are kept, and others need it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The store of a folder that Spark names, for executors that read and write parts of files."""
     return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, drop_ids, materialize, sized_join, small_batches
+from .common import discard, drop_ids, materialize, sized_join, small_batches, trim
 from .components import connected_components
 
 SHINGLE = 5
@@ -52,7 +52,7 @@ SALTED = 20_000
 #: Groups of up to so many members list their pairs; in others each is first paired with so many leaders.
 SMALL, LEADERS = 16, 8
 #: Entries buffered before they are sent, and shingles counted before their counts are.
-BUFFER, COUNTED = 1_000_000, 2_000_000
+BUFFER, COUNTED = 500_000, 1_500_000
 #: Entries per task of the grouping step, about.
 TASK_ENTRIES = 3_000_000
 
@@ -197,6 +197,8 @@ def widespread(reps: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray]:
                     held, size = [], 0
         if size:
             yield pack(held)
+        del held
+        trim()
 
     def pack(held: list[np.ndarray]) -> pa.RecordBatch:
         value, n = np.unique(np.concatenate(held), return_counts=True)
@@ -321,6 +323,8 @@ def _meet(reps: DataFrame, counts: tuple[np.ndarray, np.ndarray], tasks: int) ->
                     keys, docs, sizes, size = [], [], [], 0
         if keys:
             yield from pack(keys, docs, sizes)
+        del keys
+        trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -342,6 +346,8 @@ def _meet(reps: DataFrame, counts: tuple[np.ndarray, np.ndarray], tasks: int) ->
             w = on[k : k + 50_000]
             longs = [pa.array(x[w].astype(np.int64)) for x in (doc, n, far)]
             yield pa.RecordBatch.from_arrays([pa.array(_signed(key[w])), longs[0], nulls(len(w)), longs[1], nulls(len(w)), longs[2], pa.array(leads[k : k + 50_000]), nulls(len(w))], out)
+        del key, doc, n, far, pairs, on, got
+        trim()
 
     out = ["key", "a", "b", "na", "nb", "far", "leads", "shared"]
     sent = reps.select("doc_id", "text").mapInArrow(send, "bucket int, keys binary, salts binary, docs binary, sizes binary, fars binary")
