@@ -80,8 +80,8 @@ def run_lane(escalated: DataFrame, cache: DataFrame, endpoint: Endpoint, budget:
     """``escalated``: key, pos, statement, evidence, escalation, required. Returns outcomes, cache rows and usage.
 
     Policy cases are rejected without a call. Rewrites that break anchors are asked for once more in the strong
-    tier; translations are judged for fidelity; what comes out is verified against the evidence. Optional
-    rewrites that fail leave the original.
+    tier; translations are judged for fidelity; what comes out is verified against the evidence, in the strong tier as
+    well where the cheap one is uncertain. Optional rewrites that fail leave the original.
     """
     task = F.lit(None).cast("string")
     for reason, name in TASK_OF.items():
@@ -104,13 +104,16 @@ def run_lane(escalated: DataFrame, cache: DataFrame, endpoint: Endpoint, budget:
     faithful = third.select("key", F.coalesce(_judged(F.col("result"))["faithful"], F.lit(False)).alias("faithful"))
     kept = good.join(faithful, "key", "left").where("task <> 'translate' OR faithful")
     fourth, left = calls(kept.select("key", "pos", F.lit("verify").alias("task"), F.concat("result", F.lit("\n"), "evidence").alias("evidence")), cache, endpoint, left)
-    weak = first.where("task = 'verify'").select("key", F.col("result").alias("judgement"))
-    judged = fourth.select("key", F.col("result").alias("judgement")).union(weak)
+    cheap = fourth.unionByName(first.where("task = 'verify'"))
+    unsure = cheap.where(F.coalesce(_judged(F.col("result"))["verdict"] == "uncertain", F.lit(False)))
+    fifth, left = calls(unsure.select("key", "pos", "task", "evidence"), cache, endpoint, left, "strong")
+    strong = fifth.select("key", F.col("result").alias("second"))
+    judged = cheap.join(strong, "key", "left").select("key", F.coalesce("second", "result").alias("judgement"))
     final = work.join(kept.select("key", "result"), "key", "left").join(judged, "key", "left").withColumn("j", _judged(F.col("judgement")))
     supported = (F.col("j.verdict") == "supported") & (F.col("j.confidence") >= 0.8)
     changed = F.col("result").isNotNull() | (F.col("task") == "verify")
     status = F.when(changed & supported, "verified").when(~F.col("required"), "verified_original").when(F.col("escalation") == "policy_ambiguity", "rejected_policy").otherwise("rejected")
     fact = F.when(status == "verified", F.coalesce("result", "statement")).when(status == "verified_original", F.col("statement"))
     outcomes = final.select("key", "escalation", status.alias("outcome"), fact.alias("fact"))
-    passes = (first, second, third, fourth)
+    passes = (first, second, third, fourth, fifth)
     return {"outcomes": outcomes, "cache": learned(*passes), "usage": usage(*passes)}

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from factloom.functions import text as T
-from factloom.operators import firewall, ledger, ranking, store
+from factloom import schemas
+from factloom.operators import firewall, ledger, ranking, search, store
 from factloom.plans import facts as P
+from factloom.plans import quality_lane as quality_lane_
 from factloom.sources import web
 from factloom.streaming import ambient
 
@@ -335,9 +337,43 @@ def run_counters(spark, sf_dir):
     return ledger.run_counters(k.withColumnsRenamed({"source_id": "run_id"}).withColumn("outcome", F.when(F.col("playable") & ~F.col("required"), "kept")))
 
 
-@query("SELECT 'events' AS table_name, count(*) FILTER (NOT json_valid(props)) AS invalid FROM events")
+@query("""SELECT 'invalid events.props' AS checked, count(*) FILTER (NOT json_valid(props)) AS value FROM events
+    UNION ALL SELECT 'orphans labels.doc_id', count(*) FROM labels WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)
+    UNION ALL SELECT 'invalid profiles', count(*) FROM customer WHERE NOT (c_custkey % 40 BETWEEN 1 AND 20)
+    UNION ALL SELECT 'jobs to recover', count(*) FROM orders WHERE o_orderkey % 3 = 0 AND o_orderdate::TIMESTAMP <= TIMESTAMP '1996-01-01'""")
 def diagnostics(spark, sf_dir):
-    return ledger.invalid_json({"events": read(spark, sf_dir, "events")}, "props")
+    """Payloads that are no JSON, labels of absent documents, customers as profiles out of their rules, orders as lapsed jobs."""
+    told = lambda df, name, value: df.select(F.lit(name).alias("checked"), F.col(value).cast("long").alias("value"))
+    docs, profiles = read(spark, sf_dir, "documents").where("doc_id % 3 <> 0"), read(spark, sf_dir, "customer").select((F.col("c_custkey") % 40).cast("int").alias("max_consecutive_topic"))
+    jobs = read(spark, sf_dir, "orders").where((F.col("o_orderkey") % 3 == 0) & (F.col("o_orderdate").cast("timestamp") <= store.ts(datetime(1996, 1, 1))))
+    return (
+        told(ledger.invalid_json({"events": read(spark, sf_dir, "events")}, "props"), "invalid events.props", "invalid")
+        .union(told(ledger.orphans(read(spark, sf_dir, "labels"), "doc_id", docs, "doc_id"), "orphans labels.doc_id", "orphans"))
+        .union(told(schemas.validate(profiles, "profiles").agg(F.count_if(F.size("violations") > 0).alias("n")), "invalid profiles", "n"))
+        .union(told(jobs.agg(F.count("*").alias("n")), "jobs to recover", "n"))
+    )
+
+
+@query(f"""WITH {_FACTS}, o AS (SELECT *, source_id = first_value(source_id) OVER (PARTITION BY fact_fingerprint ORDER BY source_id, doc_id, ordinal) AS kept FROM composed)
+    SELECT n.*, p.*, q.*, m.* FROM (SELECT count(*) AS documents, count(*) FILTER (doc_id % 4 < 2) AS documents_built, count(*) FILTER (doc_id % 4 >= 2) AS documents_skipped FROM documents) n,
+    (SELECT count(*) AS chunks, count(DISTINCT document_id) AS documents_with_chunks, coalesce(sum(length(text)), 0)::BIGINT AS characters FROM c) p,
+    (SELECT count(*) AS candidates, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'uncertain') AS uncertain, 0::BIGINT AS rejected, count(*) FILTER (r1 OR r2) AS risk_flagged, count(*) FILTER (playable) AS playable,
+      count(escalation) AS escalated, count(*) FILTER (required) AS required, {", ".join(f"count(*) FILTER (escalation = '{k}') AS {k}" for k in ("non_english", "policy_ambiguity", "multi_claim", "fidelity_rewrite", "weak_direct_support"))} FROM classified) q,
+    (SELECT count(*) AS composed, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS suppressed FROM o) m""")
+def build_counters(spark, sf_dir):
+    """Counters of a build of all documents against stored keys of every second one; exact repeats are suppressed."""
+    chunked = firewall._checkpoint(P.chunks(read(spark, sf_dir, "documents")))
+    staged = firewall._checkpoint(P.classify(P.verify(P.claims(chunked))))
+    composed = P.compose(staged.where("escalation IS NULL"))
+    outcome = composed.join(P.exact_first(composed).select("pulse_id", F.lit("kept").alias("outcome")), "pulse_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("suppressed")))
+    return ledger.build_counters(stage_skip(spark, sf_dir), chunked, staged, outcome)
+
+
+@query(f"""WITH {_VERIFIED} SELECT {_id("atom", "chunk_id", f"'{_CONTRACT}'", "claim_hash")} AS atom_id, {_id("evidence", "source_id", "document_id", "chunk_id", "claim_hash")} AS evidence_id, statement, status AS claim_status, ex AS quote, reason AS support FROM w""")
+def kept_evidence(spark, sf_dir):
+    """Atoms and evidence of all candidates, playable or not, as a build stores them."""
+    v = P.verify(P.claims(P.chunks(read(spark, sf_dir, "documents"))))
+    return v.select("atom_id", "evidence_id", "statement", F.col("status").alias("claim_status"), F.substring("text", 1, 500).alias("quote"), F.col("reason").alias("support"))
 
 
 @query("SELECT ts, event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
@@ -380,6 +416,41 @@ def bm25_topk(spark, sf_dir):
     return got.select("probe_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(rf"""WITH tk AS (SELECT doc_id, regexp_extract_all({_fold("text")}, '[a-z0-9]+') AS ts FROM documents),
+    post AS (SELECT doc_id, t AS token, len(ts) AS dl, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS t FROM tk) GROUP BY ALL),
+    st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT doc_id, dl FROM post)), df AS (SELECT token, count(*) AS df FROM post GROUP BY 1),
+    q AS (SELECT item_id, list_distinct(regexp_extract_all({_fold("text")}, '[a-z0-9]+')[1:3]) AS ts FROM benchmark), a AS (SELECT item_id, len(ts) AS n_terms, unnest(ts) AS token FROM q),
+    s AS (SELECT item_id, doc_id, n_terms, count(*) AS held, -sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+          FROM a JOIN post USING (token) JOIN df USING (token), st GROUP BY ALL HAVING count(*) = n_terms)
+    SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9), doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 20""")
+def search_documents(spark, sf_dir):
+    """Documents that hold the first three words of a benchmark item, in any order."""
+    words = F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))
+    q = read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(words, 1, 3), " ").alias("query"))
+    got = search.search(read(spark, sf_dir, "documents"), q, 20, "doc_id", "text", "item_id")
+    return got.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def quality_lane(spark, sf_dir):
+    """Escalated candidates through the model lane, with an endpoint that answers by rule and a budget of 200 calls."""
+    k = P.classify(P.verify(P.claims(P.chunks(read(spark, sf_dir, "documents")))))
+    pos = F.concat_ws("|", "source_id", F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lpad(F.col("ordinal").cast("string"), 6, "0"))
+    rows = k.where("escalation IS NOT NULL").select(F.col("atom_id").alias("key"), pos.alias("pos"), "statement", F.substring("text", 1, 500).alias("evidence"), "escalation", "required")
+    none = spark.createDataFrame([], "cache_key string, result string")
+    return quality_lane_.run_lane(firewall._checkpoint(rows), none, _rule, 200)["outcomes"]
+
+
+def _rule(task: str, tier: str, prompts: list[str]) -> list[tuple[str | None, int, int]]:
+    """Repeats what it was given; as a judge it is unsure in the cheap tier and agrees in the strong one."""
+    told = [p.split("\n\n", 1)[1] for p in prompts]
+    if task == "fidelity":
+        return [('{"faithful": true, "reason": "same"}', len(t), 1) for t in told]
+    if task == "verify":
+        return [(f'{{"verdict": "{"supported" if tier == "strong" else "uncertain"}", "confidence": 0.9, "reason": "rule"}}', len(t), 1) for t in told]
+    return [(t.split("\n")[0], len(t), 1) for t in told]
+
+
 @query(f"WITH {_FACTS} SELECT fact_fingerprint, count(*) AS facts, count(DISTINCT source_id) AS sources FROM composed GROUP BY 1 HAVING count(*) > 1")
 def exact_dups(spark, sf_dir):
     return _composed(spark, sf_dir).groupBy("fact_fingerprint").agg(F.count("*").alias("facts"), F.countDistinct("source_id").alias("sources")).where("facts > 1")
@@ -449,18 +520,39 @@ def _harness(spark, sf_dir):
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), ambient._lookup(kinds, F.col("event_type")).alias("event_type"), F.lit("opencode").alias("adapter"))
 
 
-@query()
+def _changes_sql(at: str) -> str:
+    """CTE ``changes``: a fold over each session's events, with the time ``at`` of an event."""
+    return f"""k AS (SELECT user_id AS session_id, {at} AS t, CASE event_type WHEN 'signup' THEN 'active_work' WHEN 'click' THEN 'active_work' WHEN 'view' THEN 'waiting_or_idle'
+          WHEN 'purchase' THEN 'turn_complete' WHEN 'error' THEN 'quiet' END AS state FROM events),
+        l AS (SELECT session_id, list({{'t': t, 'state': state}} ORDER BY t, state) AS es FROM k WHERE state IS NOT NULL GROUP BY 1),
+        r AS (SELECT session_id, list_reduce(list_transform(es, lambda x: {{'out': [x], 'last': x}}), lambda a, x: CASE WHEN a.last.state <> x.last.state
+          OR epoch_us(x.last.t) - epoch_us(a.last.t) > 600000000 THEN {{'out': list_concat(a.out, x.out), 'last': x.last}} ELSE a END) AS r FROM l),
+        changes AS (SELECT session_id, c.t AS changed_at, c.state AS state FROM (SELECT session_id, unnest(r.out) AS c FROM r))"""
+
+
+@query(f"WITH {_changes_sql('ts::TIMESTAMP')} SELECT session_id, changed_at, state FROM changes")
 def ambient_states(spark, sf_dir):
-    return ambient.changes(ambient.normalize(_harness(spark, sf_dir)))
+    return ambient.changes(ambient.normalize(_harness(spark, sf_dir))).withColumnRenamed("at", "changed_at")
+
 
+_NEAR = f"make_timestamp(epoch_us({NOW_SQL}) - (epoch_us({NOW_SQL}) - epoch_us(ts::TIMESTAMP)) // 2000)"
 
-@query(f"""WITH l AS (SELECT user_id AS session_id, max(ts) AS m FROM events GROUP BY 1) SELECT session_id, CASE WHEN epoch({NOW_SQL} - m) <= 600 THEN 'fresh' ELSE 'unknown' END AS state, 'quiet' AS posture FROM l""")
+
+@query(f"""WITH {_changes_sql(_NEAR)}, c AS (SELECT session_id, max_by(state, changed_at) AS state, max(changed_at) AS t FROM changes GROUP BY 1),
+    s AS (SELECT session_id, CASE WHEN epoch_us({NOW_SQL}) - epoch_us(t) <= 600000000 THEN state ELSE 'unknown' END AS state FROM c)
+    SELECT session_id, state, CASE WHEN state = 'active_work' THEN 'active' ELSE 'quiet' END AS posture FROM s""")
 def ambient_current(spark, sf_dir):
-    got = ambient.current(ambient.changes(_harness(spark, sf_dir)), store.ts(NOW))
-    return got.select("session_id", F.when(F.col("state") == "unknown", "unknown").otherwise("fresh").alias("state"), "posture")
+    """The month of events is drawn together into some twenty minutes before ``NOW``, so that some states are fresh and some stale."""
+    now = F.unix_micros(store.ts(NOW))
+    near = _harness(spark, sf_dir).withColumn("ts", F.timestamp_micros(now - F.expr(f"(unix_micros(TIMESTAMP'{NOW:%Y-%m-%d %H:%M:%S}') - unix_micros(ts)) div 2000")))
+    return ambient.current(ambient.changes(near), store.ts(NOW))
 
 
-@query()
+@query("""WITH k AS (SELECT user_id AS session_id, ts::TIMESTAMP AS ts, CASE event_type WHEN 'signup' THEN 'session_start' WHEN 'click' THEN 'working' WHEN 'view' THEN 'idle' WHEN 'purchase' THEN 'turn_complete' WHEN 'error' THEN 'session_end' END AS event_type FROM events),
+    l AS (SELECT session_id, list({'ts': ts, 'event_type': event_type} ORDER BY ts, event_type NULLS FIRST) AS es FROM k GROUP BY 1),
+    r AS (SELECT session_id, list_reduce(list_transform(es, lambda x: {'out': [x], 'last': x}), lambda a, x: CASE WHEN a.last.event_type = x.last.event_type
+      AND epoch_us(x.last.ts) - epoch_us(a.last.ts) < 3600000000 THEN a ELSE {'out': list_concat(a.out, x.out), 'last': x.last} END) AS r FROM l)
+    SELECT session_id, e.ts AS ts, e.event_type AS event_type FROM (SELECT session_id, unnest(r.out) AS e FROM r)""")
 def debounced_events(spark, sf_dir):
     return ambient.debounce(_harness(spark, sf_dir), seconds=3600)
 
@@ -493,12 +585,10 @@ def fetch_actions(spark, sf_dir):
 @query()
 def lease_transitions(spark, sf_dir):
     """Orders as jobs: claimed by a, then lapsed ones recovered."""
-    o = read(spark, sf_dir, "orders").limit(0).select(F.col("o_orderkey").cast("string").alias("id"))
     jobs = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "running").otherwise("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("next_attempt_at"),
         F.when(F.col("o_orderkey") % 3 == 0, "b").alias("lease_owner"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate").cast("timestamp")).alias("lease_expires_at"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
     )
-    del o
     claimed = store.claim(jobs, jobs.select("id"), "a", datetime(1995, 1, 1))
     return store.recover(claimed, datetime(1996, 1, 1)).groupBy("status", "lease_owner").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
 

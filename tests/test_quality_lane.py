@@ -54,3 +54,16 @@ def test_budget(spark):
     empty = spark.createDataFrame([], "cache_key string, result string")
     got = L.run_lane(frame(spark, ROWS[:1]), empty, endpoint, 1)
     assert got["outcomes"].first().outcome == "rejected" and got["cache"].count() == 1
+
+
+def test_an_uncertain_judgement_is_asked_again_in_the_strong_tier(spark):
+    def judge(task, tier, prompts):
+        return [(json.dumps({"verdict": "supported" if tier == "strong" and "first" in p else "uncertain", "confidence": 0.9, "reason": "r"}), 1, 1) for p in prompts]
+
+    rows = [("a", 1, "The first holds.", "x", "weak_direct_support", True), ("b", 2, "The other holds.", "y", "weak_direct_support", True)]
+    empty = spark.createDataFrame([], "cache_key string, result string")
+    got = L.run_lane(frame(spark, rows), empty, judge, 50)
+    assert {r.key: r.outcome for r in got["outcomes"].collect()} == {"a": "verified", "b": "rejected"}
+    assert {r.tier: r["count"] for r in got["usage"].groupBy("tier").count().collect()} == {"cheap": 2, "strong": 2}
+    spent = L.run_lane(frame(spark, rows[:1]), empty, judge, 2)  # the call that exhausts the budget is not used
+    assert spent["outcomes"].first().outcome == "rejected"
