@@ -44,14 +44,15 @@ MAGIC = b"TOKZ0001"
 END_ID = 2
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2000, 4096, 65536
 #: Words that a Python worker remembers, and the bytes of the longest such word; they bound memory only.
-CACHE_WORDS, CACHE_BYTES = 300_000, 64
+CACHE_WORDS, CACHE_BYTES = 500_000, 64
 #: Words that the library encodes in one call.
 TOGETHER = 2000
 #: Printable ASCII and precomposed Latin letters: NFC leaves them as they are, and case folds letter by letter.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+PLAIN_LINES = re.compile(r"[\n!-~À-ÖØ-öø-ÿ]+").fullmatch
 PLAIN_TEXT = re.compile(r"[\x20\x09-\x0D!-~À-ÖØ-öø-ÿ]*").fullmatch
 #: Fixed value: the pattern of the vocabulary's file, for lower-case words of plain characters.
-CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n").findall
 NULL_ID = -(1 << 63)
 #: Documents per batch that a worker returns.
 SLICE = 1024
@@ -62,8 +63,8 @@ SHARD_MB = 64
 class WordTokenizer:
     """The tokenizers library behind a cache of words: its normaliser and pattern never join text across ASCII white space.
 
-    A word of ``PLAIN`` characters is unchanged by the normaliser but for case, so it is cut by ``CUT`` here and only
-    the library's BPE model runs on it, many words in one call; the model marks the last id of every cut part, which
+    A word of ``PLAIN`` characters is unchanged by the normaliser but for case, so it is cut by ``CUT`` here, many words in one
+    pass, and only the library's BPE model runs on them in one call; the model marks the last id of every cut part, which
     tells where a word's ids end. Words of other characters go through the whole library and are told apart by offsets.
     Texts of plain characters without "<|" are lower-cased first, as the library would do.
     """
@@ -83,23 +84,31 @@ class WordTokenizer:
 
     def _learn(self, words: list[bytes]) -> None:
         """Ids of distinct words, none of which holds ASCII white space."""
-        plain, other = [], []
-        for w in words:
-            text = w.decode()
-            if PLAIN(text) and "<|" not in text:
-                plain.append((w, CUT(text.lower())))
-            else:
-                other.append((w, text))
-        for k in range(0, len(plain), TOGETHER):
-            self._learn_plain(plain[k : k + TOGETHER])
+        other = []
+        for alike in ([w for w in words if w.isascii()], [w for w in words if not w.isascii()]):
+            for k in range(0, len(alike), TOGETHER):
+                some = alike[k : k + TOGETHER]
+                lines = b"\n".join(some).decode()
+                if not PLAIN_LINES(lines) or "<|" in lines:
+                    odd = [(w, t) for w, t in zip(some, lines.split("\n"), strict=True) if not PLAIN(t) or "<|" in t]
+                    other += odd
+                    gone = {w for w, _ in odd}
+                    some = [w for w in some if w not in gone]
+                    lines = b"\n".join(some).decode()
+                if some:
+                    self._learn_plain(some, lines.lower())
         for k in range(0, len(other), TOGETHER):
             self._learn_other(*zip(*other[k : k + TOGETHER], strict=True))
 
-    def _learn_plain(self, cut: list[tuple[bytes, list[str]]]) -> None:
-        e = self.lean.encode_batch_fast([" ".join(itertools.chain.from_iterable(p for _, p in cut))], add_special_tokens=False)[0]
+    def _learn_plain(self, words: list[bytes], lines: str) -> None:
+        """``lines``: the words in lower case, one a line."""
+        parts = CUT(lines)
+        breaks = [k for k, p in enumerate(parts) if p == "\n"]
+        through = np.array([*breaks, len(parts)]) - np.arange(len(words))  # parts up to the end of each word
+        e = self.lean.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0]
         ids = np.array(e.ids, "<u4")
-        last = np.flatnonzero(self.ends[ids])[np.cumsum([len(p) for _, p in cut]) - 1]
-        self._keep([w for w, _ in cut], ids, [0, *(4 * (last + 1)).tolist()])
+        last = np.flatnonzero(self.ends[ids])[through - 1]
+        self._keep(words, ids, [0, *(4 * (last + 1)).tolist()])
 
     def _learn_other(self, words: tuple[bytes], texts: tuple[str]) -> None:
         e = self.t.encode(" ".join(texts), add_special_tokens=False)
