@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from factloom.llm import language_id as L
@@ -42,3 +44,45 @@ def test_whole_text_is_counted_in_pieces(monkeypatch):
     whole = L.counts(text)
     monkeypatch.setattr(L, "PIECE", 10)
     assert (L.counts(text) == whole).all()
+
+
+def plain_ftrl(rows, n_langs):
+    """The same updates, one coordinate at a time in plain Python."""
+    z, n = {}, {}
+
+    def weight(k):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= L.L1 else (math.copysign(L.L1, v) - v) / ((L.BETA + math.sqrt(n.get(k, 0.0))) / L.ALPHA + L.L2)
+
+    rng = np.random.default_rng(7)
+    for _ in range(L.EPOCHS):
+        for r in rng.permutation(len(rows)):
+            at, x, y = rows[r]
+            told = [*zip(at.tolist(), x.tolist(), strict=True), (L.BUCKETS, 1.0)]
+            w = {(a, c): weight((a, c)) for a, _ in told for c in range(n_langs)}
+            score = [sum(v * w[a, c] for a, v in told) for c in range(n_langs)]
+            top = max(score)
+            e = [math.exp(s - top) for s in score]
+            for a, v in told:
+                for c in range(n_langs):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    old = n.get((a, c), 0.0)
+                    n[a, c] = old + g * g
+                    z[a, c] = z.get((a, c), 0.0) + g - (math.sqrt(n[a, c]) - math.sqrt(old)) / L.ALPHA * w[a, c]
+    return {k: weight(k) for k in z}
+
+
+def test_training_equals_plain_updates():
+    r = np.random.default_rng(3)
+    rows = []
+    for _ in range(40):
+        at = np.sort(r.choice(60, 12, replace=False))
+        rows.append((at, r.random(12), int(r.integers(3))))
+    got, want = L.ftrl(rows, 3), plain_ftrl(rows, 3)
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and np.count_nonzero(got) == sum(v != 0 for v in want.values())
+
+
+def test_extra_columns_and_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "the and with " * 100_000, "en", 1.0), (2, "der und nicht", "de", 2.0), (2, "der und nicht", "de", 2.0)], "doc_id long, text string, lang string, score double")
+    out = L.predict(docs, L.fit(docs, F.lit(True)))
+    assert out.columns == ["doc_id", "lang_pred", "score"] and out.count() == 3 and all(0 <= r.score <= 1 for r in out.collect())

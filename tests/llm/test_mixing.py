@@ -7,11 +7,13 @@ from factloom.llm import mixing as M
 
 
 def brute_rates(t, p, have, aim, max_rate):
-    r = np.ones(len(t))
-    for _ in range(M.STEPS):
-        error = (t * r) @ p - aim
-        if np.abs(error).max() <= M.TOLERANCE * max(1.0, aim.sum()):
+    r, scale, before = np.ones(len(t)), max(1.0, aim.sum()), np.inf
+    for _ in range(M.STEPS * M.ROUNDS):
+        got = (t * r) @ p
+        error = got - aim
+        if np.abs(error).max() <= M.TOLERANCE * scale or np.abs(got - before).max() <= M.STILL * scale:
             break
+        before = got
         r = np.clip(r - p @ np.divide(error, have, out=np.zeros_like(error), where=have > 0), 0, max_rate)
     return r
 

@@ -1,6 +1,10 @@
 import base64
 import hashlib
+import json
+import struct
+import zlib
 
+import pytest
 from factloom.llm import warc as A
 
 ROWS = [
@@ -58,3 +62,38 @@ def test_index_finds_every_capture(spark, monkeypatch):
 def test_keys(spark):
     got = spark.createDataFrame([(u,) for _, u, _ in ROWS], "u string").select(A.surt(A.F.col("u"))).collect()
     assert [r[0] for r in got][:5] == ["com,example,www)/a?x=1", "org,example,b)/é", "com,example,a)/", "-", "nonsense\r\nX: y"]
+
+
+def test_rows_come_from_the_index(spark):
+    """A line lost from a block, and one that points elsewhere, are told."""
+    names = "page_id long, url string, html string, `payload` string, `key` string, `first_id` long, `a.b` string"
+    pages = spark.createDataFrame([(k, f"http://h.example.com/{k}", f"<p>{k}</p>", "p", "k", 0, "x") for k in range(9)], names)
+    uri, manifest = A.write_archives(pages)
+    assert A.read_archives(uri, manifest).count() == 9
+    for change in (lambda x: x[:-1], lambda x: [*x[:-1], [x[-1][0], x[-1][1], *x[0][2:]]]):
+        folder = uri.removeprefix("file://")
+        name = manifest.first().archive
+        with open(f"{folder}/{name}.cdx", "rb") as f:
+            data = f.read()
+        (size,) = struct.unpack("<q", data[-8:])
+        (first, at, n), *_ = json.loads(data[-8 - size : -8])
+        lines = change([json.loads(x) for x in zlib.decompress(data[at : at + n], 31).decode().split("\n")])
+        block = A._gzip("\n".join(json.dumps(x) for x in lines).encode())
+        tail = json.dumps([[first, 0, len(block)]]).encode()
+        with open(f"{folder}/{name}.cdx", "wb") as f:
+            f.write(block + tail + struct.pack("<q", len(tail)))
+        with pytest.raises(Exception, match="has (8 of 9 records|another record)"):
+            A.read_archives(uri, manifest).collect()
+        with open(f"{folder}/{name}.cdx", "wb") as f:
+            f.write(data)
+
+
+def test_ranges_join_neighbours_up_to_the_bound(monkeypatch):
+    class File:
+        def read_at(self, n, at):
+            return bytes(range(at, at + n))
+
+    lines = [["k", 1, 0, 4], ["k", 2, 4, 3], ["k", 3, 9, 2], ["k", 4, 11, 9], ["k", 5, 20, 1]]
+    monkeypatch.setattr(A, "RANGE_BYTES", 8)
+    got = [([i for i, *_ in ids], start, len(data)) for ids, start, data in A.ranges(File(), lines)]
+    assert got == [([1, 2], 0, 7), ([3], 9, 2), ([4], 11, 9), ([5], 20, 1)]
