@@ -65,7 +65,15 @@ def test_sequences(spark):
     assert [(r.card_ids, r.valid) for r in got] == [(["x", "y"], True), (["x", "y"], False), (["x"], False)]
 
 
+def test_first_source_of_a_fact_keeps_all_of_its_own(spark):
+    rows = [("f", "b", 1, 0), ("f", "a", 9, 1), ("f", "a", 2, 0), ("g", "c", 1, 0), ("h", None, 1, 0), ("h", "a", 1, 0)]
+    got = P.exact_first(spark.createDataFrame(rows, "fact_fingerprint string, source_id string, doc_id long, ordinal int")).collect()
+    assert sorted((r.fact_fingerprint, r.source_id, r.doc_id) for r in got) == [("f", "a", 2), ("f", "a", 9), ("g", "c", 1)]
+
+
 def test_no_python_in_the_plan(spark):
-    plan = P.facts(docs(spark, "A b."))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    composed = P.compose(P.classify(P.verify(P.claims(P.chunks(docs(spark, "A b."))))))
+    for df in (composed, P.exact_first(composed)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
     assert F is not None
