@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import urllib.error
@@ -11,6 +12,7 @@ from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -142,14 +144,17 @@ def retry_delay(attempt: int, base: float = 0.25) -> float:
     return base * 2**attempt
 
 
-def fetch(url: str, headers: dict[str, str] | None = None, max_bytes: int = 2_000_000, timeout: float = 10.0, attempts: int = 3, opener: Callable | None = None, sleep: Callable[[float], None] = time.sleep) -> dict:
-    """One bounded, conditional request; transient failures are tried again with growing delays. A body over the bound is cut and flagged."""
-    opener = opener or urllib.request.urlopen
+def fetch(url: str, headers: dict[str, str] | None = None, max_bytes: int = 2_000_000, timeout: float = 10.0, attempts: int = 3, opener: Callable | None = None, sleep: Callable[[float], None] = time.sleep, body: bytes | None = None) -> dict:
+    """One bounded, conditional request; transient failures are tried again with growing delays. A body over the bound is cut and flagged.
+
+    With ``body`` it is a POST, which is sent once.
+    """
+    opener, attempts = opener or urllib.request.urlopen, attempts if body is None else 1
     for attempt in range(attempts):
-        status, body, got = None, b"", {}
+        status, got_body, got = None, b"", {}
         try:
-            with opener(urllib.request.Request(url, headers=headers or {}), timeout=timeout) as r:
-                status, body, got = r.status, r.read(max_bytes + 1), dict(r.headers)
+            with opener(urllib.request.Request(url, data=body, headers=headers or {}), timeout=timeout) as r:
+                status, got_body, got = r.status, r.read(max_bytes + 1), dict(r.headers)
         except urllib.error.HTTPError as e:
             status, got = e.code, dict(e.headers or {})
         except OSError:
@@ -157,18 +162,74 @@ def fetch(url: str, headers: dict[str, str] | None = None, max_bytes: int = 2_00
         if status is not None and status not in TRANSIENT or attempt == attempts - 1:
             break
         sleep(retry_delay(attempt))
-    return {"url": url, "status": status, "body": body[:max_bytes], "truncated": len(body) > max_bytes, "mime_type": got.get("Content-Type", "").split(";")[0].strip().lower(), "etag": got.get("ETag"), "last_modified": got.get("Last-Modified")}
+    return {
+        "url": url, "status": status, "body": got_body[:max_bytes], "truncated": len(got_body) > max_bytes, "mime_type": got.get("Content-Type", "").split(";")[0].strip().lower(),
+        "etag": got.get("ETag"), "last_modified": got.get("Last-Modified"), "retry_after": got.get("Retry-After"),
+    }
+
+
+class BudgetSpent(RuntimeError):
+    """No request is left."""
+
+
+class RequestBudget:
+    """Requests that one discovery may make: two more than the results it may give."""
+
+    def __init__(self, limit: int):
+        self.left, self.made, self.received = limit + 2, 0, 0
+
+    def take(self) -> None:
+        if not self.left:
+            raise BudgetSpent(f"all {self.made} requests are made")
+        self.left, self.made = self.left - 1, self.made + 1
+
+
+def fetch_json(url: str, budget: RequestBudget, post: object = None, max_bytes: int = 1_000_000, **how) -> dict:
+    """An answer of a JSON service: url, json (text of an object or array, else NULL), error and retry_after in seconds.
+
+    Errors: rate_limited (429, or 403 that names a delay), transient, permanent, too_large (nothing is cut here), not_json.
+    """
+    budget.take()
+    body = None if post is None else json.dumps(post).encode()
+    r = fetch(url, {"Accept": "application/json"} | ({"Content-Type": "application/json"} if body else {}), max_bytes, body=body, **how)
+    budget.received += len(r["body"])
+    status, delay = r["status"], r["retry_after"] if (r["retry_after"] or "").isdigit() else None
+    error, told = None, None
+    if status == 429 or status == 403 and r["retry_after"]:
+        error = "rate_limited"
+    elif status is None or status in TRANSIENT:
+        error = "transient"
+    elif status != 200:
+        error = "permanent"
+    elif r["truncated"]:
+        error = "too_large"
+    else:
+        try:
+            told = r["body"].decode()
+            error = None if isinstance(json.loads(told), dict | list) else "not_json"
+        except ValueError:
+            error = "not_json"
+    return {"url": url, "json": told if error is None else None, "error": error, "retry_after": int(delay) if delay else None}
+
+
+def batches(ids: DataFrame, column: str = "id", most: int = 100) -> DataFrame:
+    """(batch, ids): distinct ids in groups of at most ``most``, for services that answer for many at once."""
+    hashed = ids.select(column).distinct().select(column, F.floor((F.row_number().over(W.partitionBy(F.pmod(F.xxhash64(column), F.lit(256))).orderBy(column)) - 1) / most).alias("n"), F.pmod(F.xxhash64(column), F.lit(256)).alias("part"))
+    return hashed.groupBy("part", "n").agg(F.sort_array(F.collect_list(column)).alias("ids")).select(F.concat_ws("-", "part", "n").alias("batch"), "ids")
 
 
 class HttpSource(DataSource):
-    """``spark.read.format("factloom_http").option("urls", "a b c")``: one partition per group of addresses."""
+    """``spark.read.format("factloom_http").option("urls", "a b c")``: one partition per group of addresses.
+
+    Instead of ``urls``, ``requests`` is a JSON list of objects with url and headers, such as those for conditional requests.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "factloom_http"
 
     def schema(self) -> str:
-        return "url string, status int, body binary, truncated boolean, mime_type string, etag string, last_modified string"
+        return "url string, status int, body binary, truncated boolean, mime_type string, etag string, last_modified string, retry_after string"
 
     def reader(self, schema):
         return _HttpReader(self.options)
@@ -176,11 +237,12 @@ class HttpSource(DataSource):
 
 class _HttpReader(DataSourceReader):
     def __init__(self, options):
-        self.urls, self.per, self.most = options.get("urls", "").split(), int(options.get("urls_per_partition", 20)), int(options.get("max_bytes", 2_000_000))
+        told = json.loads(options["requests"]) if "requests" in options else [{"url": u} for u in options.get("urls", "").split()]
+        self.requests, self.per, self.most = told, int(options.get("urls_per_partition", 20)), int(options.get("max_bytes", 2_000_000))
 
     def partitions(self):
-        return [InputPartition(self.urls[k : k + self.per]) for k in range(0, len(self.urls), self.per)] or [InputPartition([])]
+        return [InputPartition(self.requests[k : k + self.per]) for k in range(0, len(self.requests), self.per)] or [InputPartition([])]
 
     def read(self, partition) -> Iterator[tuple]:
-        for url in partition.value:
-            yield tuple(fetch(url, max_bytes=self.most).values())
+        for r in partition.value:
+            yield tuple(fetch(r["url"], r.get("headers"), max_bytes=self.most).values())

@@ -1,12 +1,14 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from factloom.operators import store
 from factloom.sources import web
 from factloom.streaming import ambient
 
-T0 = datetime(2024, 1, 1)
+T0 = NOW = datetime(2024, 1, 1)
 EVENTS = [(1, 0, "session_start"), (1, 5, "working"), (1, 9, "idle"), (1, 12, "turn_complete"), (2, 0, "working"), (2, 500, "working"), (2, 601, "working"), (2, 610, "bogus")]
 
 
@@ -108,3 +110,69 @@ def test_fetch_retries_and_cuts():
 
     got = web.fetch("http://a.test/", max_bytes=5, opener=opener, sleep=waits.append)
     assert got["body"] == b"xxxxx" and got["truncated"] and got["mime_type"] == "text/plain" and waits == [0.25, 0.5] and web.retry_delay(2) == 1.0
+
+
+class Answer:
+    def __init__(self, status, body, headers=()):
+        self.status, self.body, self.headers = status, body, dict(headers)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return None
+
+    def read(self, n):
+        return self.body[:n]
+
+
+def test_json_services_tell_what_went_wrong():
+    import urllib.error
+
+    def ask(status, body=b"[]", headers=(), **how):
+        seen = []
+
+        def opener(request, timeout):
+            seen.append(request)
+            if status != 200:
+                raise urllib.error.HTTPError(request.full_url, status, "", dict(headers), None)
+            return Answer(status, body, headers)
+
+        got = web.fetch_json("http://a.test/", web.RequestBudget(1), opener=opener, sleep=lambda _: None, **how)
+        return got["json"], got["error"], got["retry_after"], len(seen), seen[0].get_method()
+
+    assert ask(200, b'{"a": 1}') == ('{"a": 1}', None, None, 1, "GET")
+    assert ask(200, b'"text"')[1] == ask(200, b"{")[1] == "not_json" and ask(200, b"[" * 40, max_bytes=10)[1] == "too_large"
+    assert ask(429, headers={"Retry-After": "30"})[1:4] == ("rate_limited", 30, 3) and ask(403, headers={"Retry-After": "5"})[1:3] == ("rate_limited", 5)
+    assert ask(403)[1:4] == ("permanent", None, 1) and ask(503)[1:4] == ("transient", None, 3)
+    assert ask(503, post={"ids": [1]})[1:] == ("transient", None, 1, "POST")  # a POST is sent once
+    budget = web.RequestBudget(1)
+    for _ in range(3):
+        budget.take()
+    with pytest.raises(web.BudgetSpent):
+        budget.take()
+
+
+def test_ids_go_in_batches(spark):
+    ids = spark.range(3000).select((F.col("id") % 2500).cast("string").alias("id"))
+    got = web.batches(ids, most=5).collect()
+    assert max(len(b.ids) for b in got) == 5 and sorted(i for b in got for i in b.ids) == sorted(map(str, range(2500))) and len({b.batch for b in got}) == len(got)
+
+
+def test_cached_answers(spark):
+    caches = spark.createDataFrame([("a", "s1", "e", None, "d1"), ("b", "s2", None, "l", "gone"), ("c", "s3", "e", "l", "gone")], "cache_key string, content_sha256 string, etag string, last_modified string, document_id string")
+    asked = store.request_headers(spark.createDataFrame([("a",), ("b",), ("new",)], "cache_key string"), caches)
+    assert {r.cache_key: r.headers for r in asked.collect()} == {"a": {"If-None-Match": "e"}, "b": {"If-Modified-Since": "l"}, "new": {}}
+    documents = spark.createDataFrame([("d1", "s1", 1), ("d2", "s2", 1), ("d3", "s2", 2)], "id string, content_sha256 string, captured_at long")
+    chunks = spark.createDataFrame([("c2", "d1", 1, "two"), ("c1", "d1", 0, "one"), ("c3", "d3", 0, "three")], "id string, document_id string, ordinal int, text string")
+    actions = spark.createDataFrame([("a", "reuse"), ("b", "reuse"), ("c", "reuse"), ("x", "fetch")], "cache_key string, action string")
+    got = {r.cache_key: (r.document_id, [c.text for c in r.chunks]) for r in store.reloaded(actions, caches, documents, chunks).collect()}
+    assert got == {"a": ("d1", ["one", "two"]), "b": ("d3", ["three"])}
+    answer = spark.createDataFrame([("a", "fetch", b"x", "e2", None, "p", "d9"), ("b", "reuse", None, None, None, "p", None)], "cache_key string, action string, body binary, etag string, last_modified string, parser_version string, document_id string")
+    assert [(r.cache_key, r.etag, len(r.content_sha256)) for r in store.cache_updates(answer, NOW).collect()] == [("a", "e2", 64)]
+
+
+def test_jobs_are_made_once(spark):
+    jobs = spark.createDataFrame([("j", "k1", "succeeded")], "id string, idempotency_key string, status string")
+    new = spark.createDataFrame([("k1", "build"), ("k2", "build"), ("k2", "build")], "idempotency_key string, stage string")
+    assert [(r.idempotency_key, r.status) for r in store.create_jobs(jobs, new, NOW).collect()] == [("k2", "pending")]
