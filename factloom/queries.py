@@ -164,13 +164,33 @@ def facts(spark, sf_dir):
     return P.facts(read(spark, sf_dir, "documents")).select("pulse_id", "card_id", "atom_id", "doc_id", "source_id", "chunk_id", "display_fact", "fact_fingerprint")
 
 
-@query()
+def _numbers(x: str) -> str:
+    spelled = ", ".join(f"CASE WHEN {_word(_fold(x), w)} THEN '{v}' END" for w, v in T.NUMBER_WORDS.items())
+    return rf"list_sort(list_distinct(list_concat(regexp_extract_all({x}, '\d+(?:\.\d+)?(?:%|th|rd|st|nd)?'), regexp_extract_all({x}, '\b(?:19|20)\d{{2}}\b'), list_filter([{spelled}], lambda n: n IS NOT NULL))))"
+
+
+def _directions(x: str) -> str:
+    return rf"list_sort(list_distinct(regexp_extract_all({_fold(x)}, '\b(?:{T.DIRECTION})\b')))"
+
+
+def _both(words: str) -> tuple[str, str]:
+    a, b = _word("statement", words), _word("after", words)
+    return f"{a} <> {b}", f"({b} AND NOT {a})"
+
+
+@query(rf"""WITH {_CLAIMS}, p AS (SELECT doc_id, ordinal, statement, lead(statement) OVER (PARTITION BY document_id ORDER BY ordinal) AS after FROM claims),
+    n AS (SELECT *, {_numbers("statement")} AS na, {_numbers("after")} AS nb FROM p WHERE after IS NOT NULL)
+    SELECT doc_id, ordinal, array_to_string(list_filter([CASE WHEN len(list_filter(nb, lambda x: NOT list_contains(na, x))) > 0 THEN 'numbers' END, CASE WHEN {_both(T.NEGATION)[0]} THEN 'negation' END,
+      CASE WHEN {_both(T.COMPARE)[1]} THEN 'comparison_direction' END, CASE WHEN {_both(T.HEDGE)[0]} THEN 'modality' END, CASE WHEN {_both(T.CERTAIN)[1]} THEN 'certainty_added' END,
+      CASE WHEN {_both(T.CAUSAL)[1]} THEN 'causality_added' END, CASE WHEN {_both(T.SUPERLATIVE)[1]} THEN 'superlative_added' END], lambda v: v IS NOT NULL), ',') AS violations,
+      na <> nb OR {_both(T.NEGATION)[0]} OR {_directions("statement")} <> {_directions("after")} AS conflict FROM n""")
 def anchor_violations(spark, sf_dir):
     """Each claim against the next claim of its document, as if one were a rewrite of the other."""
     c = P.claims(P.chunks(read(spark, sf_dir, "documents")))
     nxt = F.lead("statement").over(W.partitionBy("document_id").orderBy("ordinal"))
     pairs = c.select("doc_id", "ordinal", "statement", nxt.alias("after")).where("after IS NOT NULL")
-    return pairs.select("doc_id", "ordinal", T.anchor_violations(F.col("statement"), F.col("after")).alias("violations"), T.anchor_conflict(T.anchors(F.col("statement")), T.anchors(F.col("after"))).alias("conflict"))
+    broken = F.array_join(T.anchor_violations(F.col("statement"), F.col("after")), ",")
+    return pairs.select("doc_id", "ordinal", broken.alias("violations"), T.anchor_conflict(T.anchors(F.col("statement")), T.anchors(F.col("after"))).alias("conflict"))
 
 
 # Joins and store -----------------------------------------------------------------------------------
