@@ -11,7 +11,8 @@ A conversation is one string in the end, so it must fit one row; its events are
 sorted partition, folded per message, and only final messages are collected per conversation.
 
 Edge cases: null text and null role are empty; a null kind is ``message``; a null conv_id forms a
-conversation of its own; events equal in turn and seq go by role, then text; an empty log gives no rows.
+conversation of its own; events equal in turn and seq go by role, then text; repeated events count each; very long
+texts stay whole; an empty log gives no rows; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations

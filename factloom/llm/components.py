@@ -12,7 +12,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b long); component is the smallest node.
 
     Each round needs grouped minima and one join per star, so no neighbourhood is ever collected, and every
-    round is written to the shared folder, which cuts the lineage. Null ends and loops are ignored.
+    round is written to the shared folder, which cuts the lineage. Null ends and loops are ignored; repeated edges count
+    once, in either direction; extra columns are ignored; an empty table gives no rows. Rounds grow with the logarithm of the
+    longest path, so ``max_rounds`` is a guard against a fault and not a limit.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None

@@ -10,8 +10,9 @@ features are counted on the executors and only bounded vectors reach the driver.
 whole text of every row and nothing else of it.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; without labelled rows every
-text is ``und``; with one language its score is 1; repeated rows predict alike; null doc_ids are predicted
-and never trained on.
+text is ``und``; with one language its score is 1; of equally likely languages the first by name is predicted; repeated
+rows predict alike, each by itself; null doc_ids are predicted and never trained on; very long texts are counted whole, piece
+by piece; an empty table gives no rows; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations

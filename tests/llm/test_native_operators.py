@@ -104,3 +104,12 @@ def test_rendering_reads_back(spark):
         mine = [x for x in rows if x[0] == r.conv_id]
         assert [(t.role, t.text) for t in r.turns] == [(x[2], x[3]) for x in mine]
         assert r.loss == "".join(x[3] for x in mine if x[2] == "assistant")
+
+
+def test_chat_ignores_extra_columns_and_keeps_very_long_texts(spark):
+    long = "long text </s> " * 40_000
+    rows = [(1, 0, "user", long, "x", 1, "y", "z"), (1, 1, "assistant", long, "x", 1, "y", "z"), (1, 1, "assistant", None, "x", 1, "y", "z")]
+    told = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, messages string, pos int, formatted string, `a.b` string")
+    (r,) = C.digests(C.read_back(C.render(C.reconstruct(C.as_events(told))))).collect()
+    assert (r.conv_id, r.n_turns, r.loss_chars) == (1, 3, len(long))
+    assert r.loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
