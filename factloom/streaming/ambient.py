@@ -76,11 +76,19 @@ def debounce(events: DataFrame, key: str = "session_id", seconds: float = 1.0) -
     return lists.select(key, F.explode(F.aggregate("es", zero, step)["out"]).alias("e")).select(key, "e.ts", "e.event_type")
 
 
-def changes_stream(events: DataFrame, key: str = "session_id") -> DataFrame:
-    """Streaming twin of ``changes``: keyed state of the last change; within a micro-batch events are ordered by time."""
+def changes_stream(events: DataFrame, key: str = "session_id", lateness: str | None = None) -> DataFrame:
+    """Streaming twin of ``changes``: keyed state of the last change; within a micro-batch events are ordered by time.
+
+    With ``lateness``, the watermark's delay, a key's state goes once it is stale by event time: what comes after is a change anyway.
+    """
+    if lateness is not None:
+        events = events.withWatermark("ts", lateness)
     known = events.select(key, F.col("ts").alias("at"), state_of(F.col("event_type")).alias("state")).where("state IS NOT NULL")
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["at", "state"])
         out = []
@@ -91,10 +99,13 @@ def changes_stream(events: DataFrame, key: str = "session_id") -> DataFrame:
                 out.append((k[0], at, now))
         if last is not None:
             state.update(last)
+            if lateness is not None:
+                state.setTimeoutTimestamp(max(last[0] // 1000 + STALE_SECONDS * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=[key, "at", "state"])
 
     kind = events.schema[key].dataType.simpleString()
-    return known.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, at timestamp, state string", "at long, state string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if lateness is None else GroupStateTimeout.EventTimeTimeout
+    return known.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, at timestamp, state string", "at long, state string", "append", timeout)
 
 
 def cooldown_stream(pulses: DataFrame, exposures: DataFrame, hours: float = 6.0) -> DataFrame:

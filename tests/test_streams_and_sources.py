@@ -39,6 +39,29 @@ def test_stream_equals_batch(spark, tmp_path):
     assert seconds(spark.table("changes").collect()) == want()
 
 
+def test_stale_states_go_by_event_time(spark, tmp_path):
+    """Files in the order of time, one a batch: the first session is long stale when the last file comes."""
+    rows = [(1, 0, "working"), (2, 5_000, "idle"), (2, 5_001, "idle"), (1, 9_000, "working"), (1, 9_001, "working")]
+    for n, (s, t, e) in enumerate(rows):
+        frame = spark.createDataFrame([(s, T0 + timedelta(seconds=t), e)], "session_id long, ts timestamp, event_type string")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+        q = ambient.changes_stream(stream, lateness="1 second").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert seconds(spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 0, "active_work"), (1, 9_000, "active_work"), (2, 5_000, "waiting_or_idle")]
+
+
+def test_a_feed_does_not_repeat_within_hours(spark, tmp_path):
+    shown = [("f", 0, 1), ("f", 3_000, 1), ("g", 10, 2), ("f", 30_000, 1)]
+    spark.createDataFrame([(f, T0 + timedelta(seconds=t)) for f, t, _ in shown], "fingerprint string, exposed_at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    pulses = spark.createDataFrame([("f", "p1"), ("g", "p2")], "fingerprint string, pulse_id string")
+    stream = spark.readStream.schema("fingerprint string, exposed_at timestamp").parquet(str(tmp_path / "in"))
+    q = ambient.cooldown_stream(pulses, stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = [(r.fingerprint, r.pulse_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [("f", "p1"), ("g", "p2")]
+
+
 def test_acknowledged_sink_ignores_replays(spark, tmp_path):
     rows = spark.createDataFrame([("e1", 1), ("e1", 1), ("e2", 2)], "id string, v int")
     rows.write.parquet(str(tmp_path / "in"))
