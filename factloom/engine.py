@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,14 @@ from factloom.settings import Settings, capabilities
 from factloom.sources import web
 from factloom.streaming import ambient
 
+#: Folders that a table is spread over at most.
+FOLDERS = 30
 #: Readers of discovery answers by provider.
 PROVIDERS = {"github": web.repositories, "papers": web.papers, "youtube": web.videos, "feed": web.feed_items}
 
 
 class Engine:
-    """Each table is a folder of versions; a write adds a version and a marker row names the current one."""
+    """Each table is a set of folders; a marker row names those that are current. Appends add a folder, other writes replace them."""
 
     def __init__(self, spark: SparkSession, path: str, now: datetime, settings: Settings | None = None):
         self.spark, self.path, self.now, self.settings = spark, path.rstrip("/"), now, settings or Settings()
@@ -29,34 +32,40 @@ class Engine:
     def _versions(self, table: str) -> str:
         return f"{self.path}/{table}/_current"
 
-    def table(self, name: str) -> DataFrame:
-        """The current rows of a table, in its schema."""
+    def _current(self, name: str):
+        """The latest marker (n, folders), or None for a table never written."""
         try:
-            last = self.spark.read.parquet(self._versions(name)).orderBy(F.desc("n")).first()
-        except Exception as e:  # never written
+            return self.spark.read.parquet(self._versions(name)).orderBy(F.desc("n")).first()
+        except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], schemas.TABLES[name])
-        return schemas.migrate(self.spark.read.parquet(f"{self.path}/{name}/{last.version}"), name)
+            return None
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        """Makes ``rows`` the table: data first, then the marker, so a failed write changes nothing."""
-        version = uuid.uuid4().hex
+    def table(self, name: str) -> DataFrame:
+        """The current rows of a table, in its schema."""
+        last = self._current(name)
+        parts = [schemas.migrate(self.spark.read.parquet(f"{self.path}/{name}/{v}"), name) for v in (last.folders if last else ())]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schemas.TABLES[name])
+
+    def write(self, name: str, rows: DataFrame, beside: list[str] | None = None) -> None:
+        """Makes ``rows`` the table, or adds them to the folders ``beside``: data first, then the marker, so a failed write changes nothing."""
+        last, version = self._current(name), uuid.uuid4().hex
         schemas.migrate(rows, name).write.parquet(f"{self.path}/{name}/{version}")
-        try:
-            n = self.spark.read.parquet(self._versions(name)).agg(F.max("n")).first()[0] + 1
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            n = 0
-        self.spark.createDataFrame([(n, version)], "n long, version string").write.mode("append").parquet(self._versions(name))
+        marker = [(last.n + 1 if last else 0, [*(beside or ()), version])]
+        self.spark.createDataFrame(marker, "n long, folders array<string>").coalesce(1).write.mode("append").parquet(self._versions(name))
+
+    def _append(self, name: str, rows: DataFrame, key: str = "id") -> None:
+        """Adds the rows whose keys are new. Only they are written, until a table has ``FOLDERS`` folders; then it is written as one."""
+        known, last = self.table(name), self._current(name)
+        new = store.insert_absent(known, schemas.migrate(rows, name), key)
+        full = last is not None and len(last.folders) >= FOLDERS
+        self.write(name, known.unionByName(new) if full else new, None if full or last is None else last.folders)
 
     def add_sources(self, urls: DataFrame) -> DataFrame:
         """Adds seeds (url, title) that conflict with no source; returns the added ones."""
         known = self.table("sources")
         new = web.deduplicated(web.explicit(urls), known).withColumns({"provenance": F.lit("user"), "retrieved_at": store.ts(self.now)})
-        rows = schemas.migrate(new, "sources")
-        self.write("sources", known.unionByName(rows))
+        self._append("sources", firewall._checkpoint(new))
         return self.list_sources().join(new.select("id"), "id", "left_semi")
 
     def list_sources(self) -> DataFrame:
@@ -75,10 +84,6 @@ class Engine:
         current = P.parsed(docs).select("doc_id", "source_id", "document_id").withColumn("stage_key", P.stage_key(F.col("document_id")))
         return store.stage_actions(current.withColumn("doc_id", F.col("doc_id").cast("string")), self.table("stage_keys"), ("source_id", "doc_id"))
 
-    def _append(self, name: str, rows: DataFrame, key: str = "id") -> None:
-        known = self.table(name)
-        self.write(name, known.unionByName(store.insert_absent(known, schemas.migrate(rows, name), key)))
-
     def refresh(self, docs: DataFrame) -> DataFrame:
         """Builds changed documents and keeps what that makes; returns the new pulses.
 
