@@ -24,8 +24,10 @@ class Settings:
     model_calls: int = 10
     model_cost: float | None = None
     quality_lane: bool = False
+    model_url: str = ""
     api_key: str = ""
     model_id: str = ""
+    strong_model_id: str = ""
 
 
 def _typed(name: str, value: object, kind: str) -> object:
@@ -62,7 +64,7 @@ def capabilities(s: Settings) -> dict[str, bool]:
     """What this installation can do; secrets are told by presence only."""
     from importlib.util import find_spec
 
-    return {"precise_html": bool(find_spec("trafilatura")), "pdf": bool(find_spec("docling")), "model": bool(s.api_key and s.model_id), "quality_lane": s.quality_lane and bool(s.api_key and s.model_id)}
+    return {"precise_html": bool(find_spec("trafilatura")), "pdf": bool(find_spec("docling")), "model": bool(s.model_url and s.api_key and s.model_id), "quality_lane": s.quality_lane and bool(s.model_url and s.api_key and s.model_id)}
 
 
 def shown(s: Settings) -> dict[str, object]:
