@@ -401,6 +401,34 @@ def topk_recent(spark, sf_dir):
     return read(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("ts", "event_id")
 
 
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'paper:' || page_id WHEN 1 THEN 'repo:o/' || page_id WHEN 2 THEN 'video:v' || page_id WHEN 3 THEN 'doi:10.1/' || page_id ELSE 'url:' || url END AS identity_key FROM pages""")
+def identity_keys(spark, sf_dir):
+    """Pages whose metadata name a paper, a repository, a video, a DOI (beside an empty paper) or nothing."""
+    k, i = F.col("page_id") % 5, F.col("page_id").cast("string")
+    meta = F.create_map(
+        F.lit("paper_id"), F.when(k == 0, i).when(k == 3, ""), F.lit("full_name"), F.when(k < 2, F.concat(F.lit("o/"), i)),
+        F.lit("video_id"), F.when(k == 2, F.concat(F.lit("v"), i)), F.lit("doi"), F.when(k < 4, F.concat(F.lit("10.1/"), i)),
+    )
+    return read(spark, sf_dir, "pages").select("page_id", T.identity_key(meta, F.col("url")).alias("identity_key"))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, ordinal, {_english('text')} AS english FROM c")
+def english_gate(spark, sf_dir):
+    return P.chunks(read(spark, sf_dir, "documents")).select("doc_id", "ordinal", T.is_english(F.col("text")).alias("english"))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all({_fold("text")}, '[a-z0-9]+') AS ts FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, token, count(*)::BIGINT AS tf, len(ts)::INTEGER AS dl FROM (SELECT doc_id, ts, unnest(ts) AS token FROM t) GROUP BY ALL""")
+def tokens(spark, sf_dir):
+    """Postings of the whole texts."""
+    return firewall.postings(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "token", "tf", "dl")
+
+
+@query(f"WITH {_SESSIONS} SELECT profile_id, id AS session_id, position::INTEGER AS position FROM act")
+def queue_latest_session(spark, sf_dir):
+    return store.active_sessions(_sessions(spark, sf_dir)).select("profile_id", F.col("id").alias("session_id"), "position")
+
+
 # Firewall -------------------------------------------------------------------------------------------
 
 
