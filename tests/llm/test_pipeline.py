@@ -19,7 +19,7 @@ STOP = "the of and to in is that it for was".split()
 
 def make(seed=7):
     r = random.Random(seed)
-    text = lambda kind, n=120: " ".join(r.choice(STOP) if k % 3 else f"{kind}{r.randrange(40)}" if k % 5 == 0 else f"w{r.randrange(5000)}" for k in range(n))
+    text = lambda kind, n=120: " ".join(r.choice(STOP) if k % 3 else f"{kind}{r.randrange(3)}" if k % 5 == 0 else f"w{r.randrange(5000)}" for k in range(n))
     kinds = ["good"] * 40 + ["poor"] * 50 + ["toxic"] * 20
     base = [text(k) for k in kinds]
     near = base[0].split()
