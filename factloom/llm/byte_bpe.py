@@ -42,9 +42,9 @@ WHITE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 #: Chunks and pairs of tokens that a Python worker remembers, and the characters of the longest such chunk; they bound memory only.
-CACHE_CHUNKS, CACHE_PAIRS, CACHE_CHARS = 200_000, 300_000, 64
+CACHE_CHUNKS, CACHE_PAIRS, CACHE_CHARS = 150_000, 200_000, 64
 #: Texts that are encoded together.
-SLICE = 1024
+SLICE = 768
 
 
 class Vocabulary:
