@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jaccard_join, language_id, mixing, secrets, token_store, warc
+from . import byte_bpe, chat_format, fim, jaccard_join, language_id, mixing, secrets, token_store, warc
 from .common import table
 from .exact_dedup import exact_dedup
 from .quality_rules import STOP_WORDS, quality_rules
@@ -68,11 +68,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(uri, manifest)
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_quality_rules, op3_exact_dedup, op4_token_store, op5_chat_format,
         op6_secret_scan, op7_jaccard_join, op8_byte_bpe, op9_mixing, op10_warc,
+        op13_fim,
     )
 }
 
@@ -124,4 +129,17 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM d""",
+    "op13_fim": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        l AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+                     list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k, 8))::BIGINT) AS hs FROM t),
+        c AS (SELECT doc_id, text, len(lines)::BIGINT AS n,
+                     CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR hs[3] % 100 >= 100 THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+                     coalesce(list_sum(list_transform(lines[1:least(hs[1] % (len(lines) + 1), hs[2] % (len(lines) + 1))], lambda x: length(x))), 0)::BIGINT AS p,
+                     coalesce(list_sum(list_transform(lines[1:greatest(hs[1] % (len(lines) + 1), hs[2] % (len(lines) + 1))], lambda x: length(x))), 0)::BIGINT AS q FROM l)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || substr(text, 1, p) || '<S>' || substr(text, q + 1) || '<M>' || substr(text, p + 1, q - p)
+                      ELSE '<S>' || substr(text, q + 1) || '<P>' || substr(text, 1, p) || '<M>' || substr(text, p + 1, q - p) END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM c""",
 }
