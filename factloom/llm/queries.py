@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, fim, importance, jaccard_join, language_id, mixing, secrets, token_store, warc
+from . import byte_bpe, chat_format, fim, importance, jaccard_join, language_id, mixing, pii, secrets, token_store, warc
 from .common import table
 from .exact_dedup import exact_dedup
 from .quality_rules import STOP_WORDS, quality_rules
@@ -68,6 +68,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(uri, manifest)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal(docs, pii.fit(docs))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -81,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_id, op2_quality_rules, op3_exact_dedup, op4_token_store, op5_chat_format,
         op6_secret_scan, op7_jaccard_join, op8_byte_bpe, op9_mixing, op10_warc,
-        op12_resampling, op13_fim,
+        op11_personal_data, op12_resampling, op13_fim,
     )
 }
 
