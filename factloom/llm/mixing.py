@@ -4,16 +4,19 @@
    a word's bucket tells for a domain when documents of that domain hold it much more or less often than
    those of the base domain. That a document lacks it counts as well. It gives every document posteriors.
 2. Projected-gradient least squares finds rates per document, from 0 to ``max_rate``, so that the expected tokens per
-   domain, the sum of rate * tokens * posterior, meet the targets. A domain's squared error is weighted by
-   one over its tokens and the gradient is taken in the metric of tokens: then a rate depends on the
-   posteriors alone, and since posteriors add up to one, the step 1 is within the Lipschitz bound. Each
-   step needs one sum per domain over all rows.
+   domain, the sum of rate * tokens * posterior, meet the targets. A domain's squared error is weighted by one over its
+   tokens and the gradient is taken in the metric of tokens, so a step lowers a rate by posteriors times one number per
+   domain. Projection is lazy: steps add up to ``mu``, one number per domain, and a rate is one less posteriors times ``mu``, projected onto
+   its bounds. A slight pull of rates to one (``RIDGE``) makes the solution unique. A pass over the rows gives, for several step
+   lengths at once, the totals and the curvature of the rates off their bounds, which scales the next step; the driver holds a
+   few numbers per domain, the rows are never rewritten.
 3. A rate becomes copies: its whole part, and one more with the probability of the rest, by a hash of doc_id and text.
 
 Targets are shares; the anchor domain's tokens set the total. No target exceeds what ``max_rate`` times a
 domain's tokens can give, so with ``MAX_RATE`` of 1 (the production value: nothing is repeated) a scarce domain stays below its
-target; ``achieved`` tells by how much, and ``solve`` warns. Steps go on until the totals meet the targets or stand still, which
-they also do where soft posteriors allow no more; steps are bounded, and what is unmet in the end is told in any case.
+target; ``achieved`` tells by how much, and ``solve`` warns. Steps end when the gradient is down to ``TOLERANCE`` of all tokens, which is the optimum
+whether or not it meets the targets: what is unmet then is due to the bounds and to posteriors that overlap. Without that
+in ``PASSES`` passes ``solve`` raises.
 
 Edge cases: null text has no tokens and the prior's posterior; without labels all belong to the anchor and
 have rate 1; a null doc_id is rated like any other; repeated rows (equal doc_id and text) get equal rates and copies, rows
@@ -29,6 +32,7 @@ import math
 import warnings
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +45,13 @@ BUCKETS = 1 << 14
 LEAST_DOCS, LEAST_ODDS = 20, 1.0
 TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
 ANCHOR, MAX_RATE = "good", 1.0
-#: Steps between two writes of the rates, such rounds at most, and the share of all tokens that errors may have in the end.
-STEPS, ROUNDS, TOLERANCE = 10, 10, 1e-3
-#: Totals stand still when a step moves them by less than this share of all tokens: what is left of the errors then is told.
-STILL = 5e-5
+#: Gradient at the optimum as a share of all tokens, and passes over the rows at most; more than that is an error.
+TOLERANCE, PASSES = 1e-6, 200
+#: Weight of a rate's squared distance from one, against a domain's squared relative error; lengths of steps tried in one pass.
+RIDGE, LENGTHS = 1e-5, (1.0, 0.25, 0.0625)
+#: Share of all tokens from which an unmet target is warned of.
+TOLD = 1e-3
+
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -115,37 +122,70 @@ class Solution(NamedTuple):
     got: dict[str, float]
 
 
+class _State(NamedTuple):
+    """What a pass tells of ``mu``: the dual value, gradient and curvature, and the domains' totals."""
+
+    mu: np.ndarray
+    value: float
+    gradient: np.ndarray
+    curvature: np.ndarray
+    got: np.ndarray
+
+
+def _passed(rows: DataFrame, names: list[str], mus: list[np.ndarray], have: np.ndarray, aim: np.ndarray, max_rate: float) -> list[_State]:
+    """One pass over ``rows`` for all ``mus``."""
+    t, p, k = F.col("tokens").cast("double"), [F.col(f"p_{n}") for n in names], len(names)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = []
+    for mu in mus:
+        s = sum((p[i] * F.lit(float(mu[i])) for i in range(k)), F.lit(0.0))
+        r = F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), 1.0 - s))
+        free = F.when((s < 1.0) & (1.0 - s < max_rate), t).otherwise(0.0)
+        each = F.array(t * ((r - 1.0) * (r - 1.0) / 2 + r * s), *(t * r * x for x in p), *(free * p[i] * p[j] for i, j in upper))
+        sums.append(each)
+    width = 1 + k + len(upper)
+    told = rows.select(F.concat(*sums).alias("x")).select(*(F.col("x")[i].alias(f"x{i}") for i in range(width * len(mus))))
+    found = told.agg(*(F.sum(f"x{i}") for i in range(width * len(mus)))).first()
+    out = []
+    for n, mu in enumerate(mus):
+        x = np.array([v or 0.0 for v in found[n * width : (n + 1) * width]])
+        got, curvature = x[1 : 1 + k], np.zeros((k, k))
+        for (i, j), v in zip(upper, x[1 + k :], strict=True):
+            curvature[i, j] = curvature[j, i] = v
+        out.append(_State(mu, x[0] - mu @ aim - RIDGE / 2 * have @ (mu * mu), got - aim - RIDGE * have * mu, curvature, got))
+    return out
+
+
 def solve(rows: DataFrame, targets: dict[str, float], anchor: str = ANCHOR, max_rate: float = MAX_RATE) -> Solution:
-    """Rates by projected gradient; ``rows`` must be materialised. Every ``STEPS`` steps the rates are written, which bounds the plan."""
+    """Rates by lazily projected gradient steps; ``rows`` must be materialised."""
     names = list(targets)
-    t = F.col("tokens").cast("double")
-    p = {n: F.col(f"p_{n}") for n in names}
-
-    def totals(rows: DataFrame, rate: Column) -> dict[str, float]:
-        r = rows.agg(*(F.sum(t * p[n] * rate).alias(n) for n in names)).first()
-        return {n: r[n] or 0.0 for n in names}
-
-    have = totals(rows, F.lit(1.0))
-    total = have[anchor] / targets[anchor] if targets[anchor] else sum(have.values())
-    wanted = {n: targets[n] * total for n in names}
-    aim = {n: min(wanted[n], max_rate * have[n]) for n in names}
-    scale = max(1.0, sum(aim.values()))
-    rate = F.lit(min(1.0, float(max_rate)))
-    got, moved = totals(rows, rate), math.inf
-    for k in range(STEPS * ROUNDS):
-        error = {n: got[n] - aim[n] for n in names}
-        if max(map(abs, error.values())) <= TOLERANCE * scale or moved <= STILL * scale:
-            break
-        if k and k % STEPS == 0:
-            rows, rate = materialize(rows.select(*(c for c in rows.columns if c != "rate"), rate.alias("rate")), "mix-rates"), F.col("rate")
-        down = sum((p[n] * F.lit(e / have[n]) for n, e in error.items() if have[n]), F.lit(0.0))
-        rate = F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), rate - down))
-        before, got = got, totals(rows, rate)
-        moved = max(abs(got[n] - before[n]) for n in names)
-    if short := {n: round(wanted[n] - got[n]) for n in names if abs(wanted[n] - got[n]) > max(1.0, TOLERANCE * scale)}:
+    held = rows.agg(*(F.sum(F.col("tokens").cast("double") * F.col(f"p_{n}")) for n in names)).first()
+    have = np.array([v or 0.0 for v in held])
+    total = have[names.index(anchor)] / targets[anchor] if targets[anchor] else have.sum()
+    wanted = np.array([targets[n] * total for n in names])
+    aim = np.minimum(wanted, max_rate * have)
+    scale = max(1.0, aim.sum())
+    [now] = _passed(rows, names, [np.zeros(len(names))], have, aim, max_rate)
+    passes = 1
+    while np.abs(now.gradient).max() > TOLERANCE * scale:
+        slope = now.curvature + np.diag(RIDGE * have + 1e-9)
+        step, shrink = np.linalg.solve(slope, now.gradient), 1.0
+        while True:
+            if passes >= PASSES:
+                raise RuntimeError(f"the rates do not settle in {PASSES} passes")
+            tried = _passed(rows, names, [now.mu + a * shrink * step for a in LENGTHS], have, aim, max_rate)
+            passes += 1
+            better = [x for a, x in zip(LENGTHS, tried, strict=True) if x.value >= now.value + 1e-4 * a * shrink * (now.gradient @ step) or np.abs(x.gradient).max() <= TOLERANCE * scale]
+            if better:
+                now = max(better, key=lambda x: x.value)
+                break
+            shrink *= LENGTHS[-1] / 4
+    if short := {n: round(w - g) for n, w, g in zip(names, wanted, now.got, strict=True) if abs(w - g) > max(1.0, TOLD * scale)}:
         warnings.warn(f"tokens that domains miss of their targets (negative: exceed them): {short}", stacklevel=2)
-    rows = rows.select(*(c for c in rows.columns if c != "rate"), F.round(rate, 6).alias("rate"))
-    return Solution(rows, have, wanted, aim, got)
+    s = sum((F.col(f"p_{n}") * F.lit(float(m)) for n, m in zip(names, now.mu, strict=True)), F.lit(0.0))
+    rate = F.round(F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), 1.0 - s)), 6)
+    told = [dict(zip(names, map(float, v), strict=True)) for v in (have, wanted, aim, now.got)]
+    return Solution(rows.withColumn("rate", rate), *told)
 
 
 def _solved(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, anchor: str, max_rate: float) -> Solution:

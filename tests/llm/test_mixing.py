@@ -1,4 +1,5 @@
 import random
+import warnings
 
 import numpy as np
 import pytest
@@ -7,14 +8,19 @@ from factloom.llm import mixing as M
 
 
 def brute_rates(t, p, have, aim, max_rate):
-    r, scale, before = np.ones(len(t)), max(1.0, aim.sum()), np.inf
-    for _ in range(M.STEPS * M.ROUNDS):
-        got = (t * r) @ p
-        error = got - aim
-        if np.abs(error).max() <= M.TOLERANCE * scale or np.abs(got - before).max() <= M.STILL * scale:
+    """Bounded least squares with the pull to one, by plain projected gradient with momentum on the rates themselves, run until they stand still."""
+    weight = np.divide(1.0, have, out=np.zeros_like(have), where=have > 0)
+    r = y = np.minimum(np.ones(len(t)), max_rate)
+    a = 1.0
+    for _ in range(200_000):
+        new = np.clip(y - (p @ (((t * y) @ p - aim) * weight) + M.RIDGE * (y - 1)) / (1 + M.RIDGE), 0, max_rate)
+        if (t * (y - new) * (new - r)).sum() > 0:
+            a, y = 1.0, r
+            continue
+        if np.abs(new - r).max() < 1e-13:
             break
-        before = got
-        r = np.clip(r - p @ np.divide(error, have, out=np.zeros_like(error), where=have > 0), 0, max_rate)
+        following = (1 + np.sqrt(1 + 4 * a * a)) / 2
+        y, r, a = new + (a - 1) / following * (new - r), new, following
     return r
 
 
@@ -42,13 +48,35 @@ def test_rates_meet_targets_and_equal_brute_force(spark):
     assert np.allclose(p.sum(axis=1), 1)
     have = t @ p
     aim = np.minimum(np.array([0.6, 0.3, 0.1]) * have[0] / 0.6, 5 * have)
-    assert np.allclose(out.rate, brute_rates(t, p, have, aim, 5.0), atol=2e-6)
+    assert np.allclose(out.rate, brute_rates(t, p, have, aim, 5.0), atol=1e-4)
     assert np.abs((t * out.rate) @ p - aim).max() < 0.001 * aim.sum()
     assert ((out.copies == np.floor(out.rate)) | (out.copies == np.floor(out.rate) + 1)).all()
     truth = out.merge(__import__("pandas").DataFrame(labels, columns=["doc_id", "q", "x"]), on="doc_id")
     assert (truth.domain == np.where(truth.x == 1, "toxic", np.where(truth.q == 1, "good", "poor"))).mean() > 0.97
 
 
+def test_rates_are_the_optimum_where_bounds_bind(spark):
+    r = random.Random(6)
+    rows = []
+    for k in range(500):
+        x = np.array([r.random() + 2 * (k % 3 == j) for j in range(3)]) ** 2
+        rows.append((k, k, r.randint(0, 400), *map(float, x / x.sum())))
+    table = spark.createDataFrame(rows, "doc_id long, seed long, tokens long, p_good double, p_poor double, p_toxic double").repartition(3)
+    t, p = np.array([x[2] for x in rows], float), np.array([x[3:] for x in rows])
+    have = t @ p
+    for targets, most in ((M.TARGETS, 1.0), ({"good": 0.2, "poor": 0.7, "toxic": 0.1}, 1.0), ({"good": 0.98, "poor": 0.01, "toxic": 0.01}, 2.0), ({"good": 0.05, "poor": 0.05, "toxic": 0.9}, 3.0)):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            s = M.solve(table, targets, max_rate=most)
+        aim = np.array(list(s.aim.values()))
+        assert np.allclose(aim, np.minimum(np.array(list(targets.values())) * have[0] / targets["good"], most * have))
+        best = brute_rates(t, p, have, aim, most)
+        loss = lambda rate: (((t * rate) @ p - aim) ** 2 / have).sum() / 2 + M.RIDGE / 2 * (t * (rate - 1) ** 2).sum()  # noqa: B023, E731
+        got = np.array([x.rate for x in s.rows.orderBy("doc_id").collect()])
+        assert np.abs((t * (got - best)) @ p).max() < 2e-4 * aim.sum() and loss(got) <= loss(best) + 1e-6 * aim.sum()
+        assert np.abs((t * got) @ p - np.array(list(s.got.values()))).max() < 1e-5 * aim.sum() + 1
+
+
 def test_apply_repeats_rows_as_rates_say(spark):
     rows, labels = corpus()
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, rate string")
