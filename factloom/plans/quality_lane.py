@@ -1,20 +1,36 @@
-"""The model lane for escalated candidates: cached, budgeted calls in passes, checked by anchors and judges.
+"""The model lane for escalated candidates: cached calls within a budget, checked by anchors and judges, charged candidate by candidate.
 
-An endpoint is any picklable callable ``(task, tier, prompts) -> list of (result, input_tokens, output_tokens)``
-with results of None for failures; it runs once per partition batch. Calls of a pass go out in build order:
-cache hits are free, and a call beyond the budget is not made, nor is the result of the one that exhausts it used.
+An endpoint is any picklable callable ``(task, tier, prompts) -> list of (result, input_tokens, output_tokens)`` with results of None for
+failures. A candidate passes up to five stages: translate, rewrite or extract in the cheap tier; the same in the strong tier if anchors
+broke; a judgement of fidelity for translations; a verdict on what came out against the evidence, unless the text itself decides; a
+second verdict in the strong tier where the first is uncertain. Equal requests are answered from the cache.
+
+Outcomes, usage and cache equal those of one candidate after the other in the order of ``pos``, while the stages run for many at a time:
+
+1. All that remain walk through the stages on the cache alone. Those that miss nothing are final, wherever they stand.
+2. Of the others the longest prefix is taken whose worst-case calls, and their worst-case cost, leave something of the budget. These
+   walk with calls: in a stage all requests go out together, of equal ones the first in order and another only after a failure.
+3. What they did not use is left for the next round. A candidate that does not fit by the worst case walks alone, checked before and after every
+   call: the call that exhausts the budget is made, charged and cached, but its result is not used.
+4. When the budget is spent, the rest is final by the cache alone.
+
+Each round but the last few shrinks the budget by what its candidates really used, so rounds grow with its logarithm. Only the rows of the next
+prefix, no more than calls are left, reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from factloom.functions import text as T
+from factloom.operators import ledger
+from factloom.operators.firewall import _checkpoint as checkpointed
 from factloom.plans import facts as P
 
 Endpoint = Callable[[str, str, list[str]], list[tuple[str | None, int, int]]]
@@ -29,91 +45,231 @@ PROMPTS = {
     "fidelity": "Judge whether the rewrite keeps the meaning of the original. Answer as JSON with faithful and reason.",
 }
 TASK_OF = {"non_english": "translate", "multi_claim": "extract", "fidelity_rewrite": "rewrite", "weak_direct_support": "verify"}
-SCHEMA = "key string, result string, input_tokens long, output_tokens long"
+#: Characters of a request that a prompt holds, and of evidence that a verdict is based on.
+ASKED, EXCERPT = 1500, 500
+#: Calls that a candidate of a task makes at most, with a strong tier and without.
+MOST = {"translate": (5, 3), "extract": (4, 2), "rewrite": (4, 2), "verify": (2, 1)}
+VERDICTS = ("supported", "contradicted", "uncertain")
 
+REQUEST = "key string, cache_key string, hit boolean, result string, called boolean, input_tokens long, output_tokens long"
 
-def calls(requests: DataFrame, cache: DataFrame, endpoint: Endpoint, left: int, tier: str = "cheap", model_id: str = "m", contract: str = "c") -> tuple[DataFrame, int]:
-    """Adds result and cache_hit to requests (key, pos, task, evidence); returns them, written, and the budget left."""
-    keyed = requests.withColumn("cache_key", P.model_cache_key(F.col("task"), F.col("evidence"), contract, f"{model_id}:{tier}"))
-    known = keyed.join(cache.select("cache_key", F.col("result").alias("cached")), "cache_key", "left")
-    missing = known.where("cached IS NULL").withColumn("n", F.row_number().over(W.orderBy("pos"))).where(F.col("n") <= left)  # at most the budget's rows
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for task, rows in frame.groupby("task"):
-                got = endpoint(str(task), tier, [f"{PROMPTS[str(task)]}\n\n{e}" for e in rows.evidence])
-                yield pd.DataFrame({"key": rows.key.to_numpy(), "result": [g[0] for g in got], "input_tokens": [g[1] for g in got], "output_tokens": [g[2] for g in got]})
+@dataclass
+class Prices:
+    """Per million tokens; an answer has at most ``most_output`` tokens, a prompt no more tokens than bytes."""
 
-    answered = missing.select("key", "task", "evidence").mapInPandas(ask, SCHEMA).join(missing.select("key", F.col("n")), "key")
-    done = known.join(answered, "key", "left").withColumn("cache_hit", F.col("cached").isNotNull())
-    usable = F.when(F.col("cache_hit"), F.col("cached")).when(F.col("n") < left, F.col("result"))
-    out = done.select("key", "pos", "task", "evidence", "cache_key", usable.alias("result"), F.col("result").alias("fresh"), "cache_hit", "input_tokens", "output_tokens", F.lit(tier).alias("tier"))
-    from factloom.operators.firewall import _checkpoint
+    input: float
+    output: float
+    most_output: int = 1024
 
-    out = _checkpoint(out)
-    return out, max(0, left - out.where("NOT cache_hit AND input_tokens IS NOT NULL").count())
+    def worst(self) -> float:
+        return ((4 * (2 * ASKED + EXCERPT) + 400) * self.input + self.most_output * self.output) / 1e6
 
 
-def learned(*passes: DataFrame) -> DataFrame:
-    """Cache rows (cache_key, result) that the passes' calls brought; the discarded one is cached too."""
-    rows = [p.where("fresh IS NOT NULL").select("cache_key", F.col("fresh").alias("result")) for p in passes]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out.dropDuplicates(["cache_key"])
+@dataclass
+class Budget:
+    """What is left: calls, and money if it is bounded."""
 
+    calls: int
+    money: float | None = None
 
-def usage(*passes: DataFrame) -> DataFrame:
-    """Ledger rows of the passes' calls and cache hits."""
-    rows = [p.where("cache_hit OR input_tokens IS NOT NULL").select("task", "tier", F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"), "cache_hit", (~F.col("cache_hit") & F.col("fresh").isNull()).alias("failed")) for p in passes]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out
+    @property
+    def spent(self) -> bool:
+        return self.calls <= 0 or self.money is not None and self.money <= 0
 
 
-def _judged(result: Column) -> Column:
-    return F.from_json(result, "struct<verdict:string,confidence:double,reason:string,faithful:boolean>", {"mode": "PERMISSIVE"})
+@dataclass
+class Lane:
+    """An endpoint with what a walk needs beside it."""
 
+    endpoint: Endpoint
+    prices: Prices | None = None
+    strong: bool = True
+    model_id: str = "m"
+    contract: str = "c"
 
-def run_lane(escalated: DataFrame, cache: DataFrame, endpoint: Endpoint, budget: int = 10) -> dict[str, DataFrame]:
-    """``escalated``: key, pos, statement, evidence, escalation, required. Returns outcomes, cache rows and usage.
+    def fits(self, wanted: list[tuple], budget: Budget) -> int:
+        """How many of the first (pos, task) leave calls and money whatever they need."""
+        calls, money = 0, 0.0
+        for n, (_, task) in enumerate(wanted):
+            calls += MOST[task][not self.strong]
+            money += MOST[task][not self.strong] * (self.prices.worst() if self.prices else 0.0)
+            if calls >= budget.calls or budget.money is not None and money >= budget.money:
+                return n
+        return len(wanted)
+
+
+def _answers(lane: Lane, tier: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Calls for groups of equal requests (cache_key, task, rows in order): the first asks, the next ones only after failures."""
+    endpoint = lane.endpoint
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            told = []
+            for task, groups in frame.groupby("task"):
+                waiting = [(k, list(rows)) for k, rows in zip(groups.cache_key, groups.rows, strict=True)]
+                while waiting:
+                    got = endpoint(str(task), tier, [rows[0]["prompt"] for _, rows in waiting])
+                    left = []
+                    for (k, rows), (result, n_in, n_out) in zip(waiting, got, strict=True):
+                        told.append((rows[0]["key"], k, False, result, True, n_in if result is not None else 0, n_out if result is not None else 0))
+                        if result is not None:
+                            told += [(r["key"], k, True, result, False, 0, 0) for r in rows[1:]]
+                        elif rows[1:]:
+                            left.append((k, rows[1:]))
+                    waiting = left
+            yield pd.DataFrame(told, columns=["key", "cache_key", "hit", "result", "called", "input_tokens", "output_tokens"])
 
-    Policy cases are rejected without a call. Rewrites that break anchors are asked for once more in the strong
-    tier; translations are judged for fidelity; what comes out is verified against the evidence, in the strong tier as
-    well where the cheap one is uncertain. Optional rewrites that fail leave the original.
+    return run
+
+
+def ask(rows: DataFrame, n: int, wanted: Column, task: Column | str, tier: str, evidence: Column, prompt: Column, cache: DataFrame, lane: Lane, budget: Budget | None) -> DataFrame:
+    """``rows`` with the answers of stage ``n`` to those that want one: r (result), hit, called, tokens in and out, cache_key, task and tier.
+
+    What the cache holds is a hit. The rest is asked and charged to ``budget``, unless it is None or spent; then it has no result. Nor has,
+    for the lane, a call that spends the budget: ``used`` is the result to go on with.
     """
+    named = task if isinstance(task, Column) else F.lit(task)
+    wanted, evidence = F.coalesce(wanted, F.lit(False)), F.substring(evidence, 1, ASKED)
+    cache_key = F.when(wanted, P.model_cache_key(named, evidence, lane.contract, f"{lane.model_id}:{tier}"))
+    known = rows.withColumn("__key", cache_key).join(cache.select(F.col("cache_key").alias("__key"), F.col("result").alias("__cached")), "__key", "left")
+    can = budget is not None and not budget.spent
+    asked = None
+    if can:
+        known = checkpointed(known)
+        misses = known.where("__key IS NOT NULL AND __cached IS NULL")
+        if not misses.isEmpty():
+            told = F.concat(*(F.when(named == t, F.lit(p)).otherwise(F.lit("")) for t, p in PROMPTS.items()), F.lit("\n\n"), prompt)
+            # No more rows than calls are left ask in a round, so a group of equal requests is as bounded as the budget.
+            groups = misses.select(F.col("__key").alias("cache_key"), named.alias("task"), F.struct("pos", "key", told.alias("prompt")).alias("row")).groupBy("cache_key", "task").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+            answered = groups.select("cache_key", "task", F.transform("rows", lambda r: F.struct(r["key"].alias("key"), r["prompt"].alias("prompt"))).alias("rows")).mapInPandas(_answers(lane, tier), REQUEST)
+            asked = checkpointed(answered)
+            used = asked.agg(F.count_if("called").alias("n"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o")).first()
+            budget.calls -= used.n
+            if budget.money is not None and lane.prices:
+                budget.money -= ((used.i or 0) * lane.prices.input + (used.o or 0) * lane.prices.output) / 1e6
+    none = {"hit": F.lit(False), "called": F.lit(False), "result": F.lit(None).cast("string"), "input_tokens": F.lit(0).cast("long"), "output_tokens": F.lit(0).cast("long")}
+    if asked is None:
+        known = known.withColumns({f"__{k}": v for k, v in none.items()})
+    else:
+        known = known.join(asked.select("key", *(F.col(k).alias(f"__{k}") for k in none)), "key", "left")
+    hit = F.col("__cached").isNotNull()
+    result = F.coalesce("__cached", "__result")
+    wasted = F.coalesce("__called", F.lit(False)) & F.lit(budget is not None and budget.spent)
+    answer = F.struct(
+        named.alias("task"), F.lit(tier).alias("tier"), F.col("__key").alias("cache_key"), result.alias("result"), (hit | F.coalesce("__hit", F.lit(False))).alias("hit"), F.coalesce("__called", F.lit(False)).alias("called"),
+        F.coalesce("__input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("__output_tokens", F.lit(0)).alias("output_tokens"), F.when(~wasted, F.trim(result)).alias("used"),
+    )
+    return known.select(*rows.columns, F.when(F.col("__key").isNotNull(), answer).alias(f"s{n}"))
+
+
+def _parsed(result: Column) -> Column:
+    return F.from_json(result, "struct<verdict:string,confidence:double,reason:string,faithful:boolean>", {"mode": "PERMISSIVE"})
+
+
+def _verdict(result: Column) -> Column:
+    j = _parsed(result)
+    sound = F.coalesce(j["verdict"].isin(*VERDICTS) & j["confidence"].isNotNull(), F.lit(False))
+    unsure = F.struct(F.lit("uncertain").alias("verdict"), F.lit(0.0).alias("confidence"))
+    return F.when(sound, F.struct(j["verdict"].alias("verdict"), j["confidence"].alias("confidence"))).otherwise(unsure)
+
+
+#: Stages of a walk: translate, rewrite or extract; again in the strong tier; fidelity; verdict; strong verdict.
+STAGES = (1, 2, 3, 4, 5)
+
+
+def walk(work: DataFrame, cache: DataFrame, lane: Lane, budget: Budget | None) -> DataFrame:
+    """``work`` after its stages: outcome, detail, fact, missed (a request had no answer for want of a call), s1 to s5 with what was asked; written."""
+
+    def broken(r: str) -> Column:
+        return F.size(T.anchor_violations(F.col("origin"), F.col(r), F.col("task") == "translate")) > 0
+
+    how = {"cache": cache, "lane": lane, "budget": budget}
+    start = F.substring("origin", 1, ASKED)
+    rows = ask(work, 1, F.col("task") != "verify", F.col("task"), "cheap", F.col("origin"), start, **how)
+    rows = rows.withColumn("again", F.coalesce(broken("s1.used"), F.lit(False)))
+    rows = ask(rows, 2, F.col("again") & F.lit(lane.strong), F.col("task"), "strong", F.col("origin"), start, **how)
+    made = F.when(F.col("task") == "verify", F.col("statement")).when(~F.col("again"), F.col("s1.used")).when(F.col("again") & ~broken("s2.used"), F.col("s2.used"))
+    rows = rows.withColumn("made", made)
+    rows = ask(rows, 3, (F.col("task") == "translate") & F.col("made").isNotNull(), "fidelity", "cheap", F.col("origin"), F.concat(start, F.lit("\n"), "made"), **how)
+    faithful = (F.col("task") != "translate") | F.coalesce(_parsed(F.col("s3.used"))["faithful"], F.lit(False))
+    rows = rows.withColumns({"lost": F.col("made").isNotNull() & ~faithful, "made": F.when(faithful, F.col("made"))})
+    # The text decides where it can; verdicts are asked for where it leaves doubt.
+    names = [c for c in rows.columns if c != "statement"]
+    told = P.verify(rows.select(*names, F.col("statement").alias("first"), F.coalesce("made", F.lit("")).alias("statement"), F.col("evidence").alias("text"), F.lit("chunk").alias("chunk_id")))
+    doubt = F.col("made").isNotNull() & (F.col("reason") == "deterministic_support_ambiguous")
+    rows = told.select(*names, F.col("first").alias("statement"), doubt.alias("doubt"), (F.col("made").isNotNull() & (F.col("status") == "verified")).alias("plain"), (F.size("risk_flags") == 0).alias("safe"))
+    excerpt = F.substring("evidence", 1, EXCERPT)
+    claim = F.concat("made", F.lit("\n"), excerpt)
+    rows = ask(rows, 4, F.col("doubt"), "verify", "cheap", excerpt, claim, **how)
+    unsure = _verdict(F.col("s4.used"))["verdict"] == "uncertain"
+    rows = ask(rows, 5, F.col("doubt") & unsure & F.lit(lane.strong), "verify", "strong", excerpt, claim, **how)
+    v = F.when(F.col("s5").isNotNull(), _verdict(F.col("s5.used"))).otherwise(_verdict(F.col("s4.used")))
+    supported = F.col("doubt") & (v["verdict"] == "supported") & (v["confidence"] >= 0.8)
+    rows = rows.withColumn("holds", F.coalesce((F.col("plain") | supported) & F.col("safe"), F.lit(False)))
+    policy, spare = F.col("task").isNull(), ~F.col("required") & F.col("own")
+    outcome = F.when(F.col("holds"), "verified").when(policy, "rejected_policy").when(spare, "verified_original").otherwise("rejected")
+    detail = (
+        F.when(F.col("holds"), "model_verified").when(policy, "policy_ambiguity").when(spare, "kept_original").when(F.col("s1").isNotNull() & F.col("s1.used").isNull(), "no_answer")
+        .when(F.col("again") & F.col("made").isNull() & ~F.col("lost"), "anchors_broken").when(F.col("lost"), "not_faithful").otherwise("not_verified")
+    )
+    fact = F.when(F.col("holds"), F.col("made")).when(~policy & spare, F.col("statement"))
+    missed = F.greatest(*(F.coalesce(~F.col(f"s{n}.hit") & ~F.col(f"s{n}.called"), F.lit(False)) for n in STAGES))
+    return checkpointed(rows.select("key", "pos", "task", "escalation", outcome.alias("outcome"), detail.alias("detail"), fact.alias("fact"), missed.alias("missed"), *(f"s{n}" for n in STAGES)))
+
+
+def asked_of(walked: DataFrame) -> DataFrame:
+    """(key, pos, stage, task, tier, ...) of all requests of a walk that were hits or calls."""
+    each = walked.select("key", "pos", F.explode(F.array(*(F.struct(F.lit(n).alias("stage"), F.col(f"s{n}").alias("s")) for n in STAGES))).alias("x"))
+    return each.select("key", "pos", "x.stage", "x.s.*").where("hit OR called")
+
+
+def usage_of(walked: DataFrame) -> DataFrame:
+    """Ledger rows of calls and hits; pos and stage give their order."""
+    return asked_of(walked).select("key", "pos", "stage", "task", "tier", "input_tokens", "output_tokens", F.col("hit").alias("cache_hit"), (F.col("called") & F.col("result").isNull()).alias("failed"))
+
+
+def prepared(escalated: DataFrame) -> DataFrame:
+    """``escalated`` with task, origin (what is to be said anew) and whether the statement holds by itself (own), written."""
     task = F.lit(None).cast("string")
     for reason, name in TASK_OF.items():
         task = F.when(F.col("escalation") == reason, name).otherwise(task)
-    work = escalated.withColumn("task", task)
-    asked = work.where("task IS NOT NULL")
-    evidence = F.when(F.col("task") == "verify", F.concat("statement", F.lit("\n"), "evidence")).when(F.col("task") == "extract", F.col("evidence")).otherwise(F.col("statement"))
-    first, left = calls(asked.select("key", "pos", "task", evidence.alias("evidence")), cache, endpoint, budget)
-    origin = F.when(F.col("task") == "extract", F.col("evidence")).otherwise(F.col("statement"))
-
-    def sound(df: DataFrame) -> Column:
-        return F.col("result").isNotNull() & (F.size(T.anchor_violations(origin, F.col("result"), F.col("task") == "translate")) == 0)
-
-    rewritten = asked.where("task <> 'verify'").join(first.select("key", "result"), "key").withColumn("ok", sound(asked))
-    second, left = calls(rewritten.where("NOT ok AND result IS NOT NULL").select("key", "pos", "task", origin.alias("evidence")), cache, endpoint, left, "strong")
-    again = second.select("key", F.col("result").alias("better"))
-    texts = rewritten.join(again, "key", "left").withColumn("result", F.when(F.col("ok"), F.col("result")).otherwise(F.col("better"))).drop("ok", "better").withColumn("ok", sound(asked))
-    good = texts.where("ok")
-    third, left = calls(good.where("task = 'translate'").select("key", "pos", F.lit("fidelity").alias("task"), F.concat("statement", F.lit("\n"), "result").alias("evidence")), cache, endpoint, left)
-    faithful = third.select("key", F.coalesce(_judged(F.col("result"))["faithful"], F.lit(False)).alias("faithful"))
-    kept = good.join(faithful, "key", "left").where("task <> 'translate' OR faithful")
-    fourth, left = calls(kept.select("key", "pos", F.lit("verify").alias("task"), F.concat("result", F.lit("\n"), "evidence").alias("evidence")), cache, endpoint, left)
-    cheap = fourth.unionByName(first.where("task = 'verify'"))
-    unsure = cheap.where(F.coalesce(_judged(F.col("result"))["verdict"] == "uncertain", F.lit(False)))
-    fifth, left = calls(unsure.select("key", "pos", "task", "evidence"), cache, endpoint, left, "strong")
-    strong = fifth.select("key", F.col("result").alias("second"))
-    judged = cheap.join(strong, "key", "left").select("key", F.coalesce("second", "result").alias("judgement"))
-    final = work.join(kept.select("key", "result"), "key", "left").join(judged, "key", "left").withColumn("j", _judged(F.col("judgement")))
-    supported = (F.col("j.verdict") == "supported") & (F.col("j.confidence") >= 0.8)
-    changed = F.col("result").isNotNull() | (F.col("task") == "verify")
-    status = F.when(changed & supported, "verified").when(~F.col("required"), "verified_original").when(F.col("escalation") == "policy_ambiguity", "rejected_policy").otherwise("rejected")
-    fact = F.when(status == "verified", F.coalesce("result", "statement")).when(status == "verified_original", F.col("statement"))
-    outcomes = final.select("key", "escalation", status.alias("outcome"), fact.alias("fact"))
-    passes = (first, second, third, fourth, fifth)
-    return {"outcomes": outcomes, "cache": learned(*passes), "usage": usage(*passes)}
+    named = escalated.select("key", "pos", "statement", "evidence", "escalation", F.coalesce("required", F.lit(True)).alias("required"), task.alias("task"))
+    origin = F.when(F.col("task") == "translate", F.col("evidence")).otherwise(F.col("statement"))
+    own = P.verify(named.withColumns({"origin": origin, "text": F.col("evidence"), "chunk_id": F.lit("chunk")}))
+    return checkpointed(own.select("key", "pos", "statement", "evidence", "escalation", "required", "task", "origin", F.col("playable").alias("own")))
+
+
+def run_lane(escalated: DataFrame, cache: DataFrame, endpoint: Endpoint, budget: int = 10, max_cost: float | None = None, prices: Prices | None = None, strong: bool = True, model_id: str = "m", contract: str = "c") -> dict[str, DataFrame]:
+    """``escalated``: key, pos, statement, evidence (the chunk), escalation, required. Returns outcomes, new cache rows, usage.
+
+    Keys and positions are unique. Policy cases are rejected without a call. Optional rewrites that fail leave the original where it holds by itself.
+    ``max_cost`` needs ``prices``.
+    """
+    if max_cost is not None and prices is None:
+        raise ValueError("a cost budget needs prices")
+    lane, left, work = Lane(endpoint, prices, strong, model_id, contract), Budget(budget, max_cost), prepared(escalated)
+    known, new, final = cache.select("cache_key", "result"), [], []
+    while True:
+        probe = walk(work, known, lane, None)
+        wanted = [] if left.spent else [(r.pos, r.task) for r in probe.where("missed").select("pos", "task").orderBy("pos").limit(left.calls + 1).collect()]
+        if not wanted:
+            final.append(probe)
+            break
+        n = max(1, lane.fits(wanted, left))
+        last, rest = F.lit(wanted[n - 1][0]), F.lit(wanted[n][0]) if n < len(wanted) else None
+        taken = work.join(probe.where(F.col("missed") & (F.col("pos") <= last)).select("key"), "key", "left_semi")
+        done = walk(taken, known, lane, left)
+        free = ~F.col("missed") if rest is None else ~F.col("missed") & (F.col("pos") < rest)
+        final += [probe.where(free), done]
+        new.append(checkpointed(asked_of(done).where("called AND result IS NOT NULL").select("cache_key", "result")))
+        known = known.unionByName(new[-1])
+        if rest is None:
+            break
+        work = work.where(F.col("pos") >= rest)
+    learned = reduce(DataFrame.unionByName, new) if new else known.limit(0)
+    walked = reduce(DataFrame.unionByName, final)
+    usage = usage_of(walked)
+    if prices:
+        usage = usage.withColumn("cost", ledger.cost(F.col("input_tokens"), F.col("output_tokens"), F.lit(prices.input), F.lit(prices.output)))
+    return {"outcomes": walked.select("key", "escalation", "outcome", "detail", "fact"), "cache": learned, "usage": usage}

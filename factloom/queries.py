@@ -481,10 +481,10 @@ def search_documents(spark, sf_dir):
 
 @query()
 def quality_lane(spark, sf_dir):
-    """Escalated candidates through the model lane, with an endpoint that answers by rule and a budget of 200 calls."""
+    """Escalated candidates through the model lane, with an endpoint that answers by rule and a budget of 200 calls, in build order."""
     k = P.classify(P.verify(P.claims(P.chunks(read(spark, sf_dir, "documents")))))
     pos = F.concat_ws("|", "source_id", F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lpad(F.col("ordinal").cast("string"), 6, "0"))
-    rows = k.where("escalation IS NOT NULL").select(F.col("atom_id").alias("key"), pos.alias("pos"), "statement", F.substring("text", 1, 500).alias("evidence"), "escalation", "required")
+    rows = k.where("escalation IS NOT NULL").select(F.col("atom_id").alias("key"), pos.alias("pos"), "statement", F.col("text").alias("evidence"), "escalation", "required")
     none = spark.createDataFrame([], "cache_key string, result string")
     return quality_lane_.run_lane(firewall._checkpoint(rows), none, _rule, 200)["outcomes"]
 
