@@ -27,22 +27,68 @@ PARSERS = {"text/html": ("html-main-1", "html-fallback-1"), "application/xhtml+x
 TRANSIENT = (408, 425, 429, 500, 502, 503, 504)
 
 
-#: Everything in a page that is no text: comments and declarations, scripts and styles with all they hold, tags.
-MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</[^A-Za-z>][^>]*>|<(?P<raw>script|style)\b(?:[^>"']|"[^"]*"|'[^']*')*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)
-    |<(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?:[^>"'/]|"[^"]*"|'[^']*'|/(?!>)|["'](?=[^"']*>))*(?P<alone>/)?>""",
-    re.S | re.I | re.X,
-)
+#: Where markup may begin: comments, declarations, tags and what looks like an end tag.
+OPENED = re.compile(r"<(?:(?P<comment>!--)|[!?]|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)|/[^A-Za-z>])")
+ENDS = re.compile(r"""[>"']""")
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+
+
+class _Page:
+    """A page read once from its begin. Whatever a search finds missing is missing for the rest as well, and is not searched for again."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.gone: set[str] = set()  # quotes that do not occur any more
+        self.plain = False  # quotes hide no ">" any more
+
+    def tag_end(self, at: int) -> int:
+        """The place behind a tag whose name ends at ``at``: of the first ">" outside of quoted strings, else of the first."""
+        i = at
+        while not self.plain:
+            m = ENDS.search(self.html, i)
+            if m is None:
+                self.plain = True
+            elif m[0] == ">":
+                return m.end()
+            else:
+                close = -1 if m[0] in self.gone else self.html.find(m[0], m.end())
+                if close < 0:
+                    self.gone.add(m[0])  # a quote alone is none
+                i = m.end() if close < 0 else close + 1
+        return self.html.find(">", at) + 1
+
+    def markup(self) -> Iterator[tuple[int, int, str, int]]:
+        """(start, end, name, step) of everything that is no text; step is 1 for a start tag, -1 for an end tag, 0 for anything else."""
+        m = OPENED.search(self.html)
+        while m is not None:
+            if m.start() > self.last and not m["comment"]:  # only a comment needs no ">"
+                at = self.html.find("<!--", m.start())
+                m = OPENED.match(self.html, at) if at >= 0 else None
+                continue
+            name, step = (m["name"] or "").lower(), 0
+            if m["comment"]:
+                end = self.html.find("-->", m.end()) + 3
+                end = end if end > 2 else len(self.html)
+            elif not name:
+                end = self.html.find(">", m.end() - (m[0][-1] == ">")) + 1
+            else:
+                end = self.tag_end(m.end())
+                step = -1 if m["end"] else 0 if self.html[end - 2] == "/" else 1
+                if step == 1 and name in RAW:
+                    closed = RAW[name].search(self.html, end)
+                    end, step = closed.end() if closed else len(self.html), 0
+            yield m.start(), end, name, step
+            m = OPENED.search(self.html, end)
 
 
 def main_text(html: str | None) -> str:
-    """The visible text of a page, single-spaced: what lies between its markup and in no dropped element."""
+    """The visible text of a page, single-spaced: what lies between its markup and in no dropped element. Time is in proportion to the page."""
     html, seen, inside, at = html or "", [], 0, 0
-    for m in MARKUP.finditer(html):
-        seen.append("" if inside else html[at : m.start()])
-        at = m.end()
-        if m["name"] and m["name"].lower() in DROPPED and not m["alone"]:
-            inside = max(0, inside - 1) if m["end"] else inside + 1
+    for start, end, name, step in _Page(html).markup():
+        seen.append("" if inside else html[at:start])
+        at = end
+        if name in DROPPED:
+            inside = max(0, inside + step)
     seen.append("" if inside else html[at:])
     return " ".join(unescape(" ".join(seen)).split())
 

@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -199,3 +200,21 @@ def test_jobs_are_made_once(spark):
     jobs = spark.createDataFrame([("j", "k1", "succeeded")], "id string, idempotency_key string, status string")
     new = spark.createDataFrame([("k1", "build"), ("k2", "build"), ("k2", "build")], "idempotency_key string, stage string")
     assert [(r.idempotency_key, r.status) for r in store.create_jobs(jobs, new, NOW).collect()] == [("k2", "pending")]
+
+
+HOSTILE = ("<a " * 700_000, "<a '" * 500_000, '<a "' * 400_000 + ">", "<a ' \" >" * 250_000, "</ " * 600_000, "<! " * 600_000, "<script " * 250_000, "<script>" * 250_000, "<!--" * 500_000, "</script" * 250_000, "<" * 2_000_000, "<a \"'" * 400_000, "<a '>'" * 300_000, "<x" * 1_000_000)
+
+
+def test_pages_of_two_megabytes_take_no_longer_than_others():
+    for page in HOSTILE:
+        start = time.perf_counter()
+        web.main_text(page)
+        assert time.perf_counter() - start < 8, page[:12]
+
+
+def test_markup_that_does_not_end():
+    for page, text in (
+        ("a <b", "a <b"), ("a <b <i>c", "a c"), ("a <!-- b", "a"), ("</<!-- b", "</"), ("a <script>b", "a"), ("a <script>b</script >c", "a c"), ("x <p title='>'>y", "x y"), ("x <p title=\"it's\">y", "x y"), ("x <p it's>y</p>z", "x y z"),
+        ("<nav>a <b>b</b></nav>c", "c"), ("<header/>a", "a"), ("<script/>a", "a"), ("</nav>a", "a"), ("1 < 2 &amp; 3 > 2", "1 < 2 & 3 > 2"), ("a </ b> c", "a c"), ("</>a", "</>a"), ("", ""), (None, ""),
+    ):
+        assert web.main_text(page) == text, page
