@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
-from functools import reduce
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import schemas
 from factloom.functions import text as T
-from factloom.operators import firewall, ledger, ranking, search, store
+from factloom.operators import commits, firewall, ledger, ranking, store
+from factloom.operators.text_index import TextIndex
 from factloom.plans import facts as P
 from factloom.settings import Settings, capabilities
 from factloom.sources import web
@@ -19,48 +20,102 @@ from factloom.streaming import ambient
 
 #: Folders that a table is spread over at most.
 FOLDERS = 30
+#: Times that a verb is tried while other writers change what it read.
+TRIES = 10
 #: Readers of discovery answers by provider.
 PROVIDERS = {"github": web.repositories, "papers": web.papers, "youtube": web.videos, "feed": web.feed_items}
+#: Stored text indexes: table, key and text.
+INDEXED = {"documents": ("id", "raw_text"), "chunks": ("id", "text"), "fact_index": ("pulse_id", "fact_text")}
+
+
+class _Transaction:
+    """What one verb read and changed on top of commit ``n``: folders by table, states by text index."""
+
+    def __init__(self, n: int, state: dict):
+        self.n, self.state, self.read, self.changes = n, state, set(), {}
+
+    def get(self, name: str):
+        self.read.add(name)
+        return self.changes.get(name, self.state.get(name))
+
+
+def transaction(verb):
+    """All that the verb writes becomes current in one commit, or nothing does. It is done again if another writer changed what it read."""
+
+    @wraps(verb)
+    def run(self, *args, **kwargs):
+        if self._open is not None:
+            return verb(self, *args, **kwargs)
+        for _ in range(TRIES):
+            self._open = _Transaction(*self.log.latest())
+            try:
+                out = verb(self, *args, **kwargs)
+                if self._commit(self._open):
+                    return out
+            finally:
+                self._open = None
+        raise commits.Conflict(f"{verb.__name__}: others changed its tables {TRIES} times")
+
+    return run
 
 
 class Engine:
-    """Each table is a set of folders; a marker row names those that are current. Appends add a folder, other writes replace them."""
+    """Each table is a set of folders; one log names those that are current for all tables. Appends add a folder, other writes replace them."""
 
     def __init__(self, spark: SparkSession, path: str, now: datetime, settings: Settings | None = None):
         self.spark, self.path, self.now, self.settings = spark, path.rstrip("/"), now, settings or Settings()
+        self.log, self._open = commits.Log(spark, f"{self.path}/_log"), None
 
-    def _versions(self, table: str) -> str:
-        return f"{self.path}/{table}/_current"
+    def _commit(self, t: _Transaction) -> bool:
+        """Puts the next commit. What others committed in between is kept, unless it touches a table that the verb read or wrote."""
+        n, state = t.n, t.state
+        while t.changes and not self.log.put(n + 1, {**state, **t.changes}):
+            n, state = self.log.latest()
+            if any(state.get(name) != t.state.get(name) for name in t.read | set(t.changes)):
+                return False
+        return True
 
     def _current(self, name: str):
-        """The latest marker (n, folders), or None for a table never written."""
-        try:
-            return self.spark.read.parquet(self._versions(name)).orderBy(F.desc("n")).first()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
+        """The folders of a table or the state of an index, as of the verb's own writes; None if never written."""
+        return self._open.get(name) if self._open is not None else self.log.latest()[1].get(name)
 
     def table(self, name: str) -> DataFrame:
         """The current rows of a table, in its schema."""
-        last = self._current(name)
-        parts = [schemas.migrate(self.spark.read.parquet(f"{self.path}/{name}/{v}"), name) for v in (last.folders if last else ())]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schemas.TABLES[name])
+        folders = self._current(name)
+        schema = schemas.fields(name)
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/{v}" for v in folders))
 
+    @transaction
     def write(self, name: str, rows: DataFrame, beside: list[str] | None = None) -> None:
-        """Makes ``rows`` the table, or adds them to the folders ``beside``: data first, then the marker, so a failed write changes nothing."""
-        last, version = self._current(name), uuid.uuid4().hex
+        """Makes ``rows`` the table, or adds them to the folders ``beside``."""
+        self._open.get(name)
+        version = uuid.uuid4().hex
         schemas.migrate(rows, name).write.parquet(f"{self.path}/{name}/{version}")
-        marker = [(last.n + 1 if last else 0, [*(beside or ()), version])]
-        self.spark.createDataFrame(marker, "n long, folders array<string>").coalesce(1).write.mode("append").parquet(self._versions(name))
+        self._open.changes[name] = [*(beside or ()), version]
 
+    @transaction
     def _append(self, name: str, rows: DataFrame, key: str = "id") -> None:
         """Adds the rows whose keys are new. Only they are written, until a table has ``FOLDERS`` folders; then it is written as one."""
-        known, last = self.table(name), self._current(name)
-        new = store.insert_absent(known, schemas.migrate(rows, name), key)
-        full = last is not None and len(last.folders) >= FOLDERS
-        self.write(name, known.unionByName(new) if full else new, None if full or last is None else last.folders)
+        folders, known = self._current(name), self.table(name)
+        new = schemas.migrate(rows, name)
+        new = store.insert_absent(known, new, key) if folders else new.dropDuplicates([key])
+        full = folders is not None and len(folders) >= FOLDERS
+        self.write(name, known.unionByName(new) if full else new, None if full else folders)
+
+    # The stored text indexes ------------------------------------------------------------------------
+
+    def index(self, table: str) -> TextIndex:
+        """The stored index of a table's texts."""
+        return TextIndex(self.spark, f"{self.path}/{table}/_index", self._current(f"index {table}"))
+
+    @transaction
+    def _indexed(self, table: str, rows: DataFrame) -> None:
+        """Adds new rows of a table to its index; older rows are not read."""
+        self._open.changes[f"index {table}"] = self.index(table).add(rows, *INDEXED[table])
 
+    @transaction
     def add_sources(self, urls: DataFrame) -> DataFrame:
         """Adds seeds (url, title) that conflict with no source; returns the added ones."""
         known = self.table("sources")
@@ -71,6 +126,7 @@ class Engine:
     def list_sources(self) -> DataFrame:
         return self.table("sources").orderBy("canonical_locator")
 
+    @transaction
     def remove_sources(self, ids: DataFrame) -> None:
         names = ["sources", "evidence", "pulses", "exposures", "session_cards", "cards", "atoms"]
         for name, rows in store.remove_source({n: self.table(n) for n in names}, ids).items():
@@ -84,6 +140,7 @@ class Engine:
         current = P.parsed(docs).select("doc_id", "source_id", "document_id").withColumn("stage_key", P.stage_key(F.col("document_id")))
         return store.stage_actions(current.withColumn("doc_id", F.col("doc_id").cast("string")), self.table("stage_keys"), ("source_id", "doc_id"))
 
+    @transaction
     def refresh(self, docs: DataFrame) -> DataFrame:
         """Builds changed documents and keeps what that makes; returns the new pulses.
 
@@ -100,8 +157,14 @@ class Engine:
         kept = composed.where("outcome = 'kept'")
         now, one = store.ts(self.now), lambda c: F.array(F.col(c))
         verification = F.struct("status", F.array("reason").alias("reason_codes"), "risk_flags", F.lit(False).alias("provider_used"))
-        self._append("documents", parsed.select(F.col("document_id").alias("id"), "source_id", F.sha2("body", 256).alias("content_sha256"), F.col("body").alias("raw_text"), now.alias("captured_at")))
-        self._append("chunks", chunked.select(F.col("chunk_id").alias("id"), "document_id", "ordinal", "text", "char_start", "char_end"))
+        made = {
+            "documents": parsed.select(F.col("document_id").alias("id"), "source_id", F.sha2("body", 256).alias("content_sha256"), F.col("body").alias("raw_text"), now.alias("captured_at")),
+            "chunks": chunked.select(F.col("chunk_id").alias("id"), "document_id", "ordinal", "text", "char_start", "char_end"),
+            "fact_index": kept.select("pulse_id", "card_id", "source_id", F.col("fact_fingerprint").alias("fingerprint"), F.col("display_fact").alias("fact_text"), now.alias("created_at")),
+        }
+        for name, rows in made.items():
+            self._append(name, rows, INDEXED[name][0])
+            self._indexed(name, rows)
         self._append("evidence", staged.select(F.col("evidence_id").alias("id"), "source_id", "document_id", "chunk_id", F.substring("text", 1, 500).alias("quote"), F.col("reason").alias("support")))
         self._append("atoms", staged.select(F.col("atom_id").alias("id"), "statement", F.col("status").alias("claim_status"), one("evidence_id").alias("evidence_ids"), now.alias("created_at")))
         self._append("cards", kept.select(F.col("card_id").alias("id"), F.lit("question").alias("card_type"), F.col("display_fact").alias("prompt"), one("atom_id").alias("atom_ids"), one("evidence_id").alias("evidence_ids"), now.alias("created_at")))
@@ -109,7 +172,6 @@ class Engine:
             F.col("pulse_id").alias("id"), "card_id", "atom_id", "display_fact", F.array(F.coalesce("lang", F.lit("general"))).alias("topics"), "source_id", "document_id", one("evidence_id").alias("evidence_ids"),
             now.alias("verified_at"), verification.alias("verification"), P.stage_key(F.col("document_id")).alias("stage_key"), "fact_fingerprint",
         ))
-        self._append("fact_index", kept.select("pulse_id", "card_id", "source_id", F.col("fact_fingerprint").alias("fingerprint"), F.col("display_fact").alias("fact_text"), now.alias("created_at")), "pulse_id")
         stamps = todo.select("source_id", "doc_id", "document_id", F.lit(P.PARSER).alias("parser_version"), "stage_key", now.alias("built_at"))
         self.write("stage_keys", store.upsert(self.table("stage_keys"), schemas.migrate(stamps, "stage_keys"), ["source_id", "doc_id"], "built_at"))
         self._finished(start, ledger.build_counters(actions, chunked, staged, composed))
@@ -121,7 +183,7 @@ class Engine:
         new = composed.select("pulse_id", "source_id", F.col("display_fact").alias("fact_text"), F.col("fact_fingerprint").alias("fingerprint"), pos.alias("pos"), F.lit(False).alias("settled"))
         held = self.table("fact_index").join(composed.select("pulse_id"), "pulse_id", "left_anti")
         old = held.select("pulse_id", "source_id", "fact_text", "fingerprint", F.concat_ws("|", F.lit("0"), F.date_format("created_at", "yyyyMMddHHmmss"), "pulse_id").alias("pos"), F.lit(True).alias("settled"))
-        decided = firewall.first_wins(firewall._checkpoint(old.union(new)), self.settings.shortlist, self.settings.near)
+        decided = firewall.first_wins(firewall._checkpoint(old.union(new)), self.settings.shortlist, self.settings.near, self.index("fact_index"))
         return composed.join(decided.select("pulse_id", "outcome"), "pulse_id")
 
     # Runs -----------------------------------------------------------------------------------------
@@ -148,6 +210,7 @@ class Engine:
 
     # Profiles -------------------------------------------------------------------------------------
 
+    @transaction
     def set_profile(self, profile_id: str, weights: str, excluded: str = "", unexpected: float = 0.1) -> None:
         """``weights``: "topic=weight, ..."; a topic without a number weighs 1."""
         told = [x.strip().partition("=") for x in weights.split(",") if x.strip()]
@@ -157,6 +220,7 @@ class Engine:
     def profile(self, profile_id: str) -> DataFrame:
         return self.table("profiles").where(F.col("id") == profile_id)
 
+    @transaction
     def reset_profile(self, profile_id: str) -> None:
         self.write("profiles", self.table("profiles").where(F.col("id") != profile_id))
 
@@ -171,7 +235,7 @@ class Engine:
         recent = store.recent_exposures(exposures, pulses, index, self.now, self.settings.recent_hours)
         seen = recent.select(F.col("id").alias("probe_id"), F.col("fact_text").alias("probe_text"), "fingerprint").where("probe_text IS NOT NULL")
         queued = store.pending(self.table("sessions").where(F.col("profile_id") == profile_id), self.table("session_cards")).select("card_id")
-        left = store.pool(facts, firewall.suppressed_pool(facts.select("pulse_id", "source_id", "fact_text", "fingerprint"), seen), seen.select("fingerprint").distinct(), queued.distinct())
+        left = store.pool(facts, firewall.suppressed_pool(facts.select("pulse_id", "source_id", "fact_text", "fingerprint"), seen, stored=self.index("fact_index")), seen.select("fingerprint").distinct(), queued.distinct())
         sources = self.table("sources").select(F.col("id").alias("source_id"), "trust")
         age = (F.unix_micros(store.ts(self.now)) - F.unix_micros("verified_at")) / 1e6
         last = ledger.least_age(exposures.join(facts.select("card_id", "fingerprint"), "card_id"), store.ts(self.now))
@@ -194,6 +258,7 @@ class Engine:
         queue = ranking.plan_queues(pool, s.queue_size, s.max_streak, s.diversity, s.unexpected_share, generation)
         return firewall._checkpoint(queue.join(pool.select("card_id", "fingerprint"), "card_id"))
 
+    @transaction
     def prepare(self, profile_id: str) -> DataFrame:
         """The cards to show: those of the active session, else of a new one."""
         sessions = self.table("sessions")
@@ -212,6 +277,7 @@ class Engine:
     def pending_cards(self, profile_id: str) -> DataFrame:
         return store.pending(self.table("sessions").where(F.col("profile_id") == profile_id), self.table("session_cards")).orderBy("ordinal")
 
+    @transaction
     def refill(self, profile_id: str) -> int:
         """Appends a planned batch when few cards are left; returns how many."""
         mine, cards = self.table("sessions").where(F.col("profile_id") == profile_id), self.table("session_cards")
@@ -227,6 +293,7 @@ class Engine:
             self.write("sessions", store.coalesce_update(self.table("sessions"), self.spark.createDataFrame([(low.session_id, generation)], "id string, generation int")))
         return added
 
+    @transaction
     def acknowledge(self, profile_id: str, card_id: str) -> None:
         """Counts a card as shown if it is the one at the session's place; a repeat adds nothing."""
         sessions, cards = self.table("sessions"), self.table("session_cards")
@@ -238,6 +305,7 @@ class Engine:
 
     # Discovery ------------------------------------------------------------------------------------
 
+    @transaction
     def discover(self, provider: str, answers: DataFrame, limit: int = 10) -> dict[str, int]:
         """Keeps what a provider's answers name and nobody has yet as candidates, at most ``limit``; returns counters.
 
@@ -257,6 +325,7 @@ class Engine:
     def candidates(self) -> DataFrame:
         return self.table("discovery_candidates").orderBy("discovered_at", "id")
 
+    @transaction
     def register(self, ids: DataFrame) -> DataFrame:
         """Candidates (id) become sources, unless one has their locator or identity, and leave the candidates."""
         chosen = firewall._checkpoint(self.table("discovery_candidates").join(ids.select("id"), "id", "left_semi"))
@@ -266,9 +335,11 @@ class Engine:
         self.drop_candidates(chosen.select("id"))
         return new
 
+    @transaction
     def drop_candidates(self, ids: DataFrame) -> None:
         self.write("discovery_candidates", self.table("discovery_candidates").join(ids.select("id"), "id", "left_anti"))
 
+    @transaction
     def wait_for(self, adapter: str, until: datetime, detail: str = "") -> None:
         """An adapter answered that it must not be asked before ``until``."""
         row = self.spark.createDataFrame([(adapter, until, detail, self.now)], schemas.TABLES["adapter_state"])
@@ -276,6 +347,7 @@ class Engine:
 
     # Harness, search, checks ----------------------------------------------------------------------
 
+    @transaction
     def emit(self, adapter: str, event_type: str) -> bool:
         """Records an event that the adapter's capabilities support."""
         row = self.spark.createDataFrame([(f"{adapter}-{self.table('harness_events').count()}", adapter, event_type, self.now)], "id string, adapter string, event_type string, occurred_at timestamp")
@@ -289,9 +361,10 @@ class Engine:
 
     def search(self, query: str, what: str = "documents", limit: int = 20) -> DataFrame:
         """Documents, chunks or facts that hold all words of ``query``, best first."""
-        key, text = {"documents": ("id", "raw_text"), "chunks": ("id", "text"), "fact_index": ("pulse_id", "fact_text")}[what]
         q = self.spark.createDataFrame([(1, query)], "query_id int, query string")
-        return search.search(self.table(what), q, limit, key, text).join(self.table(what), key).orderBy("rank")
+        key = INDEXED[what][0]
+        hits = self.index(what).search(q, limit).withColumnRenamed("key", key)
+        return self.table(what).join(F.broadcast(hits), key).orderBy("rank")  # at most ``limit`` rows
 
     def doctor(self) -> DataFrame:
         """(check, value): capabilities, broken references, invalid rows, jobs to recover, whether a queue is ready, the last run."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,20 +20,30 @@ from pyspark.sql.types import DoubleType
 
 from factloom.functions import text as T
 
+if TYPE_CHECKING:
+    from factloom.operators.text_index import TextIndex
+
 K1, B = 1.2, 0.75
 
 
+def tokens(text: str) -> Column:
+    """Tokens of a column in their order; diacritics stay as tokens of the rest of the word."""
+    return F.regexp_extract_all(T.fold(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
+
+
 def postings(facts: DataFrame, key: str = "pulse_id", text: str = "fact_text") -> DataFrame:
-    """(key, token, tf, dl): occurrences of every token; diacritics stay as tokens of the rest of the word."""
-    tokens = facts.select(key, F.regexp_extract_all(T.fold(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)).alias("ts"))
-    each = tokens.select(key, F.size("ts").alias("dl"), F.explode("ts").alias("token"))
+    """(key, token, tf, dl): occurrences of every token."""
+    each = facts.select(key, tokens(text).alias("ts"))
+    each = each.select(key, F.size("ts").alias("dl"), F.explode("ts").alias("token"))
     return each.groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25_weights(index: DataFrame, key: str = "pulse_id") -> DataFrame:
-    """(key, token, w): what a token adds to its fact's score."""
+def bm25_weights(index: DataFrame, key: str = "pulse_id", size: tuple[int, int] | None = None) -> DataFrame:
+    """(key, token, w): what a token adds to its fact's score. ``size`` tells facts and tokens in all where ``index`` holds some tokens alone."""
     docs = index.select(key, "dl").distinct()
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    if size is not None:
+        stats = index.sparkSession.range(1).select(F.lit(size[0]).alias("n"), F.lit(size[1] / max(1, size[0])).alias("avgdl"))
     df = index.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return index.join(df, "token").crossJoin(F.broadcast(stats)).select(  # one row of statistics
@@ -105,14 +116,26 @@ def decisions(facts: DataFrame, k: int = 20) -> DataFrame:
     return out.select("pulse_id", F.when(F.col("sources") > 1, "duplicate").otherwise(tier(value)).alias("tier"), value.alias("similarity"))
 
 
-def shortlists(facts: DataFrame, k: int) -> DataFrame:
-    """(a, b, rank): the best ``k`` facts b of other sources per fact a; where ``facts`` has pos, earlier ones only, and ties go by it."""
+def shortlists(facts: DataFrame, k: int, stored: TextIndex | None = None) -> DataFrame:
+    """(a, b, rank): the best ``k`` facts b of other sources per fact a; where ``facts`` has pos, earlier ones only, and ties go by it.
+
+    Postings of settled facts come from the index ``stored``, those of asked tokens alone, if it is given.
+    """
     ordered = "pos" in facts.columns
     # Numbers in the order of pos stand for ids, as pairs are many; only facts of one source may share a pos.
     asks = ~F.coalesce("settled", F.lit(False)) if "settled" in facts.columns else F.lit(True)
     numbered = _checkpoint(facts.orderBy("pos" if ordered else "pulse_id").select(F.monotonically_increasing_id().alias("num"), "pulse_id", "source_id", "fact_text", asks.alias("asks")))
     asked = numbered.where("asks").select(F.col("num").alias("a"), F.col("source_id").alias("sa"), F.explode(T.query_tokens(F.col("fact_text"))).alias("token"))
-    held = bm25_weights(postings(numbered, "num"), "num").join(numbered.select("num", F.col("source_id").alias("sb")), "num").withColumnRenamed("num", "b")
+    if stored is None:
+        weighed = bm25_weights(postings(numbered, "num"), "num")
+    else:
+        made = _checkpoint(postings(numbered.where("asks"), "num"))
+        asking = made.select("num", "dl").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
+        old = stored.postings(asked.select("token")).withColumnRenamed("key", "pulse_id").join(numbered.where("NOT asks").select("pulse_id", "num"), "pulse_id")
+        n, total = stored.size()
+        both = old.select("num", "token", "dl", "tf").unionByName(made.join(asked.select("token").distinct(), "token", "left_semi").select("num", "token", "dl", "tf"))
+        weighed = bm25_weights(both, "num", (n + asking.n, total + asking.tokens))
+    held = weighed.join(numbered.select("num", F.col("source_id").alias("sb")), "num").withColumnRenamed("num", "b")
     joined = asked.join(held, "token").where("sa <> sb AND " + ("b < a" if ordered else "a <> b"))
     scored = joined.groupBy("a", "b").agg((-F.sum("w")).alias("score"))
     best = W.partitionBy("a").orderBy(F.round("score", 9), "b")
@@ -144,7 +167,7 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def first_wins(facts: DataFrame, k: int = 20, least: float = 0.58, max_rounds: int = 50) -> DataFrame:
+def first_wins(facts: DataFrame, k: int = 20, least: float = 0.58, stored: TextIndex | None = None) -> DataFrame:
     """Adds outcome kept or suppressed to facts (pulse_id, source_id, fact_text, fingerprint, pos: build order).
 
     Facts with a true ``settled`` (optional) were kept before: they stay, and are compared with but ask nothing.
@@ -154,10 +177,11 @@ def first_wins(facts: DataFrame, k: int = 20, least: float = 0.58, max_rounds: i
     """
     width = 4 * k
     settled = facts.where("settled").select("pulse_id") if "settled" in facts.columns else None
-    near = _checkpoint(shortlists(facts, width))
+    near = _checkpoint(shortlists(facts, width, stored))
     known = None
     kept = _checkpoint(facts.select("pulse_id"))
-    for _ in range(max_rounds):
+    # Round n settles at least the first n facts of every chain, so rounds end, however long a chain is.
+    while True:
         slot = W.partitionBy("a").orderBy("rank")
         short = near.join(kept.select(F.col("pulse_id").alias("b")), "b", "left_semi").withColumn("slot", F.row_number().over(slot)).where(F.col("slot") <= k)
         short = _checkpoint(short.select("a", "b"))
@@ -181,15 +205,24 @@ def first_wins(facts: DataFrame, k: int = 20, least: float = 0.58, max_rounds: i
                 outcome = now.withColumn("outcome", F.lit("kept"))
                 return facts.join(outcome, "pulse_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("suppressed")))
             width *= 4
-            near = _checkpoint(shortlists(facts, width))
+            near = _checkpoint(shortlists(facts, width, stored))
         kept = now
-    raise RuntimeError("first-wins resolution did not settle")
 
 
-def suppressed_pool(pool: DataFrame, recent: DataFrame, k: int = 10, least: float = 0.58) -> DataFrame:
-    """pulse_ids of ``pool`` (pulse_id, source_id, fact_text, fingerprint) that repeat ``recent`` (probe_id, probe_text, fingerprint)."""
+def suppressed_pool(pool: DataFrame, recent: DataFrame, k: int = 10, least: float = 0.58, stored: TextIndex | None = None) -> DataFrame:
+    """pulse_ids of ``pool`` (pulse_id, source_id, fact_text, fingerprint) that repeat ``recent`` (probe_id, probe_text, fingerprint).
+
+    ``stored`` is an index of all facts, from which the postings of asked tokens come.
+    """
     exact = pool.join(recent.select("fingerprint").distinct(), "fingerprint", "left_semi").select("pulse_id")
-    found = bm25_topk(postings(pool), recent, k).select("probe_id", "pulse_id")
+    if stored is None:
+        found = bm25_topk(postings(pool), recent, k).select("probe_id", "pulse_id")
+    else:
+        asked = recent.select("probe_id", F.explode(T.query_tokens(F.col("probe_text"))).alias("token"))
+        weighed = stored.weights(asked).withColumnRenamed("key", "pulse_id").join(pool.select("pulse_id"), "pulse_id", "left_semi")
+        scored = asked.join(weighed, "token").groupBy("probe_id", "pulse_id").agg((-F.sum("w")).alias("score"))
+        best = W.partitionBy("probe_id").orderBy(F.round("score", 9), "pulse_id")
+        found = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("probe_id", "pulse_id")
     texts = found.join(recent.select("probe_id", "probe_text"), "probe_id").join(pool.select("pulse_id", "fact_text"), "pulse_id")
     clear = texts.where(~T.anchor_conflict(T.anchors(F.col("probe_text")), T.anchors(F.col("fact_text"))))
     return exact.union(clear.where(similarity("probe_text", "fact_text") >= least).select("pulse_id")).distinct()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TABLES = {
     "sources": "id string, source_type string, canonical_locator string, title string, trust string, provenance string, retrieved_at timestamp, metadata map<string,string>, identity_key string",
@@ -40,6 +43,11 @@ RULES: dict[str, dict[str, str]] = {
 }
 
 
+@cache
+def fields(table: str) -> StructType:
+    return StructType.fromDDL(TABLES[table])
+
+
 def validate(df: DataFrame, table: str) -> DataFrame:
     """Adds ``violations``: the names of the rules that a row breaks."""
     checks: list[Column] = [F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.lit(name)) for name, rule in RULES.get(table, {}).items()]
@@ -53,6 +61,5 @@ def payload(df: DataFrame) -> DataFrame:
 
 def migrate(df: DataFrame, table: str, backfill: dict[str, Column] | None = None) -> DataFrame:
     """``df`` in the current schema: missing columns are added from ``backfill`` or as NULL, others cast."""
-    fields = df.sparkSession.createDataFrame([], TABLES[table]).schema.fields
-    backfill = backfill or {}
-    return df.select(*((F.col(f.name) if f.name in df.columns else backfill.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in fields))
+    backfill, known = backfill or {}, set(df.columns)
+    return df.select(*((F.col(f.name) if f.name in known else backfill.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in fields(table).fields))

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from factloom import settings
-from factloom.engine import Engine
+from factloom.engine import Engine, transaction
 
 NOW = datetime(2024, 1, 1)
 
@@ -97,3 +97,54 @@ def test_settings_layers(tmp_path):
         settings.load(env={"FACTLOOM_QUALITY_LANE": "maybe"})
     with pytest.raises(ValueError, match="unknown"):
         settings.load(env={}, colour="red")
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    a, b = Engine(spark, str(tmp_path), NOW), Engine(spark, str(tmp_path), NOW)
+    seeds = lambda n: spark.createDataFrame([(f"https://a.test/{n}", n)], "url string, title string")
+    tried = []
+
+    @transaction
+    def both(engine):
+        tried.append(1)
+        engine.add_sources(seeds("one"))
+        if len(tried) == 1:
+            b.add_sources(seeds("two"))
+            b.emit("opencode", "working")
+
+    both(a)
+    assert len(tried) == 2 and [r.title for r in a.list_sources().collect()] == ["one", "two"]
+
+    @transaction
+    def apart(engine):
+        tried.append(1)
+        engine.set_profile("p", "en")
+        b.emit("opencode", "idle")  # touches no table of this one: no second try
+
+    apart(a)
+    assert len(tried) == 3 and a.profile("p").count() == 1 and a.table("harness_events").select("id").distinct().count() == 2
+
+
+def test_a_build_that_dies_shows_nothing(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, str(tmp_path), NOW)
+    rows = docs(spark, [(1, "Ocean currents transport heat around the planet.", "s", "en")])
+    whole = Engine._finished
+
+    def dies(self, *told):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(Engine, "_finished", dies)
+    with pytest.raises(KeyboardInterrupt):
+        engine.refresh(rows)
+    monkeypatch.setattr(Engine, "_finished", whole)
+    other = Engine(spark, str(tmp_path), NOW)
+    assert all(other.table(name).isEmpty() for name in ("documents", "chunks", "pulses", "cards", "fact_index", "stage_keys", "runs")) and other.search("ocean").count() == 0
+    assert other.refresh(rows).count() == 1 and other.search("ocean").count() == 1 and engine.runs().count() == 1
+
+
+def test_appends_are_written_as_one_folder_in_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("factloom.engine.FOLDERS", 3)
+    engine = Engine(spark, str(tmp_path), NOW)
+    for n in range(5):
+        engine.add_sources(spark.createDataFrame([(f"https://a.test/{n}", str(n))], "url string, title string"))
+    assert engine.table("sources").count() == 5 and len(engine.log.latest()[1]["sources"]) <= 3
