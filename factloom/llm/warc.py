@@ -12,9 +12,9 @@ directory of an archive names its blocks, a block names the places of its record
 Archives go to the shared folder under names unique to the task attempt; only those named in the manifest
 that Spark commits count.
 
-Edge cases: null html is an empty payload; a null url has the key ``-``; rows repeated with one page_id:
-one of them is the response, the rest revisit it; a null page_id sorts behind all others; equal keys are ordered by
-page_id and may span archives and blocks; very long payloads are one record, read whole; an empty table
+Edge cases: null html is an empty payload; a null url has the key ``-``; of rows with one payload and the smallest page_id, under one
+address or several, exactly one is the response and the rest revisit it; a null page_id sorts behind all others, and where all page_ids
+of a payload are null one row is the response that the others refer to; equal keys are ordered by page_id and may span archives and blocks; very long payloads are one record, read whole; an empty table
 writes no archive; extra columns are ignored whatever their names.
 """
 
@@ -56,11 +56,13 @@ def surt(url: Column) -> Column:
 
 
 def captures(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, key, payload and, of repeated payloads, the page_id of the response."""
+    """page_id, url, key, payload, sha; of repeated payloads, first_id and place: page_id and hashed key of the response."""
     p = pages.select("page_id", "url", surt(F.col("url")).alias("key"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    p = p.withColumn("sha", F.sha1("payload"))
-    repeated = p.groupBy("sha", F.octet_length("payload").alias("n")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
-    repeated = materialize(repeated.where((F.col("copies") > 1) & (F.col("n") >= least)).select("sha", "first_id"), "warc-repeats")
+    p = p.withColumns({"sha": F.sha1("payload"), "at": F.xxhash64("key")})
+    first = F.min(F.struct(F.col("page_id").isNull(), "page_id", "at")).alias("first")
+    repeated = p.groupBy("sha", F.octet_length("payload").alias("n")).agg(first, F.count("*").alias("copies"))
+    repeated = repeated.where((F.col("copies") > 1) & (F.col("n") >= least)).select("sha", F.col("first.page_id").alias("first_id"), F.col("first.at").alias("place"))
+    repeated = materialize(repeated, "warc-repeats")
     return p.join(F.broadcast(repeated) if bounded(repeated) else repeated, "sha", "left")
 
 
@@ -137,19 +139,21 @@ def write_archives(pages: DataFrame, least: int = 0, uri: str | None = None) ->
     all_ = captures(pages, least)
     mb = (pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0) / 1e6
     parts = max(1, round(mb / ARCHIVE_MB), min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(mb / 4)))
-    rows = all_.select("key", "page_id", F.coalesce("url", F.lit("")).alias("url"), "payload", "sha", "first_id")
-    ordered = rows.repartitionByRange(parts, "key", F.col("page_id").asc_nulls_last()).sortWithinPartitions("key", F.col("page_id").asc_nulls_last())
+    # Null unless the payload repeats; then whether the row is one of those that may be its response.
+    may = F.when(F.col("place").isNotNull(), F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("place")))
+    rows = all_.select("key", "page_id", F.coalesce("url", F.lit("")).alias("url"), "payload", "sha", "first_id", may.alias("may"))
+    order = ["key", F.col("page_id").asc_nulls_last(), "sha"]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(uri)
         fs.create_dir(base, recursive=True)
         w, before = None, None
         for b in batches:
-            for key, page_id, url, payload, sha, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, page_id, url, payload, sha, first, may in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = w or _Writer(fs, base)
-                again = before == (key, page_id, sha) and page_id is not None
-                before = (key, page_id, sha)
-                kind = "revisit" if first is not None and (first != page_id or again) else "response"
+                again, before = before == (key, page_id, sha), (key, page_id, sha)
+                kind = "revisit" if may is False or may and again else "response"
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
                 w.add(key, page_id, record(kind, url, page_id, digest, len(payload), first, payload if kind == "response" else b""))
         if w:

@@ -40,6 +40,22 @@ def test_repeated_rows_nulls_and_empty(spark):
     assert A.read_archives(*A.write_archives(pages.limit(0))).count() == 0
 
 
+def test_one_response_for_a_payload(spark):
+    rows = [
+        (1, "http://a.com/", "X"), (1, "http://b.com/", "X"), (2, "http://c.com/", "Y"), (2, "http://c.com/", "Z"), (2, "http://c.com/", "Y"), (9, "http://a.com/", "Y"),
+        (None, "http://d.com/", "N"), (None, "http://e.com/", "N"), (None, "http://e.com/", "N"), (3, "http://f.com/", "alone"), (3, "http://g.com/", "other"), (None, "http://h.com/", None),
+    ]
+    got = A.read_archives(*A.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.payload_digest, []).append(r)
+    assert sorted(len(v) for v in by.values()) == [1, 1, 1, 1, 2, 3, 3]
+    for group in by.values():
+        [response] = [r for r in group if r.record_type == "response"]
+        assert response.refers_to is None and all(r.refers_to == response.page_id for r in group if r is not response)
+        assert response.page_id == min((r.page_id for r in group if r.page_id is not None), default=None)
+
+
 def test_index_finds_every_capture(spark, monkeypatch):
     monkeypatch.setattr(A, "BLOCK_LINES", 4)
     monkeypatch.setattr(A, "ARCHIVE_MB", 0.002)
