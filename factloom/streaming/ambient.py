@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from factloom.streaming import scan
+
 # Fixed values.
 STALE_SECONDS = 600
 STATES = {"session_start": "active_work", "working": "active_work", "idle": "waiting_or_idle", "turn_complete": "turn_complete", "session_end": "quiet"}
@@ -42,18 +44,10 @@ def normalize(events: DataFrame) -> DataFrame:
 def changes(events: DataFrame, key: str = "session_id") -> DataFrame:
     """(key, at, state): the changes of state per key. A repeat of a state counts only after the state has gone stale, measured from its last change.
 
-    Events of a key are folded in the order of time; a key is one session, whose events are few.
+    A parallel scan: a session may hold any share of the events.
     """
-    known = events.select(key, F.col("ts").alias("at"), state_of(F.col("event_type")).alias("state")).where("state IS NOT NULL")
-    lists = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "state"))).alias("es"))
-    zero = F.struct(F.lit(None).cast("struct<at:timestamp,state:string>").alias("last"), F.array().cast("array<struct<at:timestamp,state:string>>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        stale = F.unix_micros(e["at"]) - F.unix_micros(acc["last"]["at"]) > STALE_SECONDS * 1_000_000
-        new = acc["last"].isNull() | (acc["last"]["state"] != e["state"]) | stale
-        return F.when(new, F.struct(e.alias("last"), F.concat(acc["out"], F.array(e)).alias("out"))).otherwise(acc)
-
-    return lists.select(key, F.explode(F.aggregate("es", zero, step)["out"]).alias("c")).select(key, "c.at", "c.state")
+    known = events.select(key, F.col("ts").alias("at"), state_of(F.col("event_type")).alias("kind")).where("kind IS NOT NULL")
+    return scan.counted(known, key, STALE_SECONDS * 1_000_000).withColumnRenamed("kind", "state")
 
 
 def current(changed: DataFrame, now: Column, key: str = "session_id") -> DataFrame:
@@ -65,15 +59,8 @@ def current(changed: DataFrame, now: Column, key: str = "session_id") -> DataFra
 
 def debounce(events: DataFrame, key: str = "session_id", seconds: float = 1.0) -> DataFrame:
     """Events without those of the kind emitted last that come less than ``seconds`` after it."""
-    lists = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "event_type"))).alias("es"))
-    zero = F.struct(F.lit(None).cast("struct<ts:timestamp,event_type:string>").alias("last"), F.array().cast("array<struct<ts:timestamp,event_type:string>>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        close = F.unix_micros(e["ts"]) - F.unix_micros(acc["last"]["ts"]) < int(seconds * 1_000_000)
-        drop = acc["last"].isNotNull() & (acc["last"]["event_type"] == e["event_type"]) & close
-        return F.when(drop, acc).otherwise(F.struct(e.alias("last"), F.concat(acc["out"], F.array(e)).alias("out")))
-
-    return lists.select(key, F.explode(F.aggregate("es", zero, step)["out"]).alias("e")).select(key, "e.ts", "e.event_type")
+    known = events.select(key, F.col("ts").alias("at"), F.col("event_type").alias("kind"))
+    return scan.counted(known, key, int(seconds * 1_000_000) - 1).select(key, F.col("at").alias("ts"), F.col("kind").alias("event_type"))
 
 
 def changes_stream(events: DataFrame, key: str = "session_id", lateness: str | None = None) -> DataFrame:
