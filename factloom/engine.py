@@ -6,7 +6,7 @@ import uuid
 from datetime import datetime
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import schemas
@@ -14,8 +14,9 @@ from factloom.functions import text as T
 from factloom.operators import commits, firewall, ledger, ranking, store
 from factloom.operators.text_index import TextIndex
 from factloom.plans import facts as P
+from factloom.plans import quality_lane
 from factloom.settings import Settings, capabilities
-from factloom.sources import web
+from factloom.sources import model, web
 from factloom.streaming import ambient
 
 #: Folders that a table is spread over at most.
@@ -62,8 +63,10 @@ def transaction(verb):
 class Engine:
     """Each table is a set of folders; one log names those that are current for all tables. Appends add a folder, other writes replace them."""
 
-    def __init__(self, spark: SparkSession, path: str, now: datetime, settings: Settings | None = None):
+    def __init__(self, spark: SparkSession, path: str, now: datetime, settings: Settings | None = None, endpoint: quality_lane.Endpoint | None = None):
+        """Escalated candidates pass the model lane if the settings turn it on and there is an endpoint, given or named by the settings."""
         self.spark, self.path, self.now, self.settings = spark, path.rstrip("/"), now, settings or Settings()
+        self.endpoint = (endpoint or model.endpoint(self.settings)) if self.settings.quality_lane else None
         self.log, self._open = commits.Log(spark, f"{self.path}/_log"), None
 
     def _commit(self, t: _Transaction) -> bool:
@@ -136,16 +139,40 @@ class Engine:
         """Numbers of documents (doc_id, source, lang, text) that a refresh would skip and build."""
         return self._actions(docs).groupBy("action").agg(F.count("*").alias("n"))
 
+    def _stage_key(self) -> Column:
+        lane = self.endpoint is not None
+        return P.stage_key(F.col("document_id"), (self.settings.model_id or "model") if lane else None, lane)
+
+    def _lane(self, staged: DataFrame, run: str) -> DataFrame:
+        """Facts that the model lane made of escalated candidates, as staged rows; its cache and usage are stored."""
+        s = self.settings
+        pos = F.concat_ws("|", "source_id", F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lpad(F.col("ordinal").cast("string"), 6, "0"))
+        asked = staged.where("escalation IS NOT NULL").select(F.col("atom_id").alias("key"), pos.alias("pos"), "statement", F.col("text").alias("evidence"), "escalation", "required")
+        prices = quality_lane.Prices(s.input_price, s.output_price) if s.model_cost is not None else None
+        got = quality_lane.run_lane(asked, self.table("model_cache"), self.endpoint, s.model_calls, s.model_cost, prices, bool(s.strong_model_id) or not s.model_id, s.model_id or "model", P.QUALITY)
+        self._append("model_cache", got["cache"], "cache_key")
+        usage = got["usage"].withColumn("id", T.det_id("usage", F.lit(run), F.col("pos"), F.col("stage").cast("string")))
+        tier = F.when(F.col("tier") == "strong", s.strong_model_id or s.model_id).otherwise(s.model_id)
+        self._append("model_usage", usage.withColumns({"run_id": F.lit(run), "task_type": F.col("task"), "model_id": tier}))
+        made = staged.join(got["outcomes"].where("fact IS NOT NULL").select(F.col("key").alias("atom_id"), F.col("outcome").alias("__how"), "fact"), "atom_id")
+        own = F.col("__how") == "verified_original"
+        again = made.withColumn("statement", F.col("fact")).withColumn("claim_hash", T.fingerprint(F.col("statement")))
+        return again.withColumns({
+            "evidence_id": F.when(own, F.col("evidence_id")).otherwise(T.det_id("evidence", F.col("source_id"), F.col("document_id"), F.col("chunk_id"), F.col("claim_hash"))),
+            "atom_id": F.when(own, F.col("atom_id")).otherwise(T.det_id("atom", F.col("chunk_id"), P.derived_contract(P.EXTRACTOR, s.model_id or "model", True), F.col("claim_hash"))),
+            "status": F.lit("verified"), "playable": F.lit(True), "reason": F.when(own, F.col("reason")).otherwise("model_verified"), "escalation": F.lit(None).cast("string"),
+        }).select(*staged.columns)
+
     def _actions(self, docs: DataFrame) -> DataFrame:
-        current = P.parsed(docs).select("doc_id", "source_id", "document_id").withColumn("stage_key", P.stage_key(F.col("document_id")))
+        current = P.parsed(docs).select("doc_id", "source_id", "document_id").withColumn("stage_key", self._stage_key())
         return store.stage_actions(current.withColumn("doc_id", F.col("doc_id").cast("string")), self.table("stage_keys"), ("source_id", "doc_id"))
 
     @transaction
-    def refresh(self, docs: DataFrame) -> DataFrame:
+    def refresh(self, docs: DataFrame, more: dict[str, int] | None = None) -> DataFrame:
         """Builds changed documents and keeps what that makes; returns the new pulses.
 
         Evidence and atoms of all candidates stay, playable or not. Facts pass the firewall against the stored index and each
-        other, in build order; what is kept becomes a card, a pulse and a row of the index. The run's counters are stored.
+        other, in build order; what is kept becomes a card, a pulse and a row of the index. The run's counters are stored, with ``more`` beside them.
         """
         start, before = self._started("refresh"), self.table("pulses").select("id")
         actions = firewall._checkpoint(self._actions(docs))
@@ -153,10 +180,14 @@ class Engine:
         changed = docs.join(todo.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi") if dict(docs.dtypes)["doc_id"] != "string" else docs.join(todo.select("doc_id"), "doc_id", "left_semi")
         parsed, chunked = P.parsed(changed), P.chunks(changed)
         staged = firewall._checkpoint(P.classify(P.verify(P.claims(chunked))))
-        composed = firewall._checkpoint(self._firewalled(P.compose(staged.where("escalation IS NULL"))))
+        fast, every = staged.where("escalation IS NULL"), staged
+        if self.endpoint is not None:
+            made = firewall._checkpoint(self._lane(staged, start))
+            fast, every = fast.unionByName(made), staged.unionByName(made).dropDuplicates(["atom_id"])
+        composed = firewall._checkpoint(self._firewalled(P.compose(fast).dropDuplicates(["pulse_id"])))
         kept = composed.where("outcome = 'kept'")
         now, one = store.ts(self.now), lambda c: F.array(F.col(c))
-        verification = F.struct("status", F.array("reason").alias("reason_codes"), "risk_flags", F.lit(False).alias("provider_used"))
+        verification = F.struct("status", F.array("reason").alias("reason_codes"), "risk_flags", (F.col("reason") == "model_verified").alias("provider_used"))
         made = {
             "documents": parsed.select(F.col("document_id").alias("id"), "source_id", F.sha2("body", 256).alias("content_sha256"), F.col("body").alias("raw_text"), now.alias("captured_at")),
             "chunks": chunked.select(F.col("chunk_id").alias("id"), "document_id", "ordinal", "text", "char_start", "char_end"),
@@ -165,18 +196,54 @@ class Engine:
         for name, rows in made.items():
             self._append(name, rows, INDEXED[name][0])
             self._indexed(name, rows)
-        self._append("evidence", staged.select(F.col("evidence_id").alias("id"), "source_id", "document_id", "chunk_id", F.substring("text", 1, 500).alias("quote"), F.col("reason").alias("support")))
-        self._append("atoms", staged.select(F.col("atom_id").alias("id"), "statement", F.col("status").alias("claim_status"), one("evidence_id").alias("evidence_ids"), now.alias("created_at")))
+        self._append("evidence", every.select(F.col("evidence_id").alias("id"), "source_id", "document_id", "chunk_id", F.substring("text", 1, 500).alias("quote"), F.col("reason").alias("support")))
+        self._append("atoms", every.select(F.col("atom_id").alias("id"), "statement", F.col("status").alias("claim_status"), one("evidence_id").alias("evidence_ids"), now.alias("created_at")))
         self._append("cards", kept.select(F.col("card_id").alias("id"), F.lit("question").alias("card_type"), F.col("display_fact").alias("prompt"), one("atom_id").alias("atom_ids"), one("evidence_id").alias("evidence_ids"), now.alias("created_at")))
         self._append("pulses", kept.select(
             F.col("pulse_id").alias("id"), "card_id", "atom_id", "display_fact", F.array(F.coalesce("lang", F.lit("general"))).alias("topics"), "source_id", "document_id", one("evidence_id").alias("evidence_ids"),
-            now.alias("verified_at"), verification.alias("verification"), P.stage_key(F.col("document_id")).alias("stage_key"), "fact_fingerprint",
+            now.alias("verified_at"), verification.alias("verification"), self._stage_key().alias("stage_key"), "fact_fingerprint",
         ))
         stamps = todo.select("source_id", "doc_id", "document_id", F.lit(P.PARSER).alias("parser_version"), "stage_key", now.alias("built_at"))
         self.write("stage_keys", store.upsert(self.table("stage_keys"), schemas.migrate(stamps, "stage_keys"), ["source_id", "doc_id"], "built_at"))
-        self._finished(start, ledger.build_counters(actions, chunked, staged, composed))
+        self._finished(start, ledger.build_counters(actions, chunked, staged, composed).withColumns({k: F.lit(v) for k, v in (more or {}).items()}))
         return self.table("pulses").join(before, "id", "left_anti")
 
+    @transaction
+    def refresh_sources(self, opener=None, pause: float = 0.0) -> DataFrame:
+        """Asks the addresses of all sources, conditionally where an answer is cached, and builds what changed; returns the new pulses.
+
+        Answers 304 are read from the cache: as they were parsed, or parsed anew if the parser is another one by now. What cannot be read changes
+        nothing. The run's counters tell fetched, reused, reparsed and failed answers. A host is asked by one task, request after request.
+        """
+        caches = self.table("caches")
+        wanted = self.table("sources").select(T.det_id("cache", F.col("canonical_locator")).alias("cache_key"), F.col("canonical_locator").alias("url"), F.col("id").alias("source_id"))
+        asked = store.request_headers(wanted, caches).withColumn("host", F.lower(F.regexp_extract("url", "://([^/?#]+)", 1)))
+        answers = firewall._checkpoint(web.fetched(asked, opener, pause))
+        held = caches.select("cache_key", F.col("parser_version").alias("held"))
+        known = sorted({v for versions in web.PARSERS.values() for v in versions})
+        now_by = F.when(F.col("held").isin(known), F.col("held")).otherwise(F.lit("another"))
+        typed = answers.join(held, "cache_key", "left").withColumn("parser_version", now_by).drop("held")
+        acted = firewall._checkpoint(store.fetch_actions(typed, caches))
+        raw = caches.select("cache_key", "raw_bytes", F.col("etag").alias("old_etag"), F.col("last_modified").alias("old_modified"))
+        both = acted.where("action IN ('fetch', 'reparse')").join(raw, "cache_key", "left")
+        again = F.col("action") == "reparse"
+        bodies = both.withColumns({
+            "body": F.when(again, F.col("raw_bytes")).otherwise(F.col("body")), "etag": F.when(again, F.col("old_etag")).otherwise(F.col("etag")), "last_modified": F.when(again, F.col("old_modified")).otherwise(F.col("last_modified")),
+            "mime_type": F.when(again, F.when(F.startswith(F.decode("raw_bytes", "ISO-8859-1"), F.lit("%PDF-")), "application/pdf").when(F.decode("raw_bytes", "ISO-8859-1").rlike("(?i)<(html|body|p|div)[ >]"), "text/html").otherwise("text/plain")).otherwise(F.col("mime_type")),
+        })
+        parsed = firewall._checkpoint(web.parse_documents(bodies))
+        new = parsed.where("error IS NULL").select(F.col("cache_key").alias("doc_id"), "text", F.col("source_id").alias("source"), F.lit(None).cast("string").alias("lang"))
+        same = store.reloaded(acted, caches, self.table("documents"), self.table("chunks")).join(self.table("documents").select(F.col("id").alias("document_id"), "raw_text", "source_id"), "document_id")
+        docs = firewall._checkpoint(new.unionByName(same.select(F.col("cache_key").alias("doc_id"), F.col("raw_text").alias("text"), F.col("source_id").alias("source"), F.lit(None).cast("string").alias("lang"))))
+        told = {r.action: r.n for r in acted.groupBy("action").agg(F.count("*").alias("n")).collect()}  # four actions at most
+        unread = parsed.where("error IS NOT NULL").count()
+        fetching = {"fetched": told.get("fetch", 0), "reused": told.get("reuse", 0), "reparsed": told.get("reparse", 0), "fetch_errors": told.get("error", 0) + unread}
+        pulses = self.refresh(docs, fetching)
+        ids = P.parsed(docs).select(F.col("doc_id").alias("cache_key"), "document_id")
+        kept = parsed.where("error IS NULL").withColumn("parser_version", F.col("parser")).join(ids, "cache_key", "left")
+        self.write("caches", store.upsert(caches, schemas.migrate(store.cache_updates(kept, self.now), "caches"), ["cache_key"], "fetched_at"))
+        return pulses
+
     def _firewalled(self, composed: DataFrame) -> DataFrame:
         """``composed`` with outcome: exact and near repeats of stored or earlier facts of other sources are suppressed."""
         pos = F.concat_ws("|", F.lit("1"), "source_id", F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lpad(F.col("ordinal").cast("string"), 6, "0"))

@@ -25,6 +25,7 @@ TABLES = {
     "caches": "cache_key string, content_sha256 string, etag string, last_modified string, fetched_at timestamp, parser_version string, document_id string, raw_bytes binary",
     "jobs": "id string, idempotency_key string, stage string, status string, attempts int, next_attempt_at timestamp, lease_owner string, lease_expires_at timestamp, error_class string, error_detail string, created_at timestamp",
     "model_usage": "id string, run_id string, task_type string, model_id string, tier string, input_tokens long, output_tokens long, cached_tokens long, latency_ms double, cache_hit boolean, failed boolean",
+    "model_cache": "cache_key string, result string",
     "harness_events": "id string, adapter string, event_type string, occurred_at timestamp, job_status string",
     "discovery_candidates": "id string, provider string, canonical_locator string, identity_key string, title string, discovered_at timestamp, metadata map<string,string>",
     "adapter_state": "adapter string, retry_after timestamp, detail string, updated_at timestamp",

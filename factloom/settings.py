@@ -23,6 +23,8 @@ class Settings:
     shortlist: int = 20
     model_calls: int = 10
     model_cost: float | None = None
+    input_price: float = 0.0
+    output_price: float = 0.0
     quality_lane: bool = False
     model_url: str = ""
     api_key: str = ""

@@ -123,7 +123,7 @@ def parse_documents(responses: DataFrame, pdf_text: Column | None = None) -> Dat
 
 def pdf_checks(body: Column, max_pages: int = 50, max_bytes: int = 10_000_000) -> Column:
     """Why a PDF is refused before conversion, or NULL."""
-    text = F.decode(body, F.lit("ISO-8859-1"))
+    text = F.decode(body, "ISO-8859-1")
     return F.when(~F.startswith(text, F.lit("%PDF-")), "not_pdf").when(F.octet_length(body) > max_bytes, "too_large").when(F.regexp_count(text, F.lit(r"/Type\s*/Page\b(?!s)")) > max_pages, "too_many_pages")
 
 
@@ -214,6 +214,26 @@ def fetch(url: str, headers: dict[str, str] | None = None, max_bytes: int = 2_00
     }
 
 
+ANSWER = "cache_key string, source_id string, url string, status int, body binary, truncated boolean, mime_type string, etag string, last_modified string, retry_after string"
+
+
+def fetched(requests: DataFrame, opener: Callable | None = None, pause: float = 0.0) -> DataFrame:
+    """Answers to requests (cache_key, source_id, url, headers, host). All requests to a host are in one task, one after the other, ``pause`` seconds apart."""
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[str] = set()
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                if r.host in seen and pause:
+                    time.sleep(pause)
+                seen.add(r.host)
+                rows.append((r.cache_key, r.source_id, *fetch(r.url, dict(r.headers or {}), opener=opener).values()))
+            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in ANSWER.split(", ")])
+
+    return requests.select("cache_key", "source_id", "url", "headers", "host").repartition("host").mapInPandas(ask, ANSWER)
+
+
 class BudgetSpent(RuntimeError):
     """No request is left."""
 

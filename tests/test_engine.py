@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom import settings
 from factloom.engine import Engine, transaction
@@ -148,3 +149,76 @@ def test_appends_are_written_as_one_folder_in_time(spark, tmp_path, monkeypatch)
     for n in range(5):
         engine.add_sources(spark.createDataFrame([(f"https://a.test/{n}", str(n))], "url string, title string"))
     assert engine.table("sources").count() == 5 and len(engine.log.latest()[1]["sources"]) <= 3
+
+
+def lane_endpoint(calls):
+    def endpoint(task, tier, prompts):
+        with open(calls, "a") as f:
+            f.write(f"{task}\n" * len(prompts))
+        told = {"translate": "Mars has 2 small moons.", "fidelity": '{"faithful": true}', "verify": '{"verdict": "supported", "confidence": 0.95, "reason": "r"}'}
+        return [(told.get(task), 7, 3) for _ in prompts]
+
+    return endpoint
+
+
+def test_the_model_lane_in_a_build(spark, tmp_path):
+    calls = tmp_path / "calls"
+    options = settings.load(env={}, quality_lane=True, model_id="m")
+    rows = docs(spark, [(1, "火星には2個の小さな衛星があり、地球の月よりもずっと小さい。", "s", "ja"), (2, "Ocean currents transport heat around the planet.", "t", "en")])
+    engine = Engine(spark, str(tmp_path / "e"), NOW, options, lane_endpoint(str(calls)))
+    assert sorted(r.display_fact for r in engine.refresh(rows).collect()) == ["Mars has 2 small moons.", "Ocean currents transport heat around the planet."]
+    assert sorted(calls.read_text().split()) == ["fidelity", "translate", "verify"]
+    pulse = engine.table("pulses").where("source_id = 's'").first()
+    assert pulse.verification.provider_used and engine.inspect(pulse.id).first().statement == "Mars has 2 small moons."
+    assert engine.table("model_usage").where("NOT cache_hit").count() == 3 and engine.table("model_cache").count() == 3
+    assert engine.refresh(rows).count() == 0  # unchanged branches are skipped
+    # Another contract builds anew, from the cache.
+    engine.write("stage_keys", engine.table("stage_keys").withColumn("stage_key", F.lit("old")))
+    engine.refresh(rows)
+    assert len(calls.read_text().split()) == 3 and engine.table("model_usage").where("cache_hit").count() == 3
+    assert Engine(spark, str(tmp_path / "f"), NOW, None, lane_endpoint(str(calls))).refresh(rows).count() == 1  # not turned on
+
+
+PAGE = "<html><body><p>{}</p></body></html>"
+
+
+def serve(folder):
+    """An opener that answers from files by address and knows their tags; it notes every request."""
+
+    def opener(request, timeout):
+        import io
+        import urllib.error
+        from email.message import Message
+        from pathlib import Path
+
+        name = request.full_url.rsplit("/", 1)[1]
+        tag = request.headers.get("If-none-match")
+        body = (Path(folder) / name).read_bytes() if (Path(folder) / name).exists() else None
+        with open(f"{folder}/asked", "a") as f:
+            f.write(f"{name} {tag}\n")
+        if body is None or tag == f'"{len(body)}"':
+            raise urllib.error.HTTPError(request.full_url, 404 if body is None else 304, "", Message(), None)
+        answer = io.BytesIO(body)
+        answer.status, answer.headers = 200, {"Content-Type": "text/html; charset=utf-8" if name.startswith("page") else "text/plain", "ETag": f'"{len(body)}"'}
+        return answer
+
+    return opener
+
+
+def test_refresh_from_addresses(spark, tmp_path):
+    long = "The Nile is the longest river of Africa and flows north into the sea. " * 8
+    (tmp_path / "page1").write_text(PAGE.format(long))
+    (tmp_path / "note").write_text("Ocean currents transport heat around the planet.")
+    engine, opener = Engine(spark, str(tmp_path / "e"), NOW), serve(str(tmp_path))
+    engine.add_sources(spark.createDataFrame([(f"https://a.test/{n}", n) for n in ("page1", "note", "gone")], "url string, title string"))
+    assert engine.refresh_sources(opener).count() == 2
+    told = lambda: {k: engine.last_run().first().counters[k] for k in ("fetched", "reused", "reparsed", "fetch_errors", "documents_built", "candidates")}
+    assert told() == {"fetched": 2, "reused": 0, "reparsed": 0, "fetch_errors": 1, "documents_built": 2, "candidates": 2}
+    assert engine.refresh_sources(opener).count() == 0  # nothing parsed, nothing built
+    assert told() == {"fetched": 0, "reused": 2, "reparsed": 0, "fetch_errors": 1, "documents_built": 0, "candidates": 0}
+    assert (tmp_path / "asked").read_text().count("None") == 4
+    engine.write("caches", engine.table("caches").withColumn("parser_version", F.when(F.col("parser_version") == "plain-1", "plain-0").otherwise(F.col("parser_version"))))
+    (tmp_path / "page1").write_text(PAGE.format("Glaciers carve deep valleys as they move downhill. " * 9))
+    assert [r.display_fact for r in engine.refresh_sources(opener).collect()] == ["Glaciers carve deep valleys as they move downhill."]
+    assert told() == {"fetched": 1, "reused": 0, "reparsed": 1, "fetch_errors": 1, "documents_built": 1, "candidates": 1}
+    assert {r.parser_version for r in engine.table("caches").collect()} == {"plain-1", "html-fallback-1"}

@@ -218,3 +218,9 @@ def test_markup_that_does_not_end():
         ("<nav>a <b>b</b></nav>c", "c"), ("<header/>a", "a"), ("<script/>a", "a"), ("</nav>a", "a"), ("1 < 2 &amp; 3 > 2", "1 < 2 & 3 > 2"), ("a </ b> c", "a c"), ("</>a", "</>a"), ("", ""), (None, ""),
     ):
         assert web.main_text(page) == text, page
+
+
+def test_pdf_checks(spark):
+    rows = [(1, b"%PDF-1.4 /Type /Page /Type /Pages"), (2, b"no"), (3, b"%PDF-1.4" + b" /Type /Page" * 4), (4, b"%PDF-" + b"x" * 300)]
+    got = spark.createDataFrame(rows, "id int, body binary").select("id", web.pdf_checks(F.col("body"), 3, 200).alias("why")).collect()
+    assert {r.id: r.why for r in got} == {1: None, 2: "not_pdf", 3: "too_many_pages", 4: "too_large"}
