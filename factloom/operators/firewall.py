@@ -12,7 +12,7 @@ import tempfile
 from typing import TYPE_CHECKING
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -156,14 +156,20 @@ def edges(facts: DataFrame, k: int = 20) -> DataFrame:
     return compared(shortlists(facts, k), facts)
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only on one machine, where it is unset, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,6 +88,12 @@ class Lane:
     model_id: str = "m"
     contract: str = "c"
 
+    @cached_property
+    def broken(self) -> tuple[Column, Column]:
+        """Whether the answers of the first two stages break anchors; long expressions, made once a run."""
+        each = lambda r: F.size(T.anchor_violations(F.col("origin"), F.col(r), F.col("task") == "translate")) > 0
+        return each("s1.used"), each("s2.used")
+
     def fits(self, wanted: list[tuple], budget: Budget) -> int:
         """How many of the first (pos, task) leave calls and money whatever they need."""
         calls, money = 0, 0.0
@@ -180,16 +186,13 @@ STAGES = (1, 2, 3, 4, 5)
 
 def walk(work: DataFrame, cache: DataFrame, lane: Lane, budget: Budget | None) -> DataFrame:
     """``work`` after its stages: outcome, detail, fact, missed (a request had no answer for want of a call), s1 to s5 with what was asked; written."""
-
-    def broken(r: str) -> Column:
-        return F.size(T.anchor_violations(F.col("origin"), F.col(r), F.col("task") == "translate")) > 0
-
     how = {"cache": cache, "lane": lane, "budget": budget}
     start = F.substring("origin", 1, ASKED)
     rows = ask(work, 1, F.col("task") != "verify", F.col("task"), "cheap", F.col("origin"), start, **how)
-    rows = rows.withColumn("again", F.coalesce(broken("s1.used"), F.lit(False)))
+    first, second = lane.broken
+    rows = rows.withColumn("again", F.coalesce(first, F.lit(False)))
     rows = ask(rows, 2, F.col("again") & F.lit(lane.strong), F.col("task"), "strong", F.col("origin"), start, **how)
-    made = F.when(F.col("task") == "verify", F.col("statement")).when(~F.col("again"), F.col("s1.used")).when(F.col("again") & ~broken("s2.used"), F.col("s2.used"))
+    made = F.when(F.col("task") == "verify", F.col("statement")).when(~F.col("again"), F.col("s1.used")).when(F.col("again") & ~second, F.col("s2.used"))
     rows = rows.withColumn("made", made)
     rows = ask(rows, 3, (F.col("task") == "translate") & F.col("made").isNotNull(), "fidelity", "cheap", F.col("origin"), F.concat(start, F.lit("\n"), "made"), **how)
     faithful = (F.col("task") != "translate") | F.coalesce(_parsed(F.col("s3.used"))["faithful"], F.lit(False))

@@ -7,6 +7,7 @@ The tables stand in for the engine's: documents (source, language as topic), pag
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -16,9 +17,10 @@ from pyspark.sql import Window as W
 
 from factloom.functions import text as T
 from factloom import schemas
-from factloom.operators import firewall, ledger, ranking, search, store
+from factloom.operators import firewall, ledger, ranking, search, store, text_index
 from factloom.plans import facts as P
 from factloom.plans import quality_lane as quality_lane_
+from factloom.settings import Settings
 from factloom.sources import web
 from factloom.streaming import ambient
 
@@ -464,13 +466,18 @@ def bm25_topk(spark, sf_dir):
     return got.select("probe_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(rf"""WITH tk AS (SELECT doc_id, regexp_extract_all({_fold("text")}, '[a-z0-9]+') AS ts FROM documents),
+def _search_sql(only: str = "", tie: str = "doc_id") -> str:
+    """Documents that hold the first three words of a benchmark item, among those that ``only`` leaves; equal scores go by ``tie``."""
+    return rf"""WITH tk AS (SELECT doc_id, regexp_extract_all({_fold("text")}, '[a-z0-9]+') AS ts FROM documents{only}),
     post AS (SELECT doc_id, t AS token, len(ts) AS dl, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS t FROM tk) GROUP BY ALL),
     st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT doc_id, dl FROM post)), df AS (SELECT token, count(*) AS df FROM post GROUP BY 1),
     q AS (SELECT item_id, list_distinct(regexp_extract_all({_fold("text")}, '[a-z0-9]+')[1:3]) AS ts FROM benchmark), a AS (SELECT item_id, len(ts) AS n_terms, unnest(ts) AS token FROM q),
     s AS (SELECT item_id, doc_id, n_terms, count(*) AS held, -sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
           FROM a JOIN post USING (token) JOIN df USING (token), st GROUP BY ALL HAVING count(*) = n_terms)
-    SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9), doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 20""")
+    SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9), {tie})::INTEGER AS rank FROM s QUALIFY rank <= 20"""
+
+
+@query(_search_sql())
 def search_documents(spark, sf_dir):
     """Documents that hold the first three words of a benchmark item, in any order."""
     words = F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))
@@ -479,14 +486,28 @@ def search_documents(spark, sf_dir):
     return got.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(_search_sql(" WHERE coalesce(source, '') <> 'src3'", "doc_id::VARCHAR"))
+def stored_search(spark, sf_dir):
+    """The same search in a stored index of two segments, from which the documents of one source were removed again."""
+    words = F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))
+    q = read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(words, 1, 3), " ").alias("query"))
+    d = read(spark, sf_dir, "documents")
+    first = F.coalesce(F.col("source") < "src2", F.lit(False))
+    index = text_index.StoredIndex(spark, f"{firewall.shared_folder(spark).rstrip('/')}/factloom/index-{uuid.uuid4().hex}")
+    index.add(d.where(first), "doc_id", "text")
+    index.add(d.where(~first), "doc_id", "text")
+    got = index.remove(d.where("source = 'src3'").select("doc_id"), "doc_id").search(q, 20, "item_id")
+    return got.select("item_id", F.col("key").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query()
 def quality_lane(spark, sf_dir):
-    """Escalated candidates through the model lane, with an endpoint that answers by rule and a budget of 200 calls, in build order."""
+    """Escalated candidates through the model lane, with an endpoint that answers by rule and the engine's budget of calls, spent in build order."""
     k = P.classify(P.verify(P.claims(P.chunks(read(spark, sf_dir, "documents")))))
     pos = F.concat_ws("|", "source_id", F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lpad(F.col("ordinal").cast("string"), 6, "0"))
     rows = k.where("escalation IS NOT NULL").select(F.col("atom_id").alias("key"), pos.alias("pos"), "statement", F.col("text").alias("evidence"), "escalation", "required")
     none = spark.createDataFrame([], "cache_key string, result string")
-    return quality_lane_.run_lane(firewall._checkpoint(rows), none, _rule, 200)["outcomes"]
+    return quality_lane_.run_lane(firewall._checkpoint(rows), none, _rule, Settings().model_calls)["outcomes"]
 
 
 def _rule(task: str, tier: str, prompts: list[str]) -> list[tuple[str | None, int, int]]:
