@@ -5,8 +5,9 @@ parity sketch; a shingle that only one of two documents has flips at most one bi
 Hamming distance H never exceeds the symmetric difference D, and a Jaccard similarity of 3/4 or more means
 ``D <= (a + b) / 7`` for set sizes a and b.
 
-1. The joined sketch has 2^56 bits and is kept as the sorted list of its odd bits, so a document has a such
-   bits. Two documents that link agree on all but D of them, and x has at most ``a - (a + b - D) / 2`` odd bits
+1. Candidates come from a prefix filter, the pigeonhole principle on single bits: the sketch that is joined is so wide (2^56 bits)
+   that no two shingles of a document are expected to meet in a bit, so its odd bits are the document's hashed shingles and parity plays
+   no part yet; it does in step 3. Two documents that link agree on all but D of them, and x has at most ``a - (a + b - D) / 2`` odd bits
    that y lacks: when both list their odd bits in one order, they share one that comes no later in x than
    that (pigeonhole), and likewise in y. The bound depends on both sizes: a bit at place i of a set of a joins it
    only with partners of at most ``reach = (4a - 7i) / 3`` shingles, which makes the size band of each bit exact.
