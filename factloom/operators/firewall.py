@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 from typing import TYPE_CHECKING
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -116,44 +120,165 @@ def decisions(facts: DataFrame, k: int = 20) -> DataFrame:
     return out.select("pulse_id", F.when(F.col("sources") > 1, "duplicate").otherwise(tier(value)).alias("tier"), value.alias("similarity"))
 
 
-def shortlists(facts: DataFrame, k: int, stored: TextIndex | None = None) -> DataFrame:
-    """(a, b, rank): the best ``k`` facts b of other sources per fact a; where ``facts`` has pos, earlier ones only, and ties go by it.
+def numbered(facts: DataFrame) -> DataFrame:
+    """``facts`` with num, in the order of pos or else pulse_id, and asks: whether they are not settled; written. Only facts of one source may share a pos."""
+    asks = ~F.coalesce("settled", F.lit(False)) if "settled" in facts.columns else F.lit(True)
+    ordered = facts.orderBy("pos" if "pos" in facts.columns else "pulse_id")
+    return _checkpoint(ordered.select(F.monotonically_increasing_id().alias("num"), *facts.columns, asks.alias("asks")))
+
+
+#: Facts whose postings a task holds, facts that ask it at least, and how many parts asking facts are dealt to at most.
+HELD, ASKING, PARTS = 400_000, 4_000, 24
+
+
+def _best(k: int, ordered: bool, mean: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best ``k`` of one part of the held facts for each of one part of the asking facts, by sums over postings in memory.
+
+    Tokens of a fact come from the heaviest to the lightest. When ``k`` facts score more than all tokens that are left can add, no
+    further fact can be among the best: what is left is looked up for those that still can.
+    """
 
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        flat = lambda table, name: table.column(name).combine_chunks().flatten()
+        lengths = lambda table, name: pc.list_value_length(table.column(name)).to_numpy().astype(np.int64)
+        held = held.sort_by("b")
+        a, b, n = asked.column("a").to_numpy(), held.column("b").to_numpy(), held.num_rows
+        named = pa.chunked_array([*asked.column("sa").chunks, *held.column("sb").chunks], pa.string()).combine_chunks().dictionary_encode().indices.to_numpy()
+        sa, sb = named[: len(a)], named[len(a) :]
+        words = flat(asked, "tokens").dictionary_encode()
+        code, idfs = words.indices.to_numpy().astype(np.int64), flat(asked, "idfs").to_numpy()
+        idf = np.zeros(len(words.dictionary))
+        idf[code] = idfs
+        starts = np.concatenate(([0], np.cumsum(lengths(asked, "tokens"))))
+        told = pc.index_in(flat(held, "ts"), value_set=words.dictionary)
+        known = pc.is_valid(told).to_numpy(zero_copy_only=False)
+        where = np.repeat(np.arange(n), lengths(held, "ts"))[known]
+        posting, tf = np.unique(told.drop_null().to_numpy().astype(np.int64) * max(n, 1) + where, return_counts=True)
+        token, doc = posting // max(n, 1), posting % max(n, 1)
+        w = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * held.column("dl").to_numpy()[doc] / mean))
+        at = np.searchsorted(token, np.arange(len(idf) + 1))
+        most = np.zeros(len(idf))
+        np.maximum.at(most, token, w)
+        until = np.searchsorted(b, a) if ordered else np.full(len(a), n)
+        total = np.zeros(n)
+        found, scores = [], []
+        for i in range(len(a)):
+            mine = code[starts[i] : starts[i + 1]]
+            mine = mine[np.argsort(-most[mine], kind="stable")]
+            bound = most[mine]
+            rest = np.concatenate((np.cumsum(bound[::-1])[::-1], [0.0]))
+            seen, other, many, least, j = [], [], 0, None, 0
+            for j, t in enumerate(mine, 1):  # noqa: B007
+                d = doc[at[t] : at[t + 1]]
+                d = d[: np.searchsorted(d, until[i])]
+                new = d[total[d] == 0]
+                total[d] += w[at[t] : at[t] + len(d)]
+                seen.append(new)
+                other.append(new[sb[new] != sa[i]])
+                many += len(other[-1])
+                if many >= k and rest[0] - rest[j] > rest[j]:
+                    sums = total[np.concatenate(other)]
+                    least = np.partition(sums, many - k)[many - k]
+                    if least > rest[j] + 1e-6:
+                        break
+                    least = None
+            can = np.concatenate(other) if other else np.zeros(0, np.int64)
+            if least is not None:
+                can = np.sort(can[total[can] + rest[j] >= least - 1e-6])
+            sums = total[can]
+            for t in mine[j:]:
+                d = doc[at[t] : at[t + 1]]
+                if len(d):
+                    spot = np.minimum(np.searchsorted(d, can), len(d) - 1)
+                    hit = d[spot] == can
+                    sums[hit] += w[at[t] + spot[hit]]
+            for new in seen:
+                total[new] = 0
+            score = -np.round(sums, 9)
+            if len(can) > k:
+                near = score <= np.partition(score, k - 1)[k - 1]
+                can, score = can[near], score[near]
+            first = np.lexsort((can, score))[:k]
+            found.append(b[can[first]])
+            scores.append(score[first])
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+        listed = lambda parts, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0), kind))
+        return pa.table({"a": asked.column("a").combine_chunks(), "bs": listed(found, pa.int64()), "scores": listed(scores, pa.float64())})
+
+    return run
+
+
+def ranked(facts: DataFrame, k: int, stored: TextIndex | None = None) -> DataFrame:
+    """(a, b, rank) by num of ``numbered`` facts: the best ``k`` facts b of other sources per asking fact a; where they have pos, earlier ones only, and ties go by it.
+
+    Pairs that share a token grow with the square of a token's facts, so none is written: parts of the asking facts meet parts of
+    the held ones in tasks, which sum up in memory. Of equal texts of a source the first ``k`` can be among the best, as equal scores go by num.
     Postings of settled facts come from the index ``stored``, those of asked tokens alone, if it is given.
     """
-    ordered = "pos" in facts.columns
-    # Numbers in the order of pos stand for ids, as pairs are many; only facts of one source may share a pos.
-    asks = ~F.coalesce("settled", F.lit(False)) if "settled" in facts.columns else F.lit(True)
-    numbered = _checkpoint(facts.orderBy("pos" if ordered else "pulse_id").select(F.monotonically_increasing_id().alias("num"), "pulse_id", "source_id", "fact_text", asks.alias("asks")))
-    asked = numbered.where("asks").select(F.col("num").alias("a"), F.col("source_id").alias("sa"), F.explode(T.query_tokens(F.col("fact_text"))).alias("token"))
+    ordered, spark = "pos" in facts.columns, facts.sparkSession
+    sourced = facts.where("source_id IS NOT NULL")
+    asked = sourced.where("asks").select(F.col("num").alias("a"), F.col("source_id").alias("sa"), F.explode(T.query_tokens(F.col("fact_text"))).alias("token"))
+    own = facts.select("num", "asks", tokens("fact_text").alias("ts"))
+    if stored is None:
+        one = own
+        sizes = own.where("size(ts) > 0").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("ts")), F.lit(0)).alias("tokens")).first()
+        n, total = sizes.n, sizes.tokens
+        held = own.select("num", F.size("ts").alias("dl"), "ts")
+    else:
+        one = own.where("asks")
+        sizes = one.where("size(ts) > 0").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("ts")), F.lit(0)).alias("tokens")).first()
+        before, listed = stored.size()
+        n, total = before + sizes.n, listed + sizes.tokens
+        old = stored.postings(asked.select("token")).withColumnRenamed("key", "pulse_id").join(facts.where("NOT asks").select("pulse_id", "num"), "pulse_id")
+        old = _checkpoint(old.select("num", "token", "tf", "dl"))
+        again = old.groupBy("num", "dl").agg(F.flatten(F.collect_list(F.array_repeat("token", F.col("tf").cast("int")))).alias("ts"))
+        held = one.select("num", F.size("ts").alias("dl"), "ts").unionByName(again.select("num", "dl", "ts"))
+    df = one.select(F.explode(F.array_distinct("ts")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    if stored is not None:
+        df = df.unionByName(old.groupBy("token").agg(F.count("*").alias("df"))).groupBy("token").agg(F.sum("df").alias("df"))
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(df.select("token", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf")), "token")
+    probes = weighed.groupBy("a", "sa").agg(F.collect_list(F.struct("token", "idf")).alias("x")).select("a", "sa", F.col("x.token").alias("tokens"), F.col("x.idf").alias("idfs"))
+    first = W.partitionBy("fact_text", "source_id").orderBy("num")
+    kept = sourced.select("num", "source_id", "fact_text").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).select(F.col("num").alias("b"), F.col("source_id").alias("sb"))
     if stored is None:
-        weighed = bm25_weights(postings(numbered, "num"), "num")
+        kept = sourced.select("num", "source_id", "fact_text", tokens("fact_text").alias("ts")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
+        held = kept.select(F.col("num").alias("b"), F.col("source_id").alias("sb"), F.size("ts").alias("dl"), "ts")
     else:
-        made = _checkpoint(postings(numbered.where("asks"), "num"))
-        asking = made.select("num", "dl").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
-        old = stored.postings(asked.select("token")).withColumnRenamed("key", "pulse_id").join(numbered.where("NOT asks").select("pulse_id", "num"), "pulse_id")
-        n, total = stored.size()
-        both = old.select("num", "token", "dl", "tf").unionByName(made.join(asked.select("token").distinct(), "token", "left_semi").select("num", "token", "dl", "tf"))
-        weighed = bm25_weights(both, "num", (n + asking.n, total + asking.tokens))
-    held = weighed.join(numbered.select("num", F.col("source_id").alias("sb")), "num").withColumnRenamed("num", "b")
-    joined = asked.join(held, "token").where("sa <> sb AND " + ("b < a" if ordered else "a <> b"))
-    scored = joined.groupBy("a", "b").agg((-F.sum("w")).alias("score"))
-    best = W.partitionBy("a").orderBy(F.round("score", 9), "b")
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    names = lambda number, name: numbered.select(F.col("num").alias(number), F.col("pulse_id").alias(name))
-    return top.join(names("a", "ida"), "a").join(names("b", "idb"), "b").select(F.col("ida").alias("a"), F.col("idb").alias("b"), "rank")
-
-
-def compared(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(pulse_id, other_id, similarity) of the pairs (a, b) without a conflict of anchors."""
-    side = lambda end: facts.select(F.col("pulse_id").alias(end), F.col("fact_text").alias(f"t{end}"), T.anchors(F.col("fact_text")).alias(f"n{end}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(~T.anchor_conflict(F.col("na"), F.col("nb")))
-    return both.select(F.col("a").alias("pulse_id"), F.col("b").alias("other_id"), similarity("ta", "tb").alias("similarity"))
+        held = kept.join(held.withColumnRenamed("num", "b"), "b").select("b", "sb", "dl", "ts")
+    counts = sourced.agg(F.count("*").alias("n"), F.count_if("asks").alias("asking")).first()
+    parts, shares = max(1, min(PARTS, -(-counts.asking // ASKING))), max(1, -(-counts.n // HELD))
+    part = lambda x, m: F.pmod(F.xxhash64(x), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = probes.select("*", part("a", parts).alias("i"), every(shares).alias("j")).repartition(2 * parts * shares, "i", "j")
+    right = held.select("*", every(parts).alias("i"), part("b", shares).alias("j")).repartition(2 * parts * shares, "i", "j")
+    best = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_best(k, ordered, total / max(1, n)), "a long, bs array<long>, scores array<double>")
+    if shares > 1:
+        each = F.transform(F.arrays_zip("scores", "bs"), lambda x: F.struct(x["scores"].alias("score"), x["bs"].alias("b")))
+        best = best.select("a", each.alias("x")).groupBy("a").agg(F.slice(F.array_sort(F.flatten(F.collect_list("x"))), 1, k).alias("x")).select("a", F.col("x.b").alias("bs"))
+    return best.select("a", F.posexplode("bs").alias("rank", "b")).select("a", "b", (F.col("rank") + 1).alias("rank"))
+
+
+def shortlists(facts: DataFrame, k: int, stored: TextIndex | None = None) -> DataFrame:
+    """``ranked`` by pulse_id."""
+    made = numbered(facts)
+    names = lambda end: made.select(F.col("num").alias(end), F.col("pulse_id").alias(f"id{end}"))
+    return ranked(made, k, stored).join(names("a"), "a").join(names("b"), "b").select(F.col("ida").alias("a"), F.col("idb").alias("b"), "rank")
+
+
+def compared(pairs: DataFrame, facts: DataFrame, key: str = "pulse_id") -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) without a conflict of anchors."""
+    anchors = lambda x: F.concat_ws(",", F.concat_ws(",", x["numbers"]), F.when(x["negated"], "not").otherwise("-"), F.concat_ws(",", x["directions"]))
+    side = lambda end: facts.select(F.col(key).alias(end), F.col("fact_text").alias(f"t{end}"), anchors(T.anchors(F.col("fact_text"))).alias("anchors"))
+    return pairs.join(side("a"), "a").join(side("b"), ["b", "anchors"]).select("a", "b", similarity("ta", "tb").alias("similarity"))
 
 
 def edges(facts: DataFrame, k: int = 20) -> DataFrame:
     """Comparable pairs (pulse_id, other_id, similarity) of different sources without a conflict of anchors."""
-    return compared(shortlists(facts, k), facts)
+    made = numbered(facts)
+    names = lambda end, name: made.select(F.col("num").alias(end), F.col("pulse_id").alias(name))
+    close = compared(ranked(made, k), made, "num")
+    return close.join(names("a", "pulse_id"), "a").join(names("b", "other_id"), "b").select("pulse_id", "other_id", "similarity")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -182,36 +307,37 @@ def first_wins(facts: DataFrame, k: int = 20, least: float = 0.58, stored: TextI
     the same in a round, whatever the first guess. Rounds are checkpointed.
     """
     width = 4 * k
-    settled = facts.where("settled").select("pulse_id") if "settled" in facts.columns else None
-    near = _checkpoint(shortlists(facts, width, stored))
+    made = numbered(facts)
+    settled = made.where("NOT asks").select("num") if "settled" in facts.columns else None
+    near = _checkpoint(ranked(made, width, stored))
     known = None
-    kept = _checkpoint(facts.select("pulse_id"))
+    kept = _checkpoint(made.select("num"))
     # Round n settles at least the first n facts of every chain, so rounds end, however long a chain is.
     while True:
         slot = W.partitionBy("a").orderBy("rank")
-        short = near.join(kept.select(F.col("pulse_id").alias("b")), "b", "left_semi").withColumn("slot", F.row_number().over(slot)).where(F.col("slot") <= k)
+        short = near.join(kept.select(F.col("num").alias("b")), "b", "left_semi").withColumn("slot", F.row_number().over(slot)).where(F.col("slot") <= k)
         short = _checkpoint(short.select("a", "b"))
         fresh = short if known is None else short.join(known, ["a", "b"], "left_anti")
-        likes = compared(fresh, facts).where(F.col("similarity") >= least).select(F.col("pulse_id").alias("a"), F.col("other_id").alias("b"), F.lit(True).alias("near"))
+        likes = compared(fresh, made, "num").where(F.col("similarity") >= least).select("a", "b", F.lit(True).alias("near"))
         seen = fresh.join(likes, ["a", "b"], "left").select("a", "b", F.coalesce("near", F.lit(False)).alias("near"))
         known = _checkpoint(seen if known is None else known.union(seen))
-        told = short.join(known.where("near"), ["a", "b"], "left_semi").select(F.col("a").alias("pulse_id"))
+        told = short.join(known.where("near"), ["a", "b"], "left_semi").select(F.col("a").alias("num"))
         # The first two sources that hold a fingerprint tell for every source whether another one has it earlier.
-        held = facts.join(kept, "pulse_id", "left_semi").groupBy("fingerprint", F.col("source_id").alias("sb")).agg(F.min("pos").alias("pb"))
+        held = made.join(kept, "num", "left_semi").groupBy("fingerprint", F.col("source_id").alias("sb")).agg(F.min("pos").alias("pb"))
         firsts = held.withColumn("n", F.row_number().over(W.partitionBy("fingerprint").orderBy("pb", "sb"))).where("n <= 2")
-        same = facts.join(firsts, "fingerprint").where("source_id <> sb AND pb < pos").select("pulse_id")
+        same = made.select("num", "source_id", "pos", "fingerprint").join(firsts, "fingerprint").where("source_id <> sb AND pb < pos").select("num")
         lost = told.union(same).distinct()
-        lost = lost if settled is None else lost.join(settled, "pulse_id", "left_anti")
-        now = _checkpoint(facts.select("pulse_id").join(lost, "pulse_id", "left_anti"))
-        if now.count() == kept.count() and now.join(kept, "pulse_id", "left_anti").isEmpty():
+        lost = lost if settled is None else lost.join(settled, "num", "left_anti")
+        now = _checkpoint(made.select("num").join(lost, "num", "left_anti"))
+        if now.count() == kept.count() and now.join(kept, "num", "left_anti").isEmpty():
             # A list that ends at its width may have more; with fewer than k kept facts in it, it is too short.
             full = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= width).select("a")
             filled = short.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("a")
             if full.join(filled, "a", "left_anti").isEmpty():
-                outcome = now.withColumn("outcome", F.lit("kept"))
-                return facts.join(outcome, "pulse_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("suppressed")))
+                outcome = made.join(now.withColumn("outcome", F.lit("kept")), "num", "left")
+                return outcome.select(*facts.columns, F.coalesce("outcome", F.lit("suppressed")).alias("outcome"))
             width *= 4
-            near = _checkpoint(shortlists(facts, width, stored))
+            near = _checkpoint(ranked(made, width, stored))
         kept = now
 
 

@@ -60,3 +60,36 @@ def test_outcomes_are_those_of_the_sequential_order(spark):
     want = sequential(df.collect(), 2)
     assert {"kept", "suppressed"} == set(want.values())
     assert {r.pos: r.outcome for r in W.first_wins(df, k=2).collect()} == want
+
+
+def test_shortlists_of_parts_equal_brute_force(spark, monkeypatch):
+    """Parts of the facts meet in tasks and no pair that shares a token is written; copies, common tokens and parts change nothing."""
+    r = random.Random(9)
+    common = WORDS[:3]
+    rows = [(r.choice("abcd"), " ".join(r.sample(common, r.randint(0, 2)) + r.sample(WORDS, r.randint(1, 5)))) for _ in range(120)]
+    rows += [(r.choice("ab"), "river delta carries ridge") for _ in range(60)] + [(None, "river delta carries ridge"), ("a", "Ü!")]
+    df = W._checkpoint(frame(spark, rows))
+    facts = sorted(df.collect(), key=lambda f: f.pos)
+    ts = {f.pos: "".join(c if c.isascii() and c.isalnum() else " " for c in f.fact_text.lower()).split() for f in facts}
+    full = [f for f in facts if ts[f.pos]]
+    mean, count = sum(len(ts[f.pos]) for f in full) / len(full), {}
+    for f in full:
+        for t in set(ts[f.pos]):
+            count[t] = count.get(t, 0) + 1
+
+    def score(a, b):
+        s = 0.0
+        for t in sorted(set(ts[a.pos]))[:12]:
+            tf, idf = ts[b.pos].count(t), math.log((len(full) - count[t] + 0.5) / (count[t] + 0.5))
+            s += (1e-6 if idf <= 0 else idf) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ts[b.pos]) / mean))
+        return round(-s, 9)
+
+    monkeypatch.setattr(W, "HELD", 70)
+    monkeypatch.setattr(W, "ASKING", 30)
+    for table, earlier in ((df, True), (df.drop("pos"), False)):
+        order = "pos" if earlier else "pulse_id"
+        want = set()
+        for a in full:
+            others = [(score(a, b), b[order], b.pulse_id) for b in full if None not in (a.source_id, b.source_id) and a.source_id != b.source_id and (not earlier or b.pos < a.pos)]
+            want |= {(a.pulse_id, b, n) for n, (*_, b) in enumerate(sorted(x for x in others if x[0] < 0)[:4], 1)}
+        assert {tuple(x) for x in W.shortlists(table, 4).collect()} == want
