@@ -103,26 +103,33 @@ def plain_numbers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\d+(?:\.\d+)?%?"), F.lit(0)))
 
 
-def numbers(text: Column) -> Column:
-    """Numeric anchors as the fidelity check reads them: digits, years, spelled-out numbers."""
-    digits = F.regexp_extract_all(text, F.lit(r"(?U)\d+(?:\.\d+)?(?:%|th|rd|st|nd)?"), F.lit(0))
-    years = F.regexp_extract_all(text, F.lit(r"(?U)\b(?:19|20)\d{2}\b"), F.lit(0))
+def _border(flag: str) -> tuple[str, str]:
+    """Borders of words before and after one that is ASCII; Java's own \\b takes other letters for parts of words in any mode."""
+    return (rf"{flag}\b", r"\b") if flag else ("(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])")
+
+
+def numbers(text: Column, ascii_words: bool = False) -> Column:
+    """Numeric anchors as the fidelity check reads them: digits, years, spelled-out numbers. ``ascii_words``: digits and word borders of ASCII alone, as RE2 has them."""
+    flag = "" if ascii_words else "(?U)"
+    digits = F.regexp_extract_all(text, F.lit(rf"{flag}\d+(?:\.\d+)?(?:%|th|rd|st|nd)?"), F.lit(0))
+    years = F.regexp_extract_all(text, F.lit(rf"{_border(flag)[0]}(?:19|20)\d{{2}}{_border(flag)[1]}"), F.lit(0))
     low = fold(text)
     spelled = F.array_compact(F.array(*(F.when(low.rlike(rf"(?U)\b{w}\b"), F.lit(v)) for w, v in NUMBER_WORDS.items())))
     return F.array_sort(F.array_distinct(F.concat(digits, years, spelled)))
 
 
-def directions(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(fold(text), F.lit(rf"(?U)\b(?:{DIRECTION})\b"), F.lit(0))))
+def directions(text: Column, ascii_words: bool = False) -> Column:
+    before, after = _border("" if ascii_words else "(?U)")
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(fold(text), F.lit(rf"{before}(?:{DIRECTION}){after}"), F.lit(0))))
 
 
-def anchor_violations(original: Column, rewritten: Column, translated: Column | bool = False) -> Column:
+def anchor_violations(original: Column, rewritten: Column, translated: Column | bool = False, ascii_words: bool = False) -> Column:
     """Classes of anchors that a rewrite broke."""
     strict = ~(F.lit(translated) if isinstance(translated, bool) else translated)
     differ = lambda words: has_word(original, words) != has_word(rewritten, words)
     added = lambda words: has_word(rewritten, words) & ~has_word(original, words)
     return F.array_compact(F.array(
-        F.when(F.size(F.array_except(numbers(rewritten), numbers(original))) > 0, F.lit("numbers")),
+        F.when(F.size(F.array_except(numbers(rewritten, ascii_words), numbers(original, ascii_words))) > 0, F.lit("numbers")),
         F.when(strict & differ(NEGATION), F.lit("negation")),
         F.when(strict & added(COMPARE), F.lit("comparison_direction")),
         F.when(strict & differ(HEDGE), F.lit("modality")),
@@ -132,9 +139,9 @@ def anchor_violations(original: Column, rewritten: Column, translated: Column |
     ))
 
 
-def anchors(text: Column) -> Column:
+def anchors(text: Column, ascii_words: bool = False) -> Column:
     """What two facts must agree on to be mergeable."""
-    return F.struct(numbers(text).alias("numbers"), has_word(text, NEGATION).alias("negated"), directions(text).alias("directions"))
+    return F.struct(numbers(text, ascii_words).alias("numbers"), has_word(text, NEGATION).alias("negated"), directions(text, ascii_words).alias("directions"))
 
 
 def anchor_conflict(a: Column, b: Column) -> Column:

@@ -39,3 +39,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_anchor_violations_beside_other_letters(spark, tmp_path):
+    """A direction or a year that touches a letter beyond ASCII counts as in the SQL."""
+    first, second = "The river carries sand slowly toward the sea", "It has losesñes and 1999é of them in the valley"
+    text = f"{first}. {'x' * 1200}. {second}. {'y' * 1200}. The wind ñgains force in ٣ places of the wide delta."
+    spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = Q.QUERIES["anchor_violations"](spark, str(tmp_path))
+    want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({Q.ORACLE_SQL['anchor_violations']})").fetchall()
+    assert any(r[-1] for r in want) and plain(map(tuple, got.collect())) == plain(want)
