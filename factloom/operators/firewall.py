@@ -28,6 +28,8 @@ if TYPE_CHECKING:
     from factloom.operators.text_index import TextIndex
 
 K1, B = 1.2, 0.75
+#: Rows of keys or tokens that are sent to every task; beyond they are shuffled.
+SENT = 100_000
 
 
 def tokens(text: str) -> Column:

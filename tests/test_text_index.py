@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import commits, firewall, search
 from factloom.operators.text_index import StoredIndex
@@ -102,3 +103,14 @@ def test_index_changes_of_two_writers_are_both_kept(spark, tmp_path):
     assert sorted(r.key for r in a.change(slow).docs().collect()) == ["x", "y"] and len(tries) == 2
     with pytest.raises(commits.Conflict):
         a.change(lambda i: (b.add(frame([(f"z{len(b.now().state['segments'])}", "t")])), i.add(frame([("q", "q")])))[1], tries=2)
+
+
+def test_search_groups_postings_of_asked_terms_alone(spark):
+    """What nobody asked for is left out before anything is shuffled by token; statistics stay those of all texts."""
+    texts = spark.createDataFrame([(k, f"w{k % 3} common t{k}" + " other" * (k % 4)) for k in range(40)] + [(98, "!"), (99, None)], "id long, text string")
+    queries = spark.createDataFrame([("q", "common W1"), ("none", "absent common"), ("empty", "?")], "query_id string, query string")
+    got = search.search(texts, queries, 5)
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    want = firewall.bm25_weights(firewall.postings(texts, "id", "text"), "id").where("token IN ('common', 'w1')").groupBy("id").agg((-F.sum("w")).alias("s"), F.count("*").alias("n")).where("n = 2")
+    want = sorted((round(r.s, 9), r.id) for r in want.collect())[:5]
+    assert sorted((round(r.score, 9), r.id) for r in got.collect()) == want and len(want) == 5
