@@ -44,6 +44,16 @@ def postings(facts: DataFrame, key: str = "pulse_id", text: str = "fact_text") -
     return each.groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
 
 
+def own_postings(sized: DataFrame) -> DataFrame:
+    """(key, token, tf, dl) of rows (key, ts) whose keys are unique: sorted tokens are counted in their row, nothing is shuffled."""
+    each = sized.select("key", F.size("ts").alias("dl"), F.array_sort("ts").alias("ts"))
+    # Where a run of equal tokens begins; the next one's begin tells how long it is.
+    begins = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
+    each = each.select("key", "dl", "ts", begins.alias("at"))
+    runs = F.transform("at", lambda i, j: F.struct(F.get("ts", i).alias("token"), (F.coalesce(F.get("at", j + 1), F.col("dl")) - i).cast("long").alias("tf")))
+    return each.select("key", "dl", F.explode(runs).alias("x")).select("key", "x.token", "x.tf", "dl")
+
+
 def bm25_weights(index: DataFrame, key: str = "pulse_id", size: tuple[int, int] | None = None) -> DataFrame:
     """(key, token, w): what a token adds to its fact's score. ``size`` tells facts and tokens in all where ``index`` holds some tokens alone."""
     docs = index.select(key, "dl").distinct()

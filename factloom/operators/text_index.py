@@ -24,7 +24,7 @@ from factloom.operators import commits, firewall
 FANOUT = 8
 #: Distinct asked tokens up to which a filter names them; beyond they are joined.
 NAMED = 2000
-#: Rows of tombstones that are sent to every task; beyond they are shuffled.
+#: Rows of tombstones and keys that are sent to every task; beyond they are shuffled.
 SENT = 100_000
 
 POSTINGS, DOCS, GONE = "key string, token string, tf long, dl int", "key string, dl int", "segment string, key string, dl int"
@@ -97,15 +97,26 @@ class TextIndex:
         postings.select("key", "token", "tf", "dl").repartitionByRange("token").sortWithinPartitions("token", "key").write.parquet(f"{self.folder}/{name}/postings")
         return {"name": name, "n": told.n, "tokens": told.tokens}
 
-    def add(self, rows: DataFrame, key: str = "id", text: str = "text") -> dict:
-        """The state with the rows (key, text) whose keys do not live yet."""
-        new = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL").dropDuplicates(["key"])
+    def _fresh(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (key, text) once a key, without keys that live. Keys alone are shuffled; of texts only those whose keys repeat."""
+        marked = rows.groupBy("key").agg((F.count("*") > 1).alias("repeats"))
         if self.state["segments"]:
-            new = new.join(self.docs().select("key"), "key", "left_anti")
-        new = firewall._checkpoint(new)
-        posted = firewall.postings(new, "key", "text")
-        sizes = new.select("key", F.size(firewall.tokens("text")).alias("dl")).where("dl > 0")
-        made = self._segment(posted, sizes)
+            marked = marked.join(self.docs().select("key", F.lit(True).alias("lives")), "key", "left")
+        else:
+            marked = marked.withColumn("lives", F.lit(None).cast("boolean"))
+        marked = firewall._checkpoint(marked.where("repeats OR lives"))
+        n = marked.count()
+        if not n:
+            return rows
+        told = rows.join(F.broadcast(marked) if n <= SENT else marked, "key", "left")
+        again = told.where("repeats AND lives IS NULL").groupBy("key").agg(F.min("text").alias("text"))
+        return told.where("repeats IS NULL").select("key", "text").unionByName(again)
+
+    def add(self, rows: DataFrame, key: str = "id", text: str = "text") -> dict:
+        """The state with the rows (key, text) whose keys do not live yet. ``rows`` are read several times and must be the same each time."""
+        new = self._fresh(rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL"))
+        sized = new.select("key", firewall.tokens("text").alias("ts")).where("size(ts) > 0")
+        made = self._segment(firewall.own_postings(sized), sized.select("key", F.size("ts").alias("dl")))
         state = {"segments": [*self.state["segments"], *([made] if made else [])], "gone": self.state["gone"]}
         return self.with_state(state).merged()
 

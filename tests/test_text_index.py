@@ -114,3 +114,12 @@ def test_search_groups_postings_of_asked_terms_alone(spark):
     want = firewall.bm25_weights(firewall.postings(texts, "id", "text"), "id").where("token IN ('common', 'w1')").groupBy("id").agg((-F.sum("w")).alias("s"), F.count("*").alias("n")).where("n = 2")
     want = sorted((round(r.s, 9), r.id) for r in want.collect())[:5]
     assert sorted((round(r.score, 9), r.id) for r in got.collect()) == want and len(want) == 5
+
+
+def test_postings_of_unique_keys_are_not_shuffled(spark):
+    """Tokens are counted within their row; sorted runs, single tokens and all-equal tokens come out as in a grouping."""
+    texts = spark.createDataFrame([*rows(40), ("one", "x"), ("same", "b b b"), ("mixed", "b a B c a")], "id string, text string")
+    made = firewall.own_postings(texts.select(F.col("id").alias("key"), firewall.tokens("text").alias("ts")).where("size(ts) > 0"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = firewall.postings(texts.withColumnRenamed("id", "key"), "key", "text")
+    assert sorted(map(tuple, made.select("key", "token", "tf", "dl").collect())) == sorted(map(tuple, want.select("key", "token", "tf", "dl").collect()))
