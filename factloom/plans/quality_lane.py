@@ -7,7 +7,8 @@ second verdict in the strong tier where the first is uncertain. Equal requests a
 
 Outcomes, usage and cache equal those of one candidate after the other in the order of ``pos``, while the stages run for many at a time:
 
-1. All that remain walk through the stages on the cache alone. Those that miss nothing are final, wherever they stand.
+1. All walk through the stages on the cache alone; in later rounds only those again that missed a request which was answered meanwhile. Those
+   that miss nothing are final, wherever they stand.
 2. Of the others the longest prefix is taken whose worst-case calls, and their worst-case cost, leave something of the budget. These
    walk with calls: in a stage all requests go out together, of equal ones the first in order and another only after a failure.
 3. What they did not use is left for the next round. A candidate that does not fit by the worst case walks alone, checked before and after every
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import ledger
+from factloom.operators.firewall import SENT
 from factloom.operators.firewall import _checkpoint as checkpointed
 from factloom.plans import facts as P
 
@@ -243,6 +245,19 @@ def prepared(escalated: DataFrame) -> DataFrame:
     return checkpointed(own.select("key", "pos", "statement", "evidence", "escalation", "required", "task", "origin", F.col("playable").alias("own")))
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """``rows`` written, and sent to every task where they are few."""
+    rows = checkpointed(rows)
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
+def answered(probe: DataFrame, new: DataFrame) -> DataFrame:
+    """Keys of a walk's rows that missed a request which ``new`` (cache_key) answers; a walk of the others on the longer cache ends as before."""
+    missed = F.array(*(F.when(~F.col(f"s{n}.hit") & ~F.col(f"s{n}.called"), F.col(f"s{n}.cache_key")) for n in STAGES))
+    asked = probe.where("missed").select("key", F.explode(F.array_compact(missed)).alias("cache_key"))
+    return asked.join(F.broadcast(new.select("cache_key")), "cache_key", "left_semi").select("key").distinct()  # no more than calls of one round
+
+
 def run_lane(escalated: DataFrame, cache: DataFrame, endpoint: Endpoint, budget: int = 10, max_cost: float | None = None, prices: Prices | None = None, strong: bool = True, model_id: str = "m", contract: str = "c") -> dict[str, DataFrame]:
     """``escalated``: key, pos, statement, evidence (the chunk), escalation, required. Returns outcomes, new cache rows, usage.
 
@@ -252,25 +267,29 @@ def run_lane(escalated: DataFrame, cache: DataFrame, endpoint: Endpoint, budget:
     if max_cost is not None and prices is None:
         raise ValueError("a cost budget needs prices")
     lane, left, work = Lane(endpoint, prices, strong, model_id, contract), Budget(budget, max_cost), prepared(escalated)
-    known, new, final = cache.select("cache_key", "result"), [], []
+    known, new, final = _sent(cache.select("cache_key", "result")), [], []
+    probe = walk(work, known, lane, None)
     while True:
-        probe = walk(work, known, lane, None)
         wanted = [] if left.spent else [(r.pos, r.task) for r in probe.where("missed").select("pos", "task").orderBy("pos").limit(left.calls + 1).collect()]
         if not wanted:
             final.append(probe)
             break
         n = max(1, lane.fits(wanted, left))
         last, rest = F.lit(wanted[n - 1][0]), F.lit(wanted[n][0]) if n < len(wanted) else None
-        taken = work.join(probe.where(F.col("missed") & (F.col("pos") <= last)).select("key"), "key", "left_semi")
+        # No more rows than calls are left, so they are sent to the others.
+        taken = work.join(F.broadcast(probe.where(F.col("missed") & (F.col("pos") <= last)).select("key")), "key", "left_semi")
         done = walk(taken, known, lane, left)
         free = ~F.col("missed") if rest is None else ~F.col("missed") & (F.col("pos") < rest)
         final += [probe.where(free), done]
         new.append(checkpointed(asked_of(done).where("called AND result IS NOT NULL").select("cache_key", "result")))
-        known = known.unionByName(new[-1])
+        known = _sent(cache.select("cache_key", "result").unionByName(reduce(DataFrame.unionByName, new)))
         if rest is None:
             break
-        work = work.where(F.col("pos") >= rest)
-    learned = reduce(DataFrame.unionByName, new) if new else known.limit(0)
+        work, probe = work.where(F.col("pos") >= rest), probe.where(F.col("pos") >= rest)
+        changed = _sent(answered(probe, new[-1]))
+        if not changed.isEmpty():
+            probe = probe.join(changed, "key", "left_anti").unionByName(walk(work.join(changed, "key", "left_semi"), known, lane, None))
+    learned = reduce(DataFrame.unionByName, new) if new else cache.select("cache_key", "result").limit(0)
     walked = reduce(DataFrame.unionByName, final)
     usage = usage_of(walked)
     if prices:

@@ -221,3 +221,15 @@ def test_edges(spark):
     assert got["outcomes"].count() == got["usage"].count() == got["cache"].count() == 0
     alone = L.run_lane(frame(spark, candidates(5)), none, by_rule(), 40, strong=False)
     assert alone["usage"].where("tier = 'strong'").count() == 0 and alone["outcomes"].count() == 5
+
+
+def test_later_rounds_walk_only_what_new_answers_change(spark, monkeypatch):
+    """All rows walk once on the cache; a row that asks what another one was told walks again, the others do not."""
+    names = "abcdefghijkl"
+    rows = [(f"k{n}", n, f"A very old river flows to {c}.", f"A very old river flows to {c}.", "fidelity_rewrite", True) for n, c in enumerate(names)]
+    rows.append(("same", 99, rows[0][2], rows[0][3], "fidelity_rewrite", True))
+    probed, walk = [], L.walk
+    monkeypatch.setattr(L, "walk", lambda work, cache, lane, budget: (budget is None and probed.append(sorted(r.key for r in work.select("key").collect())), walk(work, cache, lane, budget))[1])
+    compared = L.run_lane(frame(spark, rows), spark.createDataFrame([], "cache_key string, result string"), endpoint, 7)
+    assert len(probed[0]) == 13 and all(p == ["same"] for p in probed[1:]) and len(probed) > 1
+    assert {r.key for r in compared["outcomes"].collect()} == {r[0] for r in rows} and compared["outcomes"].count() == 13
