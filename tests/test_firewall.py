@@ -93,3 +93,14 @@ def test_shortlists_of_parts_equal_brute_force(spark, monkeypatch):
             others = [(score(a, b), b[order], b.pulse_id) for b in full if None not in (a.source_id, b.source_id) and a.source_id != b.source_id and (not earlier or b.pos < a.pos)]
             want |= {(a.pulse_id, b, n) for n, (*_, b) in enumerate(sorted(x for x in others if x[0] < 0)[:4], 1)}
         assert {tuple(x) for x in W.shortlists(table, 4).collect()} == want
+
+
+def test_outcomes_in_parts_are_those_of_the_sequential_order(spark, monkeypatch):
+    """Held and asking facts dealt to several parts."""
+    monkeypatch.setattr(W, "HELD", 20)
+    monkeypatch.setattr(W, "ASKING", 20)
+    r = random.Random(6)
+    rows = [(f"s{r.randrange(4)}", " ".join(r.sample(WORDS, r.randint(4, 8)))) for _ in range(40)]
+    rows += [(f"s{r.randrange(5)}", rows[r.randrange(40)][1]) for _ in range(15)]
+    df = W._checkpoint(frame(spark, rows))
+    assert {r.pos: r.outcome for r in W.first_wins(df, k=2).collect()} == sequential(df.collect(), 2)
