@@ -1,7 +1,7 @@
 """Near-duplicate firewall: postings with BM25, token-set similarity, and first-wins resolution.
 
-Candidates come from an equi-join on significant tokens and the best ``k`` by BM25 per probe; partial sums are
-aggregated before ranking. Resolution is iterative: shortlists among the kept facts are taken anew until no outcome
+Candidates are the best ``k`` by BM25 over significant tokens; parts of the asking facts read the held ones from the shared
+folder and sum up in memory. Resolution is iterative: shortlists among the kept facts are taken anew until no outcome
 changes, which equals the sequential order.
 """
 
@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -133,163 +136,194 @@ def decisions(facts: DataFrame, k: int = 20) -> DataFrame:
 
 
 def numbered(facts: DataFrame) -> DataFrame:
-    """``facts`` with num, in the order of pos or else pulse_id, and asks: whether they are not settled; written. Only facts of one source may share a pos."""
+    """``facts`` with num, in the order of pos or else pulse_id, asks: whether they are not settled, and anchors as one key; written. Only facts of one source may share a pos."""
     asks = ~F.coalesce("settled", F.lit(False)) if "settled" in facts.columns else F.lit(True)
+    found = T.anchors(F.col("fact_text"))
+    key = F.concat_ws(",", F.concat_ws(",", found["numbers"]), F.when(found["negated"], "not").otherwise("-"), F.concat_ws(",", found["directions"]))
     ordered = facts.orderBy("pos" if "pos" in facts.columns else "pulse_id")
-    return _checkpoint(ordered.select(F.monotonically_increasing_id().alias("num"), *facts.columns, asks.alias("asks")))
+    return _written(ordered.select(F.monotonically_increasing_id().alias("num"), *facts.columns, asks.alias("asks"), key.alias("anchors")))
 
 
-#: Facts whose postings a task holds, facts that ask it at least, and how many parts asking facts are dealt to at most.
-HELD, ASKING, PARTS = 400_000, 4_000, 24
+#: Facts whose postings a task holds at a time, facts that ask it at least and at most, and into how many parts asking facts are dealt before they exceed the least.
+HELD, ASKING, ASKED, PARTS = 400_000, 4_000, 50_000, 24
 
 
-def _best(k: int, ordered: bool, mean: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The best ``k`` of one part of the held facts for each of one part of the asking facts, by sums over postings in memory.
+def _rows(files: list[str], most: int) -> Iterator[pa.Table]:
+    """The rows of Parquet files of the shared folder, up to ``most`` at a time."""
+    read, n = [], 0
+    for uri in files:
+        store, path = pafs.FileSystem.from_uri(uri)
+        with store.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=min(most, 50_000)):
+                if n and n + batch.num_rows > most:
+                    yield pa.Table.from_batches(read)
+                    read, n = [], 0
+                read.append(batch)
+                n += batch.num_rows
+    if n:
+        yield pa.Table.from_batches(read)
+
+
+def _best(k: int, ordered: bool, mean: float, files: list[str], weights: list[str], most_held: int, compare: bool) -> Callable[[pa.Table], pa.Table]:
+    """The best ``k`` of the facts in ``files`` for each of one part of the asking facts, by sums over postings in memory, and how similar they are.
 
     Tokens of a fact come from the heaviest to the lightest. When ``k`` facts score more than all tokens that are left can add, no
     further fact can be among the best: what is left is looked up for those that still can.
     """
 
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+    def run(asked: pa.Table) -> pa.Table:
         flat = lambda table, name: table.column(name).combine_chunks().flatten()
         lengths = lambda table, name: pc.list_value_length(table.column(name)).to_numpy().astype(np.int64)
-        held = held.sort_by("b")
-        a, b, n = asked.column("a").to_numpy(), held.column("b").to_numpy(), held.num_rows
-        named = pa.chunked_array([*asked.column("sa").chunks, *held.column("sb").chunks], pa.string()).combine_chunks().dictionary_encode().indices.to_numpy()
-        sa, sb = named[: len(a)], named[len(a) :]
+        named = lambda x, y: pa.chunked_array([*x.chunks, *y.chunks], pa.string()).combine_chunks().dictionary_encode().indices.to_numpy()
+        asked = asked.sort_by("text")  # equal texts are compared once
+        a, texts = asked.column("a").to_numpy(), asked.column("text").to_pylist()
         words = flat(asked, "tokens").dictionary_encode()
-        code, idfs = words.indices.to_numpy().astype(np.int64), flat(asked, "idfs").to_numpy()
+        code = words.indices.to_numpy().astype(np.int64)
         idf = np.zeros(len(words.dictionary))
-        idf[code] = idfs
+        for listed in _rows(weights, most_held):
+            spot = pc.index_in(words.dictionary, value_set=listed.column("token").combine_chunks())
+            there = pc.is_valid(spot).to_numpy(zero_copy_only=False)
+            idf[there] = listed.column("idf").to_numpy()[spot.drop_null().to_numpy()]
         starts = np.concatenate(([0], np.cumsum(lengths(asked, "tokens"))))
-        told = pc.index_in(flat(held, "ts"), value_set=words.dictionary)
-        known = pc.is_valid(told).to_numpy(zero_copy_only=False)
-        where = np.repeat(np.arange(n), lengths(held, "ts"))[known]
-        posting, tf = np.unique(told.drop_null().to_numpy().astype(np.int64) * max(n, 1) + where, return_counts=True)
-        token, doc = posting // max(n, 1), posting % max(n, 1)
-        w = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * held.column("dl").to_numpy()[doc] / mean))
-        at = np.searchsorted(token, np.arange(len(idf) + 1))
-        most = np.zeros(len(idf))
-        np.maximum.at(most, token, w)
-        until = np.searchsorted(b, a) if ordered else np.full(len(a), n)
-        total = np.zeros(n)
-        found, scores = [], []
-        for i in range(len(a)):
-            mine = code[starts[i] : starts[i + 1]]
-            mine = mine[np.argsort(-most[mine], kind="stable")]
-            bound = most[mine]
-            rest = np.concatenate((np.cumsum(bound[::-1])[::-1], [0.0]))
-            seen, other, many, least, j = [], [], 0, None, 0
-            for j, t in enumerate(mine, 1):  # noqa: B007
-                d = doc[at[t] : at[t + 1]]
-                d = d[: np.searchsorted(d, until[i])]
-                new = d[total[d] == 0]
-                total[d] += w[at[t] : at[t] + len(d)]
-                seen.append(new)
-                other.append(new[sb[new] != sa[i]])
-                many += len(other[-1])
-                if many >= k and rest[0] - rest[j] > rest[j]:
-                    sums = total[np.concatenate(other)]
-                    least = np.partition(sums, many - k)[many - k]
-                    if least > rest[j] + 1e-6:
+        found = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0))] * len(a)
+        for held in _rows(files, most_held):
+            held = held.sort_by("b")
+            b, n = held.column("b").to_numpy(), held.num_rows
+            until = np.searchsorted(b, a) if ordered else np.full(len(a), n)
+            source, anchors = named(asked.column("sa"), held.column("sb")), named(asked.column("anchors"), held.column("anchors"))
+            sa, sb, aa, ab = source[: len(a)], source[len(a) :], anchors[: len(a)], anchors[len(a) :]
+            other_texts = held.column("text").combine_chunks()
+            told = pc.index_in(flat(held, "ts"), value_set=words.dictionary)
+            known = pc.is_valid(told).to_numpy(zero_copy_only=False)
+            where = np.repeat(np.arange(n), lengths(held, "ts"))[known]
+            posting, tf = np.unique(told.drop_null().to_numpy().astype(np.int64) * max(n, 1) + where, return_counts=True)
+            token, doc = posting // max(n, 1), posting % max(n, 1)
+            w = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * held.column("dl").to_numpy()[doc] / mean))
+            at = np.searchsorted(token, np.arange(len(idf) + 1))
+            most = np.zeros(len(idf))
+            np.maximum.at(most, token, w)
+            del told, known, where, posting, tf, token
+            total = np.zeros(n)
+            text, alike = None, {}
+            for i in range(len(a)):
+                mine = code[starts[i] : starts[i + 1]]
+                mine = mine[np.argsort(-most[mine], kind="stable")]
+                bound = most[mine]
+                rest = np.concatenate((np.cumsum(bound[::-1])[::-1], [0.0]))
+                scores, bs, sims = found[i]
+                floor = -scores[-1] if len(bs) == k else None  # what the facts before ask of these
+                seen, other, many, least, j = [], [], 0, floor, 0
+                for j, t in enumerate(mine, 1):  # noqa: B007
+                    d = doc[at[t] : at[t + 1]]
+                    d = d[: np.searchsorted(d, until[i])]
+                    new = d[total[d] == 0]
+                    total[d] += w[at[t] : at[t] + len(d)]
+                    seen.append(new)
+                    other.append(new[sb[new] != sa[i]])
+                    many += len(other[-1])
+                    if floor is not None and floor > rest[j] + 1e-6:
                         break
-                    least = None
-            can = np.concatenate(other) if other else np.zeros(0, np.int64)
-            if least is not None:
-                can = np.sort(can[total[can] + rest[j] >= least - 1e-6])
-            sums = total[can]
-            for t in mine[j:]:
-                d = doc[at[t] : at[t + 1]]
-                if len(d):
-                    spot = np.minimum(np.searchsorted(d, can), len(d) - 1)
-                    hit = d[spot] == can
-                    sums[hit] += w[at[t] + spot[hit]]
-            for new in seen:
-                total[new] = 0
-            score = -np.round(sums, 9)
-            if len(can) > k:
-                near = score <= np.partition(score, k - 1)[k - 1]
-                can, score = can[near], score[near]
-            first = np.lexsort((can, score))[:k]
-            found.append(b[can[first]])
-            scores.append(score[first])
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-        listed = lambda parts, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0), kind))
-        return pa.table({"a": asked.column("a").combine_chunks(), "bs": listed(found, pa.int64()), "scores": listed(scores, pa.float64())})
+                    if many >= k and rest[0] - rest[j] > rest[j]:
+                        sums = total[np.concatenate(other)]
+                        reached = np.partition(sums, many - k)[many - k]
+                        if reached > rest[j] + 1e-6:
+                            least = reached if floor is None else max(floor, reached)
+                            break
+                can = np.concatenate(other) if other else np.zeros(0, np.int64)
+                if least is not None:
+                    can = np.sort(can[total[can] + rest[j] >= least - 1e-6])
+                sums = total[can]
+                for t in mine[j:]:
+                    d = doc[at[t] : at[t + 1]]
+                    if len(d):
+                        spot = np.minimum(np.searchsorted(d, can), len(d) - 1)
+                        hit = d[spot] == can
+                        sums[hit] += w[at[t] + spot[hit]]
+                for new in seen:
+                    total[new] = 0
+                score = -np.round(sums, 9)
+                if len(can) > k:
+                    near = score <= np.partition(score, k - 1)[k - 1]
+                    can, score = can[near], score[near]
+                ids = np.concatenate((bs, b[can]))
+                score = np.concatenate((scores, score))
+                first = np.lexsort((ids, score))[:k]
+                like = np.concatenate((sims, np.full(len(can), np.nan)))
+                if compare:
+                    if texts[i] != text:
+                        text, alike = texts[i], {}
+                    for x in first[first >= len(bs)]:
+                        if ab[c := can[x - len(bs)]] == aa[i]:
+                            if (s := alike.get(its := other_texts[c].as_py())) is None:
+                                s = alike[its] = token_set_ratio(text, its) / 100.0
+                            like[x] = s
+                found[i] = score[first], ids[first], like[first]
+        ends = np.concatenate(([0], np.cumsum([len(x[1]) for x in found]))).astype(np.int32)
+        joined = lambda n, kind: np.concatenate([x[n] for x in found]) if found else np.zeros(0, kind)
+        listed = lambda values: pa.ListArray.from_arrays(pa.array(ends), values)
+        sims = joined(2, float)
+        return pa.table({"a": pa.array(a), "bs": listed(pa.array(joined(1, np.int64))), "sims": listed(pa.array(sims, mask=np.isnan(sims)))})
 
     return run
 
 
-def ranked(facts: DataFrame, k: int, stored: TextIndex | None = None) -> DataFrame:
-    """(a, b, rank) by num of ``numbered`` facts: the best ``k`` facts b of other sources per asking fact a; where they have pos, earlier ones only, and ties go by it.
+def ranked(facts: DataFrame, k: int, stored: TextIndex | None = None, compare: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """(a, bs, sims) by num of ``numbered`` facts, written: the best ``k`` facts of other sources per asking fact a, from the best on; where they have pos, earlier ones only, and ties go by it.
 
-    Pairs that share a token grow with the square of a token's facts, so none is written: parts of the asking facts meet parts of
-    the held ones in tasks, which sum up in memory. Of equal texts of a source the first ``k`` can be among the best, as equal scores go by num.
-    Postings of settled facts come from the index ``stored``, those of asked tokens alone, if it is given.
+    sims tells how similar each is, null where anchors conflict (or if not to be compared). Pairs that share a token grow with the square of
+    a token's facts, so none is written, and no fact is sent to many tasks: held facts are written once, and each part of the asking ones reads them
+    from the shared folder and sums up in memory. Of equal texts of a source the first ``k`` can be among the best, as equal scores go by num.
+    Postings of settled facts come from the index ``stored``, those of asked tokens alone, if it is given. Of asking facts, those in ``only`` (num) if given.
     """
-    ordered, spark = "pos" in facts.columns, facts.sparkSession
+    ordered = "pos" in facts.columns
     sourced = facts.where("source_id IS NOT NULL")
-    asked = sourced.where("asks").select(F.col("num").alias("a"), F.col("source_id").alias("sa"), F.explode(T.query_tokens(F.col("fact_text"))).alias("token"))
+    probes = sourced.where("asks") if only is None else sourced.where("asks").join(only, "num", "left_semi")
+    asked = probes.select(F.col("num").alias("a"), F.col("source_id").alias("sa"), F.col("fact_text").alias("text"), "anchors", T.query_tokens(F.col("fact_text")).alias("tokens")).where("size(tokens) > 0")
     own = facts.select("num", "asks", tokens("fact_text").alias("ts"))
+    one = own if stored is None else own.where("asks")
+    sizes = one.where("size(ts) > 0").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("ts")), F.lit(0)).alias("tokens")).first()
+    n, total = sizes.n, sizes.tokens
+    df = one.select(F.explode(F.array_distinct("ts")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    first = W.partitionBy("fact_text", "source_id").orderBy("num")
+    kept = sourced.select("num", "source_id", "fact_text", "anchors").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
+    kept = kept.select(F.col("num").alias("b"), F.col("source_id").alias("sb"), F.col("fact_text").alias("text"), "anchors")
+    old = None
     if stored is None:
-        one = own
-        sizes = own.where("size(ts) > 0").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("ts")), F.lit(0)).alias("tokens")).first()
-        n, total = sizes.n, sizes.tokens
-        held = own.select("num", F.size("ts").alias("dl"), "ts")
+        held = kept.withColumn("ts", tokens("text")).withColumn("dl", F.size("ts"))
     else:
-        one = own.where("asks")
-        sizes = one.where("size(ts) > 0").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("ts")), F.lit(0)).alias("tokens")).first()
         before, listed = stored.size()
-        n, total = before + sizes.n, listed + sizes.tokens
-        old = stored.postings(asked.select("token")).withColumnRenamed("key", "pulse_id").join(facts.where("NOT asks").select("pulse_id", "num"), "pulse_id")
-        old = _checkpoint(old.select("num", "token", "tf", "dl"))
+        n, total = before + n, listed + total
+        old = stored.postings(asked.select(F.explode("tokens").alias("token"))).withColumnRenamed("key", "pulse_id").join(facts.where("NOT asks").select("pulse_id", "num"), "pulse_id")
+        old = _written(old.select("num", "token", "tf", "dl"))
         again = old.groupBy("num", "dl").agg(F.flatten(F.collect_list(F.array_repeat("token", F.col("tf").cast("int")))).alias("ts"))
-        held = one.select("num", F.size("ts").alias("dl"), "ts").unionByName(again.select("num", "dl", "ts"))
-    df = one.select(F.explode(F.array_distinct("ts")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    if stored is not None:
+        held = kept.join(one.select("num", F.size("ts").alias("dl"), "ts").unionByName(again.select("num", "dl", "ts")).withColumnRenamed("num", "b"), "b")
         df = df.unionByName(old.groupBy("token").agg(F.count("*").alias("df"))).groupBy("token").agg(F.sum("df").alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df.select("token", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf")), "token")
-    probes = weighed.groupBy("a", "sa").agg(F.collect_list(F.struct("token", "idf")).alias("x")).select("a", "sa", F.col("x.token").alias("tokens"), F.col("x.idf").alias("idfs"))
-    first = W.partitionBy("fact_text", "source_id").orderBy("num")
-    kept = sourced.select("num", "source_id", "fact_text").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).select(F.col("num").alias("b"), F.col("source_id").alias("sb"))
-    if stored is None:
-        kept = sourced.select("num", "source_id", "fact_text", tokens("fact_text").alias("ts")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
-        held = kept.select(F.col("num").alias("b"), F.col("source_id").alias("sb"), F.size("ts").alias("dl"), "ts")
-    else:
-        held = kept.join(held.withColumnRenamed("num", "b"), "b").select("b", "sb", "dl", "ts")
-    counts = sourced.agg(F.count("*").alias("n"), F.count_if("asks").alias("asking")).first()
-    parts, shares = max(1, min(PARTS, -(-counts.asking // ASKING))), max(1, -(-counts.n // HELD))
-    part = lambda x, m: F.pmod(F.xxhash64(x), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = probes.select("*", part("a", parts).alias("i"), every(shares).alias("j")).repartition(2 * parts * shares, "i", "j")
-    right = held.select("*", every(parts).alias("i"), part("b", shares).alias("j")).repartition(2 * parts * shares, "i", "j")
-    best = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_best(k, ordered, total / max(1, n)), "a long, bs array<long>, scores array<double>")
-    if shares > 1:
-        each = F.transform(F.arrays_zip("scores", "bs"), lambda x: F.struct(x["scores"].alias("score"), x["bs"].alias("b")))
-        best = best.select("a", each.alias("x")).groupBy("a").agg(F.slice(F.array_sort(F.flatten(F.collect_list("x"))), 1, k).alias("x")).select("a", F.col("x.b").alias("bs"))
-    return best.select("a", F.posexplode("bs").alias("rank", "b")).select("a", "b", (F.col("rank") + 1).alias("rank"))
+    weights = _written(df.select("token", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf")))
+    held = _written(held.where("size(ts) > 0").select("b", "sb", "dl", "ts", "text", "anchors"))
+    asking = asked.count()
+    parts = max(1, min(PARTS, -(-asking // ASKING)), -(-asking // ASKED))
+    dealt = asked.withColumn("i", F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int")).repartitionByRange(4 * parts, "i")  # each part a task of its own
+    run = _best(k, ordered, total / max(1, n), held.inputFiles(), weights.inputFiles(), HELD, compare)
+    best = _written(dealt.groupBy("i").applyInArrow(run, "a long, bs array<long>, sims array<double>"))
+    _drop(weights, held, *([] if old is None else [old]))
+    return best
 
 
 def shortlists(facts: DataFrame, k: int, stored: TextIndex | None = None) -> DataFrame:
-    """``ranked`` by pulse_id."""
+    """(a, b, rank) of ``ranked`` by pulse_id."""
     made = numbered(facts)
     names = lambda end: made.select(F.col("num").alias(end), F.col("pulse_id").alias(f"id{end}"))
-    return ranked(made, k, stored).join(names("a"), "a").join(names("b"), "b").select(F.col("ida").alias("a"), F.col("idb").alias("b"), "rank")
-
-
-def compared(pairs: DataFrame, facts: DataFrame, key: str = "pulse_id") -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) without a conflict of anchors."""
-    anchors = lambda x: F.concat_ws(",", F.concat_ws(",", x["numbers"]), F.when(x["negated"], "not").otherwise("-"), F.concat_ws(",", x["directions"]))
-    side = lambda end: facts.select(F.col(key).alias(end), F.col("fact_text").alias(f"t{end}"), anchors(T.anchors(F.col("fact_text"))).alias("anchors"))
-    return pairs.join(side("a"), "a").join(side("b"), ["b", "anchors"]).select("a", "b", similarity("ta", "tb").alias("similarity"))
+    pairs = ranked(made, k, stored, compare=False).select("a", F.posexplode("bs").alias("rank", "b"))
+    return pairs.join(names("a"), "a").join(names("b"), "b").select(F.col("ida").alias("a"), F.col("idb").alias("b"), (F.col("rank") + 1).alias("rank"))
 
 
 def edges(facts: DataFrame, k: int = 20) -> DataFrame:
     """Comparable pairs (pulse_id, other_id, similarity) of different sources without a conflict of anchors."""
     made = numbered(facts)
     names = lambda end, name: made.select(F.col("num").alias(end), F.col("pulse_id").alias(name))
-    close = compared(ranked(made, k), made, "num")
+    pairs = ranked(made, k).select("a", F.explode(F.arrays_zip("bs", "sims")).alias("x")).select("a", F.col("x.bs").alias("b"), F.col("x.sims").alias("similarity"))
+    close = pairs.where("similarity IS NOT NULL")
     return close.join(names("a", "pulse_id"), "a").join(names("b", "other_id"), "b").select("pulse_id", "other_id", "similarity")
 
 
@@ -310,47 +344,84 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, compressed, and gone with ``_drop``."""
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/factloom/firewall-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.folder = folder
+    return out
+
+
+def _drop(*written: DataFrame) -> None:
+    """Delete tables of ``_written`` that nothing reads any more."""
+    for t in written:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _sent(nums: DataFrame, n: int) -> DataFrame:
+    """``nums``, n rows of one number, for a join: sent to every task if they are few."""
+    return F.broadcast(nums) if n <= SENT else nums
+
+
+def _hits(lists: DataFrame, least: float) -> DataFrame:
+    """(a, b, rank, near) of ``ranked`` lists up to the last fact that is near: what comes behind it suppresses nobody."""
+    close = lists.select("a", "bs", F.transform("sims", lambda x: F.coalesce(x >= least, F.lit(False))).alias("near"))
+    behind = F.array_position(F.reverse("near"), F.lit(True))  # 0: none is near
+    upto = close.where(behind > 0).select("a", F.slice(F.arrays_zip("bs", "near"), F.lit(1), (F.size("near") + 1 - behind).cast("int")).alias("x"))
+    return upto.select("a", F.posexplode("x").alias("rank", "x")).select("a", F.col("x.bs").alias("b"), "rank", F.col("x.near").alias("near"))
+
+
 def first_wins(facts: DataFrame, k: int = 20, least: float = 0.58, stored: TextIndex | None = None) -> DataFrame:
     """Adds outcome kept or suppressed to facts (pulse_id, source_id, fact_text, fingerprint, pos: build order).
 
     Facts with a true ``settled`` (optional) were kept before: they stay, and are compared with but ask nothing.
     A suppressed fact suppresses nobody and takes no slot of a shortlist. Every round decides all facts anew from
     the facts kept in the round before. As a fact depends on earlier ones alone, only the sequential outcome stays
-    the same in a round, whatever the first guess. Rounds are checkpointed.
+    the same in a round, whatever the first guess. Rounds read numbers alone, and tables of earlier rounds are deleted.
     """
-    width = 4 * k
+    width = 2 * k
     made = numbered(facts)
-    settled = made.where("NOT asks").select("num") if "settled" in facts.columns else None
-    near = _checkpoint(ranked(made, width, stored))
-    known = None
-    kept = _checkpoint(made.select("num"))
+    lists = ranked(made, width, stored)
+    folder, lists = lists.folder, lists.withColumn("width", F.lit(width))
+    lists.folder = folder
+    near = _written(_hits(lists, least))
+    # Facts whose fingerprint several sources hold; its least number stands for it. Facts of different sources differ in pos, so num tells which is earlier.
+    sourced = made.where("source_id IS NOT NULL")
+    held = sourced.groupBy("fingerprint").agg(F.min("num").alias("print"), F.min("source_id").alias("s0"), F.max("source_id").alias("s1"))
+    shared = held.where("s0 <> s1").select("fingerprint", "print")
+    copies = _written(sourced.select("num", "source_id", "asks", "fingerprint").join(shared, "fingerprint").select("num", "source_id", "asks", "print"))
+    lost, n = _written(made.select("num").limit(0)), 0
     # Round n settles at least the first n facts of every chain, so rounds end, however long a chain is.
     while True:
-        slot = W.partitionBy("a").orderBy("rank")
-        short = near.join(kept.select(F.col("num").alias("b")), "b", "left_semi").withColumn("slot", F.row_number().over(slot)).where(F.col("slot") <= k)
-        short = _checkpoint(short.select("a", "b"))
-        fresh = short if known is None else short.join(known, ["a", "b"], "left_anti")
-        likes = compared(fresh, made, "num").where(F.col("similarity") >= least).select("a", "b", F.lit(True).alias("near"))
-        seen = fresh.join(likes, ["a", "b"], "left").select("a", "b", F.coalesce("near", F.lit(False)).alias("near"))
-        known = _checkpoint(seen if known is None else known.union(seen))
-        told = short.join(known.where("near"), ["a", "b"], "left_semi").select(F.col("a").alias("num"))
+        gone = _sent(lost, n)
+        short = near.join(gone.withColumnRenamed("num", "b"), "b", "left_anti").groupBy("a").agg(F.collect_list(2 * F.col("rank") + F.col("near").cast("int")).alias("x"))
+        told = short.where(F.exists(F.slice(F.array_sort("x"), 1, k), lambda x: x % 2 == 1)).select(F.col("a").alias("num"))
         # The first two sources that hold a fingerprint tell for every source whether another one has it earlier.
-        held = made.join(kept, "num", "left_semi").groupBy("fingerprint", F.col("source_id").alias("sb")).agg(F.min("pos").alias("pb"))
-        firsts = held.withColumn("n", F.row_number().over(W.partitionBy("fingerprint").orderBy("pb", "sb"))).where("n <= 2")
-        same = made.select("num", "source_id", "pos", "fingerprint").join(firsts, "fingerprint").where("source_id <> sb AND pb < pos").select("num")
-        lost = told.union(same).distinct()
-        lost = lost if settled is None else lost.join(settled, "num", "left_anti")
-        now = _checkpoint(made.select("num").join(lost, "num", "left_anti"))
-        if now.count() == kept.count() and now.join(kept, "num", "left_anti").isEmpty():
-            # A list that ends at its width may have more; with fewer than k kept facts in it, it is too short.
-            full = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= width).select("a")
-            filled = short.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("a")
-            if full.join(filled, "a", "left_anti").isEmpty():
-                outcome = made.join(now.withColumn("outcome", F.lit("kept")), "num", "left")
-                return outcome.select(*facts.columns, F.coalesce("outcome", F.lit("suppressed")).alias("outcome"))
+        firsts = copies.join(gone, "num", "left_anti").groupBy("print", F.col("source_id").alias("sb")).agg(F.min("num").alias("b"))
+        firsts = firsts.withColumn("n", F.row_number().over(W.partitionBy("print").orderBy("b"))).where("n <= 2").select("print", "sb", "b")
+        same = copies.where("asks").join(firsts, "print").where("source_id <> sb AND b < num").select("num")
+        now = _written(told.union(same).distinct())
+        many = now.count()
+        if many == n and now.join(_sent(lost, n), "num", "left_anti").isEmpty():
+            # A list that ends at its width may have more; with fewer than k kept facts in it, it is too short for a fact that is kept.
+            gone = _sent(now, many)
+            full = lists.where(F.size("bs") >= F.col("width")).join(gone.withColumnRenamed("num", "a"), "a", "left_anti")
+            full = full.select("a", "width", F.explode("bs").alias("b")).join(gone.withColumnRenamed("num", "b"), "b", "left_semi")
+            open_ = _written(full.groupBy("a", "width").agg(F.count("*").alias("n")).where(F.col("n") > F.col("width") - k).select(F.col("a").alias("num")))
+            if open_.isEmpty():
+                _drop(lists, near, copies, lost, open_)
+                outcome = made.join(now.withColumn("outcome", F.lit("suppressed")), "num", "left")
+                return outcome.select(*facts.columns, F.coalesce("outcome", F.lit("kept")).alias("outcome"))
             width *= 4
-            near = _checkpoint(ranked(made, width, stored))
-        kept = now
+            longer, begun = ranked(made, width, stored, only=open_), open_.withColumnRenamed("num", "a")
+            others = lists.join(begun, "a", "left_anti"), near.join(begun, "a", "left_anti")
+            before, lists, near = (lists, near), _written(others[0].unionByName(longer.withColumn("width", F.lit(width)))), _written(others[1].unionByName(_hits(longer, least)))
+            _drop(*before, longer, open_)
+        _drop(lost)
+        lost, n = now, many
 
 
 def suppressed_pool(pool: DataFrame, recent: DataFrame, k: int = 10, least: float = 0.58, stored: TextIndex | None = None) -> DataFrame:

@@ -104,3 +104,35 @@ def test_outcomes_in_parts_are_those_of_the_sequential_order(spark, monkeypatch)
     rows += [(f"s{r.randrange(5)}", rows[r.randrange(40)][1]) for _ in range(15)]
     df = W._checkpoint(frame(spark, rows))
     assert {r.pos: r.outcome for r in W.first_wins(df, k=2).collect()} == sequential(df.collect(), 2)
+
+
+def shuffled(spark, since=-1):
+    """The last stage's id, and rows that the stages after ``since`` shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    stages = [stages.apply(n) for n in range(stages.size())]
+    return max((x.stageId() for x in stages), default=-1), sum(x.shuffleWriteRecords() for x in stages if x.stageId() > since)
+
+
+def test_no_fact_is_shuffled_once_a_part_nor_its_text_once_a_pair(spark, monkeypatch):
+    """Parts read the held facts from the shared folder, pairs are compared where they are found, rounds take lists up to the last near fact."""
+    monkeypatch.setattr(W, "ASKING", 25)
+    r = random.Random(7)
+    rows = [(f"s{r.randrange(4)}", " ".join(["river", *("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(5))])) for _ in range(300)]
+    rows += [(f"s{r.randrange(4)}", rows[r.randrange(300)][1]) for _ in range(20)]
+    df = W._checkpoint(frame(spark, rows))
+    since, _ = shuffled(spark)
+    W.first_wins(df).write.format("noop").mode("overwrite").save()
+    assert shuffled(spark, since)[1] < 40 * len(rows)
+
+
+def test_lists_too_short_are_widened(spark):
+    """Many of the best are suppressed; lists of the facts that need more are taken anew, of the others they stay."""
+    r = random.Random(8)
+    rows = [("a", "river delta carries sand north")] + [("b", f"river delta carries sand north {chr(97 + n) * 3}") for n in range(20)]
+    rows += [(f"c{n % 3}", " ".join(r.sample(WORDS, 5))) for n in range(30)]
+    rows += [("d", "river delta carries sand basin ridge valley wind moves"), ("e", "river delta basin ridge valley wind moves toward")]
+    df = W._checkpoint(frame(spark, rows))
+    for k in (1, 3):
+        assert {x.pos: x.outcome for x in W.first_wins(df, k=k).collect()} == sequential(df.collect(), k)
