@@ -33,6 +33,8 @@ if TYPE_CHECKING:
 K1, B = 1.2, 0.75
 #: Rows of keys or tokens that are sent to every task; beyond they are shuffled.
 SENT = 100_000
+#: The same for rows of a single number.
+SENT_NUMS = 1_000_000
 
 
 def tokens(text: str) -> Column:
@@ -363,7 +365,7 @@ def _drop(*written: DataFrame) -> None:
 
 def _sent(nums: DataFrame, n: int) -> DataFrame:
     """``nums``, n rows of one number, for a join: sent to every task if they are few."""
-    return F.broadcast(nums) if n <= SENT else nums
+    return F.broadcast(nums) if n <= SENT_NUMS else nums
 
 
 def _hits(lists: DataFrame, least: float) -> DataFrame:
