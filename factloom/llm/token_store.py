@@ -21,18 +21,18 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import json
 import posixpath
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,96 +43,135 @@ from .common import discard, file_system, fresh_dir, materialize, small_batches
 MAGIC = b"TOKZ0001"
 END_ID = 2
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2000, 4096, 65536
-#: Words that a Python worker remembers, and the bytes of the longest such word; they bound memory only.
+#: Words (and as many parts of words) that a Python worker remembers, and the bytes of the longest such word; they bound memory only.
 CACHE_WORDS, CACHE_BYTES = 500_000, 64
-#: Words that the library encodes in one call.
+#: Words or parts that the library encodes in one call.
 TOGETHER = 2000
 #: Printable ASCII and precomposed Latin letters: NFC leaves them as they are, and case folds letter by letter.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
-PLAIN_LINES = re.compile(r"[\n!-~À-ÖØ-öø-ÿ]+").fullmatch
+PLAIN = r"^[!-~À-ÖØ-öø-ÿ]*$"
 PLAIN_TEXT = re.compile(r"[\x20\x09-\x0D!-~À-ÖØ-öø-ÿ]*").fullmatch
 #: Fixed value: the pattern of the vocabulary's file, for lower-case words of plain characters.
 CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n").findall
 NULL_ID = -(1 << 63)
 #: Documents per batch that a worker returns.
-SLICE = 1024
+SLICE = 2048
 #: Compressed frames gathered before they are written.
 SHARD_MB = 64
 
 
+class Known:
+    """Distinct strings and their ids (little-endian unsigned 32-bit integers), as Arrow columns; ``learn`` gives the ids of new ones."""
+
+    def __init__(self, learn: Callable[[pa.StringArray], pa.LargeBinaryArray]):
+        self.learn, self.texts, self.ids = learn, pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def ids_of(self, asked: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of distinct strings; what this call used stays when there are too many."""
+        at = pc.index_in(asked, value_set=self.texts)
+        if not at.null_count:
+            return self.ids.take(at)
+        new = asked.filter(at.is_null())
+        texts, ids = pa.concat_arrays([self.texts, new]), pa.concat_arrays([self.ids, self.learn(new)])
+        at = pc.replace_with_mask(at, at.is_null(), pa.array(np.arange(len(self.texts), len(texts)), pa.int32()))
+        found = ids.take(at)
+        if len(texts) > CACHE_WORDS:
+            texts, ids = asked, found
+        short = pc.less_equal(pc.binary_length(texts), CACHE_BYTES)
+        if not pc.all(short).as_py():
+            texts, ids = texts.filter(short), ids.filter(short)
+        self.texts, self.ids = texts, ids
+        return found
+
+
 class WordTokenizer:
     """The tokenizers library behind a cache of words: its normaliser and pattern never join text across ASCII white space.
 
     A word of ``PLAIN`` characters is unchanged by the normaliser but for case, so it is cut by ``CUT`` here, many words in one
-    pass, and only the library's BPE model runs on them in one call; the model marks the last id of every cut part, which
-    tells where a word's ids end. Words of other characters go through the whole library and are told apart by offsets.
-    Texts of plain characters without "<|" are lower-cased first, as the library would do.
+    pass; ids of cut parts are kept too, as new words are mostly made of known parts. Only the library's BPE model runs on new
+    parts, many in one call; it marks the last id of every part, which tells where a part's ids end. Words of other characters
+    go through the whole library and are told apart by offsets. Texts of plain characters without "<|" are lower-cased first,
+    as the library would do.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
-        self.t, self.words = Tokenizer.from_file(path), {}
+        self.t, self.words, self.parts = Tokenizer.from_file(path), Known(self._learn), Known(self._learn_parts)
         with open(path) as f:
             model = json.load(f)["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.lean = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0))
         self.lean.normalizer = normalizers.Sequence([])
-        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.lean.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = [(c, as_bytes.pre_tokenize_str(c)[0][0]) for c in map(chr, range(0xDF, 0x100))]
         self.ends = np.zeros(max(self.t.get_vocab().values()) + 1, bool)
         self.ends[[i for w, i in model["vocab"].items() if w.endswith(model["end_of_word_suffix"])]] = True
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: pa.StringArray) -> pa.LargeBinaryArray:
         """Ids of distinct words, none of which holds ASCII white space."""
-        other = []
-        for alike in ([w for w in words if w.isascii()], [w for w in words if not w.isascii()]):
-            for k in range(0, len(alike), TOGETHER):
-                some = alike[k : k + TOGETHER]
-                lines = b"\n".join(some).decode()
-                if not PLAIN_LINES(lines) or "<|" in lines:
-                    odd = [(w, t) for w, t in zip(some, lines.split("\n"), strict=True) if not PLAIN(t) or "<|" in t]
-                    other += odd
-                    gone = {w for w, _ in odd}
-                    some = [w for w in some if w not in gone]
-                    lines = b"\n".join(some).decode()
-                if some:
-                    self._learn_plain(some, lines.lower())
-        for k in range(0, len(other), TOGETHER):
-            self._learn_other(*zip(*other[k : k + TOGETHER], strict=True))
-
-    def _learn_plain(self, words: list[bytes], lines: str) -> None:
-        """``lines``: the words in lower case, one a line."""
-        parts = CUT(lines)
-        breaks = [k for k, p in enumerate(parts) if p == "\n"]
-        through = np.array([*breaks, len(parts)]) - np.arange(len(words))  # parts up to the end of each word
-        e = self.lean.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0]
-        ids = np.array(e.ids, "<u4")
-        last = np.flatnonzero(self.ends[ids])[through - 1]
-        self._keep(words, ids, [0, *(4 * (last + 1)).tolist()])
-
-    def _learn_other(self, words: tuple[bytes], texts: tuple[str]) -> None:
-        e = self.t.encode(" ".join(texts), add_special_tokens=False)
-        at = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
-        starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
-        self._keep(words, np.array(e.ids, "<u4"), (4 * np.searchsorted(at, starts)).tolist())
-
-    def _keep(self, words, ids: np.ndarray, edges: list[int]) -> None:
-        data = ids.tobytes()
-        self.words.update((w, data[a:b]) for w, a, b in zip(words, edges, edges[1:], strict=False))
+        plain = pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, "<|"))
+        if pc.all(plain).as_py():
+            return self._learn_plain(words)
+        other = pc.invert(plain)
+        ids = pa.concat_arrays([self._learn_plain(words.filter(plain)), self._learn_other(words.filter(other).to_pylist())])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(other)])
+        return ids.take(pa.array(np.argsort(order)))
+
+    def _learn_plain(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        parts = pa.array(CUT(joined(words, "\n").lower() + "\n"), pa.string()).dictionary_encode()
+        is_end = pc.equal(parts.dictionary, "\n")
+        known = self.parts.ids_of(parts.dictionary.filter(pc.invert(is_end)))
+        known = pc.replace_with_mask(pa.array([b""] * len(is_end), pa.large_binary()), pc.invert(is_end), known)
+        last = np.flatnonzero(np.asarray(is_end.take(parts.indices)))
+        return regrouped(known.take(parts.indices), np.append(0, last[: len(words)] + 1))
+
+    def _learn_parts(self, parts: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of lower-case parts of plain characters."""
+        out = []
+        for k in range(0, len(parts), TOGETHER):
+            some = parts.slice(k, TOGETHER)
+            text = joined(some, " ")
+            for letter, written in [] if text.isascii() else self.as_bytes:  # none is written with letters of this range
+                text = text.replace(letter, written)
+            ids = np.array(self.lean.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            out.append(spans(ids, np.append(0, np.flatnonzero(self.ends[ids]) + 1), len(some)))
+        return pa.concat_arrays(out)
+
+    def _learn_other(self, words: list[str]) -> pa.LargeBinaryArray:
+        out = []
+        for k in range(0, len(words), TOGETHER):
+            some = words[k : k + TOGETHER]
+            e = self.t.encode(" ".join(some), add_special_tokens=False)
+            at = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            starts = np.cumsum([0, *(len(x) + 1 for x in some)])
+            out.append(spans(np.array(e.ids, "<u4"), np.searchsorted(at, starts), len(some)))
+        return pa.concat_arrays(out)
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [lowered(x).split() for x in texts]
-        distinct = set(itertools.chain.from_iterable(cut))
-        self._learn(list(distinct.difference(self.words)))
-        known = self.words
-        ids = [b"".join(map(known.__getitem__, words)) for words in cut]
-        if len(known) > CACHE_WORDS:  # what this call used stays
-            self.words = known = {w: known[w] for w in distinct}
-        for w in distinct:
-            if len(w) > CACHE_BYTES:
-                del known[w]
-        return ids
+        cut = pc.ascii_split_whitespace(pa.array([lowered(x) for x in texts], pa.string()))
+        words = cut.flatten().dictionary_encode()
+        ids = self.words.ids_of(words.dictionary).take(words.indices)
+        return regrouped(ids, cut.offsets).to_pylist()
+
+
+def joined(texts: pa.StringArray, by: str) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), by)[0].as_py()
+
+
+def spans(ids: np.ndarray, edges, n: int) -> pa.LargeBinaryArray:
+    """``n`` runs of ids between ``edges``."""
+    if len(edges) != n + 1 or edges[-1] != len(ids):
+        raise ValueError("ids and the strings they come from do not match")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(4 * np.asarray(edges, np.int64)), pa.py_buffer(ids)])
+
+
+def regrouped(ids: pa.LargeBinaryArray, edges) -> pa.LargeBinaryArray:
+    """Neighbours between ``edges`` become one."""
+    _, at, data = ids.buffers()
+    offsets = np.frombuffer(at, np.int64)[ids.offset : ids.offset + len(ids) + 1]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(offsets[np.asarray(edges)]), data or pa.py_buffer(b"")])
 
 
 def lowered(text: bytes) -> bytes:

@@ -48,3 +48,32 @@ def test_few_rows_repeats_and_empty(spark):
     assert sorted(r.start for r in T.read_store(uri, manifest).collect()) == [0, 3, 5]
     uri, _, manifest = T.write_store(docs.limit(0))
     assert T.read_store(uri, manifest).count() == 0
+
+
+def test_the_library_is_asked_once_for_a_part():
+    class Recorder:
+        def __init__(self, lean):
+            self.lean, self.asked = lean, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.asked += texts[0].split()
+            return self.lean.encode_batch_fast(texts, **options)
+
+    t = T.WordTokenizer(PATH)
+    t.lean = r = Recorder(t.lean)
+    t.encode_all([b"stone word, \xc3\xa9t\xc3\xa9", b""])
+    t.encode_all([b"(word) Stone. stone's \xc3\xa9t\xc3\xa9!", b"word2 2"])
+    assert sorted(r.asked) == sorted(set(r.asked)) and len(r.asked) > 8
+
+
+def test_small_caches_change_nothing(monkeypatch):
+    monkeypatch.setattr(T, "CACHE_WORDS", 40)
+    monkeypatch.setattr(T, "CACHE_BYTES", 4)
+    monkeypatch.setattr(T, "TOGETHER", 7)
+    library, t = Tokenizer.from_file(PATH), T.WordTokenizer(PATH)
+    some = [x for _, x in texts()] + ["", " \t\n", "é" * 50, "世" * 50, "\x00 \x7f\x1c", "a\x0bb\x0cc\r\nd"]
+    for k in range(0, len(some), 10):
+        got = t.encode_all([x.encode() for x in some[k : k + 10]])
+        assert got == [struct.pack(f"<{len(i)}I", *i) for i in (library.encode(x, add_special_tokens=False).ids for x in some[k : k + 10])]
+        assert all(len(x.as_py().encode()) <= 4 for c in (t.words, t.parts) for x in c.texts)
+    assert t.encode_all([]) == [] and t.encode_all([b""]) == [b""]
