@@ -117,6 +117,86 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
+#: Cells of a table of character positions, and 64-bit words of a text beyond which pairs are compared one by one.
+CELLS, WORDS = 500_000, 8
+
+
+def _common(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs, ys the shorter ones: the rows of ``_indel`` for many pairs at once."""
+    out, nx, ny = np.zeros(len(xs), np.int64), np.array([*map(len, xs)], np.int64), np.array([*map(len, ys)], np.int64)
+    order, at = np.lexsort((nx, -(-ny // 64))), 0
+    while at < len(order):
+        words = max(1, -(-int(ny[order[at]]) // 64))
+        if words > WORDS:
+            out[order[at]] = _indel(xs[order[at]], ys[order[at]]) * (nx[order[at]] + ny[order[at]]) / 200 + 0.5
+            at += 1
+            continue
+        take = order[at : at + max(1, CELLS // (64 * words))]
+        take = take[ny[take] <= 64 * words]
+        at, m = at + len(take), len(take)
+        points = lambda texts, n: np.array([texts[i] for i in take], f"<U{max(1, int(n[take].max()))}").view(np.uint32).reshape(m, -1)
+        x, y = points(xs, nx), points(ys, ny)
+        codes = np.zeros(max(int(x.max()), int(y.max())) + 1, np.int64)
+        codes[x], codes[y] = 1, 1
+        codes = np.cumsum(codes)
+        # Columns of one pair each; what pads a text has the code 0.
+        x, y = (np.where(np.arange(z.shape[1]) < n[take, None], codes[z], 0).T * m + np.arange(m) for z, n in ((x, nx), (y, ny)))
+        places = np.zeros((words, (int(codes[-1]) + 1) * m), np.uint64)
+        for j in range(y.shape[0]):
+            places[j // 64][y[j]] |= np.uint64(1 << j % 64)
+        places[:, :m] = 0
+        rows = [np.full(m, 2**64 - 1, np.uint64) for _ in range(words)]
+        for c in x:
+            carry = None
+            for n, row in enumerate(rows):
+                hit = row & places[n][c]
+                up = row + hit
+                if words > 1:
+                    over = up < row
+                    if carry is not None:
+                        up += carry
+                        over |= up < carry
+                    carry = over.astype(np.uint64)
+                rows[n] = up | (row - hit)
+        for n, row in enumerate(rows):
+            bits = np.clip(ny[take] - 64 * n, 0, 64)
+            low = np.where(bits == 64, np.uint64(2**64 - 1), (np.uint64(1) << (bits % 64).astype(np.uint64)) - np.uint64(1))
+            out[take] += bits - np.bitwise_count(row & low)
+    return out
+
+
+def token_set_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``token_set_ratio`` of pairs of texts."""
+    out, sets = np.zeros(len(a)), {}
+    at, xs, ys, both, whole_a, whole_b = [], [], [], [], [], []
+    for i, (s, t) in enumerate(zip(a, b, strict=True)):
+        if (x := sets.get(s)) is None:
+            x = sets[s] = set(s.split())
+        if (y := sets.get(t)) is None:
+            y = sets[t] = set(t.split())
+        if not x or not y:
+            continue
+        same = x & y
+        if same and (len(same) == len(x) or len(same) == len(y)):
+            out[i] = 100.0
+            continue
+        only_a, only_b = " ".join(sorted(x - same)), " ".join(sorted(y - same))
+        n = sum(map(len, same)) + len(same) - 1 if same else 0
+        at.append(i)
+        both.append(n)
+        whole_a.append(len(only_a) + (n + 1 if same else 0))
+        whole_b.append(len(only_b) + (n + 1 if same else 0))
+        if len(only_a) < len(only_b):
+            only_a, only_b = only_b, only_a
+        xs.append(only_a)
+        ys.append(only_b)
+    n, p, q = np.array(both, np.int64), np.array(whole_a, np.int64), np.array(whole_b, np.int64)
+    shorter = np.array([*map(len, ys)], np.int64)
+    head = np.minimum(p, q) - shorter  # what both have, and a space
+    out[at] = np.maximum(100.0 * 2 * (head + _common(xs, ys)) / (p + q), np.maximum(100.0 * 2 * n / (n + p), 100.0 * 2 * n / (n + q)))
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) / 100.0 if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype=float)
@@ -146,17 +226,21 @@ def numbered(facts: DataFrame) -> DataFrame:
     return _written(ordered.select(F.monotonically_increasing_id().alias("num"), *facts.columns, asks.alias("asks"), key.alias("anchors")))
 
 
-#: Facts whose postings a task holds at a time, facts that ask it at least and at most, and into how many parts asking facts are dealt before they exceed the least.
-HELD, ASKING, ASKED, PARTS = 400_000, 4_000, 50_000, 24
+#: Facts whose postings a task holds at a time, facts that ask it at least and about the most, and into how many parts asking facts are dealt before they exceed the least.
+HELD, ASKING, ASKED, PARTS = 1_500_000, 4_000, 50_000, 24
+#: Held facts that are read at a time, and pairs that are compared at a time.
+READ, PAIRS = 200_000, 50_000
+#: Postings of an asking fact's rarest tokens that are summed at once, and cells of tables that tell for the commonest tokens what they add to every held fact.
+SUMMED, DENSE = 12_000, 60_000_000
 
 
-def _rows(files: list[str], most: int) -> Iterator[pa.Table]:
+def _rows(files: list[str], most: int, columns: list[str]) -> Iterator[pa.Table]:
     """The rows of Parquet files of the shared folder, up to ``most`` at a time."""
     read, n = [], 0
     for uri in files:
         store, path = pafs.FileSystem.from_uri(uri)
         with store.open_input_file(path) as f:
-            for batch in pq.ParquetFile(f).iter_batches(batch_size=min(most, 50_000)):
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=min(most, 50_000), columns=columns):
                 if n and n + batch.num_rows > most:
                     yield pa.Table.from_batches(read)
                     read, n = [], 0
@@ -166,83 +250,198 @@ def _rows(files: list[str], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(read)
 
 
+def _blocks(files: list[str], most: int, words: pa.Array, mean: float) -> Iterator[tuple]:
+    """Postings of ``words`` in the facts of ``files``, up to ``most`` facts at a time: (b, sb as a dictionary, at, doc, kind, gain).
+
+    Postings ``at[t]`` to ``at[t + 1]`` are those of word t, by fact doc, which is a place in b; it adds the word's idf times ``gain[kind]``.
+    """
+
+    def block(parts: list[tuple]) -> tuple:
+        bs, sources, counts, docs, tfs, dls = zip(*parts, strict=True)
+        at = np.concatenate(([0], np.cumsum(sum(c.astype(np.int64) for c in counts))))
+        shapes = np.unique(np.concatenate([np.unique(tf << 32 | dl) for tf, dl in zip(tfs, dls, strict=True)]))
+        tf, dl = shapes >> 32, shapes & (2**32 - 1)
+        gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+        doc, kind = np.empty(at[-1], np.int32), np.empty(at[-1], np.uint32 if len(shapes) >= 2**16 else np.uint16)
+        begin, before = at[:-1].copy(), 0
+        for b, count, its, tf, dl in zip(bs, counts, docs, tfs, dls, strict=True):
+            to = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(len(its))
+            doc[to], kind[to] = its + np.int32(before), np.searchsorted(shapes, tf << 32 | dl)
+            begin += count
+            before += len(b)
+        return np.concatenate(bs), pa.chunked_array(sources, pa.string()).combine_chunks().dictionary_encode(), at, doc, kind, gain
+
+    parts, n = [], 0
+    for held in _rows(files, min(most, READ), ["b", "sb", "dl", "ts"]):
+        if n and n + held.num_rows > most:
+            yield block(parts)
+            parts, n = [], 0
+        ts = held.column("ts").combine_chunks()
+        told = pc.index_in(ts.flatten(), value_set=words)
+        known = pc.is_valid(told).to_numpy(zero_copy_only=False)
+        where = np.repeat(np.arange(held.num_rows), pc.list_value_length(ts).to_numpy())[known]
+        posting, tf = np.unique(told.drop_null().to_numpy().astype(np.int64) * held.num_rows + where, return_counts=True)
+        token, doc = posting // held.num_rows, (posting % held.num_rows).astype(np.int32)
+        parts.append((held.column("b").to_numpy(), held.column("sb").combine_chunks(), np.bincount(token, minlength=len(words)).astype(np.int32), doc, tf.astype(np.int64), held.column("dl").to_numpy()[doc].astype(np.int64)))
+        n += held.num_rows
+    if n:
+        yield block(parts)
+
+
+def _alike(pairs: np.ndarray, bs: np.ndarray, texts: list[str], anchors: pa.ChunkedArray, files: list[str]) -> np.ndarray:
+    """How similar the ``pairs``-th asking fact and the held fact bs are, NaN where anchors conflict; held texts are read some at a time."""
+    sims, order = np.full(len(bs), np.nan), np.argsort(bs, kind="stable")
+    sorted_bs = bs[order]
+    for held in _rows(files, READ, ["b", "text", "anchors"]):
+        b = held.column("b").to_numpy()
+        mine = order[np.searchsorted(sorted_bs, b[0]) : np.searchsorted(sorted_bs, b[-1], "right")]
+        spot = np.searchsorted(b, bs[mine])
+        keys = pa.chunked_array([*anchors.chunks, *held.column("anchors").chunks], pa.string()).combine_chunks().dictionary_encode().indices.to_numpy()
+        close = keys[pairs[mine]] == keys[len(anchors) + spot]
+        mine, spot = mine[close], spot[close]
+        by_text = np.argsort(pairs[mine], kind="stable")
+        mine, spot = mine[by_text], spot[by_text]
+        other = held.column("text").combine_chunks()
+        for n in range(0, len(mine), PAIRS):
+            some = mine[n : n + PAIRS]
+            told, place, x, y = {}, [], [], []  # equal pairs of texts are compared once
+            for i, t in zip(pairs[some].tolist(), other.take(pa.array(spot[n : n + PAIRS])).to_pylist(), strict=True):
+                key = (texts[i], t)
+                if (p := told.get(key)) is None:
+                    p = told[key] = len(x)
+                    x.append(key[0])
+                    y.append(t)
+                place.append(p)
+            sims[some] = (token_set_ratios(x, y) / 100.0)[place]
+    return sims
+
+
 def _best(k: int, ordered: bool, mean: float, files: list[str], weights: list[str], most_held: int, compare: bool) -> Callable[[pa.Table], pa.Table]:
-    """The best ``k`` of the facts in ``files`` for each of one part of the asking facts, by sums over postings in memory, and how similar they are.
+    """The best ``k`` of the facts in ``files``, which are sorted by b, for each of one part of the asking facts, by sums over postings in memory, and how similar they are.
 
-    Tokens of a fact come from the heaviest to the lightest. When ``k`` facts score more than all tokens that are left can add, no
-    further fact can be among the best: what is left is looked up for those that still can.
+    Tokens of a fact come from the heaviest to the lightest. When ``k`` facts score more, in full, than all tokens that are left can add, no
+    further fact can be among the best: what is left is looked up for those that still can. An asking fact with the text of
+    the one before begins with that one's best and asks only facts that come after, unless their sources leave out different facts.
     """
 
     def run(asked: pa.Table) -> pa.Table:
         flat = lambda table, name: table.column(name).combine_chunks().flatten()
         lengths = lambda table, name: pc.list_value_length(table.column(name)).to_numpy().astype(np.int64)
         named = lambda x, y: pa.chunked_array([*x.chunks, *y.chunks], pa.string()).combine_chunks().dictionary_encode().indices.to_numpy()
-        asked = asked.sort_by("text")  # equal texts are compared once
-        a, texts = asked.column("a").to_numpy(), asked.column("text").to_pylist()
+        asked = asked.sort_by([("text", "ascending"), ("a", "ascending")])
+        a, texts, sources = asked.column("a").to_numpy(), asked.column("text").to_pylist(), asked.column("sa").to_pylist()
+        again = [i > 0 and texts[i] == texts[i - 1] for i in range(len(a))]
         words = flat(asked, "tokens").dictionary_encode()
         code = words.indices.to_numpy().astype(np.int64)
         idf = np.zeros(len(words.dictionary))
-        for listed in _rows(weights, most_held):
+        for listed in _rows(weights, most_held, ["token", "idf"]):
             spot = pc.index_in(words.dictionary, value_set=listed.column("token").combine_chunks())
             there = pc.is_valid(spot).to_numpy(zero_copy_only=False)
             idf[there] = listed.column("idf").to_numpy()[spot.drop_null().to_numpy()]
         starts = np.concatenate(([0], np.cumsum(lengths(asked, "tokens"))))
-        found = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0))] * len(a)
-        for held in _rows(files, most_held):
-            held = held.sort_by("b")
-            b, n = held.column("b").to_numpy(), held.num_rows
+        found = [(np.zeros(0), np.zeros(0, np.int64))] * len(a)
+        met: set[str] = set()
+        for held in _blocks(files, most_held, words.dictionary, mean):
+            b, sb, at, doc, kind, gain = held
+            n = len(b)
+            sb, names = sb.indices.to_numpy(), sb.dictionary.to_pylist()
+            numbers, begun = {x: j for j, x in enumerate(names)}, np.unique(sb, return_index=True)[1].tolist()
+            sa = [numbers.get(x, -1) for x in sources]
+            # Where each source begins, in this block or before it.
+            begin = [-1 if x in met else begun[numbers[x]] if x in numbers else n for x in sources]
             until = np.searchsorted(b, a) if ordered else np.full(len(a), n)
-            source, anchors = named(asked.column("sa"), held.column("sb")), named(asked.column("anchors"), held.column("anchors"))
-            sa, sb, aa, ab = source[: len(a)], source[len(a) :], anchors[: len(a)], anchors[len(a) :]
-            other_texts = held.column("text").combine_chunks()
-            told = pc.index_in(flat(held, "ts"), value_set=words.dictionary)
-            known = pc.is_valid(told).to_numpy(zero_copy_only=False)
-            where = np.repeat(np.arange(n), lengths(held, "ts"))[known]
-            posting, tf = np.unique(told.drop_null().to_numpy().astype(np.int64) * max(n, 1) + where, return_counts=True)
-            token, doc = posting // max(n, 1), posting % max(n, 1)
-            w = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * held.column("dl").to_numpy()[doc] / mean))
-            at = np.searchsorted(token, np.arange(len(idf) + 1))
+            # Facts of its own source that come right before a fact count for nothing.
+            run = np.flatnonzero(np.concatenate(([True], sb[1:] != sb[:-1])))
+            last = np.maximum(until - 1, 0)
+            until = np.where((until > 0) & (sb[last] == sa), run[np.searchsorted(run, last, "right") - 1], until).astype(np.int32)
+            sizes = np.diff(at)
             most = np.zeros(len(idf))
-            np.maximum.at(most, token, w)
-            del told, known, where, posting, tf, token
-            total = np.zeros(n)
-            text, alike = None, {}
+            full = np.flatnonzero(sizes)
+            if len(full):
+                most[full] = np.maximum.reduceat(gain[kind], at[full])
+            # The commonest tokens by fact: 0 where a fact lacks the token.
+            dense, gains = {}, np.concatenate(([0.0], gain))
+            for t in np.argsort(-sizes)[: DENSE // n].tolist():
+                if sizes[t] * 100 < n:
+                    break
+                dense[t] = np.zeros(n, np.uint32 if len(gain) >= 2**16 - 1 else np.uint16)
+                dense[t][doc[at[t] : at[t + 1]]] = kind[at[t] : at[t + 1]].astype(np.int64) + 1
+
+            def sums_of(can: np.ndarray, sums: np.ndarray, lists: list[tuple], rest: list[float], least: float | None, doc=doc, kind=kind, gain=gain, dense=dense, gains=gains) -> tuple[np.ndarray, np.ndarray]:
+                """Adds what ``lists`` hold of ``can``; facts that can no longer reach ``least`` are left out."""
+                for (_, t, lo, hi), left in zip(lists, rest, strict=True):
+                    if t in dense:
+                        sums = sums + idf[t] * gains[dense[t][can]]
+                    elif hi > lo:
+                        d = doc[lo:hi]
+                        spot = d.searchsorted(can)
+                        np.minimum(spot, hi - lo - 1, out=spot)
+                        sums = sums + np.where(d[spot] == can, idf[t] * gain[kind[lo + spot]], 0.0)
+                    if least is not None and len(can) > 64:
+                        stay = sums + left >= least - 1e-6
+                        can, sums = can[stay], sums[stay]
+                return can, sums
+
             for i in range(len(a)):
-                mine = code[starts[i] : starts[i + 1]]
-                mine = mine[np.argsort(-most[mine], kind="stable")]
-                bound = most[mine]
-                rest = np.concatenate((np.cumsum(bound[::-1])[::-1], [0.0]))
-                scores, bs, sims = found[i]
+                low, base = np.int32(0), found[i]
+                if again[i] and until[i - 1] and (sa[i] == sa[i - 1] and sources[i] == sources[i - 1] or min(begin[i], begin[i - 1]) >= until[i - 1]):
+                    low, base = until[i - 1], found[i - 1]
+                high = until[i]
+                if low >= high:
+                    found[i] = base
+                    continue
+                scores, bs = base
                 floor = -scores[-1] if len(bs) == k else None  # what the facts before ask of these
-                seen, other, many, least, j = [], [], 0, floor, 0
-                for j, t in enumerate(mine, 1):  # noqa: B007
-                    d = doc[at[t] : at[t + 1]]
-                    d = d[: np.searchsorted(d, until[i])]
-                    new = d[total[d] == 0]
-                    total[d] += w[at[t] : at[t] + len(d)]
-                    seen.append(new)
-                    other.append(new[sb[new] != sa[i]])
-                    many += len(other[-1])
-                    if floor is not None and floor > rest[j] + 1e-6:
-                        break
-                    if many >= k and rest[0] - rest[j] > rest[j]:
-                        sums = total[np.concatenate(other)]
-                        reached = np.partition(sums, many - k)[many - k]
-                        if reached > rest[j] + 1e-6:
-                            least = reached if floor is None else max(floor, reached)
-                            break
-                can = np.concatenate(other) if other else np.zeros(0, np.int64)
-                if least is not None:
-                    can = np.sort(can[total[can] + rest[j] >= least - 1e-6])
-                sums = total[can]
-                for t in mine[j:]:
-                    d = doc[at[t] : at[t + 1]]
-                    if len(d):
-                        spot = np.minimum(np.searchsorted(d, can), len(d) - 1)
-                        hit = d[spot] == can
-                        sums[hit] += w[at[t] + spot[hit]]
-                for new in seen:
-                    total[new] = 0
+                mine = code[starts[i] : starts[i + 1]]
+                # Postings by what they can add at most: (less than that, token, begin, end).
+                ends = zip(mine.tolist(), at[mine].tolist(), at[mine + 1].tolist(), (-idf[mine] * most[mine]).tolist(), strict=True)
+                lists = sorted((bound, t, lo, hi) for t, lo, hi, bound in ends if hi > lo)
+                if low or high < n:
+                    for x, (bound, t, lo, hi) in enumerate(lists):
+                        d = doc[lo:hi]
+                        lists[x] = bound, t, lo + int(d.searchsorted(low)) if low else lo, lo + int(d.searchsorted(high))
+                # What is left to be added, and the postings that are left, after some lists.
+                rest, left = [0.0], [0]
+                for bound, _, lo, hi in reversed(lists):
+                    rest.append(rest[-1] - bound)
+                    left.append(left[-1] + hi - lo)
+                rest.reverse()
+                left.reverse()
+                can, sums, least, j = np.zeros(0, np.int32), np.zeros(0), floor, 0
+                own = begin[i] < high
+                while j < len(lists) and not (least is not None and least > rest[j] + 1e-6):
+                    # Lists up to those that can be left out, as far as is known, but at first a few postings, then a few times as many.
+                    first, more = j, SUMMED + 3 * (left[0] - left[j])
+                    j += 1
+                    while j < len(lists) and left[first] - left[j + 1] <= more and not (least is not None and least > rest[j] + 1e-6):
+                        j += 1
+                    if left[first] == left[j]:
+                        continue
+                    d = np.concatenate([can, *(doc[lo:hi] for _, _, lo, hi in lists[first:j])])
+                    w = np.concatenate([sums, *(idf[t] * gain[kind[lo:hi]] for _, t, lo, hi in lists[first:j])])
+                    if own:
+                        stay = sb[d] != sa[i]
+                        d, w = d[stay], w[stay]
+                    if not len(d):
+                        continue
+                    place = np.sort(d.astype(np.int64) << 32 | np.arange(len(d)))
+                    d, w = (place >> 32).astype(np.int32), w[place & (2**32 - 1)]
+                    heads = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+                    can, sums = d[heads], np.add.reduceat(w, heads)
+                    if len(can) >= k and j < len(lists):
+                        # The full scores of those that are ahead tell what the best must reach.
+                        some = min(len(can), 5 * k)
+                        ahead = np.argpartition(sums, len(can) - some)[len(can) - some :]
+                        ahead = sums_of(can[ahead], sums[ahead], lists[j:], rest[j + 1 :], None)[1]
+                        reached = np.partition(ahead, some - k)[some - k]
+                        least = reached if least is None else max(least, reached)
+                    if least is not None:
+                        stay = sums + rest[j] >= least - 1e-6
+                        can, sums = can[stay], sums[stay]
+                can, sums = sums_of(can, sums, lists[j:], rest[j + 1 :], least)
+                if not len(can):
+                    found[i] = base
+                    continue
                 score = -np.round(sums, 9)
                 if len(can) > k:
                     near = score <= np.partition(score, k - 1)[k - 1]
@@ -250,21 +449,14 @@ def _best(k: int, ordered: bool, mean: float, files: list[str], weights: list[st
                 ids = np.concatenate((bs, b[can]))
                 score = np.concatenate((scores, score))
                 first = np.lexsort((ids, score))[:k]
-                like = np.concatenate((sims, np.full(len(can), np.nan)))
-                if compare:
-                    if texts[i] != text:
-                        text, alike = texts[i], {}
-                    for x in first[first >= len(bs)]:
-                        if ab[c := can[x - len(bs)]] == aa[i]:
-                            if (s := alike.get(its := other_texts[c].as_py())) is None:
-                                s = alike[its] = token_set_ratio(text, its) / 100.0
-                            like[x] = s
-                found[i] = score[first], ids[first], like[first]
-        ends = np.concatenate(([0], np.cumsum([len(x[1]) for x in found]))).astype(np.int32)
-        joined = lambda n, kind: np.concatenate([x[n] for x in found]) if found else np.zeros(0, kind)
-        listed = lambda values: pa.ListArray.from_arrays(pa.array(ends), values)
-        sims = joined(2, float)
-        return pa.table({"a": pa.array(a), "bs": listed(pa.array(joined(1, np.int64))), "sims": listed(pa.array(sims, mask=np.isnan(sims)))})
+                found[i] = score[first], ids[first]
+            met.update(names)
+            del held, doc, kind, dense, sums_of
+        many = np.array([len(x[1]) for x in found], np.int64)
+        bs = np.concatenate([x[1] for x in found]) if found else np.zeros(0, np.int64)
+        sims = _alike(np.repeat(np.arange(len(a)), many), bs, texts, asked.column("anchors"), files) if compare else np.full(len(bs), np.nan)
+        listed = lambda values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), values)
+        return pa.table({"a": pa.array(a), "bs": listed(pa.array(bs)), "sims": listed(pa.array(sims, mask=np.isnan(sims)))})
 
     return run
 
@@ -302,11 +494,15 @@ def ranked(facts: DataFrame, k: int, stored: TextIndex | None = None, compare: b
         df = df.unionByName(old.groupBy("token").agg(F.count("*").alias("df"))).groupBy("token").agg(F.sum("df").alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = _written(df.select("token", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf")))
-    held = _written(held.where("size(ts) > 0").select("b", "sb", "dl", "ts", "text", "anchors"))
-    asking = asked.count()
+    held = _written(held.where("size(ts) > 0").select("b", "sb", "dl", "ts", "text", "anchors").orderBy("b"))
+    # Equal texts ask together, very many of them in parts of the order: there is at most one such text to every ASKED facts.
+    alike = asked.groupBy(F.xxhash64("text").alias("h")).agg(F.count("*").alias("n"))
+    told = alike.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.collect_list(F.when(F.col("n") > ASKED, F.col("h"))).alias("crowds")).first()
+    asking = told.n
     parts = max(1, min(PARTS, -(-asking // ASKING)), -(-asking // ASKED))
-    dealt = asked.withColumn("i", F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int")).repartitionByRange(4 * parts, "i")  # each part a task of its own
-    run = _best(k, ordered, total / max(1, n), held.inputFiles(), weights.inputFiles(), HELD, compare)
+    chunk = F.when(F.xxhash64("text").isin(told.crowds), F.shiftright("a", 15)).otherwise(0) if told.crowds else F.lit(0)
+    dealt = asked.withColumn("i", F.pmod(F.xxhash64("text", chunk), F.lit(parts)).cast("int")).repartitionByRange(4 * parts, "i")  # each part a task of its own
+    run = _best(k, ordered, total / max(1, n), sorted(held.inputFiles()), weights.inputFiles(), HELD, compare)
     best = _written(dealt.groupBy("i").applyInArrow(run, "a long, bs array<long>, sims array<double>"))
     _drop(weights, held, *([] if old is None else [old]))
     return best

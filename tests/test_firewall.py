@@ -3,6 +3,9 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from factloom.operators import firewall as W
@@ -136,3 +139,75 @@ def test_lists_too_short_are_widened(spark):
     df = W._checkpoint(frame(spark, rows))
     for k in (1, 3):
         assert {x.pos: x.outcome for x in W.first_wins(df, k=k).collect()} == sequential(df.collect(), k)
+
+
+def best_of(folder, rows, ordered, k=4, held=10**6, read=10**6):
+    """Lists of ``_best`` over rows (source, text), run here, and those of brute force; held facts are written as ``ranked`` writes them."""
+    ts = [t.split() for _, t in rows]
+    mean, df = sum(map(len, ts)) / len(ts), {}
+    for t in ts:
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    idf = {w: max(1e-6, math.log((len(ts) - n + 0.5) / (n + 0.5))) for w, n in df.items()}
+    none = pa.array([""] * len(rows))
+    pq.write_table(pa.table({"b": pa.array(range(len(rows))), "sb": [s for s, _ in rows], "dl": pa.array(map(len, ts), pa.int32()), "ts": ts, "text": [t for _, t in rows], "anchors": none}), folder / "held.parquet")
+    pq.write_table(pa.table({"token": list(idf), "idf": list(idf.values())}), folder / "idf.parquet")
+    asked = pa.table({"a": pa.array(range(len(rows))), "sa": [s for s, _ in rows], "text": [t for _, t in rows], "anchors": none, "tokens": [sorted(set(t))[:12] for t in ts]})
+    order = list(range(len(rows)))
+    random.Random(1).shuffle(order)
+    got = W._best(k, ordered, mean, [f"file://{folder}/held.parquet"], [f"file://{folder}/idf.parquet"], held, True)(asked.take(order)).sort_by("a").to_pydict()
+
+    def score(a, b):
+        s = 0.0
+        for w in sorted(set(ts[a]))[:12]:
+            tf = ts[b].count(w)
+            s += idf[w] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ts[b]) / mean))
+        return round(-s, 9)
+
+    want = []
+    for a, (source, _) in enumerate(rows):
+        others = sorted((score(a, b), b) for b, (s, _) in enumerate(rows) if s != source and (not ordered or b < a))
+        want.append([b for s, b in others if s < 0][:k])
+    return got, want
+
+
+def test_best_in_memory_equals_brute_force(tmp_path, monkeypatch):
+    """Blocks, first sums, tables of common tokens, equal texts of one and of several sources, sources in runs and mixed."""
+    r = random.Random(11)
+    for n in range(24):
+        rows = [(r.choice("abcde"), " ".join(r.choices(WORDS[: r.choice((6, 23))], k=r.randint(1, 14)))) for _ in range(80)]
+        rows += [(r.choice("abcdef"), r.choice(rows)[1]) for _ in range(60)]
+        r.shuffle(rows)
+        if n % 2:
+            rows.sort(key=lambda x: x[0])
+        monkeypatch.setattr(W, "SUMMED", (0, 9, 40, 10_000)[n % 4])
+        monkeypatch.setattr(W, "DENSE", (0, 700, 10**6)[n % 3])
+        monkeypatch.setattr(W, "READ", (13, 1000)[n // 2 % 2])
+        got, want = best_of(tmp_path, rows, n % 6 < 4, k=(1, 4)[n // 3 % 2], held=(30, 1000)[n // 4 % 2])
+        assert got["bs"] == want
+        for a, (bs, sims) in enumerate(zip(got["bs"], got["sims"], strict=True)):
+            assert sims == [W.token_set_ratio(rows[a][1], rows[b][1]) / 100 for b in bs]
+
+
+def test_a_text_is_asked_once_and_pairs_are_compared_together(tmp_path, monkeypatch):
+    """As many lists are made as there are texts that meet facts of other sources, and no pair is compared by itself."""
+    r = random.Random(12)
+    texts = [" ".join(r.sample(WORDS, 6)) for _ in range(20)]
+    rows = sorted((s, t) for s in "abcd" for t in texts for _ in range(5))
+    calls = []
+    lexsort = np.lexsort
+    monkeypatch.setattr(W.np, "lexsort", lambda *x: calls.append(1) or lexsort(*x))
+    monkeypatch.setattr(W, "token_set_ratio", None)
+    got, want = best_of(tmp_path, rows, True)
+    assert got["bs"] == want
+    assert len(calls) <= 3 * len(texts) + 5  # those of source a meet nothing
+
+
+def test_ratios_of_many_pairs_are_those_of_each():
+    r = random.Random(13)
+    for letters, words, length in (("abc", 30, 5), ("abcdefghij\0éß漢😀", 12, 8), ("ab", 200, 9), ("abcdefgh", 120, 12), ("abcdefgh", 1, 3)):
+        texts = [" ".join("".join(r.choices(letters, k=r.randint(1, length))) for _ in range(r.randint(0, words))) for _ in range(60)]
+        a = [r.choice(texts) for _ in range(300)]
+        b = [" ".join([*(w for w in x.split() if r.random() < 0.7), *r.choice(texts).split()[: r.randint(0, 9)]]) for x in a]
+        assert W.token_set_ratios(a, b).tolist() == [W.token_set_ratio(x, y) for x, y in zip(a, b, strict=True)]
+    assert W.token_set_ratios([], []).tolist() == []
